@@ -116,23 +116,23 @@ def parse(df: DataFrame, fields: dict[str, tuple[str, str]] = PAYLOAD_FIELDS) ->
     those a decoded column replaces.
     """
     text = ", ".join(f"`{field}` STRING" for field in fields)
-    decoded = df.withColumn(
-        "_json",
-        F.from_json(
-            "payload",
-            f"{text}, _corrupt STRING",
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
-        ),
-    )
-    raw = {field: F.col("_json").getField(field) for field in fields}
-    typed = {field: raw[field].try_cast(kind) for field, (_, kind) in fields.items()}
-    wrong = F.lit(False)
-    for field in fields:
-        wrong = wrong | (raw[field].isNotNull() & typed[field].isNull())
     names = {column for column, _ in fields.values()}
-    return decoded.select(
+    typed = {f: f"try_cast(_json.`{f}` AS {kind})" for f, (_, kind) in fields.items()}
+    wrong = " OR ".join(
+        f"(_json.`{f}` IS NOT NULL AND {typed[f]} IS NULL)"
+        for f, (_, kind) in fields.items()
+        if kind != "string"
+    )
+    decoded = F.from_json(
+        "payload",
+        f"{text}, _corrupt STRING",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
+    )
+    # One decoded row per message comes out of `explode`, and filters on what was
+    # decoded stay above it, so a message is decoded once.
+    return df.select("*", F.explode(F.array(decoded)).alias("_json")).selectExpr(
         *[name for name in df.columns if name not in names],
-        *[typed[field].alias(column) for field, (column, _) in fields.items()],
-        F.col("_json._corrupt").alias("corrupt"),
-        wrong.alias("bad_value"),
+        *[f"{typed[f]} AS {column}" for f, (column, _) in fields.items()],
+        "_json._corrupt AS corrupt",
+        f"({wrong or 'false'}) AS bad_value",
     )

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +13,12 @@ from emberline.schema import OUTCOMES
 
 def is_fill() -> Column:
     """Any outcome flag is 1."""
-    return reduce(or_, [F.col(flag) == 1 for flag in OUTCOMES])
+    return F.expr(" OR ".join(f"{flag} = 1" for flag in OUTCOMES))
 
 
 def is_nofill() -> Column:
     """A request, and every outcome flag is NULL. A 0 is not NULL."""
-    return reduce(and_, [F.col(flag).isNull() for flag in OUTCOMES], F.col("has_request") == 1)
+    return F.expr(" AND ".join(["has_request = 1", *[f"{flag} IS NULL" for flag in OUTCOMES]]))
 
 
 def slice_(df: DataFrame, y: int, m: int, d: int, h: int | None = None) -> DataFrame:

@@ -10,31 +10,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.calendar import parts_of
 from emberline.schema import FLAGS, PARTS
 
 
-def seen(value: Column, ts: Column, event_id: Column) -> Column:
-    """An attribute value with its event; NULL when the event has no value."""
-    return F.when(
-        value.isNotNull(),
-        F.struct(ts.alias("ts"), event_id.alias("event_id"), value.alias("value")),
-    )
-
-
 def to_states(events: DataFrame, attributes: Sequence[str] = ("zone",), stable: Sequence[str] = ()) -> DataFrame:
-    """Event rows to mergeable rows. A flag column an event lacks is NULL."""
+    """Event rows to mergeable rows. A flag column an event lacks is NULL.
+
+    An attribute is kept with its event; it is NULL when the event has no value.
+    """
     have = set(events.columns)
-    return events.select(
+    return events.selectExpr(
         "unique_id",
         *stable,
         "user_id",
         "request_ts",
-        *[F.col(f) if f in have else F.lit(None).cast("int").alias(f) for f in FLAGS],
-        *[seen(F.col(a), F.col("ts"), F.col("event_id")).alias(f"{a}_seen") for a in attributes],
+        *[f if f in have else f"cast(NULL AS INT) AS {f}" for f in FLAGS],
+        *[
+            f"if({a} IS NULL, NULL, struct(ts, event_id, {a} AS value)) AS {a}_seen"
+            for a in attributes
+        ],
     )
 
 
@@ -44,11 +42,10 @@ def merge_states(states: DataFrame, attributes: Sequence[str] = ("zone",), stabl
     `stable` names columns that are constant for a key (such as its partition
     tuple). They are grouped on, so filters on them pass below the aggregation.
     """
+    largest = ["user_id", *FLAGS, *[f"{a}_seen" for a in attributes]]
     return states.groupBy("unique_id", *stable).agg(
-        F.max("user_id").alias("user_id"),
         F.min("request_ts").alias("request_ts"),
-        *[F.max(flag).alias(flag) for flag in FLAGS],
-        *[F.max(f"{a}_seen").alias(f"{a}_seen") for a in attributes],
+        *[F.expr(f"max({name}) AS {name}") for name in largest],
     )
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.operators.filters import slice_
+from emberline.operators.filters import classify, slice_
 from emberline.operators.reconcile import pct_diff, reconcile
 from emberline.plans.lifecycle import drop_plan
 from emberline.plans.views import tier_view
@@ -25,7 +25,8 @@ def daily_chain(
 ) -> DataFrame:
     """Run the day's stages in order; the first failure skips the rest.
 
-    Rows are: rows sunk, rows in the view, classes that disagree, ranges to drop.
+    Rows are: rows sunk, rows of that day the view shows, classes that disagree,
+    ranges to drop. Every stage reads the one day only.
     """
     spark = hot.sparkSession
     date = as_of - dt.timedelta(days=cfg.hot_days)
@@ -41,11 +42,9 @@ def daily_chain(
         return day(cold()).count()
 
     def run_view() -> int:
-        return tier_view(hot, cold().drop("event_class"), as_of, cfg).count()
+        return day(tier_view(hot, cold().drop("event_class"), as_of, cfg)).count()
 
     def classified() -> DataFrame:
-        from emberline.operators.filters import classify
-
         return classify(day(hot))
 
     def run_reconcile() -> int:

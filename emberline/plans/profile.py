@@ -11,6 +11,7 @@ from emberline.functions.calendar import event_date, hour_calendar, week_u
 from emberline.operators.filters import in_zones, slice_
 from emberline.operators.reconcile import pct
 from emberline.schema import LEDGER, PARTS
+from emberline.sources.cold import write_partitions
 
 
 def profile_hours(df: DataFrame, zones) -> DataFrame:
@@ -42,19 +43,24 @@ def profile_week(increments: DataFrame) -> DataFrame:
     return folded.withColumn("ctr", F.try_divide("clicks", "impressions"))
 
 
+def save_week(weeks: DataFrame, path: str) -> None:
+    """Replace the stored profile of the weeks a frame holds, and of no others."""
+    write_partitions(weeks, path, ["profile_year", "week_number"], "parquet")
+
+
 def profile_backfill(cold: DataFrame, y: int, m: int, d: int, h: int, zones) -> DataFrame:
     """The increment of one hour, from the cold fill rows."""
     return profile_hour(cold.where(F.col("event_class") == "fill"), y, m, d, h, zones)
 
 
 def save_increment(increment: DataFrame, path: str, y: int, m: int, d: int, h: int) -> None:
-    """Replace the stored increment of one hour, so a rerun adds nothing twice."""
-    stamped = increment.select(
-        "*", *[F.lit(value).alias(name) for name, value in zip(PARTS, (y, m, d, h))]
-    )
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *PARTS
-    ).parquet(path)
+    """Replace the stored increment of one hour, so a rerun adds nothing twice.
+
+    The hour's folder is written directly: an increment that became empty replaces
+    an older one too.
+    """
+    folder = "/".join(f"{name}={value}" for name, value in zip(PARTS, (y, m, d, h)))
+    increment.write.mode("overwrite").parquet(f"{path}/{folder}")
 
 
 def change_gate(expected: DataFrame, written: DataFrame, tolerance: float = 5.0) -> DataFrame:

@@ -64,11 +64,15 @@ def define_view(spark: SparkSession, view: str, t1: str, t2: str, c1: str, c2: s
     return spark.table(view)
 
 
-def overlap_audit(hot: DataFrame, cold: DataFrame) -> DataFrame:
+def overlap_audit(
+    hot: DataFrame, cold: DataFrame, lo: dt.date | None = None, hi: dt.date | None = None
+) -> DataFrame:
     """Keys held by both tiers, per date.
 
-    The tuple is part of the comparison: a key's date never changes.
+    The date is part of the comparison, since a key's date never changes. When the
+    dates both tiers may hold are known, `lo` and `hi` prune the scans to them.
     """
+    hot, cold = window_(hot, lo, hi), window_(cold, lo, hi)
     keys = [event_date().alias("event_date"), F.col("unique_id")]
     both = hot.select(*keys).intersect(cold.select(*keys))
     return both.groupBy("event_date").agg(F.count("*").alias("overlap_keys"))

@@ -15,6 +15,7 @@ from emberline.functions.columns import partition_last
 from emberline.operators.filters import classify, slice_
 from emberline.operators.reconcile import CLASSES
 from emberline.schema import PARTS
+from emberline.sources import folders
 
 
 def table_dir(root: str, event_class: str) -> str:
@@ -66,12 +67,15 @@ def read_cold(spark: SparkSession, root: str, schema) -> DataFrame:
 
 def migrate_hour(hot: DataFrame, y: int, m: int, d: int, h: int, dest: str) -> None:
     """Copy one hour to another warehouse; running it again replaces the copy."""
-    write_partitions(partition_last(slice_(hot, y, m, d, h)), dest, PARTS, "parquet")
+    folder = "/".join(f"{name}={value}" for name, value in zip(PARTS, (y, m, d, h)))
+    rows = slice_(hot, y, m, d, h).drop(*PARTS)
+    rows.hint("rebalance").write.mode("overwrite").parquet(f"{dest}/{folder}")
 
 
 def migrate_days(hot: DataFrame, as_of: dt.date, minus_days: int, dest: str) -> None:
-    """Copy the day `minus_days` before `as_of`."""
+    """Copy the day `minus_days` before `as_of`; running it again replaces the copy."""
     date = as_of - dt.timedelta(days=minus_days)
-    write_partitions(
-        partition_last(slice_(hot, date.year, date.month, date.day)), dest, PARTS, "parquet"
-    )
+    staged = folders.staging(dest)
+    rows = partition_last(slice_(hot, date.year, date.month, date.day))
+    write_partitions(rows, staged, PARTS, "parquet", dynamic=False)
+    folders.swap_days(hot.sparkSession, staged, dest, [date])

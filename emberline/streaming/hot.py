@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from emberline.functions.columns import partition_last, with_partitions
 from emberline.operators.merge import merge_states, present, to_states
 from emberline.schema import HOT, PARTS
+from emberline.settings import Settings
 from emberline.sources import folders
 from emberline.sources.cold import write_partitions
 
@@ -65,7 +66,7 @@ def hour_number(year, month, day, hour):
     return ((year * 100 + month) * 100 + day) * 100 + hour
 
 
-def fold(spark: SparkSession, target: str, min_parts: int = 8) -> list[str]:
+def fold(spark: SparkSession, target: str, min_parts: int = Settings().fold_after_parts) -> list[str]:
     """Merge the parts of crowded hours into one; return the hours folded."""
     crowded = crowded_hours(spark, target, min_parts)
     if not crowded:

@@ -25,38 +25,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """One row per event with its key and flags; `request_ts` is the event's own time."""
-    events = table(spark, sf, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
+    events = table(spark, sf, "events").selectExpr(
+        "*", "cast(ts AS DATE) AS event_date", "cast(get_json_object(props, '$.k') AS INT) AS k"
     )
-    kind = F.col("event_type")
-
-    def one(condition):
-        return F.when(condition, 1)
-
-    flags = {
-        "has_request": one(F.col("user_id") % 11 != 0),
-        "has_response": one(kind != "error"),
-        "has_impression": one(kind == "view"),
-        "has_click": one(kind == "click"),
-        "has_lead": one(kind == "signup"),
-        "has_install": one(kind == "purchase"),
-        "has_postinstall": one((kind == "purchase") & (F.col("value") > 100)),
-        "has_vast": one((kind == "view") & (F.col("k") >= 80)),
-        "has_ad_interactions": one(F.col("k") % 10 == 0),
+    conditions = {
+        "has_request": "user_id % 11 <> 0",
+        "has_response": "event_type <> 'error'",
+        "has_impression": "event_type = 'view'",
+        "has_click": "event_type = 'click'",
+        "has_install": "event_type = 'purchase'",
+        "has_lead": "event_type = 'signup'",
+        "has_postinstall": "event_type = 'purchase' AND value > 100",
+        "has_vast": "event_type = 'view' AND k >= 80",
+        "has_ad_interactions": "k % 10 = 0",
     }
-    day = F.col("ts").cast("date")
-    return events.select(
+    return events.selectExpr(
         "event_id",
         "ts",
         "user_id",
-        F.col("ts").alias("request_ts"),
-        day.alias("event_date"),
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), day.cast("string")).alias("unique_id"),
+        "ts AS request_ts",
+        "event_date",
+        "concat(cast(user_id AS STRING), '-', cast(event_date AS STRING)) AS unique_id",
         "event_type",
         "value",
         "k",
-        F.concat(F.lit("zone_"), (F.col("k") % 9).cast("string")).alias("zone"),
-        *[flags[flag].alias(flag) for flag in FLAGS],
+        "concat('zone_', cast(k % 9 AS STRING)) AS zone",
+        *[f"CASE WHEN {conditions[flag]} THEN 1 END AS {flag}" for flag in FLAGS],
     )
 
 

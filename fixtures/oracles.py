@@ -341,8 +341,7 @@ FROM (SELECT CAST(d AS DATE) AS event_date, CAST(date_diff('day', d, TIMESTAMP '
     max(CAST(ts AS DATE)) + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS d FROM events) x) y""",
     "daily_chain": """
 SELECT 'sink' AS stage, 'ok' AS status, count(*) AS rows FROM cls WHERE event_class <> 'unclassified' AND event_date = DATE '2024-01-23'
-UNION ALL SELECT 'view', 'ok', count(*) FROM cls WHERE (event_date > DATE '2024-01-23')
-  OR (event_date = DATE '2024-01-23' AND event_class <> 'unclassified')
+UNION ALL SELECT 'view', 'ok', count(*) FROM cls WHERE event_class <> 'unclassified' AND event_date = DATE '2024-01-23'
 UNION ALL SELECT 'reconcile', 'ok', 0 UNION ALL SELECT 'drop', 'ok', 2""",
     # streaming
     "checkpoint_resume": f"SELECT {ROW} FROM ad",
