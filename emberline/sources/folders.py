@@ -53,6 +53,23 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(name for name in names if not name.startswith(("_", ".")))
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """A write into the folder has finished and left its marker."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def delete_if_spent(spark: SparkSession, path: str) -> bool:
+    """Delete a committed folder whose last partition is gone, also from its years."""
+    fs, where = _open(spark, path)
+    if not committed(spark, path):
+        return False
+    files = fs.listFiles(where, True)
+    while files.hasNext():
+        if not files.next().getPath().getName().startswith(("_", ".")):
+            return False
+    return delete(spark, path)
+
+
 def partition_dirs(spark: SparkSession, path: str, levels: list[str]) -> list[str]:
     """Relative directories `a=1/b=2/...` that exist for the given levels."""
     fs, where = _open(spark, path + "".join(f"/{level}=*" for level in levels))
@@ -77,7 +94,7 @@ def swap_days(spark: SparkSession, staged: str, table_dir: str, dates: list) ->
     driver leaves either the old or the new rows on disk. A date with no staged rows
     is removed. Nothing happens unless the staged write was committed.
     """
-    if not exists(spark, f"{staged}/_SUCCESS"):
+    if not committed(spark, staged):
         raise FileNotFoundError(f"no committed replacement in {staged}")
     for date in dates:
         day = day_dir(date)

@@ -47,12 +47,14 @@ def read_hot(spark: SparkSession, target: str) -> DataFrame:
 
 
 def crowded_hours(spark: SparkSession, target: str, min_parts: int) -> dict[str, list[str]]:
-    """Hour folders held by at least `min_parts` parts, with those parts.
+    """Hour folders held by at least `min_parts` committed parts, with those parts.
 
-    One entry per hour of the hot window; no file is opened.
+    A part still being written has no commit marker and is left alone. One entry per
+    hour of the hot window; no file is opened.
     """
     found = folders.partition_dirs(spark, target, ["part", *PARTS])
-    held = [path.split("/", 1) for path in found]
+    done = {part for part in folders.children(spark, target) if folders.committed(spark, f"{target}/{part}")}
+    held = [path.split("/", 1) for path in found if path.split("/", 1)[0] in done]
     sizes = Counter(hour for _, hour in held)
     out: dict[str, list[str]] = {}
     for part, hour in held:
@@ -67,7 +69,10 @@ def hour_number(year, month, day, hour):
 
 
 def fold(spark: SparkSession, target: str, min_parts: int = Settings().fold_after_parts) -> list[str]:
-    """Merge the parts of crowded hours into one; return the hours folded."""
+    """Merge the parts of crowded hours into one; return the hours folded.
+
+    Run one fold at a time per table. Streams may go on writing meanwhile.
+    """
     crowded = crowded_hours(spark, target, min_parts)
     if not crowded:
         return []
@@ -78,4 +83,6 @@ def fold(spark: SparkSession, target: str, min_parts: int = Settings().fold_afte
     for hour, parts in crowded.items():
         for part in parts:
             folders.delete(spark, f"{target}/{part}/{hour}")
+    for part in {part for parts in crowded.values() for part in parts}:
+        folders.delete_if_spent(spark, f"{target}/{part}")
     return sorted(crowded)

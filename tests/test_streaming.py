@@ -79,6 +79,27 @@ def test_fold_keeps_rows_and_can_be_cut_short(spark, feed, whole, rows, tmp_path
     assert rows(hot_store.read_hot(spark, hot).select(*ROW)) == whole
 
 
+def test_fold_leaves_unfinished_parts_alone(spark, feed, whole, rows, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "t")
+    hot = f"{root}/hot_events"
+    feed.drop("event_date").repartition(3).write.parquet(src)
+    play(spark, src, root, cfg=replace(OPEN, max_files_per_trigger=1))
+    folders.delete(spark, f"{hot}/part=request-0000000001/_SUCCESS")
+    before = folders.partition_dirs(spark, f"{hot}/part=request-0000000001", PARTS)
+    assert hot_store.fold(spark, hot, 2)
+    assert folders.partition_dirs(spark, f"{hot}/part=request-0000000001", PARTS) == before
+    assert rows(hot_store.read_hot(spark, hot).select(*ROW)) == whole
+
+
+def test_fold_removes_spent_parts(spark, feed, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "t")
+    hot = f"{root}/hot_events"
+    feed.drop("event_date").limit(40).write.parquet(src)
+    play(spark, src, root)
+    hot_store.fold(spark, hot, 1)
+    assert [part.split("-")[0] for part in folders.children(spark, hot)] == ["part=fold"]
+
+
 def test_hot_reads_prune_partitions(spark, feed, tmp_path):
     src, root = str(tmp_path / "src"), str(tmp_path / "t")
     feed.drop("event_date").write.parquet(src)
