@@ -77,6 +77,7 @@ PAYLOAD_FIELDS = {
     "event_id": ("event_id", "bigint"),
     "user_id": ("user_id", "bigint"),
     "zone": ("zone", "string"),
+    "event_type": ("event_type", "string"),
     **{flag: (flag, "int") for flag in FLAGS},
 }
 
@@ -84,6 +85,19 @@ MESSAGE = T.StructType(
     [T.StructField("event_id", T.LongType()), T.StructField("payload", T.StringType())]
 )
 
+# Interactions are kept by whole days.
+DAY_PARTS = ["event_year", "event_month", "event_day"]
+
+INTERACTION = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("event_hour", T.IntegerType()),
+        *[T.StructField(part, T.IntegerType()) for part in DAY_PARTS],
+    ]
+)
+
 QUARANTINE = T.StructType(
     [
         T.StructField("reason", T.StringType()),

@@ -12,13 +12,13 @@ from emberline.operators.filters import lateness
 from emberline.schema import QUARANTINE
 from emberline.settings import Settings
 from emberline.sources import folders
-from emberline.sources.registry import max_age
+from emberline.sources.registry import max_age, spec
 
 
 def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settings()) -> DataFrame:
     """Decoded messages with `reason`, NULL for the good ones."""
     decoded = parse(messages)
-    day = F.col("request_ts").cast("date")
+    day = F.col("ts" if spec(kind).target == "interactions" else "request_ts").cast("date")
     reason = (
         F.when(F.col("corrupt").isNotNull(), "unparseable")
         .when(F.col("bad_value"), "bad_value")

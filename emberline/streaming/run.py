@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberline.functions.columns import with_partitions
 from emberline.operators.lookups import Lookup
+from emberline.schema import DAY_PARTS
 from emberline.settings import Settings
 from emberline.sources.events import read_events
 from emberline.sources.registry import spec
 from emberline.streaming.hot import upsert
+from emberline.streaming.interactions import append_part, interaction_rows
 from emberline.streaming.rejects import evaluate, evaluation_due, judge, quarantine
 
 
@@ -34,13 +35,14 @@ def run_stream(
 ) -> StreamingQuery:
     """Start the stream of one kind into the tables under `root`.
 
-    Each batch is decoded and judged once; good rows are upserted, rejects of enabled
-    streams are quarantined. All writes are keyed by stream and batch number, so a
+    Each batch is decoded and judged once; good rows are upserted into the hot table
+    or appended to the interactions, rejects of enabled streams are quarantined. All writes are keyed by stream and batch number, so a
     batch that runs again after a failure leaves the same tables. `as_of` is asked at
     every batch, because a stream outlives a date.
     """
     stream = spec(kind)
-    hot, bad, reports = f"{root}/{stream.target}", f"{root}/bad_records", f"{root}/bad_reports"
+    save = append_part if stream.target == "interactions" else upsert
+    target, bad, reports = f"{root}/{stream.target}", f"{root}/bad_records", f"{root}/bad_reports"
     every = cfg.bad_record_every.get(kind, 0)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -50,7 +52,7 @@ def run_stream(
         if cached:
             judged = judged.persist()
         try:
-            upsert(judged.where(F.col("reason").isNull()), batch_id, hot, kind)
+            save(judged.where(F.col("reason").isNull()), batch_id, target, kind)
             if routed:
                 quarantine(judged.where(F.col("reason").isNotNull()), kind, batch_id, bad)
                 if every and evaluation_due(batch_id, every):
@@ -72,13 +74,11 @@ def run_stream(
 def append_interactions(
     stream: DataFrame, target: str, checkpoint: str, cfg: Settings = Settings(), once: bool = False, name: str | None = None
 ) -> StreamingQuery:
-    """Append interaction events to their own table, one folder per day."""
-    rows = with_partitions(stream, "ts").select(
-        "event_id", "user_id", "event_type", "event_hour", "event_year", "event_month", "event_day"
-    )
+    """Append decoded interaction events to a table of their own, one folder per day."""
     writer = (
-        rows.writeStream.format("parquet")
-        .partitionBy("event_year", "event_month", "event_day")
+        interaction_rows(stream)
+        .writeStream.format("parquet")
+        .partitionBy(*DAY_PARTS)
         .option("path", target)
         .option("checkpointLocation", checkpoint)
     )

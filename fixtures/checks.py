@@ -20,7 +20,7 @@ from emberline.sources import cold as cold_store
 from emberline.sources import events as event_source
 from emberline.sources import folders, registry, sync, users
 from emberline.streaming import hot as hot_store
-from emberline.streaming import metrics, rejects, run
+from emberline.streaming import interactions, metrics, rejects, run
 from fixtures import inputs as given
 from fixtures.inputs import AS_OF, D7, D15, FIRST, KINDS, LAST, ROW
 
@@ -118,17 +118,19 @@ def cold_orc_sink_day(spark, sf):
 @query
 def interaction_append(spark, sf):
     ws = folders.workspace(spark, "interaction_append")
-    rows = event_stream(spark, sf, "generic_interaction")
-    run.append_interactions(rows, f"{ws}/rows", f"{ws}/checkpoint", CFG, once=True).awaitTermination()
-    return spark.read.parquet(f"{ws}/rows").select("event_id", "user_id", "event_type", *PARTS)
+    given.messages(spark, sf).select("event_id", "payload").write.parquet(f"{ws}/feed")
+    run.run_stream(
+        spark, "generic_interaction", f"{ws}/feed", f"{ws}/tables", lambda: AS_OF, OPEN, once=True
+    ).awaitTermination()
+    return interactions.read_interactions(spark, f"{ws}/tables/interactions")
 
 
 @query
 def ad_interaction_flag(spark, sf):
     events = given.raw(spark, sf)
     unflagged = merge.merge_lifecycle(events.drop("has_ad_interactions"), stable=["event_date"])
-    interactions = events.where(F.col("has_ad_interactions") == 1)
-    return merge.flag_interactions(unflagged, interactions).select(*ROW)
+    interacted = events.where(F.col("has_ad_interactions") == 1)
+    return merge.flag_interactions(unflagged, interacted).select(*ROW)
 
 
 @query

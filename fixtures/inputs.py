@@ -196,6 +196,7 @@ def messages(spark: SparkSession, sf: str, dirty: bool = False) -> DataFrame:
         "request_timestamp": quoted(F.col("request_ts").cast("string")),
         "user_id": F.col("user_id").cast("string"),
         "zone": quoted(F.col("zone")),
+        "event_type": quoted(F.col("event_type")),
         "has_request": request,
         **{name: flag(name) for name in FLAGS if name != "has_request"},
     }
@@ -204,7 +205,8 @@ def messages(spark: SparkSession, sf: str, dirty: bool = False) -> DataFrame:
         pieces += [F.lit(f'{"," if i else "{"}"{name}":'), value]
     payload = F.concat(*pieces, F.lit("}"))
     if dirty:
-        payload = F.when(number % 97 == 0, F.substring(payload, 1, 40)).otherwise(payload)
+        length = F.when(number % 97 == 0, 40).otherwise(2**31 - 1)
+        payload = payload.substr(F.lit(1), length)
     return ad_events_raw(spark, sf).select(
         "event_id", payload.alias("payload"), "event_date", stream_kind().alias("kind")
     )

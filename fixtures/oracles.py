@@ -149,7 +149,7 @@ message AS (
   FROM (SELECT *, concat('{{"event_id":', event_id,
       ',"uniqueId":', CASE WHEN event_id % 89 = 0 THEN 'null' ELSE concat('"', unique_id, '"') END,
       ',"topology_entry_time":"', CAST(ts AS STRING), '","request_timestamp":"', CAST(request_ts AS STRING),
-      '","user_id":', user_id, ',"zone":"', zone, '",',
+      '","user_id":', user_id, ',"zone":"', zone, '","event_type":"', event_type, '",',
       '"has_request":', CASE WHEN event_id % 83 = 0 THEN '"x"' ELSE coalesce(CAST(has_request AS STRING), 'null') END,
       {", ".join(f"""',"{f}":', coalesce(CAST({f} AS STRING), 'null')""" for f in FLAGS if f != "has_request")},
       '}}') AS whole FROM raw) m

@@ -11,7 +11,7 @@ from emberline.schema import PARTS
 from emberline.sources import folders, registry
 from emberline.sources.registry import STREAMS
 from emberline.streaming import hot as hot_store
-from emberline.streaming import rejects, run
+from emberline.streaming import interactions, rejects, run
 from fixtures import inputs as given
 from fixtures.checks import OPEN
 from fixtures.inputs import AS_OF, ROW
@@ -120,7 +120,7 @@ def test_empty_hot_table_reads_empty(spark, tmp_path):
 def test_bad_rows_land_in_quarantine_only(spark, sf, tmp_path):
     at = "2024-01-30 10:00:00"
 
-    def text(key, ts=at, extra=""):
+    def text(key, ts=at, extra=""):  # request and event time move together here
         return f'{{"uniqueId":"{key}","event_id":1,"user_id":1,"topology_entry_time":"{ts}","request_timestamp":"{ts}"{extra}}}'
 
     payloads = {
@@ -139,6 +139,53 @@ def test_bad_rows_land_in_quarantine_only(spark, sf, tmp_path):
     assert [r.unique_id for r in hot_store.read_hot(spark, f"{root}/hot_events").collect()] == ["g"]
 
 
+def text(key, ts="2024-01-30 10:00:00", extra="", number=1):
+    return (
+        f'{{"uniqueId":"{key}","event_id":{number},"user_id":1,"topology_entry_time":"{ts}",'
+        f'"request_timestamp":"2024-01-30 10:00:00"{extra}}}'
+    )
+
+
+def arrive(spark, path, *payloads):
+    spark.createDataFrame([(1, p) for p in payloads], "event_id bigint, payload string").write.mode("append").parquet(path)
+
+
+def test_streams_meet_in_one_row(spark, tmp_path):
+    """The interaction stream flags the row that request and click made."""
+    root = str(tmp_path / "t")
+    for kind, flag in (("request", "has_request"), ("nrt_ad_interaction", "has_ad_interactions"), ("click", "has_click")):
+        arrive(spark, str(tmp_path / kind), text("u", extra=f',"{flag}":1'))
+        play(spark, str(tmp_path / kind), root, kind)
+    (row,) = hot_store.read_hot(spark, f"{root}/hot_events").collect()
+    assert (row.has_request, row.has_click, row.has_ad_interactions, row.has_install) == (1, 1, 1, None)
+
+
+def test_interactions_are_appended_and_late_ones_left_out(spark, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "t")
+    arrive(spark, src, text("a", number=1), text("a", number=2), text("b", "2024-01-27 23:59:59", number=3))
+    play(spark, src, root, "generic_interaction", replace(OPEN, interaction_late_days=2))
+    arrive(spark, src, text("a", "2024-01-28 00:00:00", number=4))
+    play(spark, src, root, "generic_interaction", replace(OPEN, interaction_late_days=2))
+    got = interactions.read_interactions(spark, f"{root}/interactions").collect()
+    assert sorted((r.event_id, r.event_day, r.event_hour) for r in got) == [(1, 30, 10), (2, 30, 10), (4, 28, 0)]
+
+
+def test_hourly_counts_grow_over_restarts(spark, tmp_path):
+    src, out, mark = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def feed_and_run(*times):
+        rows = [(dt.datetime.fromisoformat(t), "click") for t in times]
+        df = spark.createDataFrame(rows, "ts timestamp, event_type string")
+        df.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("ts timestamp_ntz, event_type string").parquet(src)
+        run.run_counts(run.stream_counts(stream), out, mark, once=True).awaitTermination()
+        return {r.window_start.hour: r.rows for r in run.read_counts(spark, out).where("window_start >= '2024-01-10'").collect()}
+
+    assert feed_and_run("2024-01-10 01:10:00", "2024-01-10 01:20:00", "2024-01-10 02:00:00") == {1: 2, 2: 1}
+    assert feed_and_run("2024-01-10 01:59:59", "2024-01-10 03:00:00") == {1: 3, 2: 1, 3: 1}
+    assert feed_and_run("2024-01-01 05:00:00") == {1: 3, 2: 1, 3: 1}
+
+
 def test_rejects_of_other_streams_are_not_kept(spark, tmp_path):
     src, root = str(tmp_path / "src"), str(tmp_path / "t")
     spark.createDataFrame([(1, "{bad")], "event_id bigint, payload string").write.parquet(src)
