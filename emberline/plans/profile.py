@@ -135,17 +135,20 @@ def unprocessed(ledger: DataFrame, lo: dt.date, hi: dt.date, max_retries: int =
 def reprocess_plan(ledger: DataFrame, gate: DataFrame, max_retries: int = 10) -> DataFrame:
     """Hours to run again and the number of that try.
 
-    An hour is due when it was never processed, or when its counts failed the gate.
+    An hour is due when it is open in the ledger, when it has data but was never
+    recorded, or when its counts failed the gate.
     """
     keys = ["event_date", "event_hour"]
     held = ledger_hours(ledger).groupBy(*keys).agg(
         F.max("is_processed").alias("is_processed"), F.max("retries").alias("retries")
     )
-    failed = gate.where(~F.col("passed")).select(*keys, F.lit(True).alias("failed"))
-    due = held.join(failed, keys, "left").where(F.col("retries") < max_retries)
-    reason = F.when(F.col("is_processed") == 0, "unprocessed").when(
-        F.col("failed"), "count_mismatch"
+    both = held.join(gate.select(*keys, "passed"), keys, "full_outer")
+    reason = (
+        F.when(F.col("is_processed").isNull(), "never_recorded")
+        .when(F.col("is_processed") == 0, "unprocessed")
+        .when(~F.col("passed"), "count_mismatch")
+    )
+    tries = F.coalesce("retries", F.lit(0))
+    return both.where(reason.isNotNull() & (tries < max_retries)).select(
+        *keys, (tries + 1).alias("retries"), reason.alias("reason")
     )
-    return due.select(
-        *keys, (F.col("retries") + 1).alias("retries"), reason.alias("reason")
-    ).where(F.col("reason").isNotNull())

@@ -388,10 +388,13 @@ SELECT 'profile_hourly' AS job_name, {parts('h', 'current_year, current_month, c
   {WEEK_U.format(d="h")} AS week_number, 0 AS is_processed, 1 AS retries
 FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) x""",
     "reprocess_plan": """
-SELECT DATE '2024-01-29' AS event_date, current_hour AS event_hour, retries + 1 AS retries,
-  CASE WHEN is_processed = 0 THEN 'unprocessed' ELSE 'count_mismatch' END AS reason
-FROM ledger LEFT JOIN change_gate ON event_date = DATE '2024-01-29' AND event_hour = current_hour
-WHERE retries < 10 AND (is_processed = 0 OR NOT passed)""",
+SELECT coalesce(l.event_date, g.event_date) AS event_date, coalesce(l.event_hour, g.event_hour) AS event_hour,
+  coalesce(retries, 0) + 1 AS retries,
+  CASE WHEN is_processed IS NULL THEN 'never_recorded' WHEN is_processed = 0 THEN 'unprocessed'
+    ELSE 'count_mismatch' END AS reason
+FROM (SELECT DATE '2024-01-29' AS event_date, current_hour AS event_hour, is_processed, retries FROM ledger) l
+FULL JOIN change_gate g ON l.event_date = g.event_date AND l.event_hour = g.event_hour
+WHERE coalesce(retries, 0) < 10 AND (is_processed IS NULL OR is_processed = 0 OR NOT passed)""",
 }
 
 

@@ -248,13 +248,15 @@ def test_ledger_rows_cross_year_and_reprocess(spark, tmp_path):
 
 def test_retry_cap(spark):
     names = "job_name string, current_year int, current_month int, current_day int, current_hour int, is_processed int, retries int"
-    led = spark.createDataFrame([("j", 2024, 1, 1, 0, 0, 9), ("j", 2024, 1, 1, 1, 0, 10), ("j", 2024, 1, 1, 2, 1, 1)], names)
-    gate = spark.createDataFrame([(dt.date(2024, 1, 1), 2, False)], "event_date date, event_hour int, passed boolean")
-    got = {(r.event_hour, r.retries, r.reason) for r in profile.reprocess_plan(led, gate).collect()}
-    assert got == {(0, 10, "unprocessed"), (2, 2, "count_mismatch")}
+    led = spark.createDataFrame([("j", 2024, 1, 1, 0, 0, 9), ("j", 2024, 1, 1, 1, 0, 10), ("j", 2024, 1, 1, 2, 1, 1), ("j", 2024, 1, 1, 4, 1, 1)], names)
     day = dt.date(2024, 1, 1)
+    gate = spark.createDataFrame(
+        [(day, 2, False), (day, 3, True), (day, 4, True)], "event_date date, event_hour int, passed boolean"
+    )
+    got = {(r.event_hour, r.retries, r.reason) for r in profile.reprocess_plan(led, gate).collect()}
+    assert got == {(0, 10, "unprocessed"), (2, 2, "count_mismatch"), (3, 1, "never_recorded")}
     open_ = {r.event_hour: r.retries for r in profile.unprocessed(led, day, day).collect()}
-    assert open_[0] == 9 and 1 not in open_ and 2 not in open_ and open_[3] == 0 and len(open_) == 22
+    assert open_[0] == 9 and 1 not in open_ and 2 not in open_ and open_[3] == 0 and len(open_) == 21
 
 
 def test_change_gate_is_inclusive(spark):

@@ -18,4 +18,7 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_oracle(spark, con, sf, name):
     df = entry.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert bad not in plan
     assert difference(df, con, entry.oracle_sql()[name]) is None
