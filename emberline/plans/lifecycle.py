@@ -115,16 +115,19 @@ def range_text(lower_date, lower_hour, upper_date, upper_hour):
 def apply_drop(spark: SparkSession, plan: DataFrame, hot_dir: str) -> list[str]:
     """Delete the hot hours of every range planned as `drop`; return the folders.
 
-    Two rows per date reach the driver.
+    The table may be plain or made of parts. Two rows per date reach the driver.
     """
+    parts = [name for name in folders.children(spark, hot_dir) if name.startswith("part=")]
     gone = []
     for row in plan.where(F.col("action") == "drop").collect():
-        for hour in range(row.lower_hour, row.lower_hour + 12):
-            tail = f"{folders.day_dir(row.lower_date)}/event_hour={hour}"
-            roots = [hot_dir] + [f"{hot_dir}/{part}" for part in folders.children(spark, hot_dir) if part.startswith("part=")]
-            for root in roots:
-                if folders.delete(spark, f"{root}/{tail}"):
-                    gone.append(f"{root}/{tail}")
+        levels = [*(["part"] if parts else []), *folders.day_dir(row.lower_date).split("/"), "event_hour"]
+        for found in folders.partition_dirs(spark, hot_dir, levels):
+            hour = int(found.rsplit("=", 1)[1])
+            if row.lower_hour <= hour < (row.upper_hour or 24):
+                folders.delete(spark, f"{hot_dir}/{found}")
+                gone.append(found)
+    for part in parts:
+        folders.delete_if_spent(spark, f"{hot_dir}/{part}")
     return gone
 
 

@@ -71,8 +71,12 @@ def delete_if_spent(spark: SparkSession, path: str) -> bool:
 
 
 def partition_dirs(spark: SparkSession, path: str, levels: list[str]) -> list[str]:
-    """Relative directories `a=1/b=2/...` that exist for the given levels."""
-    fs, where = _open(spark, path + "".join(f"/{level}=*" for level in levels))
+    """Relative directories `a=1/b=2/...` that exist for the given levels.
+
+    A level is a column, for any value of it, or `column=value`.
+    """
+    pattern = [level if "=" in level else f"{level}=*" for level in levels]
+    fs, where = _open(spark, "/".join([path, *pattern]))
     found = fs.globStatus(where) or []
     depth = len(levels)
     return sorted("/".join(entry.getPath().toString().split("/")[-depth:]) for entry in found)

@@ -13,6 +13,7 @@ from emberline.operators import filters
 from emberline.plans import chain, lifecycle, profile, views
 from emberline.schema import PARTS
 from emberline.sources import cold, folders, sync, users
+from emberline.streaming import hot as hot_store
 from fixtures import inputs as given
 from fixtures.inputs import AS_OF, D7, D15, ROW
 
@@ -62,6 +63,15 @@ def test_drop_plan_holds_with_reason_and_drops(spark, sf, tmp_path):
     assert gone and not [g for g in gone if "event_day=24" not in g]
     assert day and spark.read.parquet(path).count() == before - day
 
+    made = str(tmp_path / "parts")
+    events = given.ad_events_raw(spark, sf)
+    hot_store.upsert(events.where("event_date between '2024-01-24' and '2024-01-25'"), 0, made)
+    hot_store.upsert(events.where("event_date = '2024-01-24'"), 1, made)
+    lifecycle.apply_drop(spark, plan, made)
+    assert folders.children(spark, made) == ["part=batch-0000000000"]
+    kept = hot_store.read_hot(spark, made).select("event_day").distinct().collect()
+    assert [r.event_day for r in kept] == [25]
+
 
 def test_drop_plan_of_an_empty_day_passes(spark, sf):
     hot = given.classified(spark, sf)
