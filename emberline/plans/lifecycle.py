@@ -113,17 +113,19 @@ def range_text(lower_date, lower_hour, upper_date, upper_hour):
 
 
 def apply_drop(spark: SparkSession, plan: DataFrame, hot_dir: str) -> list[str]:
-    """Delete the hot hours of every range planned as `drop`; return the folders.
+    """Delete the folders of every range planned as `drop`; return them.
 
-    The table may be plain or made of parts. Two rows per date reach the driver.
+    The table is made of parts with half-day folders, or plain with hour folders. Two
+    rows per date reach the driver.
     """
     parts = [name for name in folders.children(spark, hot_dir) if name.startswith("part=")]
     gone = []
     for row in plan.where(F.col("action") == "drop").collect():
-        levels = [*(["part"] if parts else []), *folders.day_dir(row.lower_date).split("/"), "event_hour"]
+        day = folders.day_dir(row.lower_date).split("/")
+        levels = ["part", *day, "lower_hour"] if parts else [*day, "event_hour"]
         for found in folders.partition_dirs(spark, hot_dir, levels):
-            hour = int(found.rsplit("=", 1)[1])
-            if row.lower_hour <= hour < (row.upper_hour or 24):
+            starts = int(found.rsplit("=", 1)[1])
+            if row.lower_hour <= starts < (row.upper_hour or 24):
                 folders.delete(spark, f"{hot_dir}/{found}")
                 gone.append(found)
     for part in parts:

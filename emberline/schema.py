@@ -56,6 +56,9 @@ SEEN = T.StructType(
     ]
 )
 
+# Hot folders are half-day ranges, named by the hour they start at.
+RANGES = ["event_year", "event_month", "event_day", "lower_hour"]
+
 # Stored hot row: mergeable state.
 HOT = T.StructType(
     [
@@ -64,7 +67,8 @@ HOT = T.StructType(
         T.StructField("request_ts", T.TimestampNTZType()),
         *[T.StructField(flag, T.IntegerType()) for flag in FLAGS],
         T.StructField("zone_seen", SEEN),
-        *[T.StructField(part, T.IntegerType()) for part in PARTS],
+        T.StructField("event_hour", T.IntegerType()),
+        *[T.StructField(part, T.IntegerType()) for part in RANGES],
     ]
 )
 

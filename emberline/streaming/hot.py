@@ -4,6 +4,10 @@ A batch appends one part with its own merged rows; readers merge the parts by ke
 Because the merge is idempotent, a part that is written twice, or that exists both by
 itself and inside a fold, changes nothing. So a write never has to read or replace
 existing rows, and a fold can write its result before it deletes what it covers.
+
+Folders are half-day ranges, the unit in which hot rows are dropped. A batch with
+stragglers of many hours then writes few files. Inside a folder rows are ordered by
+hour, so that a read of one hour skips row groups.
 """
 
 from __future__ import annotations
@@ -16,73 +20,89 @@ from pyspark.sql import functions as F
 
 from emberline.functions.columns import partition_last, with_partitions
 from emberline.operators.merge import merge_states, present, to_states
-from emberline.schema import HOT, PARTS
+from emberline.schema import HOT, PARTS, RANGES
 from emberline.settings import Settings
 from emberline.sources import folders
-from emberline.sources.cold import write_partitions
 
 
-def upsert(batch: DataFrame, batch_id: int, target: str, writer: str = "batch") -> None:
-    """Write a batch of events as part `<writer>-<batch_id>`; a replay replaces it."""
-    states = with_partitions(merge_states(to_states(batch)))
+def write_part(states: DataFrame, path: str) -> None:
+    """Write merged rows as one part, replacing it when it is there already."""
+    half = F.expr("if(event_hour < 12, 0, 12)")
     (
-        states.select(*HOT.fieldNames())
-        .hint("rebalance", *PARTS)
+        states.withColumn("lower_hour", half)
+        .select(*HOT.fieldNames())
+        .hint("rebalance", *RANGES)
+        .sortWithinPartitions(*RANGES, "event_hour")
         .write.mode("overwrite")
-        .partitionBy(*PARTS)
-        .parquet(f"{target}/part={writer}-{batch_id:010d}")
+        .partitionBy(*RANGES)
+        .parquet(path)
     )
 
 
-def read_states(spark: SparkSession, target: str) -> DataFrame:
-    """Mergeable rows, one per key. Filters on the partition tuple prune folders."""
+def upsert(batch: DataFrame, batch_id: int, target: str, writer: str = "batch") -> None:
+    """Write a batch of events as part `<writer>-<batch_id>`; a replay replaces it."""
+    states = with_partitions(merge_states(to_states(batch)))
+    write_part(states, f"{target}/part={writer}-{batch_id:010d}")
+
+
+def stored(spark: SparkSession, target: str) -> DataFrame:
+    """Rows of all parts as they were written."""
     if not folders.children(spark, target):
         return spark.createDataFrame([], HOT)
-    stored = spark.read.schema(HOT).parquet(target)
-    return partition_last(merge_states(stored, stable=PARTS))
+    return spark.read.schema(HOT).parquet(target)
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One mergeable row per key.
+
+    The partition tuple of a key never changes and is grouped on, so filters on it
+    pass below the merge: the date prunes folders, the hour row groups.
+    """
+    return partition_last(merge_states(rows, stable=PARTS))
 
 
 def read_hot(spark: SparkSession, target: str) -> DataFrame:
-    return present(read_states(spark, target))
+    return present(merged(stored(spark, target)))
 
 
-def crowded_hours(spark: SparkSession, target: str, min_parts: int) -> dict[str, list[str]]:
-    """Hour folders held by at least `min_parts` committed parts, with those parts.
+def crowded_ranges(spark: SparkSession, target: str, min_parts: int) -> dict[str, list[str]]:
+    """Range folders held by at least `min_parts` committed parts, with those parts.
 
-    A part still being written has no commit marker and is left alone. One entry per
-    hour of the hot window; no file is opened.
+    A part still being written has no commit marker and is left alone. Two entries per
+    date of the hot window; no file is opened.
     """
-    found = folders.partition_dirs(spark, target, ["part", *PARTS])
+    found = folders.partition_dirs(spark, target, ["part", *RANGES])
     done = {part for part in folders.children(spark, target) if folders.committed(spark, f"{target}/{part}")}
     held = [path.split("/", 1) for path in found if path.split("/", 1)[0] in done]
-    sizes = Counter(hour for _, hour in held)
+    sizes = Counter(folder for _, folder in held)
     out: dict[str, list[str]] = {}
-    for part, hour in held:
-        if sizes[hour] >= min_parts:
-            out.setdefault(hour, []).append(part)
+    for part, folder in held:
+        if sizes[folder] >= min_parts:
+            out.setdefault(folder, []).append(part)
     return out
 
 
-def hour_number(year, month, day, hour):
-    """The partition tuple as one number; tests on it still prune folders."""
+def range_number(year, month, day, hour):
+    """The range tuple as one number; tests on it still prune folders."""
     return ((year * 100 + month) * 100 + day) * 100 + hour
 
 
 def fold(spark: SparkSession, target: str, min_parts: int = Settings().fold_after_parts) -> list[str]:
-    """Merge the parts of crowded hours into one; return the hours folded.
+    """Merge the parts of crowded ranges into one; return the ranges folded.
 
     Run one fold at a time per table. Streams may go on writing meanwhile.
     """
-    crowded = crowded_hours(spark, target, min_parts)
+    crowded = crowded_ranges(spark, target, min_parts)
     if not crowded:
         return []
-
-    due = [hour_number(*[int(level.split("=")[1]) for level in hour.split("/")]) for hour in crowded]
-    merged = read_states(spark, target).where(hour_number(*map(F.col, PARTS)).isin(due))
-    write_partitions(merged, f"{target}/part=fold-{uuid.uuid4().hex}", PARTS, "parquet", dynamic=False)
-    for hour, parts in crowded.items():
+    due = [
+        range_number(*[int(level.split("=")[1]) for level in folder.split("/")]) for folder in crowded
+    ]
+    covered = stored(spark, target).where(range_number(*map(F.col, RANGES)).isin(due))
+    write_part(merged(covered), f"{target}/part=fold-{uuid.uuid4().hex}")
+    for folder, parts in crowded.items():
         for part in parts:
-            folders.delete(spark, f"{target}/{part}/{hour}")
+            folders.delete(spark, f"{target}/{part}/{folder}")
     for part in {part for parts in crowded.values() for part in parts}:
         folders.delete_if_spent(spark, f"{target}/{part}")
     return sorted(crowded)

@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.schema import PARTS
+from emberline.schema import RANGES
 from emberline.sources import folders, registry
 from emberline.sources.registry import STREAMS
 from emberline.streaming import hot as hot_store
@@ -85,9 +85,9 @@ def test_fold_leaves_unfinished_parts_alone(spark, feed, whole, rows, tmp_path):
     feed.drop("event_date").repartition(3).write.parquet(src)
     play(spark, src, root, cfg=replace(OPEN, max_files_per_trigger=1))
     folders.delete(spark, f"{hot}/part=request-0000000001/_SUCCESS")
-    before = folders.partition_dirs(spark, f"{hot}/part=request-0000000001", PARTS)
+    before = folders.partition_dirs(spark, f"{hot}/part=request-0000000001", RANGES)
     assert hot_store.fold(spark, hot, 2)
-    assert folders.partition_dirs(spark, f"{hot}/part=request-0000000001", PARTS) == before
+    assert folders.partition_dirs(spark, f"{hot}/part=request-0000000001", RANGES) == before
     assert rows(hot_store.read_hot(spark, hot).select(*ROW)) == whole
 
 
@@ -104,13 +104,17 @@ def test_hot_reads_prune_partitions(spark, feed, tmp_path):
     src, root = str(tmp_path / "src"), str(tmp_path / "t")
     feed.drop("event_date").write.parquet(src)
     play(spark, src, root)
-    one = hot_store.read_hot(spark, f"{root}/hot_events").where("event_day = 3 AND event_hour = 4")
+    hot = f"{root}/hot_events"
+    one = hot_store.read_hot(spark, hot).where("event_day = 3 AND event_hour = 4")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "(event_day#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
-    wide = hot_store.read_states(spark, f"{root}/hot_events")
-    cut = wide.where(hot_store.hour_number(*map(F.col, PARTS)).isin(2024010304, 2024010305))
+    assert "EqualTo(event_hour,4)" in plan.split("PushedFilters: [")[1]
+    cut = hot_store.stored(spark, hot).where(
+        hot_store.range_number(*map(F.col, RANGES)).isin(2024010300, 2024010312)
+    )
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "event_year#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert len(folders.partition_dirs(spark, hot, ["part", *RANGES])) <= 10
 
 
 def test_empty_hot_table_reads_empty(spark, tmp_path):
