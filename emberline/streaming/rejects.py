@@ -30,10 +30,15 @@ def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settin
 
 
 def quarantine(rejects: DataFrame, app: str, batch_id: int, target: str) -> None:
-    """Write the rejects of a batch to their own folder; a replay replaces it."""
-    rejects.select("reason", "payload").write.mode("overwrite").parquet(
-        f"{target}/app={app}/batch_id={batch_id}"
-    )
+    """Write the rejects of a batch to their own folder; a replay replaces it.
+
+    A batch without rejects, the usual case, leaves no folder.
+    """
+    folder = f"{target}/app={app}/batch_id={batch_id}"
+    if rejects.isEmpty():
+        folders.delete(rejects.sparkSession, folder)
+    else:
+        rejects.select("reason", "payload").write.mode("overwrite").parquet(folder)
 
 
 def read_quarantine(spark: SparkSession, target: str) -> DataFrame:

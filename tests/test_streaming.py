@@ -65,6 +65,17 @@ def test_crash_between_writes_is_repaired_by_the_rerun(spark, feed, whole, rows,
     assert rows(hot_store.read_hot(spark, f"{root}/hot_events").select(*ROW)) == whole
 
 
+def test_batch_without_rejects_leaves_no_folder(spark, tmp_path):
+    judged = spark.createDataFrame([("unparseable", "{bad")], "reason string, payload string")
+    target = str(tmp_path / "bad")
+    rejects.quarantine(judged, "click", 3, target)
+    assert rejects.read_quarantine(spark, target).count() == 1
+    rejects.quarantine(judged.where("false"), "click", 3, target)
+    rejects.quarantine(judged.where("false"), "click", 4, target)
+    assert rejects.read_quarantine(spark, target).count() == 0
+    assert rejects.evaluate(spark, target, "click", 4, 2).count() == 0
+
+
 def test_fold_keeps_rows_and_can_be_cut_short(spark, feed, whole, rows, tmp_path, monkeypatch):
     src, root = str(tmp_path / "src"), str(tmp_path / "t")
     hot = f"{root}/hot_events"
