@@ -16,8 +16,13 @@ CHUNK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with batches small enough for long texts."""
+    """A given table, with batches small enough for long texts.
+
+    Shuffle files of a finished query go at once, not when the driver next collects
+    its garbage: the operators run several queries over large tables.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

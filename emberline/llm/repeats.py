@@ -1,23 +1,23 @@
 """Suffix-array dedup: long byte strings that also start earlier are cut out.
 
-Distributed prefix doubling. A position's rank is the place where the string that
-begins there is seen first; ranks of short strings are joined to ranks of longer ones,
-and positions whose string is unique leave:
-
-1. Round one ranks `length // 3` bytes, at winnowed positions only: the position with
-   the least name in each window of `length` bytes. Equal windows choose the same one,
-   so a window whose position carries a unique string cannot repeat. Consecutive windows
-   that share their position form a stretch.
-2. Round two ranks whole stretches among those of one round-one rank. A stretch that is
-   equal to an earlier one is past the threshold and done. Where a rank holds different
-   stretches, each of them goes on.
-3. Round three goes to single positions of what is left: Spark sorts pairs of ranks of
-   half the length (the second at an offset of half the length), and the earliest
-   position of equal pairs becomes the rank of the whole length. A position with a rank
-   below itself begins a repeated string.
-
-Ranks of short strings are carried as 64-bit names, computed where the text lies, so
-that rounds move pairs and positions, never text.
+Distributed prefix doubling. Positions carry a rank of the string that begins there;
+ranks of short strings are paired into ranks of longer ones, and positions whose string
+is unique leave:
+
+1. A third of the length, at winnowed positions only: the position with the least name
+   in each window of `length` bytes. Equal windows choose the same one, so a window whose
+   position carries a unique string cannot repeat. Consecutive windows that share their
+   position form a stretch. Of the stretches of one rank those that are equal to an
+   earlier one are past the threshold and done; where a rank holds different stretches,
+   these go on.
+2. Two thirds of the length: the string at the position is doubled to the left for
+   windows that reach that far left, to the right for the others. What is unique leaves.
+3. The whole length, at every position of what is left: Spark sorts pairs of ranks of
+   half the length, the second at an offset of half the length. A position with an
+   earlier one of the same pair begins a repeated string.
+
+Ranks are carried as 64-bit names, computed where the text lies, so that rounds move
+pairs and positions, never text.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import common
+from emberline.llm.components import checkpointed
 
 # Positions worked on at once; a position fits in the low bits of a name.
 BITS = 17
@@ -40,17 +41,16 @@ SENT = 8
 
 STRETCH, EXPAND, REMOVED = 0, 1, 2
 
-ROUTED = pa.schema(
-    [("key", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("no_id", pa.bool_()), ("start", pa.int64()), ("n", pa.int32()), ("kind", pa.int8())]
-)
-PLACED = pa.schema([("doc_id", pa.int64()), ("no_id", pa.bool_()), ("start", pa.int64()), ("n", pa.int32()), ("kind", pa.int8())])
-PAIRED = pa.schema(
-    [("left", pa.int64()), ("right", pa.int64()), ("doc_id", pa.int64()), ("no_id", pa.bool_()), ("start", pa.int64()), ("n", pa.int32())]
-)
+# `at` is the chosen position's offset from the stretch's start.
+PLACE = [("doc_id", pa.int64()), ("no_id", pa.bool_()), ("start", pa.int64()), ("n", pa.int32())]
+ROUTED = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), *PLACE, ("at", pa.int16()), ("kind", pa.int8())])
+PLACED = pa.schema([*PLACE, ("at", pa.int16()), ("kind", pa.int8())])
+DOUBLED = pa.schema([("rank", pa.int64()), *PLACE])
+PAIRED = pa.schema([("left", pa.int64()), ("right", pa.int64()), *PLACE])
 
 
 def stretches(data: np.ndarray, starts: np.ndarray, length: int, names: common.Names):
-    """Document, start, windows, rank of round one and of round two of every stretch."""
+    """Of every stretch: document, start, windows, offset of its position, rank, name of the whole."""
     gram = length // 3
     step, out = (1 << BITS) - length, []
     low = np.uint64((1 << BITS) - 1)
@@ -72,9 +72,9 @@ def stretches(data: np.ndarray, starts: np.ndarray, length: int, names: common.N
         doc = np.searchsorted(starts, begin + at, "right") - 1
         real = begin + at + length <= starts[doc + 1]
         begin, end, doc = begin[real], end[real], doc[real]
-        out.append((doc, begin + at - starts[doc], end - begin, short[chosen[begin]], names.of(sums, begin, end + length - 1)))
+        out.append((doc, begin + at - starts[doc], end - begin, chosen[begin] - begin, short[chosen[begin]], names.of(sums, begin, end + length - 1)))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -94,131 +94,168 @@ def _route(length: int):
         for rows in common.gathered(batches, "text"):
             data, starts = common.flat(rows.column("text"))
             ids, none = rows.column("doc_id").to_numpy(), rows.column("no_id").to_numpy()
-            at, start, n, key, ctx = stretches(data, starts, length, names)
-            doc, lost = ids[at], none[at]
+            row, start, n, at, key, ctx = stretches(data, starts, length, names)
+            doc, lost = ids[row], none[row]
             # Within the chunk: a stretch equal to an earlier one is done.
             order = np.lexsort((start, doc, ~lost, ctx, key))
-            first = order[_firsts(order, key, ctx)]
-            earlier = (doc[first] != doc[order]) | (lost[first] != lost[order]) | (start[first] != start[order])
+            earlier = _firsts(order, key, ctx) != np.arange(len(order))
             kind = np.full(len(order), STRETCH, np.int8)
             kind[order[earlier]] = REMOVED
             # The chunk's further stretches of a rank, beyond the first few.
             kept = order[~earlier]
-            head = _firsts(kept, key)
-            spare = kept[np.arange(len(kept)) - head >= SENT]
-            kind[spare] = EXPAND
+            kind[kept[np.arange(len(kept)) - _firsts(kept, key) >= SENT]] = EXPAND
             spread = common.mixed(ctx + start.astype(np.uint64))
             key = np.where(kind == STRETCH, key, spread)
-            out = {"key": key.view(np.int64), "ctx": ctx.view(np.int64), "doc_id": doc, "no_id": lost, "start": start, "n": n.astype(np.int32), "kind": kind}
+            # Neighbours that are done become one.
+            gone = kind == REMOVED
+            joined = np.zeros(len(gone), bool)
+            joined[1:] = gone[1:] & gone[:-1] & (row[1:] == row[:-1])
+            head = np.flatnonzero(~joined)
+            n = np.add.reduceat(n, head) if len(head) else n
+            out = {"key": key[head].view(np.int64), "ctx": ctx[head].view(np.int64), "doc_id": doc[head], "no_id": lost[head], "start": start[head], "n": n.astype(np.int32), "at": at[head].astype(np.int16), "kind": kind[head]}
             yield from common.frames(out, ROUTED)
 
     return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Round two, over all stretches of the ranks dealt to a partition."""
+    """Round one over all stretches of the ranks dealt to a partition."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held)
-    key, ctx, doc, start, n, kind = (rows.column(c).to_numpy() for c in ("key", "ctx", "doc_id", "start", "n", "kind"))
-    lost = rows.column("no_id").to_numpy()
-    passed = np.flatnonzero(kind != STRETCH)
+    key, ctx, doc, lost, start, kind = (rows.column(c).to_numpy() for c in ("key", "ctx", "doc_id", "no_id", "start", "kind"))
     at = np.flatnonzero(kind == STRETCH)
     order = at[np.lexsort((start[at], doc[at], ~lost[at], ctx[at], key[at]))]
-    first = order[_firsts(order, key, ctx)]
-    earlier = (doc[first] != doc[order]) | (lost[first] != lost[order]) | (start[first] != start[order])
-    kind = kind.copy()
-    kind[order[earlier]] = REMOVED
+    earlier = _firsts(order, key, ctx) != np.arange(len(order))
     kept = order[~earlier]
     head = _firsts(kept, key)
-    sizes = np.bincount(head, minlength=len(kept)) if len(kept) else np.zeros(0, np.int64)
-    shared = kept[sizes[head] > 1]
+    shared = kept[np.bincount(head, minlength=len(kept))[head] > 1] if len(kept) else kept
+    kind = kind.copy()
+    kind[order[earlier]] = REMOVED
     kind[shared] = EXPAND
-    out = np.concatenate([passed, order[earlier], shared])
-    yield from common.frames({"doc_id": doc[out], "no_id": lost[out], "start": start[out], "n": n[out], "kind": kind[out]}, PLACED)
+    out = np.flatnonzero(kind != STRETCH)
+    yield from rows.select([f.name for f in PLACED]).set_column(5, "kind", pa.array(kind)).take(pa.array(out)).to_batches(1 << 16)
+
+
+def _listed(rows: pa.Table) -> tuple[np.ndarray, pa.StructArray]:
+    """Row of each span of the column `spans`, and the spans."""
+    spans = rows.column("spans").combine_chunks()
+    counts = np.diff(spans.offsets.to_numpy()) if len(spans) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(rows.num_rows), counts), spans.flatten()
+
+
+def _pieces(data: np.ndarray, begin: np.ndarray, end: np.ndarray, names: common.Names):
+    """Running sums of bytes, a piece at a time: indices of the spans within, base, sums.
+
+    Spans must be sorted by `begin` and shorter than half a piece.
+    """
+    at = 0
+    while at < len(begin):
+        base = int(begin[at])
+        cut = int(np.searchsorted(begin, base + (1 << (BITS - 1))))
+        yield np.arange(at, cut), base, names.sums(data[base : int(end[at:cut].max())])
+        at = cut
+
+
+def _double(length: int):
+    gram = length // 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.Names(1 << BITS)
+        for rows in common.gathered(batches, "text"):
+            data, starts = common.flat(rows.column("text"))
+            row, spans = _listed(rows)
+            start, n, at = (spans.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "at"))
+            ids, none = rows.column("doc_id").to_numpy(), rows.column("no_id").to_numpy()
+            # Windows up to `gram` before the position reach the string doubled to the left.
+            left = np.clip(at - gram + 1, 0, n)
+            row, start, n, where, low, high = (
+                np.concatenate(x) for x in ((row, row), (start, start + left), (left, n - left), (start + at, start + at), (start * 0 - gram, start * 0), (start * 0 + gram, start * 0 + 2 * gram))
+            )
+            real = np.flatnonzero(n > 0)
+            real = real[np.argsort((starts[row] + where + low)[real], kind="stable")]
+            row, start, n, where = row[real], start[real], n[real], (starts[row] + where)[real]
+            begin, end = where + low[real], where + high[real]
+            rank = [np.zeros(0, np.uint64)]
+            for some, base, sums in _pieces(data, begin, end, names):
+                rank.append(names.of(sums, begin[some] - base, end[some] - base))
+            yield from common.frames({"rank": np.concatenate(rank).view(np.int64), "doc_id": ids[row], "no_id": none[row], "start": start, "n": n.astype(np.int32)}, DOUBLED)
+
+    return run
 
 
 def _pairs(length: int):
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.Names((1 << BITS) + 2 * length)
-        for rows in common.gathered(batches, "text"):
+        names = common.Names(1 << BITS)
+        for rows in common.gathered(batches, "text", common.CHUNK_BYTES // 2):
             data, starts = common.flat(rows.column("text"))
-            spans = rows.column("spans").combine_chunks()
-            counts = np.diff(spans.offsets.to_numpy())
-            of = np.repeat(np.arange(rows.num_rows), counts)
-            start, n, kind = (spans.flatten().field(c).to_numpy() for c in ("start", "n", "kind"))
+            row, spans = _listed(rows)
+            start, n = (spans.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
             ids, none = rows.column("doc_id").to_numpy(), rows.column("no_id").to_numpy()
-            done = kind == REMOVED
-            more = {k: [] for k in ("left", "right", "of", "start")}
-            # Stretches in the order of the bytes, a piece of the bytes at a time.
-            begin = (starts[of] + start)[~done]
-            order = np.argsort(begin, kind="stable")
-            begin, width, whose, first = begin[order], n[~done][order], of[~done][order], start[~done][order]
-            while len(begin):
-                cut = int(np.searchsorted(begin, begin[0] + (1 << BITS) - length))
-                base = int(begin[0])
-                sums = names.sums(data[base : base + (1 << BITS) + length])
-                total = int(width[:cut].sum())
-                step = np.arange(total) - np.repeat(np.cumsum(width[:cut]) - width[:cut], width[:cut])
-                where = np.repeat(begin[:cut] - base, width[:cut]) + step
-                more["left"].append(names.of(sums, where, where + half))
-                more["right"].append(names.of(sums, where + half, where + length))
-                more["of"].append(np.repeat(whose[:cut], width[:cut]))
-                more["start"].append(np.repeat(first[:cut], width[:cut]) + step)
-                begin, width, whose, first = begin[cut:], width[cut:], whose[cut:], first[cut:]
-            left, right, whose, first = (np.concatenate(more[k] or [np.zeros(0, t)]) for k, t in (("left", np.uint64), ("right", np.uint64), ("of", np.int64), ("start", np.int64)))
-            # Earlier in the chunk: done without the others.
-            order = np.lexsort((first, ids[whose], ~none[whose], right, left))
-            head = _firsts(order, left, right)
+            order = np.argsort(starts[row] + start, kind="stable")
+            row, start, n = row[order], start[order], n[order]
+            begin = starts[row] + start
+            pairs = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2]
+            for some, base, sums in _pieces(data, begin, begin + n + length - 1, names):
+                step = np.arange(n[some].sum()) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                where = np.repeat(begin[some] - base, n[some]) + step
+                pairs.append((names.of(sums, where, where + half), names.of(sums, where + half, where + length), np.repeat(row[some], n[some]), np.repeat(start[some], n[some]) + step))
+            left, right, row, start = (np.concatenate(x) for x in zip(*pairs))
+            # With an earlier one in the chunk: done without the others.
+            order = np.lexsort((start, ids[row], ~none[row], right, left))
             again = np.zeros(len(order), bool)
-            again[order] = head != np.arange(len(order))
-            doc = np.concatenate([of[done], whose])
-            where = np.concatenate([start[done], first])
-            size = np.concatenate([n[done] + length - 1, np.where(again, length, 0)])
-            # What is done is dealt out at random and passes.
-            pad = common.mixed((np.arange(len(doc), dtype=np.uint64) << np.uint64(32)) + where.astype(np.uint64))
-            known = np.concatenate([np.ones(int(done.sum()), bool), again])
-            left = np.where(known, pad, np.concatenate([np.zeros(int(done.sum()), np.uint64), left]))
-            right = np.concatenate([np.zeros(int(done.sum()), np.uint64), right])
-            out = {"left": left.view(np.int64), "right": right.view(np.int64), "doc_id": ids[doc], "no_id": none[doc], "start": where, "n": size.astype(np.int32)}
-            yield from common.frames(out, PAIRED)
+            again[order] = _firsts(order, left, right) != np.arange(len(order))
+            # Neighbours that are done become one, dealt out at random to pass.
+            joined = np.zeros(len(order), bool)
+            joined[1:] = again[1:] & again[:-1] & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + 1)
+            head = np.flatnonzero(~joined)
+            count = np.diff(np.append(head, len(order)))
+            row, start, again = row[head], start[head], again[head]
+            left = np.where(again, common.mixed(left[head] + start.astype(np.uint64)), left[head])
+            right = np.where(again, np.uint64(0), right[head])
+            size = np.where(again, count + length - 1, 0).astype(np.int32)
+            yield from common.frames({"left": left.view(np.int64), "right": right.view(np.int64), "doc_id": ids[row], "no_id": none[row], "start": start, "n": size}, PAIRED)
 
     return run
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.int8(): "byte", pa.bool_(): "boolean"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.int16(): "short", pa.int8(): "byte", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
+def _beside_text(docs: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
+    listed = spans.groupBy("doc_id", "no_id").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+    return docs.join(listed, ["doc_id", "no_id"]).select("doc_id", "no_id", "text", "spans")
+
+
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """`doc_id`, `no_id` and `spans` (start, n) of the bytes to remove, for `one_row_per` rows."""
     routed = docs.mapInArrow(_route(length), _ddl(ROUTED)).repartition(common.partitions(docs), "key")
-    placed = routed.mapInArrow(_compare, _ddl(PLACED))
-    at = F.collect_list(F.struct("start", "n", "kind")).alias("spans")
-    marked = docs.join(placed.groupBy("doc_id", "no_id").agg(at), ["doc_id", "no_id"])
-    pairs = marked.select("doc_id", "no_id", "text", "spans").mapInArrow(_pairs(length), _ddl(PAIRED))
+    placed = checkpointed(routed.mapInArrow(_compare, _ddl(PLACED)))
+    whole = placed.where(F.col("kind") == REMOVED).select("doc_id", "no_id", "start", (F.col("n") + length - 1).alias("n"))
+    shared = placed.where(F.col("kind") == EXPAND)
+    doubled = _beside_text(docs, shared, "start", "n", "at").mapInArrow(_double(length), _ddl(DOUBLED))
+    ranks = doubled.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rank")
+    repeated = doubled.join(ranks, "rank", "left_semi").select("doc_id", "no_id", "start", "n")
+    pairs = _beside_text(docs, repeated, "start", "n").mapInArrow(_pairs(length), _ddl(PAIRED))
     place = F.struct(~F.col("no_id"), F.col("doc_id"), F.col("start"))
-    rank = F.min(place).over(Window.partitionBy("left", "right"))
-    found = (
-        pairs.withColumn("rank", rank)
-        .where((F.col("n") > 0) | (F.col("rank") < place))
-        .select("doc_id", "no_id", "start", F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(length)).alias("n"))
-    )
+    first = F.min(place).over(Window.partitionBy("left", "right"))
+    later = pairs.withColumn("first", first).where((F.col("n") > 0) | (F.col("first") < place))
+    size = F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(length))
+    found = later.select("doc_id", "no_id", "start", size.alias("n")).union(whole)
     return found.groupBy("doc_id", "no_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _cuts(rows: pa.Table):
     """Bytes, and which of them stay, of each row."""
     data, starts = common.flat(rows.column("text"))
-    spans = rows.column("spans").combine_chunks()
-    counts = np.diff(spans.offsets.to_numpy()) if len(spans) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(rows.num_rows), counts)
-    begin = starts[of] + spans.flatten().field("start").to_numpy()
-    end = begin + spans.flatten().field("n").to_numpy()
+    row, spans = _listed(rows)
+    begin = starts[row] + spans.field("start").to_numpy()
+    end = begin + spans.field("n").to_numpy()
     change = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
     return data, starts, np.cumsum(change[: len(data)]) > 0
 
