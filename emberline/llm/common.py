@@ -156,9 +156,15 @@ class Names:
     def __init__(self, size: int, seed: int = 7):
         random = np.random.default_rng(seed)
         self.values = random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        base = 0x5851F42D4C957F2D
-        self.powers = self._powers(base, size)
-        self.back = self._powers(pow(base, -1, 1 << 64), size + 1)
+        self.powers = self.back = np.zeros(0, np.uint64)
+        self.grow(size)
+
+    def grow(self, size: int) -> None:
+        """Make room for pieces of `size` units."""
+        if size > len(self.powers):
+            base = 0x5851F42D4C957F2D
+            self.powers = self._powers(base, size)
+            self.back = self._powers(pow(base, -1, 1 << 64), size + 1)
 
     @staticmethod
     def _powers(base: int, size: int) -> np.ndarray:

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import common, repeats
+from emberline.llm import common, decontaminate, repeats, simhash
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_bytes(common.table(spark, sf_dir, "documents"))
 
 
+def op2_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
+    "op2_overlaps": op2_overlaps,
+    "op6_near_copies": op6_near_copies,
 }
 
 ORACLES: dict[str, str] = {}
