@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from emberline.sources import folders
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder all executors share; lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folders.workspace(df.sparkSession, "steps"))
-    return df.checkpoint()
+    """The rows, written to the folder all executors share; lineage ends there.
+
+    The shuffle files behind them go at once, not when the driver next collects its
+    garbage: an operator runs several such steps over a large table.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folders.workspace(spark, "steps"))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def _star(links: DataFrame, other: DataFrame) -> DataFrame:
