@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import common, decontaminate, repeats, simhash
+from emberline.llm import common, decontaminate, language, pieces, repeats, simhash, toxicity, urls
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,14 +15,34 @@ def op2_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(common.table(spark, sf_dir, "documents"))
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(common.table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(common.table(spark, sf_dir, "documents"))
+
+
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(common.table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_overlaps": op2_overlaps,
+    "op3_language": op3_language,
+    "op4_url_rules": op4_url_rules,
+    "op5_pieces": op5_pieces,
     "op6_near_copies": op6_near_copies,
+    "op7_toxicity": op7_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_rules": urls.oracle()}
