@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import common, decontaminate, language, pieces, repeats, simhash, toxicity, urls
+from emberline.llm import chat, common, decontaminate, language, pieces, repeats, simhash, toxicity, urls, vectors, warc
+from emberline.sources import folders
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_tricky(common.table(spark, sf_dir, "conversations"))))
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_copies(common.table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = folders.workspace(spark, "archive")
+    warc.write(common.table(spark, sf_dir, "pages"), archive)
+    return warc.read(spark, archive)
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_overlaps": op2_overlaps,
@@ -43,6 +58,14 @@ QUERIES = {
     "op5_pieces": op5_pieces,
     "op6_near_copies": op6_near_copies,
     "op7_toxicity": op7_toxicity,
+    "op8_chat": op8_chat,
+    "op9_vectors": op9_vectors,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {"op4_url_rules": urls.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_url_rules": urls.oracle(),
+    "op8_chat": chat.ORACLE,
+    "op9_vectors": vectors.ORACLE,
+    "op10_warc": warc.ORACLE,
+}
