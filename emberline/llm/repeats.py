@@ -296,16 +296,19 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.repeat(gone, np.diff(np.append(lead, len(data))))
         kept = np.concatenate([[0], np.cumsum(~cut)])[starts]
         texts = pa.Array.from_buffers(pa.large_string(), rows.num_rows, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data[~cut].tobytes())])
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").combine_chunks(), rows.column("no_id").combine_chunks(), texts.cast(pa.string()), pa.array(np.diff(starts) - np.diff(kept))],
-            names=["doc_id", "no_id", "text", "n_removed"],
-        )
+        out = rows.drop_columns(["text", "spans"]).append_column("text", texts.cast(pa.string()))
+        yield from out.append_column("n_removed", pa.array(np.diff(starts) - np.diff(kept))).to_batches()
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, others: DataFrame | None = None) -> DataFrame:
+    """Texts beside their spans, and beside the columns of `others` by the same keys."""
     none = F.array().cast("array<struct<start:long,n:int>>")
-    joined = docs.join(removed_spans(docs, length), ["doc_id", "no_id"], "left")
-    return joined.select("doc_id", "no_id", "text", F.coalesce("spans", none).alias("spans"))
+    keys = ["doc_id", "no_id"]
+    spans = removed_spans(docs, length)
+    if others is not None:
+        spans = others.join(spans, keys, "left")
+    joined = docs.join(spans, keys, "left").withColumn("spans", F.coalesce("spans", none))
+    return joined.select(*keys, "text", "spans", *([] if others is None else others.drop(*keys).columns))
 
 
 def repeated_bytes(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,11 +326,16 @@ def repeated_bytes(documents: DataFrame, length: int = 100, key: str = "doc_id",
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without_repeats(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id` and the text that is left, with `n_removed` bytes; characters stay whole.
+def without_repeats(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """`doc_id`, the text that is left, `n_removed` bytes, and the columns `others`.
 
     Same rules as `repeated_bytes`; a character goes only if all its bytes are removed.
+    Of rows that repeat an id the smallest values of `others` stand.
     """
     docs = common.one_row_per(documents, key, text)
-    out = _with_spans(docs, length).mapInArrow(_rewritten, "doc_id long, no_id boolean, text string, n_removed long")
-    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "n_removed")
+    one = F.col(key).cast("long")
+    rest = documents.select(F.coalesce(one, F.lit(0)).alias("doc_id"), one.isNull().alias("no_id"), F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+    rest = rest.groupBy("doc_id", "no_id").agg(F.min("rest").alias("rest"))
+    kind = rest.schema["rest"].dataType.simpleString()
+    out = _with_spans(docs, length, rest).mapInArrow(_rewritten, f"doc_id long, no_id boolean, rest {kind}, text string, n_removed long")
+    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "n_removed", *[F.col("rest")[c].alias(c) for c in others])

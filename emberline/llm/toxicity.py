@@ -254,6 +254,22 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _kept(lexicon, weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.Names(1 << 16)
+        for rows in common.gathered(batches, "text", 1 << 20):
+            x = squeezed(evidence(*common.flat(rows.column("text")), lexicon.value, names))
+            yield from rows.filter(pa.array(x @ weights[:-1] + weights[-1] < 0)).to_batches()
+
+    return run
+
+
+def kept(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows, all columns, that score below one half. The text's column is `text`."""
+    lexicon = documents.sparkSession.sparkContext.broadcast(Lexicon(model.learned))
+    return documents.mapInArrow(_kept(lexicon, model.weights), documents.schema)
+
+
 def judged(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learns from labelled rows outside the held-out fold, then scores every row."""
     taught = labels.where(fitting.bucket("doc_id", FOLDS) != 0)
