@@ -70,8 +70,8 @@ def tokens(data: np.ndarray, starts: np.ndarray, names: common.Names):
 
 def seeds(named: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """Hash of the masked tokens from every token on."""
-    n = len(named) - mask[-1]
-    total = np.full(max(n, 0), np.uint64(sum(1 << m for m in mask)))
+    n = max(len(named) - mask[-1], 0)
+    total = np.full(n, np.uint64(sum(1 << m for m in mask)))
     for k, at in enumerate(mask):
         total += named[at : at + n] * np.uint64(2 * k * k + 6 * k + 1)
         total = common.mixed(total)
@@ -182,7 +182,7 @@ def shards(items: DataFrame, limit: int = SHARD_BYTES) -> list[DataFrame]:
     return [items.where(part == k) for k in range(count)]
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """One row per document and test item that overlap: the best window and where it lies.
 
     `agree` of `window` tokens are equal; `doc_token` and `item_token` are where the
@@ -196,7 +196,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), common.text_of(item_text).alias("text")).where("item_id is not null")
     out = None
-    for shard in shards(items):
+    for shard in shards(items, limit):
         index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in shard.collect()]))
         part = docs.mapInArrow(_search(index), "doc_id long, item_id long, agree int, window int, doc_token long, item_token int, begin long, end long")
         out = part if out is None else out.union(part)

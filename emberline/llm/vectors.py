@@ -8,11 +8,13 @@ close pairs reach with the wanted recall are verified in double precision.
 
 Counting every pair would be quadratic, whatever the width: close vectors collide at most
 some three times as often as others. So lines are first sorted in groups: a table cuts
-each of its lines at the mean, a cell is one side of every line, and only vectors that
-share a cell of some table are counted. Lines per table grow with the logarithm of the
-number of vectors and the number of tables follows from the recall. A pair is counted
-in the first table in which it shares a cell. A cell with many vectors is dealt out as
-pairs of blocks; what leaves a task is a count per vector and a forest of links.
+each of its lines at zero, a cell is one side of every line, and only vectors that share
+a cell of some table are counted. Lines per table grow with the logarithm of the number
+of vectors, and the number of tables follows from the recall: two vectors at an angle lie
+on the same side of a line with a chance that depends on the angle alone, whatever the
+other vectors are. A pair is counted in the first table in which it shares a cell. A cell
+with many vectors is dealt out as pairs of blocks; what leaves a task is a count per
+vector and a forest of links.
 
 Equal vectors are one node.
 """
@@ -84,28 +86,19 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def cells(unit: np.ndarray, mean: np.ndarray, plan: Plan) -> np.ndarray:
+def cells(unit: np.ndarray, plan: Plan) -> np.ndarray:
     """Cell of every vector in every table."""
-    side = ((unit - mean) @ lines(unit.shape[1], plan.bits * plan.tables, SEED)) > 0
+    side = (unit @ lines(unit.shape[1], plan.bits * plan.tables, SEED)) > 0
     return side.reshape(len(unit), plan.tables, plan.bits) @ (1 << np.arange(plan.bits))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = batch.column(1).value_lengths().to_numpy()
-        for size in np.unique(sizes):
-            rows = batch.column(1).filter(pa.array(sizes == size))
-            total = units(matrix(rows, int(size))).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([int(size)], pa.int32()), pa.array([len(rows)]), pa.array([total.tolist()])], names=["size", "n", "total"])
-
-
-def _deal(plan: Plan, means):
+def _deal(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).value_lengths().to_numpy()
             for size in np.unique(sizes):
                 rows = batch.filter(pa.array(sizes == size))
-                at = cells(units(matrix(rows.column(1), int(size))), means.value[int(size)], plan)
+                at = cells(units(matrix(rows.column(1), int(size))), plan)
                 for table in range(plan.tables):
                     cell = (np.int64(size) * plan.tables + table << 20) | at[:, table]
                     yield pa.RecordBatch.from_arrays([pa.array(cell), *rows.columns], names=["cell", *rows.schema.names])
@@ -116,7 +109,7 @@ def _deal(plan: Plan, means):
 FOUND = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
-def _count(plan: Plan, means):
+def _count(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in common.groups(batches, ["cell", "lo", "hi"], 8192):
             group = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -129,9 +122,8 @@ def _count(plan: Plan, means):
             for dim in np.unique(size):
                 of = np.flatnonzero(size == dim)
                 unit = units(matrix(vectors.take(pa.array(of)), int(dim)))
-                mean = means.value[int(dim)]
-                spread = ((unit - mean) @ lines(int(dim), LINES, SEED + 1)).astype(np.float32)
-                all_cells = cells(unit, mean, plan)
+                spread = (unit @ lines(int(dim), LINES, SEED + 1)).astype(np.float32)
+                all_cells = cells(unit, plan)
                 pairs = []
                 for step in range(1, int(np.diff(at).max())):
                     a = np.arange(len(of) - step)
@@ -192,15 +184,11 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, recall: float = RECA
     total = nodes.count()
     plan = Plan.of(total, cosine, recall)
     given = nodes.select("node", "embedding", "copies")
-    sums: dict[int, list] = {}
-    for row in given.mapInArrow(_sums, "size int, n long, total array<double>").groupBy("size").agg(F.sum("n").alias("n"), _added("total")).collect():
-        sums[row["size"]] = np.array(row["total"]) / row["n"]
-    means = vectors.sparkSession.sparkContext.broadcast(sums)
     kind = nodes.schema["embedding"].dataType.simpleString()
-    dealt = given.mapInArrow(_deal(plan, means), f"cell long, node long, embedding {kind}, copies long")
+    dealt = given.mapInArrow(_deal(plan), f"cell long, node long, embedding {kind}, copies long")
     blocks = in_blocks(dealt, "cell", "node", BLOCK).select("cell", "lo", "hi", "own", "node", "embedding", "copies")
     blocks = blocks.repartition(common.partitions(vectors), "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
-    found = checkpointed(blocks.mapInArrow(_count(plan, means), "node long, other long, links long"))
+    found = checkpointed(blocks.mapInArrow(_count(plan), "node long, other long, links long"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     placed = nodes.join(reached, "node", "left").select("node", "embedding", "least", "copies", F.coalesce("component", "node").alias("component"))
@@ -213,12 +201,6 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, recall: float = RECA
     return joined.union(alone).withColumn("kept", kept)
 
 
-def _added(column: str):
-    """Sums of arrays, place by place."""
-    parts = F.collect_list(column)
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), parts[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(column)
-
-
 # Every pair by brute force; components by reachability.
 ORACLE = """
     WITH RECURSIVE good AS (
