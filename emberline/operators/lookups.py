@@ -13,9 +13,20 @@ from emberline.functions.calendar import event_date, hour_calendar
 from emberline.settings import Settings
 
 
+# What a stored byte may take up once decoded.
+UNPACKED = 4
+
+
 def planned_bytes(df: DataFrame) -> int:
-    """Size of a frame as the optimizer estimates it from file or row statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of a dimension: the optimizer's estimate, or that of the files it is read from.
+
+    The estimate of a join multiplies its sides, which says nothing about a dimension
+    joined to its own lookups; what is read, unpacked, bounds such a frame.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return min(int(plan.stats().sizeInBytes()), UNPACKED * read)
 
 
 def small_side(df: DataFrame, limit_bytes: int) -> DataFrame:
@@ -62,7 +73,11 @@ class Lookup:
     def side(self) -> DataFrame:
         now = self._clock()
         if self._side is None or now - self._loaded_at >= self._every:
-            self._side, self._loaded_at = self._loader(), now
+            # Pinned, so that batches do not read files that may have been replaced.
+            old, self._side, self._loaded_at = self._side, self._loader().persist(), now
+            self._side.count()
+            if old is not None:
+                old.unpersist()
             self.loads += 1
         return self._side
 

@@ -101,15 +101,18 @@ def flag_counts(df: DataFrame) -> DataFrame:
 
 
 def flag_rollup(df: DataFrame) -> DataFrame:
-    """Clicks and impressions per hour, with a subtotal per date and a total."""
-    return (
-        df.select(*grain_columns("hour"), "has_click", "has_impression")
-        .rollup("event_date", "event_hour")
-        .agg(
-            F.grouping_id().cast("int").alias("grouping"),
-            F.count_if(F.col("has_click") == 1).alias("clicks"),
-            F.count_if(F.col("has_impression") == 1).alias("impressions"),
-        )
+    """Clicks and impressions per hour, with a subtotal per date and a total.
+
+    Rows are counted per hour first, so that only the hours' counts are rolled up.
+    """
+    hours = df.groupBy(*grain_columns("hour")).agg(
+        F.count_if(F.col("has_click") == 1).alias("clicks"),
+        F.count_if(F.col("has_impression") == 1).alias("impressions"),
+    )
+    return hours.rollup("event_date", "event_hour").agg(
+        F.grouping_id().cast("int").alias("grouping"),
+        F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"),
+        F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators.filters import classify, slice_
 from emberline.operators.reconcile import pct_diff, reconcile
-from emberline.plans.lifecycle import drop_plan
+from emberline.plans.lifecycle import apply_drop, drop_plan
 from emberline.plans.views import tier_view
 from emberline.settings import Settings
 from emberline.sources.cold import read_cold, sink_day
@@ -22,11 +22,14 @@ def daily_chain(
     as_of: dt.date,
     cfg: Settings = Settings(),
     sink: Callable[[DataFrame, dt.date, str], None] = sink_day,
+    hot_dir: str | None = None,
 ) -> DataFrame:
     """Run the day's stages in order; the first failure skips the rest.
 
-    Rows are: rows sunk, rows of that day the view shows, classes that disagree,
-    ranges to drop. Every stage reads the one day only.
+    Rows are: rows sunk, rows of that day the view shows (as many, or the stage fails),
+    classes that disagree, ranges to drop. With `hot_dir` these ranges are dropped
+    there. Every stage reads the one day only, and the tiers are compared once. Errors
+    of the code itself are raised.
     """
     spark = hot.sparkSession
     date = as_of - dt.timedelta(days=cfg.hot_days)
@@ -37,9 +40,12 @@ def daily_chain(
     def day(df: DataFrame) -> DataFrame:
         return slice_(df, date.year, date.month, date.day)
 
+    found: dict = {}
+
     def run_sink() -> int:
         sink(hot, date, cold_root)
-        return day(cold()).count()
+        found["sunk"] = day(cold()).count()
+        return found["sunk"]
 
     def run_view() -> int:
         return day(tier_view(hot, cold().drop("event_class"), as_of, cfg)).count()
@@ -49,15 +55,20 @@ def daily_chain(
 
     def run_reconcile() -> int:
         diffs = pct_diff(reconcile(classified(), day(cold())))
-        return diffs.where(F.abs("pct_diff") >= cfg.tolerance_pct).count()
+        # One row per class of the day.
+        found["diffs"] = spark.createDataFrame(diffs.collect(), diffs.schema)
+        return found["diffs"].where(F.abs("pct_diff") >= cfg.tolerance_pct).count()
 
     def run_drop() -> int:
-        plan = drop_plan(classified(), cold(), as_of, cfg)
+        plan = drop_plan(classified(), cold(), as_of, cfg, diffs=found["diffs"])
+        plan = spark.createDataFrame(plan.collect(), plan.schema)
+        if hot_dir is not None:
+            apply_drop(spark, plan, hot_dir)
         return plan.where(F.col("action") == "drop").count()
 
     stages: list[tuple[str, Callable[[], int], Callable[[int], bool]]] = [
         ("sink", run_sink, lambda n: True),
-        ("view", run_view, lambda n: True),
+        ("view", run_view, lambda n: n == found["sunk"]),
         ("reconcile", run_reconcile, lambda n: n == 0),
         ("drop", run_drop, lambda n: n > 0),
     ]
@@ -70,7 +81,10 @@ def daily_chain(
             rows = run()
             failed = not ok(rows)
             report.append((name, "failed" if failed else "ok", rows))
+        except (TypeError, NameError, AttributeError, LookupError):
+            raise
         except Exception as error:  # a failed stage is a row of the report
             failed = True
-            report.append((name, f"failed: {type(error).__name__}", None))
+            said = str(error).strip().split("\n")[0][:200]
+            report.append((name, f"failed: {type(error).__name__}: {said}", None))
     return spark.createDataFrame(report, "stage string, status string, rows bigint")

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from emberline.functions.calendar import day_calendar, days_between, event_date
 from emberline.functions.columns import partition_last
 from emberline.operators.filters import slice_
-from emberline.operators.reconcile import gate, pct_diff, reconcile
+from emberline.operators.lookups import small_side
+from emberline.operators.reconcile import CLASSES, gate, pct_diff, reconcile
 from emberline.schema import PARTS
 from emberline.settings import Settings
 from emberline.sources import folders
-from emberline.sources.cold import write_partitions
+from emberline.sources.cold import table_dir, write_partitions
 
 BOUNDS = ["lower_date", "lower_hour", "upper_date", "upper_hour"]
 
@@ -64,7 +65,7 @@ def assign_range(df: DataFrame, ranges: DataFrame) -> DataFrame:
         F.hour("at").alias("_hour"),
     )
     met = (event_date() == F.col("_date")) & (F.col("event_hour") == F.col("_hour"))
-    return df.join(F.broadcast(spread), met, "left").select(
+    return df.join(small_side(spread, Settings().broadcast_bytes), met, "left").select(
         *df.columns, "lower_date", "lower_hour", F.col("lower_date").isNotNull().alias("covered")
     )
 
@@ -75,41 +76,60 @@ def drop_plan(
     as_of: dt.date,
     cfg: Settings = Settings(),
     dates: DataFrame | None = None,
+    diffs: DataFrame | None = None,
 ) -> DataFrame:
     """Hot half-day ranges of D-7: `drop` when the counts agree, else `hold` and why.
 
-    `dates` plans other dates instead, as after an outage. A date that neither tier
-    has rows for has nothing to lose and passes.
+    `dates` plans other dates instead, as after an outage. A date passes without a
+    comparison only when the hot tier has no row of any class. `residue` counts hot rows
+    that are in neither class and so exist nowhere else; they are reported, and hold a
+    date that has nothing but them. `verdict` takes counts that were compared before.
     """
     if dates is None:
         due = as_of - dt.timedelta(days=cfg.hot_days)
         dates = day_calendar(hot.sparkSession, due, due)
         hot, cold = (slice_(t, due.year, due.month, due.day) for t in (hot, cold))
-    verdict = gate(pct_diff(reconcile(hot, cold)), cfg.tolerance_pct)
-    checked = dates.join(F.broadcast(verdict), "event_date", "left")
-    passed = F.coalesce(F.col("passed"), F.lit(True))
-    reason = F.format_string(
-        "Percentage difference in cold and hot counts for the day %s is 1%% or more.",
-        F.col("event_date").cast("string"),
+    diffs = pct_diff(reconcile(hot, cold)) if diffs is None else diffs
+    held = hot.groupBy(event_date().alias("event_date")).agg(
+        F.count("*").alias("hot_rows"), F.count_if(~F.col("event_class").isin(*CLASSES)).alias("residue")
     )
+    # One row per calendar date each.
+    verdict = small_side(gate(diffs, cfg.tolerance_pct), cfg.broadcast_bytes)
+    off = small_side(disagreement(diffs, cfg.tolerance_pct), cfg.broadcast_bytes)
+    held = small_side(held, cfg.broadcast_bytes)
+    checked = dates.join(verdict, "event_date", "left").join(off, "event_date", "left").join(held, "event_date", "left")
+    residue = F.coalesce("residue", F.lit(0))
+    passed = F.coalesce("passed", F.coalesce("hot_rows", F.lit(0)) == 0)
+    alone = F.format_string("%d rows of no class are in the hot tier only", residue)
     planned = checked.select(
         "event_date",
         F.when(passed, "drop").otherwise("hold").alias("action"),
-        F.when(~passed, reason).alias("reason"),
+        F.when(~passed, F.coalesce("off", alone)).alias("reason"),
+        residue.alias("residue"),
     )
-    return ranges_of(planned, 12).select(*BOUNDS, "action", "reason")
+    return ranges_of(planned, 12).select(*BOUNDS, "action", "reason", "residue")
+
+
+def disagreement(diffs: DataFrame, tolerance: float) -> DataFrame:
+    """Per date, which classes differ too much and by how much, in whole percent."""
+    hot, cold = F.col("hot_rows"), F.col("cold_rows")
+    text = F.format_string(
+        "%s: %d hot rows, %d cold, off by %d percent",
+        "event_class",
+        hot,
+        cold,
+        F.floor(F.abs("pct_diff")).cast("bigint"),
+    )
+    wide = diffs.where(F.abs("pct_diff") >= tolerance)
+    return wide.groupBy("event_date").agg(F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("off"))
 
 
 def range_text(lower_date, lower_hour, upper_date, upper_hour):
-    """`PARTITION (y, m, d, h) <= VALUES < (y, m, d, h)` as a column."""
-    def bound(day: str, hour: str) -> list:
-        return [F.year(day), F.month(day), F.dayofmonth(day), F.col(hour)]
-
-    return F.format_string(
-        "PARTITION (%d, %d, %d, %d) <= VALUES < (%d, %d, %d, %d)",
-        *bound(lower_date, lower_hour),
-        *bound(upper_date, upper_hour),
-    )
+    """A range as `date hour:00 to date hour:00`, the end not included."""
+    def bound(day, hour) -> list:
+        return [F.col(day).cast("string"), F.col(hour)]
+
+    return F.format_string("%s %02d:00 to %s %02d:00", *bound(lower_date, lower_hour), *bound(upper_date, upper_hour))
 
 
 def apply_drop(spark: SparkSession, plan: DataFrame, hot_dir: str) -> list[str]:
@@ -204,6 +224,16 @@ def apply_nofill_plan(spark: SparkSession, plan: DataFrame, nofill_dir: str) ->
     return gone
 
 
+def reset_days(spark: SparkSession, root: str, date: dt.date) -> DataFrame:
+    """Delete a date's hour folders from both cold tables under `root`."""
+    out = None
+    for event_class in CLASSES:
+        part = reset_day(spark, table_dir(root, event_class), date)
+        part = part.select(F.lit(event_class).alias("event_class"), "hour", "status")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def reset_day(spark: SparkSession, table_dir: str, date: dt.date) -> DataFrame:
     """Delete the 24 hour folders of a date so that a failed sink can run again."""
     rows = []

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.calendar import event_date, hour_calendar, week_u
 from emberline.operators.filters import in_zones, slice_
 from emberline.operators.reconcile import pct
 from emberline.schema import LEDGER, PARTS
+from emberline.settings import Settings
 from emberline.sources.cold import write_partitions
 
 
 def profile_hours(df: DataFrame, zones) -> DataFrame:
-    """Impressions and clicks per user, zone and hour."""
+    """Impressions and clicks per user, zone and hour, of those that have any.
+
+    The cold fill table lacks rows without an outcome; leaving groups of nothing out
+    makes an increment from it the same as one from the hot rows.
+    """
     return (
         in_zones(df, zones)
         .groupBy(*PARTS, "user_id", "zone")
@@ -23,6 +28,7 @@ def profile_hours(df: DataFrame, zones) -> DataFrame:
             F.count_if(F.col("has_impression") == 1).alias("impressions"),
             F.count_if(F.col("has_click") == 1).alias("clicks"),
         )
+        .where("impressions + clicks > 0")
     )
 
 
@@ -48,8 +54,16 @@ def save_week(weeks: DataFrame, path: str) -> None:
     write_partitions(weeks, path, ["profile_year", "week_number"], "parquet")
 
 
-def profile_backfill(cold: DataFrame, y: int, m: int, d: int, h: int, zones) -> DataFrame:
-    """The increment of one hour, from the cold fill rows."""
+def profile_backfill(
+    cold: DataFrame, y: int, m: int, d: int, h: int, zones, as_of: dt.date | None = None, cfg: Settings = Settings()
+) -> DataFrame:
+    """The increment of one hour, from the cold fill rows.
+
+    A day that compaction has cut down to clicks has no impressions left: with `as_of`,
+    such a day is refused.
+    """
+    if as_of is not None and (as_of - dt.date(y, m, d)).days >= cfg.cold_days:
+        raise ValueError(f"{y}-{m:02d}-{d:02d} holds clicks only, its impressions are gone")
     return profile_hour(cold.where(F.col("event_class") == "fill"), y, m, d, h, zones)
 
 
@@ -108,9 +122,22 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def ledger_hours(ledger: DataFrame) -> DataFrame:
-    """Ledger rows with the date and hour they stand for."""
-    return ledger.select(
+def close_hours(hours: DataFrame, job: str, done: bool, tries: int, hour_col: str = "hour_ts") -> DataFrame:
+    """Ledger rows for the end of a try: processed, or one more try used up.
+
+    Rows are only ever added; readers take the largest of both numbers per hour.
+    """
+    opened = ledger_rows(hours, job, hour_col)
+    return opened.withColumns({"is_processed": F.lit(int(done)), "retries": F.lit(tries if done else tries + 1)})
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*LEDGER)
+
+
+def ledger_hours(ledger: DataFrame, job: str) -> DataFrame:
+    """Ledger rows of a job with the date and hour they stand for."""
+    return ledger.where(F.col("job_name") == job).select(
         F.make_date("current_year", "current_month", "current_day").alias("event_date"),
         F.col("current_hour").alias("event_hour"),
         "is_processed",
@@ -118,10 +145,10 @@ def ledger_hours(ledger: DataFrame) -> DataFrame:
     )
 
 
-def unprocessed(ledger: DataFrame, lo: dt.date, hi: dt.date, max_retries: int = 10) -> DataFrame:
-    """Hours still open under the retry cap, and hours never recorded (0 tries)."""
+def unprocessed(ledger: DataFrame, job: str, lo: dt.date, hi: dt.date, max_retries: int = 10) -> DataFrame:
+    """Hours of a job still open under the retry cap, and hours never recorded (0 tries)."""
     keys = ["event_date", "event_hour"]
-    done = ledger_hours(ledger).groupBy(*keys).agg(
+    done = ledger_hours(ledger, job).groupBy(*keys).agg(
         F.max("is_processed").alias("is_processed"), F.max("retries").alias("retries")
     )
     known = hour_calendar(ledger.sparkSession, lo, hi).join(done, keys, "left")
@@ -132,14 +159,14 @@ def unprocessed(ledger: DataFrame, lo: dt.date, hi: dt.date, max_retries: int =
     )
 
 
-def reprocess_plan(ledger: DataFrame, gate: DataFrame, max_retries: int = 10) -> DataFrame:
-    """Hours to run again and the number of that try.
+def reprocess_plan(ledger: DataFrame, job: str, gate: DataFrame, max_retries: int = 10) -> DataFrame:
+    """Hours of a job to run again and the number of that try.
 
     An hour is due when it is open in the ledger, when it has data but was never
     recorded, or when its counts failed the gate.
     """
     keys = ["event_date", "event_hour"]
-    held = ledger_hours(ledger).groupBy(*keys).agg(
+    held = ledger_hours(ledger, job).groupBy(*keys).agg(
         F.max("is_processed").alias("is_processed"), F.max("retries").alias("retries")
     )
     both = held.join(gate.select(*keys, "passed"), keys, "full_outer")

@@ -85,6 +85,11 @@ PAYLOAD_FIELDS = {
     **{flag: (flag, "int") for flag in FLAGS},
 }
 
+# What an interaction needs, by the same names.
+INTERACTION_FIELDS = {
+    field: PAYLOAD_FIELDS[field] for field in ("topology_entry_time", "event_id", "user_id", "event_type")
+}
+
 MESSAGE = T.StructType(
     [T.StructField("event_id", T.LongType()), T.StructField("payload", T.StringType())]
 )
@@ -107,6 +112,17 @@ QUARANTINE = T.StructType(
         T.StructField("reason", T.StringType()),
         T.StructField("payload", T.StringType()),
         T.StructField("app", T.StringType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
+REJECT_COUNTS = T.StructType(
+    [
+        T.StructField("reason", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("app", T.StringType()),
+        T.StructField("run", T.StringType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )

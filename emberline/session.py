@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution splits hot keys in joins even when a further shuffle follows, and
-# spreads many small output folders over the cores instead of joining them in one task.
+# Adaptive execution splits hot keys in joins even when a further shuffle follows.
 OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     "spark.sql.session.timeZone": "UTC",
 }
 

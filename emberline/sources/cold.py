@@ -50,12 +50,21 @@ def sink_classes(hot: DataFrame, root: str) -> None:
 
 
 def sink_hour(hot: DataFrame, y: int, m: int, d: int, h: int, root: str) -> None:
-    sink_classes(slice_(hot, y, m, d, h), root)
+    sink_day(hot, dt.date(y, m, d), root, h, h)
 
 
 def sink_day(hot: DataFrame, date: dt.date, root: str, h0: int = 0, h1: int = 23) -> None:
-    day = slice_(hot, date.year, date.month, date.day)
-    sink_classes(day.where(F.col("event_hour").between(h0, h1)), root)
+    """Replace the hours of a date in both cold tables.
+
+    They are staged in full and swapped in, so that an hour that has no rows of a class
+    any more, as after a late event, loses those it had.
+    """
+    day = slice_(hot, date.year, date.month, date.day).where(F.col("event_hour").between(h0, h1))
+    staged = folders.staging(root)
+    rows = classify(day).where(F.col("event_class").isin(*CLASSES))
+    write_partitions(partition_last(rows), staged, ["event_class", *PARTS], "orc", dynamic=False)
+    hours = [f"{folders.day_dir(date)}/event_hour={h}" for h in range(h0, h1 + 1)]
+    folders.swap_parts(hot.sparkSession, staged, root, [f"event_class={c}/{hour}" for c in CLASSES for hour in hours])
 
 
 def read_cold(spark: SparkSession, root: str, schema) -> DataFrame:

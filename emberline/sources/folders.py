@@ -92,20 +92,57 @@ def staging(table_dir: str) -> str:
 
 
 def swap_days(spark: SparkSession, staged: str, table_dir: str, dates: list) -> None:
-    """Put fully written staged days in the place of the table's days.
+    """Put fully written staged days in the place of the table's days."""
+    swap_parts(spark, staged, table_dir, [day_dir(date) for date in dates])
 
-    The old day is moved aside under a hidden name and deleted last, so a lost
-    driver leaves either the old or the new rows on disk. A date with no staged rows
-    is removed. Nothing happens unless the staged write was committed.
+
+def swap_parts(spark: SparkSession, staged: str, table_dir: str, parts: list[str]) -> None:
+    """Put fully written staged partitions in the place of the table's.
+
+    The old one is moved aside under a hidden name and deleted last, so a lost driver
+    leaves either the old or the new rows on disk; the next swap, or `recover`, puts
+    them in place. A partition with no staged rows is removed. Nothing happens unless
+    the staged write was committed. Run one swap at a time per table.
     """
     if not committed(spark, staged):
         raise FileNotFoundError(f"no committed replacement in {staged}")
-    for date in dates:
-        day = day_dir(date)
-        old, new = f"{table_dir}/{day}", f"{staged}/{day}"
-        aside = f"{staged}/_old/{day}"
+    recover(spark, table_dir)
+    for part in parts:
+        old, new = f"{table_dir}/{part}", f"{staged}/{part}"
         if exists(spark, old):
-            move(spark, old, aside)
+            move(spark, old, f"{staged}/_old/{part}")
         if exists(spark, new):
             move(spark, new, old)
     delete(spark, staged)
+
+
+def recover(spark: SparkSession, table_dir: str) -> list[str]:
+    """Finish swaps that were cut short; return the partitions put back.
+
+    A partition that was moved aside and has no successor gets the staged one if there
+    is one, else itself.
+    """
+    fs, where = _open(spark, table_dir)
+    if not fs.exists(where):
+        return []
+    done = []
+    for entry in fs.listStatus(where):
+        staged = f"{table_dir}/{entry.getPath().getName()}"
+        aside = f"{staged}/_old"
+        if not entry.getPath().getName().startswith("_staging-") or not exists(spark, aside):
+            continue
+        held = _open(spark, aside)[1].toUri().getPath()
+        files, parts = fs.listFiles(_open(spark, aside)[1], True), set()
+        while files.hasNext():
+            parts.add(files.next().getPath().getParent().toUri().getPath().removeprefix(held + "/"))
+        for part in sorted(parts):
+            # The topmost level that the table lacks, a month at most.
+            levels = part.split("/")
+            tops = ["/".join(levels[:depth]) for depth in range(3, len(levels) + 1)]
+            gone = [top for top in tops if not exists(spark, f"{table_dir}/{top}")]
+            if gone:
+                source = f"{staged}/{gone[0]}" if exists(spark, f"{staged}/{gone[0]}") else f"{aside}/{gone[0]}"
+                move(spark, source, f"{table_dir}/{gone[0]}")
+                done.append(gone[0])
+        delete(spark, staged)
+    return done

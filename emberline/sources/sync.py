@@ -22,7 +22,7 @@ def fingerprint(df: DataFrame, content: bool = True) -> DataFrame:
     """Row count, id sum and content hash of every date."""
     extra = [content_hash(df)] if content else [F.lit(0).cast("decimal(30,0)").alias("content")]
     return df.groupBy(event_date().alias("event_date")).agg(
-        F.count("*").alias("rows"), F.sum("user_id").alias("id_sum"), *extra
+        F.count("*").alias("rows"), F.sum(F.col("user_id").cast("decimal(20,0)")).alias("id_sum"), *extra
     )
 
 

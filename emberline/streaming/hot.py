@@ -40,8 +40,12 @@ def write_part(states: DataFrame, path: str) -> None:
 
 
 def upsert(batch: DataFrame, batch_id: int, target: str, writer: str = "batch") -> None:
-    """Write a batch of events as part `<writer>-<batch_id>`; a replay replaces it."""
-    states = with_partitions(merge_states(to_states(batch)))
+    """Write a batch of events as part `<writer>-<batch_id>`; a replay replaces it.
+
+    The partition is taken from each message before anything is merged, as readers
+    group by it too: where batches begin and end changes nothing.
+    """
+    states = merge_states(with_partitions(to_states(batch)), stable=PARTS)
     write_part(states, f"{target}/part={writer}-{batch_id:010d}")
 
 

@@ -9,32 +9,64 @@ from pyspark.sql import functions as F
 
 from emberline.functions.columns import parse
 from emberline.operators.filters import lateness
-from emberline.schema import QUARANTINE
+from emberline.schema import INTERACTION_FIELDS, PAYLOAD_FIELDS, QUARANTINE, REJECT_COUNTS
 from emberline.settings import Settings
 from emberline.sources import folders
 from emberline.sources.registry import max_age, spec
 
 
 def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settings()) -> DataFrame:
-    """Decoded messages with `reason`, NULL for the good ones."""
-    decoded = parse(messages)
-    day = F.col("ts" if spec(kind).target == "interactions" else "request_ts").cast("date")
+    """Decoded messages with `reason`, NULL for the good ones.
+
+    An interaction is asked only for the fields its table keeps.
+    """
+    interaction = spec(kind).target == "interactions"
+    decoded = parse(messages, INTERACTION_FIELDS if interaction else PAYLOAD_FIELDS)
+    key, day = ("event_id", "ts") if interaction else ("unique_id", "request_ts")
     reason = (
         F.when(F.col("corrupt").isNotNull(), "unparseable")
         .when(F.col("bad_value"), "bad_value")
-        .when(F.col("unique_id").isNull(), "missing_key")
-        .when(F.col("ts").isNull() | F.col("request_ts").isNull(), "bad_value")
-        .otherwise(lateness(day, as_of, max_age(kind, cfg), cfg.create_ahead))
+        .when(F.col(key).isNull(), "missing_key")
+        .when(F.col("ts").isNull() | F.col(day).isNull(), "bad_value")
+        .otherwise(lateness(F.col(day).cast("date"), as_of, max_age(kind, cfg), cfg.create_ahead))
     )
     return decoded.withColumn("reason", reason).drop("corrupt", "bad_value")
 
 
-def quarantine(rejects: DataFrame, app: str, batch_id: int, target: str) -> None:
+def batch_dir(target: str, app: str, run: str, batch_id: int) -> str:
+    """The folder of a batch: `run` is the query's id, which a new checkpoint changes."""
+    return f"{target}/app={app}/run={run}/batch_id={batch_id}"
+
+
+def count_rejects(rejects: DataFrame, app: str, batch_id: int, target: str, run: str = "batch") -> None:
+    """Store how many messages of a batch were rejected, by reason; a replay replaces it.
+
+    This is kept for every stream, also for those whose payloads are not. One row per
+    reason reaches the driver; a batch without rejects leaves no folder.
+    """
+    folder = batch_dir(target, app, run, batch_id)
+    counts = rejects.groupBy("reason").agg(F.count("*").alias("rows")).collect()
+    if counts:
+        found = rejects.sparkSession.createDataFrame(counts, "reason string, rows bigint")
+        found.coalesce(1).write.mode("overwrite").parquet(folder)
+    else:
+        folders.delete(rejects.sparkSession, folder)
+
+
+def read_reject_counts(spark: SparkSession, target: str) -> DataFrame:
+    """Rejects by stream, run, batch and reason."""
+    columns = ["app", "run", "batch_id", "reason", "rows"]
+    if not folders.children(spark, target):
+        return spark.createDataFrame([], REJECT_COUNTS).select(*columns)
+    return spark.read.schema(REJECT_COUNTS).parquet(target).select(*columns)
+
+
+def quarantine(rejects: DataFrame, app: str, batch_id: int, target: str, run: str = "batch") -> None:
     """Write the rejects of a batch to their own folder; a replay replaces it.
 
     A batch without rejects, the usual case, leaves no folder.
     """
-    folder = f"{target}/app={app}/batch_id={batch_id}"
+    folder = batch_dir(target, app, run, batch_id)
     if rejects.isEmpty():
         folders.delete(rejects.sparkSession, folder)
     else:
@@ -53,13 +85,18 @@ def evaluation_due(batch_id: int, every: int) -> bool:
     return batch_id % every == 0
 
 
-def evaluate(spark: SparkSession, quarantine_dir: str, app: str, batch_id: int, every: int) -> DataFrame:
-    """Rejects by reason over the batches since the last evaluation."""
-    span = F.col("batch_id").between(batch_id - every + 1, batch_id)
+def evaluate(
+    spark: SparkSession, quarantine_dir: str, app: str, batch_id: int, every: int, run: str = "batch"
+) -> DataFrame:
+    """Rejects by reason over the batches since the last evaluation.
+
+    Only the folders of those batches are opened, by name.
+    """
+    span = [batch_dir(quarantine_dir, app, run, n) for n in range(max(0, batch_id - every + 1), batch_id + 1)]
+    held = [folder for folder in span if folders.exists(spark, folder)]
+    rows = spark.read.schema("reason string").parquet(*held) if held else spark.createDataFrame([], "reason string")
     return (
-        read_quarantine(spark, quarantine_dir)
-        .where((F.col("app") == app) & span)
-        .groupBy("app", "reason")
+        rows.groupBy("reason")
         .agg(F.count("*").alias("rows"))
-        .select("app", F.lit(batch_id).cast("bigint").alias("batch_id"), "reason", "rows")
+        .select(F.lit(app).alias("app"), F.lit(batch_id).cast("bigint").alias("batch_id"), "reason", "rows")
     )

@@ -16,7 +16,7 @@ from emberline.sources.events import read_events
 from emberline.sources.registry import spec
 from emberline.streaming.hot import upsert
 from emberline.streaming.interactions import append_part, interaction_rows
-from emberline.streaming.rejects import evaluate, evaluation_due, judge, quarantine
+from emberline.streaming.rejects import count_rejects, evaluate, evaluation_due, judge, quarantine
 
 
 def paced(writer, cfg: Settings, once: bool):
@@ -24,6 +24,15 @@ def paced(writer, cfg: Settings, once: bool):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=cfg.trigger_interval)
 
 
+def run_of(batch: DataFrame) -> str:
+    """The id of the query a batch belongs to. It lives as long as its checkpoint.
+
+    A fresh checkpoint counts batches from 0 again; with the id in their names, its
+    parts stand beside those of the one before instead of replacing them.
+    """
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def run_stream(
     spark: SparkSession,
     kind: str,
@@ -36,28 +45,33 @@ def run_stream(
     """Start the stream of one kind into the tables under `root`.
 
     Each batch is decoded and judged once; good rows are upserted into the hot table
-    or appended to the interactions, rejects of enabled streams are quarantined. All writes are keyed by stream and batch number, so a
-    batch that runs again after a failure leaves the same tables. `as_of` is asked at
-    every batch, because a stream outlives a date.
+    or appended to the interactions. Rejects are counted for every stream; those of
+    enabled streams are quarantined too. All writes are keyed by stream, checkpoint and
+    batch number, so a batch that runs again after a failure leaves the same tables.
+    `as_of` is asked at every batch, because a stream outlives a date.
     """
     stream = spec(kind)
     save = append_part if stream.target == "interactions" else upsert
     target, bad, reports = f"{root}/{stream.target}", f"{root}/bad_records", f"{root}/bad_reports"
+    counted = f"{root}/bad_counts"
     every = cfg.bad_record_every.get(kind, 0)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         judged = judge(batch, kind, as_of(), cfg)
         routed = kind in cfg.bad_record_kinds
-        cached = routed and kind in cfg.cached_kinds
+        cached = kind in cfg.cached_kinds
+        run = run_of(batch)
         if cached:
             judged = judged.persist()
         try:
-            save(judged.where(F.col("reason").isNull()), batch_id, target, kind)
+            save(judged.where(F.col("reason").isNull()), batch_id, target, f"{kind}-{run}")
+            rejects = judged.where(F.col("reason").isNotNull())
+            count_rejects(rejects, kind, batch_id, counted, run)
             if routed:
-                quarantine(judged.where(F.col("reason").isNotNull()), kind, batch_id, bad)
+                quarantine(rejects, kind, batch_id, bad, run)
                 if every and evaluation_due(batch_id, every):
-                    report = evaluate(spark, bad, kind, batch_id, every)
-                    report.write.mode("overwrite").parquet(f"{reports}/app={kind}/at={batch_id}")
+                    report = evaluate(spark, bad, kind, batch_id, every, run)
+                    report.write.mode("overwrite").parquet(f"{reports}/app={kind}/run={run}/at={batch_id}")
         finally:
             if cached:
                 judged.unpersist()
@@ -91,7 +105,7 @@ def run_lookup(
     """Join each batch to the lookup as it stands; a batch owns its output folder."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        side.join(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        side.join(batch).write.mode("overwrite").parquet(f"{target}/run={run_of(batch)}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return paced(writer, cfg, once).start()
@@ -117,7 +131,7 @@ def run_counts(
     """Store the windows each batch changed."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/run={run_of(batch)}/batch_id={batch_id}")
 
     writer = (
         counts.writeStream.outputMode("update")

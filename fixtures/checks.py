@@ -374,7 +374,7 @@ def missing_partitions(spark, sf):
 @query
 def unprocessed_hours(spark, sf):
     date = dt.date(2024, 1, 29)
-    return profile.unprocessed(given.ledger(spark, sf), date, date, 3)
+    return profile.unprocessed(given.ledger(spark, sf), given.JOB, date, date, 3)
 
 
 @query
@@ -388,7 +388,7 @@ def stream_lookup(spark, sf):
         CFG,
     )
     run.run_lookup(rows, side, f"{ws}/rows", f"{ws}/checkpoint", CFG, once=True).awaitTermination()
-    return spark.read.parquet(f"{ws}/rows").drop("batch_id")
+    return spark.read.parquet(f"{ws}/rows").drop("run", "batch_id")
 
 
 # --- aggregations --------------------------------------------------------------
@@ -561,7 +561,7 @@ def nofill_retention_plan(spark, sf):
 def failed_day_reset(spark, sf):
     ws = folders.workspace(spark, "failed_day_reset")
     cold_store.sink_day(given.ad_events(spark, sf), D7, ws)
-    return lifecycle.reset_day(spark, cold_store.table_dir(ws, "nofill"), D7)
+    return lifecycle.reset_days(spark, ws, D7)
 
 
 @query
@@ -579,7 +579,7 @@ def daily_chain(spark, sf):
     rows = cols.partition_last(given.hot_events(spark, sf).select(*ROW))
     cold_store.write_partitions(rows, f"{ws}/hot", PARTS, "parquet")
     hot = spark.read.schema(rows.schema).parquet(f"{ws}/hot")
-    return chain.daily_chain(hot, f"{ws}/cold", AS_OF, CFG)
+    return chain.daily_chain(hot, f"{ws}/cold", AS_OF, CFG, hot_dir=f"{ws}/hot")
 
 
 # --- streaming -----------------------------------------------------------------
@@ -694,12 +694,17 @@ def profile_change_gate(spark, sf):
 def ledger_append(spark, sf):
     hour = F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour_ts")
     hours = given.table(spark, sf, "events").select(hour).distinct()
-    return profile.ledger_rows(hours, "profile_hourly")
+    ws = folders.workspace(spark, "ledger_append")
+    profile.append_ledger(profile.ledger_rows(hours, given.JOB), ws)
+    tried = hours.where(F.hour("hour_ts") % 2 == 0)
+    profile.append_ledger(profile.close_hours(tried, given.JOB, True, 1), ws)
+    profile.append_ledger(profile.close_hours(hours.join(tried, "hour_ts", "left_anti"), given.JOB, False, 1), ws)
+    return profile.read_ledger(spark, ws)
 
 
 @query
 def reprocess_plan(spark, sf):
-    return profile.reprocess_plan(given.ledger(spark, sf), changes(spark, sf), CFG.max_retries)
+    return profile.reprocess_plan(given.ledger(spark, sf), given.JOB, changes(spark, sf), CFG.max_retries)
 
 
 QUERIES["event_source"] = QUERIES.pop("event_source_")

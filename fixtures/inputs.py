@@ -11,6 +11,7 @@ from emberline.operators.filters import classify
 from emberline.operators.merge import merge_lifecycle
 from emberline.schema import FLAGS, PARTS
 
+JOB = "profile_hourly"
 AS_OF = dt.date(2024, 1, 30)
 D7 = dt.date(2024, 1, 23)
 D15 = dt.date(2024, 1, 15)
@@ -138,18 +139,24 @@ def user_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Job rows for the hours 0 to 22 of one date; every fifth is open."""
+    """Job rows for the hours 0 to 22 of one date; every fifth is open.
+
+    Another job has the same hours, done where the first is open and the other way round.
+    """
     h = F.col("h")
     hours = table(spark, sf, "events").select(F.hour("ts").alias("h")).distinct().where(h < 23)
+    jobs = F.explode(F.array(F.lit(JOB), F.lit("other")))
+    hours = hours.select("h", jobs.alias("job_name"))
+    open_ = (h % 5 == 0) == (F.col("job_name") == JOB)
     fixed = {"year": 2024, "month": 1, "day": 29}
     return hours.select(
-        F.lit("profile_hourly").alias("job_name"),
+        "job_name",
         *[F.lit(v).alias(f"current_{n}") for n, v in fixed.items()],
         h.alias("current_hour"),
         *[F.lit(v).alias(f"next_{n}") for n, v in fixed.items()],
         (h + 1).alias("next_hour"),
         F.lit(4).alias("week_number"),
-        F.when(h % 5 == 0, 0).otherwise(1).alias("is_processed"),
+        F.when(open_, 0).otherwise(1).alias("is_processed"),
         (1 + h % 3).cast("int").alias("retries"),
     )
 

@@ -5,8 +5,6 @@ Every statement is `WITH` the shared inputs and one query over them.
 
 from __future__ import annotations
 
-from emberline.sources.registry import STREAMS
-
 FLAGS = (
     "has_request has_response has_impression has_click has_install has_lead "
     "has_postinstall has_vast has_ad_interactions"
@@ -124,10 +122,15 @@ drops AS (
   SELECT d.event_date AS lower_date, lower_hour,
     CASE WHEN lower_hour = 12 THEN CAST(d.event_date + INTERVAL 1 DAY AS DATE) ELSE d.event_date END AS upper_date,
     CASE WHEN lower_hour = 12 THEN 0 ELSE 12 END AS upper_hour,
-    CASE WHEN coalesce(passed, true) THEN 'drop' ELSE 'hold' END AS action,
-    CASE WHEN NOT coalesce(passed, true) THEN concat('Percentage difference in cold and hot counts for the day ',
-      CAST(d.event_date AS STRING), ' is 1% or more.') END AS reason
-  FROM (SELECT DISTINCT event_date FROM cls) d CROSS JOIN halves LEFT JOIN gate_day g ON d.event_date = g.event_date
+    CASE WHEN coalesce(passed, false) THEN 'drop' ELSE 'hold' END AS action,
+    CASE WHEN NOT coalesce(passed, false) THEN coalesce(off, concat(residue, ' rows of no class are in the hot tier only')) END AS reason,
+    residue
+  FROM (SELECT event_date, count(*) FILTER (WHERE event_class = 'unclassified') AS residue FROM cls GROUP BY event_date) d
+  CROSS JOIN halves LEFT JOIN gate_day g ON d.event_date = g.event_date
+  LEFT JOIN (
+    SELECT event_date, string_agg(concat(event_class, ': ', hot_rows, ' hot rows, ', cold_rows, ' cold, off by ',
+      CAST(floor(abs(pct_diff)) AS BIGINT), ' percent'), '; ' ORDER BY event_class) AS off
+    FROM pct_day WHERE abs(pct_diff) >= 1 GROUP BY event_date) o ON d.event_date = o.event_date
 ),
 change_day AS (
   SELECT coalesce(e.event_date, w.event_date) AS event_date, coalesce(e.event_hour, w.event_hour) AS event_hour,
@@ -170,9 +173,20 @@ OFFSETS = [(n, 24, f"{n:+d}d") for n in (2, 3, -1, -5, -6, -7, -8, -14, -15)] +
 ]
 OFFSET_VALUES = ", ".join(f"('{label}', {n * width})" for n, width, label in OFFSETS)
 
-REGISTRY = ", ".join(
-    f"('{s.kind}', '{s.topic}', {s.max_records}, '{s.checkpoint}', '{s.target}')" for s in STREAMS
-)
+# Written out here, so that the library's own list is compared with something else.
+REGISTRY = """
+  ('ad_inflated', 'ad_inflated_messages', 100000, 'ad_inflated', 'hot_events'),
+  ('ad_response', 'ad_responded_messages', 100000, 'ad_response', 'hot_events'),
+  ('request', 'request_messages', 100000, 'request', 'hot_events'),
+  ('impression', 'impression_messages', 100000, 'impression', 'hot_events'),
+  ('click', 'click_messages', 50000, 'click', 'hot_events'),
+  ('attribution', 'attribution_messages', 10000, 'attribution', 'hot_events'),
+  ('install', 'install_messages', 50000, 'install', 'hot_events'),
+  ('app_event', 'app_event_messages', 5000, 'app_event', 'hot_events'),
+  ('vast', 'vast_messages', 100000, 'vast', 'hot_events'),
+  ('generic_interaction', 'generic_interactions', 1000000, 'generic_interaction', 'interactions'),
+  ('ad_interaction', 'ad_interactions', 10000, 'ad_interaction', 'interactions'),
+  ('nrt_ad_interaction', 'ad_interactions', 10000, 'nrt_ad_interaction', 'hot_events')"""
 
 QUERIES = {
     # sources and sinks
@@ -190,9 +204,9 @@ SELECT coalesce(s.event_date, d.event_date) AS event_date, s.n AS src_rows, d.n
   s.ids AS src_id_sum, d.ids AS dst_id_sum,
   CASE WHEN s.n IS NULL THEN 'keep' WHEN d.n IS NULL THEN 'copy'
     WHEN s.n = d.n AND s.ids = d.ids THEN 'skip' ELSE 'update' END AS action
-FROM (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS ids FROM cls
+FROM (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS ids FROM cls
       WHERE event_class <> 'unclassified' AND event_date <> DATE '2024-01-30' GROUP BY event_date) s
-FULL JOIN (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS ids FROM defect
+FULL JOIN (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS ids FROM defect
       WHERE event_date <> DATE '2024-01-05' GROUP BY event_date) d ON s.event_date = d.event_date""",
     "users_dim_load": """
 SELECT user_id, name, nation, coalesce(o_orderpriority, segment) AS segment, DATE '2024-01-30' AS load_date
@@ -286,8 +300,8 @@ UNION ALL SELECT 'cold', event_class, min(event_date), max(event_date), count(*)
     "partition_inventory": f"SELECT {P}, count(*) AS rows, min(request_ts) AS first_ts, max(request_ts) AS last_ts FROM ad GROUP BY ALL",
     "action_digest": """
 SELECT status, string_agg(item, '<br>' ORDER BY item) AS report FROM (
-  SELECT action AS status, concat('PARTITION (', year(lower_date), ', ', month(lower_date), ', ', day(lower_date), ', ', lower_hour,
-    ') <= VALUES < (', year(upper_date), ', ', month(upper_date), ', ', day(upper_date), ', ', upper_hour, ')') AS item
+  SELECT action AS status, concat(CAST(lower_date AS STRING), printf(' %02d:00 to ', lower_hour), CAST(upper_date AS STRING),
+    printf(' %02d:00', upper_hour)) AS item
   FROM drops) x GROUP BY status""",
     # views
     "tier_view": f"""
@@ -316,7 +330,7 @@ FROM (SELECT DISTINCT o_orderdate AS d FROM orders) o""",
 SELECT unique_id, event_hour, CASE WHEN event_date <> DATE '2024-01-13' THEN event_date END AS lower_date,
   CASE WHEN event_date <> DATE '2024-01-13' THEN CASE WHEN event_hour < 12 THEN 0 ELSE 12 END END AS lower_hour,
   event_date <> DATE '2024-01-13' AS covered FROM cls""",
-    "gated_drop_plan": "SELECT lower_date, lower_hour, upper_date, upper_hour, action, reason FROM drops",
+    "gated_drop_plan": "SELECT lower_date, lower_hour, upper_date, upper_hour, action, reason, residue FROM drops",
     "partition_discovery": """
 SELECT DISTINCT concat('event_year=', event_year, '/event_month=', event_month, '/event_day=', event_day,
   '/event_hour=', event_hour) AS partition,
@@ -329,9 +343,10 @@ SELECT DISTINCT 'day' AS level, event_year AS year, event_month AS month, event_
 FROM cls WHERE event_class = 'nofill' AND event_date <= DATE '2024-02-01'
 UNION ALL SELECT DISTINCT 'month', event_year, event_month, CAST(NULL AS INT) FROM cls WHERE event_class = 'nofill'""",
     "failed_day_reset": """
-SELECT CAST(h AS INT) AS hour, CASE WHEN n > 0 THEN 'dropped' ELSE 'absent' END AS status
-FROM range(24) r(h) LEFT JOIN (SELECT event_hour, count(*) AS n FROM cls
-  WHERE event_class = 'nofill' AND event_date = DATE '2024-01-23' GROUP BY 1) c ON h = event_hour""",
+SELECT k.event_class, CAST(h AS INT) AS hour, CASE WHEN n > 0 THEN 'dropped' ELSE 'absent' END AS status
+FROM range(24) r(h) CROSS JOIN (VALUES ('fill'), ('nofill')) k(event_class)
+LEFT JOIN (SELECT event_class, event_hour, count(*) AS n FROM cls WHERE event_date = DATE '2024-01-23' GROUP BY ALL) c
+  ON h = event_hour AND c.event_class = k.event_class""",
     "tier_plan": """
 SELECT event_date, age_days, unnest(CASE WHEN age_days < -2 THEN ['none'] WHEN age_days = -2 THEN ['create']
   WHEN age_days < 7 THEN ['hot'] WHEN age_days = 7 THEN ['sink', 'drop_hot'] WHEN age_days < 15 THEN ['cold']
@@ -373,20 +388,22 @@ LEFT JOIN (SELECT kind, max(ts) AS last_ts FROM raw GROUP BY kind) e ON r.kind =
     # profile and ledger
     "profile_hour": f"""
 SELECT user_id, zone, {PROFILE} FROM cls WHERE event_date = DATE '2024-01-29' AND event_hour = 10
-  AND zone IN {ZONES} GROUP BY ALL""",
+  AND zone IN {ZONES} AND (has_impression = 1 OR has_click = 1) GROUP BY ALL""",
     "profile_week": f"""
 SELECT *, CASE WHEN impressions <> 0 THEN clicks / impressions END AS ctr FROM (
   SELECT event_year AS profile_year, {WEEK_U.format(d="event_date")} AS week_number, user_id, zone, {PROFILE}
-  FROM cls WHERE zone IN {ZONES} GROUP BY ALL) x""",
+  FROM cls WHERE zone IN {ZONES} AND (has_impression = 1 OR has_click = 1) GROUP BY ALL) x""",
     "profile_backfill": f"""
 SELECT user_id, zone, {PROFILE} FROM cold WHERE event_class = 'fill' AND event_date = DATE '2024-01-23' AND event_hour = 10
-  AND zone IN {ZONES} GROUP BY ALL""",
+  AND zone IN {ZONES} AND (has_impression = 1 OR has_click = 1) GROUP BY ALL""",
     "profile_change_gate": "SELECT event_date, event_hour, expected, written, pct_diff, passed FROM change_gate",
     "ledger_append": f"""
 SELECT 'profile_hourly' AS job_name, {parts('h', 'current_year, current_month, current_day, current_hour')},
   {parts('h + INTERVAL 1 HOUR', 'next_year, next_month, next_day, next_hour')},
-  {WEEK_U.format(d="h")} AS week_number, 0 AS is_processed, 1 AS retries
-FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) x""",
+  {WEEK_U.format(d="h")} AS week_number, is_processed, retries
+FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) x CROSS JOIN LATERAL (
+  SELECT 0 AS is_processed, 1 AS retries
+  UNION ALL SELECT CASE WHEN hour(h) % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN hour(h) % 2 = 0 THEN 1 ELSE 2 END) y""",
     "reprocess_plan": """
 SELECT coalesce(l.event_date, g.event_date) AS event_date, coalesce(l.event_hour, g.event_hour) AS event_hour,
   coalesce(retries, 0) + 1 AS retries,

@@ -4,6 +4,8 @@ import datetime as dt
 import os
 from dataclasses import replace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,10 +97,11 @@ def test_fold_leaves_unfinished_parts_alone(spark, feed, whole, rows, tmp_path):
     hot = f"{root}/hot_events"
     feed.drop("event_date").repartition(3).write.parquet(src)
     play(spark, src, root, cfg=replace(OPEN, max_files_per_trigger=1))
-    folders.delete(spark, f"{hot}/part=request-0000000001/_SUCCESS")
-    before = folders.partition_dirs(spark, f"{hot}/part=request-0000000001", RANGES)
+    unfinished = next(part for part in folders.children(spark, hot) if part.endswith("-0000000001"))
+    folders.delete(spark, f"{hot}/{unfinished}/_SUCCESS")
+    before = folders.partition_dirs(spark, f"{hot}/{unfinished}", RANGES)
     assert hot_store.fold(spark, hot, 2)
-    assert folders.partition_dirs(spark, f"{hot}/part=request-0000000001", RANGES) == before
+    assert folders.partition_dirs(spark, f"{hot}/{unfinished}", RANGES) == before
     assert rows(hot_store.read_hot(spark, hot).select(*ROW)) == whole
 
 
@@ -201,11 +204,72 @@ def test_hourly_counts_grow_over_restarts(spark, tmp_path):
     assert feed_and_run("2024-01-01 05:00:00") == {1: 3, 2: 1, 3: 1}
 
 
-def test_rejects_of_other_streams_are_not_kept(spark, tmp_path):
+def test_rejects_of_other_streams_are_counted_but_not_kept(spark, tmp_path):
     src, root = str(tmp_path / "src"), str(tmp_path / "t")
-    spark.createDataFrame([(1, "{bad")], "event_id bigint, payload string").write.parquet(src)
+    arrive(spark, src, "{bad", "{worse", text("a"))
     play(spark, src, root, "vast")
     assert not os.path.exists(f"{root}/bad_records")
+    counted = rejects.read_reject_counts(spark, f"{root}/bad_counts").collect()
+    assert [(r.app, r.batch_id, r.reason, r.rows) for r in counted] == [("vast", 0, "unparseable", 2)]
+
+
+def test_a_fresh_checkpoint_keeps_what_was_stored(spark, tmp_path):
+    """Batches are counted from 0 again, over new messages."""
+    root = str(tmp_path / "t")
+    for i, key in enumerate("abc"):
+        src = str(tmp_path / f"src{i}")
+        arrive(spark, src, text(key), "{bad" + key)
+        play(spark, src, root, "click")
+        folders.move(spark, f"{root}/checkpoints", str(tmp_path / f"old{i}"))
+    assert sorted(r.unique_id for r in hot_store.read_hot(spark, f"{root}/hot_events").collect()) == ["a", "b", "c"]
+    assert sorted(r.payload for r in rejects.read_quarantine(spark, f"{root}/bad_records").collect()) == ["{bada", "{badb", "{badc"]
+
+
+def test_batch_borders_change_nothing(spark, tmp_path):
+    """Messages of one key whose request times lie in two hours."""
+    def message(hour):
+        return text("u").replace('"request_timestamp":"2024-01-30 10', f'"request_timestamp":"2024-01-30 {hour}')
+
+    got = []
+    for name, batches in (("one", [["10", "11"]]), ("two", [["10"], ["11"]])):
+        src, root = str(tmp_path / f"src-{name}"), str(tmp_path / name)
+        for hours in batches:
+            arrive(spark, src, *map(message, hours))
+            play(spark, src, root, "click")
+        got.append(sorted(r.event_hour for r in hot_store.read_hot(spark, f"{root}/hot_events").collect()))
+    assert got == [[10, 11], [10, 11]]
+
+
+def test_an_interaction_needs_only_what_its_table_keeps(spark, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "t")
+    bare = '{"event_id":7,"user_id":1,"topology_entry_time":"2024-01-30 10:00:00"}'
+    arrive(spark, src, bare, bare.replace('"event_id":7,', ""))
+    play(spark, src, root, "generic_interaction")
+    assert [r.event_id for r in interactions.read_interactions(spark, f"{root}/interactions").collect()] == [7]
+    assert [r.reason for r in rejects.read_reject_counts(spark, f"{root}/bad_counts").collect()] == ["missing_key"]
+
+
+def test_a_lookup_outlives_its_files(spark, tmp_path):
+    from emberline.operators.lookups import Lookup
+
+    path, clock = str(tmp_path / "side"), [0.0]
+    side = Lookup(lambda: spark.read.parquet(path), 100, "k", clock=lambda: clock[0])
+    batch = spark.createDataFrame([(1,), (2,)], "k int")
+
+    def store(value):
+        """As another process does it: the file that was loaded is gone."""
+        for name in os.listdir(path) if os.path.isdir(path) else []:
+            os.remove(f"{path}/{name}")
+        os.makedirs(path, exist_ok=True)
+        pq.write_table(pa.table({"k": pa.array([1], pa.int32()), "v": [value]}), f"{path}/{value}.parquet")
+
+    store("old")
+    assert {r.k: r.v for r in side.join(batch).collect()} == {1: "old", 2: None}
+    store("new")
+    assert {r.k: r.v for r in side.join(batch).collect()} == {1: "old", 2: None}
+    clock[0] = 200.0
+    assert {r.k: r.v for r in side.join(batch).collect()} == {1: "new", 2: None}
+    assert side.loads == 2
 
 
 def test_evaluation_covers_every_batch_once():
