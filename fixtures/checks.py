@@ -163,7 +163,9 @@ def partition_sync(spark, sf):
     kept = given.classified(spark, sf).where(F.col("event_class") != "unclassified")
     src = kept.where(F.col("event_date") != F.lit(LAST))
     dst = given.cold_defect(spark, sf).where(F.col("event_date") != F.lit(dt.date(2024, 1, 5)))
-    return sync.sync_plan(src, dst, content=False)
+    # One day has the same rows but for a flag.
+    flag = F.when(F.col("event_date") == F.lit(dt.date(2024, 1, 10)), F.lit(0)).otherwise(F.col("has_vast"))
+    return sync.sync_plan(src, dst.withColumn("has_vast", flag))
 
 
 @query

@@ -188,6 +188,13 @@ REGISTRY = """
   ('ad_interaction', 'ad_interactions', 10000, 'ad_interaction', 'interactions'),
   ('nrt_ad_interaction', 'ad_interactions', 10000, 'nrt_ad_interaction', 'hot_events')"""
 
+# Rows as text, in the order of the columns' names, and 60 bits of their hash.
+COLUMNS = sorted([*ROW.split(", "), "event_date", "event_class"])
+TEXT = ", ".join(
+    f"coalesce(CAST({'epoch_us(request_ts)' if name == 'request_ts' else name} AS STRING), '~')" for name in COLUMNS
+)
+CONTENT = f"sum(CAST(concat('0x', substr(md5(concat_ws('|', {TEXT})), 1, 15)) AS BIGINT))"
+
 QUERIES = {
     # sources and sinks
     "event_source": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
@@ -203,11 +210,12 @@ QUERIES = {
 SELECT coalesce(s.event_date, d.event_date) AS event_date, s.n AS src_rows, d.n AS dst_rows,
   s.ids AS src_id_sum, d.ids AS dst_id_sum,
   CASE WHEN s.n IS NULL THEN 'keep' WHEN d.n IS NULL THEN 'copy'
-    WHEN s.n = d.n AND s.ids = d.ids THEN 'skip' ELSE 'update' END AS action
-FROM (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS ids FROM cls
+    WHEN s.n = d.n AND s.ids = d.ids AND s.content = d.content THEN 'skip' ELSE 'update' END AS action
+FROM (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS ids, {content} AS content FROM cls
       WHERE event_class <> 'unclassified' AND event_date <> DATE '2024-01-30' GROUP BY event_date) s
-FULL JOIN (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS ids FROM defect
-      WHERE event_date <> DATE '2024-01-05' GROUP BY event_date) d ON s.event_date = d.event_date""",
+FULL JOIN (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS ids, {content} AS content
+      FROM (SELECT * REPLACE (CASE WHEN event_date = DATE '2024-01-10' THEN 0 ELSE has_vast END AS has_vast) FROM defect) x
+      WHERE event_date <> DATE '2024-01-05' GROUP BY event_date) d ON s.event_date = d.event_date""".format(content=CONTENT),
     "users_dim_load": """
 SELECT user_id, name, nation, coalesce(o_orderpriority, segment) AS segment, DATE '2024-01-30' AS load_date
 FROM users LEFT JOIN (
