@@ -57,6 +57,29 @@ LEGACY_NAMES = {
 }
 
 
+def mapped_targets(spec: str = RENAMES) -> list[str]:
+    """Target names of the mapped fields, without the key and the partition tuple."""
+    targets = dict.fromkeys(pair.strip().split("-", 1)[1] for pair in spec.split(","))
+    return [name for name in targets if name not in {"unique_id", *PARTS}]
+
+
+def mapped_fields(spec: str = RENAMES) -> dict[str, tuple[str, str]]:
+    """Payload fields that are mapped, as `parse` takes them: each under its own name."""
+    kept = set(mapped_targets(spec))
+    pairs = [pair.strip().split("-", 1) for pair in spec.split(",")]
+    return {source: (source, "string") for source, target in pairs if target in kept}
+
+
+def with_details(df: DataFrame, name: str, spec: str = RENAMES) -> DataFrame:
+    """Decoded mapped fields renamed and put into one JSON object; NULL when there are none."""
+    sources = list(mapped_fields(spec))
+    held = rename(df.select("*"), spec) if sources else df
+    fields = mapped_targets(spec)
+    some = F.coalesce(*[F.col(f) for f in fields]).isNotNull()
+    kept = [c for c in df.columns if c not in sources]
+    return held.select(*kept, F.when(some, F.to_json(F.struct(*fields))).alias(name))
+
+
 def rename(df: DataFrame, spec: str = RENAMES) -> DataFrame:
     """Apply `source-target` pairs in one projection.
 

@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.calendar import parts_of
-from emberline.schema import FLAGS, PARTS
+from emberline.schema import FLAGS, PARTS, SEEN
 
 
 def to_states(events: DataFrame, attributes: Sequence[str] = ("zone",), stable: Sequence[str] = ()) -> DataFrame:
-    """Event rows to mergeable rows. A flag column an event lacks is NULL.
+    """Event rows to mergeable rows. A flag or attribute an event lacks is NULL.
 
     An attribute is kept with its event; it is NULL when the event has no value.
     """
@@ -31,6 +31,8 @@ def to_states(events: DataFrame, attributes: Sequence[str] = ("zone",), stable:
         *[f if f in have else f"cast(NULL AS INT) AS {f}" for f in FLAGS],
         *[
             f"if({a} IS NULL, NULL, struct(ts, event_id, {a} AS value)) AS {a}_seen"
+            if a in have
+            else f"cast(NULL AS {SEEN.simpleString()}) AS {a}_seen"
             for a in attributes
         ],
     )
@@ -59,6 +61,29 @@ def present(states: DataFrame, attributes: Sequence[str] = ("zone",)) -> DataFra
     )
 
 
+def unfolded(states: DataFrame, details: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Mergeable rows with each mapped field as a column, in place of the details.
+
+    A field is the value of the latest event that has one, whatever kind it is of. Each
+    kind's object is decoded once.
+    """
+    schema = ", ".join(f"`{name}` STRING" for name in fields)
+    kept = [name for name in states.columns if name not in {f"{d}_seen" for d in details}]
+    parsed = [
+        F.struct(F.col(f"{d}_seen.ts"), F.col(f"{d}_seen.event_id"), F.from_json(f"{d}_seen.value", schema).alias("held")).alias(d)
+        for d in details
+    ]
+
+    def latest(name: str):
+        seen = [
+            F.expr(f"if({d}.held.`{name}` IS NULL, NULL, struct({d}.ts, {d}.event_id, {d}.held.`{name}` AS value))")
+            for d in details
+        ]
+        return F.array_max(F.array(*seen))["value"].alias(name)
+
+    return states.select(*kept, *parsed).select(*kept, *[latest(name) for name in fields])
+
+
 def merge_lifecycle(events: DataFrame, attributes: Sequence[str] = ("zone",), stable: Sequence[str] = ()) -> DataFrame:
     """One row per `unique_id` from event rows of all kinds."""
     states = merge_states(to_states(events, attributes, stable), attributes, stable)

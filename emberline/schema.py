@@ -56,6 +56,25 @@ SEEN = T.StructType(
     ]
 )
 
+# Kinds of events that make up a hot row, and the column that holds the latest mapped
+# fields of each kind: the fields as a JSON object, with the event they came with.
+HOT_KINDS = [
+    "ad_inflated",
+    "ad_response",
+    "request",
+    "impression",
+    "click",
+    "attribution",
+    "install",
+    "app_event",
+    "vast",
+    "nrt_ad_interaction",
+]
+DETAILS = [f"{kind}_details" for kind in HOT_KINDS]
+
+# What the merge keeps the latest value of.
+HOT_ATTRIBUTES = ["zone", *DETAILS]
+
 # Hot folders are half-day ranges, named by the hour they start at.
 RANGES = ["event_year", "event_month", "event_day", "lower_hour"]
 
@@ -66,7 +85,7 @@ HOT = T.StructType(
         T.StructField("user_id", T.LongType()),
         T.StructField("request_ts", T.TimestampNTZType()),
         *[T.StructField(flag, T.IntegerType()) for flag in FLAGS],
-        T.StructField("zone_seen", SEEN),
+        *[T.StructField(f"{name}_seen", SEEN) for name in HOT_ATTRIBUTES],
         T.StructField("event_hour", T.IntegerType()),
         *[T.StructField(part, T.IntegerType()) for part in RANGES],
     ]

@@ -18,9 +18,9 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.columns import partition_last, with_partitions
-from emberline.operators.merge import merge_states, present, to_states
-from emberline.schema import HOT, PARTS, RANGES
+from emberline.functions.columns import mapped_targets, partition_last, with_partitions
+from emberline.operators.merge import merge_states, present, to_states, unfolded
+from emberline.schema import DETAILS, HOT, HOT_ATTRIBUTES, PARTS, RANGES
 from emberline.settings import Settings
 from emberline.sources import folders
 
@@ -45,7 +45,7 @@ def upsert(batch: DataFrame, batch_id: int, target: str, writer: str = "batch")
     The partition is taken from each message before anything is merged, as readers
     group by it too: where batches begin and end changes nothing.
     """
-    states = merge_states(with_partitions(to_states(batch)), stable=PARTS)
+    states = merge_states(with_partitions(to_states(batch, HOT_ATTRIBUTES)), HOT_ATTRIBUTES, stable=PARTS)
     write_part(states, f"{target}/part={writer}-{batch_id:010d}")
 
 
@@ -62,11 +62,13 @@ def merged(rows: DataFrame) -> DataFrame:
     The partition tuple of a key never changes and is grouped on, so filters on it
     pass below the merge: the date prunes folders, the hour row groups.
     """
-    return partition_last(merge_states(rows, stable=PARTS))
+    return partition_last(merge_states(rows, HOT_ATTRIBUTES, stable=PARTS))
 
 
 def read_hot(spark: SparkSession, target: str) -> DataFrame:
-    return present(merged(stored(spark, target)))
+    """One row per key: flags, zone and every mapped field. What is not read is not merged."""
+    wide = unfolded(merged(stored(spark, target)), DETAILS, mapped_targets())
+    return present(wide)
 
 
 def crowded_ranges(spark: SparkSession, target: str, min_parts: int) -> dict[str, list[str]]:

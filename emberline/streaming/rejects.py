@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.columns import parse
+from emberline.functions.columns import mapped_fields, parse, with_details
 from emberline.operators.filters import lateness
 from emberline.schema import INTERACTION_FIELDS, PAYLOAD_FIELDS, QUARANTINE, REJECT_COUNTS
 from emberline.settings import Settings
@@ -18,10 +18,14 @@ from emberline.sources.registry import max_age, spec
 def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settings()) -> DataFrame:
     """Decoded messages with `reason`, NULL for the good ones.
 
-    An interaction is asked only for the fields its table keeps.
+    An interaction is asked only for the fields its table keeps. Of other messages the
+    mapped fields come along, as the details of their kind.
     """
     interaction = spec(kind).target == "interactions"
-    decoded = parse(messages, INTERACTION_FIELDS if interaction else PAYLOAD_FIELDS)
+    if interaction:
+        decoded = parse(messages, INTERACTION_FIELDS)
+    else:
+        decoded = with_details(parse(messages, PAYLOAD_FIELDS | mapped_fields()), f"{kind}_details")
     key, day = ("event_id", "ts") if interaction else ("unique_id", "request_ts")
     reason = (
         F.when(F.col("corrupt").isNotNull(), "unparseable")

@@ -96,7 +96,7 @@ def hot_upsert_sink(spark, sf):
     ws = folders.workspace(spark, "hot_upsert_sink")
     root = run_kinds(spark, sf, ws, False, AS_OF, OPEN)
     hot_store.fold(spark, f"{root}/hot_events", min_parts=4)
-    return hot_store.read_hot(spark, f"{root}/hot_events").select(*ROW)
+    return hot_store.read_hot(spark, f"{root}/hot_events").select(*ROW, "cell_id", "topic_name", "install_campaign_app_id")
 
 
 @query

@@ -204,6 +204,10 @@ def messages(spark: SparkSession, sf: str, dirty: bool = False) -> DataFrame:
         "user_id": F.col("user_id").cast("string"),
         "zone": quoted(F.col("zone")),
         "event_type": quoted(F.col("event_type")),
+        # Mapped fields, each by its source name.
+        "cellid": F.col("k").cast("string"),
+        "topicname": quoted(F.col("event_type")),
+        "appid": F.when(F.col("k") % 2 == 0, quoted(F.concat(F.lit("app"), F.col("k").cast("string")))).otherwise("null"),
         "has_request": request,
         **{name: flag(name) for name in FLAGS if name != "has_request"},
     }

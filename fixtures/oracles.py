@@ -152,7 +152,8 @@ message AS (
   FROM (SELECT *, concat('{{"event_id":', event_id,
       ',"uniqueId":', CASE WHEN event_id % 89 = 0 THEN 'null' ELSE concat('"', unique_id, '"') END,
       ',"topology_entry_time":"', CAST(ts AS STRING), '","request_timestamp":"', CAST(request_ts AS STRING),
-      '","user_id":', user_id, ',"zone":"', zone, '","event_type":"', event_type, '",',
+      '","user_id":', user_id, ',"zone":"', zone, '","event_type":"', event_type, '","cellid":', k,
+      ',"topicname":"', event_type, '","appid":', CASE WHEN k % 2 = 0 THEN concat('"app', k, '"') ELSE 'null' END, ',',
       '"has_request":', CASE WHEN event_id % 83 = 0 THEN '"x"' ELSE coalesce(CAST(has_request AS STRING), 'null') END,
       {", ".join(f"""',"{f}":', coalesce(CAST({f} AS STRING), 'null')""" for f in FLAGS if f != "has_request")},
       '}}') AS whole FROM raw) m
@@ -198,7 +199,12 @@ CONTENT = f"sum(CAST(concat('0x', substr(md5(concat_ws('|', {TEXT})), 1, 15)) AS
 QUERIES = {
     # sources and sinks
     "event_source": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
-    "hot_upsert_sink": f"SELECT {ROW} FROM ad",
+    "hot_upsert_sink": f"""
+SELECT {ROW}, cell_id, topic_name, install_campaign_app_id FROM ad JOIN (
+  SELECT unique_id, CAST(arg_max(k, event_id) AS STRING) AS cell_id, arg_max(event_type, event_id) AS topic_name,
+    arg_max(CASE WHEN k % 2 = 0 THEN concat('app', k) END, event_id) AS install_campaign_app_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, kind ORDER BY ts DESC, event_id DESC) AS n FROM raw) r
+  WHERE n = 1 GROUP BY unique_id) m USING (unique_id)""",
     "cold_orc_sink": f"SELECT {ROW}, event_class FROM cls WHERE event_class <> 'unclassified'",
     "cold_orc_sink_day": f"SELECT {ROW}, event_class FROM cls WHERE event_class <> 'unclassified' AND event_date = DATE '2024-01-23'",
     "interaction_append": f"SELECT event_id, user_id, event_type, {parts('ts')} FROM events",

@@ -312,3 +312,30 @@ def test_workspace_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     path = folders.workspace(spark, "x")
     assert path.startswith(shared) if shared else path.endswith("/x")
+
+
+def test_mapped_fields_reach_the_hot_row_and_the_cold_tables(spark, tmp_path):
+    """Each kind keeps its latest fields; a field is the latest value of any kind."""
+    from emberline.functions.columns import mapped_targets
+    from emberline.sources import cold
+
+    root = str(tmp_path / "t")
+    steps = [
+        ("request", "10:00:00", ',"has_request":1,"gpscountry":"IN","clientid":"c1","cellid":7'),
+        ("click", "10:05:00", ',"has_click":1,"gpscountry":null,"topicid":"t"'),
+        ("click", "10:04:00", ',"has_click":1,"topicid":"older","pubname":"p"'),
+        ("impression", "10:02:00", ',"has_impression":1,"clientid":"c2","app_id":"a2"'),
+    ]
+    for i, (kind, at, extra) in enumerate(steps):
+        arrive(spark, str(tmp_path / f"{i}"), text("u", f"2024-01-30 {at}", extra, i))
+        folders.delete(spark, f"{root}/checkpoints/{kind}")
+        play(spark, str(tmp_path / f"{i}"), root, kind)
+    hot = hot_store.read_hot(spark, f"{root}/hot_events")
+    row = hot.first()
+    assert (row.country, row.client_id, row.cell_id, row.topic_id, row.install_campaign_app_id) == ("IN", "c2", "7", "t", "a2")
+    assert row.pubname is None and (row.has_request, row.has_click, row.has_impression) == (1, 1, 1)
+    assert set(mapped_targets()) <= set(hot.columns) and len(mapped_targets()) == 53
+    cold.sink_day(hot, AS_OF, f"{root}/cold")
+    assert cold.read_cold(spark, f"{root}/cold", hot.schema).first().country == "IN"
+    flags = hot.select("unique_id", "has_click")._jdf.queryExecution().executedPlan().toString()
+    assert "details" not in flags.split("FileScan")[1].split("ReadSchema")[1]
