@@ -13,7 +13,9 @@ from emberline.operators.reconcile import pct_diff, reconcile
 from emberline.plans.lifecycle import apply_drop, drop_plan
 from emberline.plans.views import tier_view
 from emberline.settings import Settings
+from emberline.sources import folders
 from emberline.sources.cold import read_cold, sink_day
+from emberline.streaming.hot import fold, read_hot
 
 
 def daily_chain(
@@ -28,11 +30,15 @@ def daily_chain(
 
     Rows are: rows sunk, rows of that day the view shows (as many, or the stage fails),
     classes that disagree, ranges to drop. With `hot_dir` these ranges are dropped
-    there. Every stage reads the one day only, and the tiers are compared once. Errors
-    of the code itself are raised.
+    there, and the hot table, if streams wrote it in parts, is folded first. Every stage
+    reads the one day only, and the tiers are compared once. Errors of the code itself
+    are raised.
     """
     spark = hot.sparkSession
     date = as_of - dt.timedelta(days=cfg.hot_days)
+    if hot_dir is not None and any(name.startswith("part=") for name in folders.children(spark, hot_dir)):
+        fold(spark, hot_dir, cfg.fold_after_parts)
+        hot = read_hot(spark, hot_dir)
 
     def cold() -> DataFrame:
         return read_cold(spark, cold_root, hot.schema)

@@ -66,9 +66,24 @@ def merged(rows: DataFrame) -> DataFrame:
 
 
 def read_hot(spark: SparkSession, target: str) -> DataFrame:
-    """One row per key: flags, zone and every mapped field. What is not read is not merged."""
-    wide = unfolded(merged(stored(spark, target)), DETAILS, mapped_targets())
-    return present(wide)
+    """One row per key: flags, zone and every mapped field. What is not read is not merged.
+
+    A range that one part alone holds, as after a fold, is merged already and is read as
+    it is, without a shuffle.
+    """
+    found = folders.partition_dirs(spark, target, ["part", *RANGES])
+    held = Counter(path.split("/", 1)[1] for path in found)
+    many = [numbered(folder) for folder, parts in held.items() if parts > 1]
+    rows = stored(spark, target)
+    plain = [name for name in HOT.fieldNames() if name != "lower_hour"]
+    if len(many) == len(held):
+        whole = merged(rows)
+    else:
+        several = range_number(*map(F.col, RANGES)).isin(many)
+        whole = rows.where(~several).select(*plain)
+        if many:
+            whole = merged(rows.where(several)).unionByName(whole)
+    return present(unfolded(whole, DETAILS, mapped_targets()))
 
 
 def crowded_ranges(spark: SparkSession, target: str, min_parts: int) -> dict[str, list[str]]:
@@ -93,6 +108,11 @@ def range_number(year, month, day, hour):
     return ((year * 100 + month) * 100 + day) * 100 + hour
 
 
+def numbered(folder: str) -> int:
+    """The number of a range folder `event_year=2024/.../lower_hour=12`."""
+    return range_number(*[int(level.split("=")[1]) for level in folder.split("/")])
+
+
 def fold(spark: SparkSession, target: str, min_parts: int = Settings().fold_after_parts) -> list[str]:
     """Merge the parts of crowded ranges into one; return the ranges folded.
 
@@ -101,9 +121,7 @@ def fold(spark: SparkSession, target: str, min_parts: int = Settings().fold_afte
     crowded = crowded_ranges(spark, target, min_parts)
     if not crowded:
         return []
-    due = [
-        range_number(*[int(level.split("=")[1]) for level in folder.split("/")]) for folder in crowded
-    ]
+    due = [numbered(folder) for folder in crowded]
     covered = stored(spark, target).where(range_number(*map(F.col, RANGES)).isin(due))
     write_part(merged(covered), f"{target}/part=fold-{uuid.uuid4().hex}")
     for folder, parts in crowded.items():

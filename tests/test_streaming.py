@@ -339,3 +339,38 @@ def test_mapped_fields_reach_the_hot_row_and_the_cold_tables(spark, tmp_path):
     assert cold.read_cold(spark, f"{root}/cold", hot.schema).first().country == "IN"
     flags = hot.select("unique_id", "has_click")._jdf.queryExecution().executedPlan().toString()
     assert "details" not in flags.split("FileScan")[1].split("ReadSchema")[1]
+
+
+def test_ranges_in_one_part_are_read_without_a_merge(spark, feed, whole, rows, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "t")
+    hot = f"{root}/hot_events"
+    feed.drop("event_date").repartition(3).write.parquet(src)
+    play(spark, src, root, cfg=replace(OPEN, max_files_per_trigger=1))
+
+    def exchanges():
+        return hot_store.read_hot(spark, hot)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges() > 0
+    hot_store.fold(spark, hot, 2)
+    assert exchanges() == 0
+    assert rows(hot_store.read_hot(spark, hot).select(*ROW)) == whole
+    late = feed.where("event_date = '2024-01-03'").drop("event_date")
+    late.write.parquet(str(tmp_path / "late"))
+    folders.delete(spark, f"{root}/checkpoints/request")
+    play(spark, str(tmp_path / "late"), root)
+    assert exchanges() > 0
+    assert rows(hot_store.read_hot(spark, hot).select(*ROW)) == whole
+
+
+def test_the_chain_folds_sinks_and_drops_a_streamed_day(spark, feed, whole, tmp_path):
+    from emberline.plans import chain
+
+    src, root = str(tmp_path / "src"), str(tmp_path / "t")
+    hot = f"{root}/hot_events"
+    feed.drop("event_date").repartition(3).write.parquet(src)
+    play(spark, src, root, cfg=replace(OPEN, max_files_per_trigger=1))
+    cfg = replace(OPEN, fold_after_parts=2)
+    report = chain.daily_chain(hot_store.read_hot(spark, hot), str(tmp_path / "cold"), dt.date(2024, 1, 11), cfg, hot_dir=hot)
+    assert {r.stage: r.status for r in report.collect()} == dict.fromkeys(["sink", "view", "reconcile", "drop"], "ok")
+    left = hot_store.read_hot(spark, hot)
+    assert left.where("event_day = 4").count() == 0 and left.count() == len([r for r in whole if r[ROW.index("event_day")] != 4])
