@@ -339,3 +339,30 @@ def without_repeats(documents: DataFrame, length: int = 100, key: str = "doc_id"
     kind = rest.schema["rest"].dataType.simpleString()
     out = _with_spans(docs, length, rest).mapInArrow(_rewritten, f"doc_id long, no_id boolean, rest {kind}, text string, n_removed long")
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "n_removed", *[F.col("rest")[c].alias(c) for c in others])
+
+
+# Every byte and every window of 100 bytes as a row; windows are told apart by their MD5.
+ORACLE = """
+    WITH docs AS (
+        SELECT doc_id, hex(encode(min(coalesce(text, '')))) AS digits FROM documents GROUP BY doc_id),
+    sized AS (SELECT *, length(digits) // 2 AS n FROM docs),
+    starts AS (
+        SELECT doc_id, p, md5(substr(digits, 2 * p + 1, 200)) AS content
+        FROM (SELECT *, unnest(range(greatest(n - 99, 0))) AS p FROM sized) s),
+    later AS (
+        SELECT doc_id, p FROM starts
+        QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id NULLS FIRST, p) > 1),
+    places AS (SELECT doc_id, unnest(range(n)) AS i FROM sized),
+    seen AS (
+        SELECT b.doc_id, i, max(p) OVER (PARTITION BY b.doc_id ORDER BY i) AS last
+        FROM places b LEFT JOIN later l ON b.doc_id IS NOT DISTINCT FROM l.doc_id AND i = p),
+    marked AS (SELECT doc_id, i, coalesce(i - last < 100, false) AS cut FROM seen),
+    edges AS (
+        SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), false) AS enters FROM marked),
+    left_over AS (
+        SELECT e.doc_id, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE enters) AS n_spans,
+               string_agg(substr(digits, 2 * i + 1, 2), '' ORDER BY i) FILTER (WHERE NOT cut) AS kept
+        FROM edges e JOIN sized s ON e.doc_id IS NOT DISTINCT FROM s.doc_id GROUP BY e.doc_id)
+    SELECT s.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM sized s LEFT JOIN left_over l ON s.doc_id IS NOT DISTINCT FROM l.doc_id"""
