@@ -96,6 +96,24 @@ def merge_increment(existing: DataFrame, batch: DataFrame, attributes: Sequence[
     return merge_states(existing.select(*fresh.columns).unionByName(fresh), attributes)
 
 
+def merge_flagged(
+    events: DataFrame, interactions: DataFrame, attributes: Sequence[str] = ("zone",)
+) -> DataFrame:
+    """Merged rows of events with `has_ad_interactions` set where their key interacted.
+
+    Interactions join the merge as states that carry the flag alone, so that flagging costs
+    no shuffle of its own; a key without an event gives no row.
+    """
+    own = to_states(events, attributes).withColumn("_own", F.lit(1))
+    seen = interactions.select("unique_id", F.lit(1).alias("has_ad_interactions"))
+    states = own.unionByName(seen, allowMissingColumns=True)
+    largest = [name for name in own.columns if name not in ("unique_id", "request_ts")]
+    merged = states.groupBy("unique_id").agg(
+        F.min("request_ts").alias("request_ts"), *[F.max(name).alias(name) for name in largest]
+    )
+    return present(merged.where("_own = 1").drop("_own"), attributes)
+
+
 def flag_interactions(hot: DataFrame, interactions: DataFrame) -> DataFrame:
     """Set `has_ad_interactions` on hot rows whose key interacted.
 

@@ -38,7 +38,10 @@ def clicks_view(hot: DataFrame, cold: DataFrame, as_of: dt.date, cfg: Settings =
 def view_sql(spark: SparkSession, view: str, t1: str, t2: str, c1: str, c2: str, verb: str = "CREATE OR REPLACE") -> str:
     """Text of a two-table view. Columns come from the first table's schema."""
     names = spark.table(t1).columns
-    listed = ", ".join([n for n in names if n not in PARTS] + PARTS)
+    lacking = set(names) - set(spark.table(t2).columns)
+    if lacking:
+        raise ValueError(f"{t2} lacks the columns {sorted(lacking)} of {t1}")
+    listed = ", ".join(f"`{n}`" for n in [n for n in names if n not in PARTS] + PARTS)
     return (
         f"{verb} VIEW {view} AS "
         f"SELECT {listed} FROM {t1} WHERE {c1} "

@@ -128,9 +128,8 @@ def interaction_append(spark, sf):
 @query
 def ad_interaction_flag(spark, sf):
     events = given.raw(spark, sf)
-    unflagged = merge.merge_lifecycle(events.drop("has_ad_interactions"), stable=["event_date"])
     interacted = events.where(F.col("has_ad_interactions") == 1)
-    return merge.flag_interactions(unflagged, interacted).select(*ROW)
+    return merge.merge_flagged(events.drop("has_ad_interactions"), interacted).select(*ROW)
 
 
 @query

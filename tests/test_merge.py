@@ -112,3 +112,13 @@ def test_lookup_reloads_when_old(spark):
         now[0] = moment
         assert sorted(map(tuple, lookup.join(batch).collect())) == [(1, "x"), (2, None)]
         assert lookup.loads == loads
+
+
+def test_flagging_takes_one_shuffle_and_equals_the_join(events, rows):
+    bare, seen = events.drop("has_ad_interactions"), events.where("has_ad_interactions = 1 AND user_id % 3 = 0").select("unique_id")
+    stray = seen.limit(2).select(F.lit("nobody").alias("unique_id"))
+    flagged = merge.merge_flagged(bare, seen.union(stray))
+    joined = merge.flag_interactions(merge.merge_lifecycle(bare), seen)
+    assert rows(flagged.select(*ROW)) == rows(joined.select(*ROW))
+    plain = merge.merge_flagged(bare, events.where("has_ad_interactions = 1"))
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
