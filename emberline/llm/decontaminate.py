@@ -207,3 +207,51 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that overlap no test item. Rows without an id are judged by a join on null-safe ids."""
     found = overlaps(documents, benchmark).select(F.col("doc_id").alias("_found")).distinct()
     return documents.join(found, documents["doc_id"].eqNullSafe(found["_found"]), "left_anti")
+
+
+def _tokens_sql(name: str, table: str, key: str, where: str) -> str:
+    """Tokens of a table's texts with their places and the bytes at which they begin and end."""
+    run = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+    return f"""
+        {name}_texts AS (
+            SELECT row_number() OVER () AS row, {key} AS id,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM {table} WHERE {where}),
+        {name}_lists AS (
+            SELECT row, id, regexp_extract_all(t, '{run}') AS tokens, string_split_regex(t, '{run}') AS gaps
+            FROM {name}_texts),
+        {name}_rows AS (
+            SELECT row, id, len(tokens) AS n, unnest(tokens) AS token, unnest(gaps[1:len(tokens)]) AS gap,
+                   unnest(range(len(tokens))) AS place
+            FROM {name}_lists WHERE len(tokens) >= {LEAST}),
+        {name} AS (
+            SELECT row, id, n, token, place, ends - strlen(token) AS begins, ends FROM (
+                SELECT *, sum(strlen(gap) + strlen(token)) OVER (PARTITION BY row ORDER BY place) AS ends FROM {name}_rows) x)"""
+
+
+# All diagonals of all documents and items by equal tokens, then all windows of those
+# that have enough.
+ORACLE = f"""
+    WITH {_tokens_sql("doc", "documents", "doc_id", "true")},{_tokens_sql("item", "benchmark", "item_id", "item_id IS NOT NULL")},
+        asked AS (
+            SELECT DISTINCT row, id, n, least(n, {WINDOW}) AS width,
+                   CASE WHEN n >= {WINDOW} THEN {NEED} ELSE n - n // 5 END AS need FROM item),
+        diagonals AS (
+            SELECT d.row AS doc, i.row AS item, d.place - i.place AS diagonal, list(i.place) AS same
+            FROM doc d JOIN item i ON d.token = i.token
+            GROUP BY ALL HAVING count(*) >= {LEAST - LEAST // 5}),
+        windows AS (
+            SELECT doc, item, diagonal, width, need, a.id AS item_id, same, unnest(range(a.n - width + 1)) AS start
+            FROM diagonals g JOIN asked a ON a.row = item WHERE len(same) >= need),
+        counted AS (
+            SELECT w.*, len(list_filter(same, lambda p: p >= start AND p < start + width)) AS agree
+            FROM windows w JOIN (SELECT DISTINCT row, n FROM doc) d ON d.row = doc
+            WHERE diagonal + start >= 0 AND diagonal + start + width <= d.n),
+        best AS (
+            SELECT * FROM counted WHERE agree >= need
+            QUALIFY row_number() OVER (PARTITION BY doc, item ORDER BY agree DESC, diagonal + start, diagonal) = 1)
+    SELECT f.id AS doc_id, item_id, CAST(agree AS INT) AS agree, CAST(width AS INT) AS "window",
+           CAST(diagonal + start AS BIGINT) AS doc_token, CAST(start AS INT) AS item_token,
+           CAST(f.begins AS BIGINT) AS "begin", CAST(l.ends AS BIGINT) AS "end"
+    FROM best JOIN doc f ON f.row = doc AND f.place = diagonal + start
+    JOIN doc l ON l.row = doc AND l.place = diagonal + start + width - 1"""

@@ -65,6 +65,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_repeats": repeats.ORACLE,
+    "op2_overlaps": decontaminate.ORACLE,
     "op4_url_rules": urls.oracle(),
     "op8_chat": chat.ORACLE,
     "op9_vectors": vectors.ORACLE,
