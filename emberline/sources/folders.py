@@ -53,6 +53,15 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(name for name in names if not name.startswith(("_", ".")))
 
 
+def hidden(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Paths of the folders under a path that readers pass over, by their names' beginning."""
+    fs, where = _open(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [entry.getPath().getName() for entry in fs.listStatus(where) if entry.isDirectory()]
+    return sorted(f"{path}/{name}" for name in names if name.startswith(prefix))
+
+
 def committed(spark: SparkSession, path: str) -> bool:
     """A write into the folder has finished and left its marker."""
     return exists(spark, f"{path}/_SUCCESS")
@@ -122,15 +131,12 @@ def recover(spark: SparkSession, table_dir: str) -> list[str]:
     A partition that was moved aside and has no successor gets the staged one if there
     is one, else itself.
     """
-    fs, where = _open(spark, table_dir)
-    if not fs.exists(where):
-        return []
     done = []
-    for entry in fs.listStatus(where):
-        staged = f"{table_dir}/{entry.getPath().getName()}"
+    for staged in hidden(spark, table_dir, "_staging-"):
         aside = f"{staged}/_old"
-        if not entry.getPath().getName().startswith("_staging-") or not exists(spark, aside):
+        if not exists(spark, aside):
             continue
+        fs = _open(spark, aside)[0]
         held = _open(spark, aside)[1].toUri().getPath()
         files, parts = fs.listFiles(_open(spark, aside)[1], True), set()
         while files.hasNext():

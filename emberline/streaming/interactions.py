@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from emberline.functions.calendar import event_date
 from emberline.functions.columns import with_partitions
 from emberline.schema import DAY_PARTS, INTERACTION, PARTS
+from emberline.sources import folders
 
 
 def interaction_rows(events: DataFrame) -> DataFrame:
@@ -29,3 +35,49 @@ def read_interactions(spark: SparkSession, target: str) -> DataFrame:
         .parquet(target)
         .select("event_id", "user_id", "event_type", *PARTS)
     )
+
+
+def _date(day: str) -> dt.date:
+    return dt.date(*[int(level.split("=")[1]) for level in day.split("/")])
+
+
+def fold_days(spark: SparkSession, target: str, before: dt.date, min_parts: int = 2) -> list[str]:
+    """Join the parts of days before a date into one part; return those days.
+
+    Take a date that no stream accepts events of any more. Rows have no key to merge by,
+    so no row may ever be seen twice: the joined day is staged in full, the old parts are
+    moved aside, and then it takes their place. A fold that was cut short is undone by
+    the next one, day by day. Run one at a time per table.
+    """
+    undo_folds(spark, target)
+    days: dict[str, list[str]] = {}
+    for path in folders.partition_dirs(spark, target, ["part", *DAY_PARTS]):
+        part, day = path.split("/", 1)
+        if _date(day) < before:
+            days.setdefault(day, []).append(part)
+    due = {day: parts for day, parts in days.items() if len(parts) >= min_parts}
+    if not due:
+        return []
+    name = f"part=fold-{uuid.uuid4().hex}"
+    staged = f"{target}/_staging-{name}"
+    rows = spark.read.schema(INTERACTION).parquet(target).select(*INTERACTION.fieldNames())
+    rows = rows.where(event_date().isin([_date(day) for day in due]))
+    rows.hint("rebalance", *DAY_PARTS).write.partitionBy(*DAY_PARTS).parquet(staged)
+    for day, parts in due.items():
+        for part in parts:
+            folders.move(spark, f"{target}/{part}/{day}", f"{staged}/_old/{part}/{day}")
+        folders.move(spark, f"{staged}/{day}", f"{target}/{name}/{day}")
+    folders.delete(spark, staged)
+    for part in {part for parts in due.values() for part in parts}:
+        folders.delete_if_spent(spark, f"{target}/{part}")
+    return sorted(due)
+
+
+def undo_folds(spark: SparkSession, target: str) -> None:
+    """Put days back whose parts were moved aside but not yet replaced."""
+    for staged in folders.hidden(spark, target, "_staging-part=fold-"):
+        waiting = set(folders.partition_dirs(spark, staged, DAY_PARTS))
+        for path in folders.partition_dirs(spark, f"{staged}/_old", ["part", *DAY_PARTS]):
+            if path.split("/", 1)[1] in waiting:
+                folders.move(spark, f"{staged}/_old/{path}", f"{target}/{path}")
+        folders.delete(spark, staged)

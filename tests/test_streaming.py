@@ -374,3 +374,38 @@ def test_the_chain_folds_sinks_and_drops_a_streamed_day(spark, feed, whole, tmp_
     assert {r.stage: r.status for r in report.collect()} == dict.fromkeys(["sink", "view", "reconcile", "drop"], "ok")
     left = hot_store.read_hot(spark, hot)
     assert left.where("event_day = 4").count() == 0 and left.count() == len([r for r in whole if r[ROW.index("event_day")] != 4])
+
+
+def test_interaction_days_fold_once_and_survive_a_cut(spark, tmp_path, monkeypatch):
+    src, root = str(tmp_path / "src"), str(tmp_path / "t")
+    table, number = f"{root}/interactions", 0
+    for day in ("26", "27", "26", "27", "30"):
+        number += 1
+        arrive(spark, src, text("a", f"2024-01-{day} 10:00:00", number=number), text("a", f"2024-01-{day} 10:00:00", number=number))
+        play(spark, src, root, "generic_interaction")
+
+    def ids():
+        return sorted(r.event_id for r in interactions.read_interactions(spark, table).collect())
+
+    whole = sorted([1, 2, 3, 4, 5] * 2)
+    assert ids() == whole
+    moves = []
+
+    def cut(spark_, source, target, move=folders.move):
+        moves.append(target)
+        if len(moves) == cut.at:
+            raise OSError("lost")
+        move(spark_, source, target)
+
+    for cut.at in (2, 3, 5):
+        moves.clear()
+        monkeypatch.setattr(folders, "move", cut)
+        with pytest.raises(OSError):
+            interactions.fold_days(spark, table, dt.date(2024, 1, 28))
+        monkeypatch.undo()
+        interactions.undo_folds(spark, table)
+        assert ids() == whole, cut.at
+    interactions.fold_days(spark, table, dt.date(2024, 1, 28))
+    assert ids() == whole
+    assert interactions.fold_days(spark, table, dt.date(2024, 1, 28)) == []
+    assert len(folders.partition_dirs(spark, table, ["part", "event_year", "event_month", "event_day"])) == 3
