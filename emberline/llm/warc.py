@@ -22,7 +22,6 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import common
 
 # Payloads below so many bytes are always stored.
 LEAST = 100
