@@ -6,7 +6,6 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from emberline.functions.calendar import event_date
 from emberline.functions.columns import with_partitions
