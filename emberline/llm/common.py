@@ -17,8 +17,13 @@ CHUNK_BYTES = 8 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, with batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session hands rows to tasks in batches small enough for long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
 
 
 def partitions(df: DataFrame) -> int:
@@ -37,7 +42,7 @@ def one_row_per(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    rows = small_batches(df).select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     # Null keys are one document, dealt and joined like any other.
     rows = rows.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
     first = Window.partitionBy("doc_id", "no_id").orderBy("text")

@@ -193,7 +193,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     have no tokens, rows without an item id are not searched for; of ties the earliest
     window stands. Repeated documents give a row each. Other columns are not read.
     """
-    docs = documents.select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
+    docs = common.small_batches(documents).select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), common.text_of(item_text).alias("text")).where("item_id is not null")
     out = None
     for shard in shards(items, limit):

@@ -95,7 +95,7 @@ def probes(found: np.ndarray) -> list[np.ndarray]:
 
 def learn(documents: DataFrame, sample: int = SAMPLE) -> Filter:
     """The filter of a bounded sample of rows with text and lang; other rows teach nothing."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = common.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = fitting.sampled(rows.where("lang is not null and text is not null"), "doc_id", sample)
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = checkpointed(counts)
@@ -187,7 +187,7 @@ def predict(documents: DataFrame, known: Filter) -> DataFrame:
     as not held out. Other columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(known)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (fitting.bucket("doc_id", FOLDS) == 1).alias("held_out"), common.text_of().alias("text"))
+    rows = common.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), (fitting.bucket("doc_id", FOLDS) == 1).alias("held_out"), common.text_of().alias("text"))
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

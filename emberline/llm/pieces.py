@@ -325,7 +325,7 @@ def encoded(documents: DataFrame, model: str = MODEL, key: str = "doc_id", text:
     """
     coder = documents.sparkSession.sparkContext.broadcast(Coder(Vocabulary.load(model)))
     plain = F.translate(common.text_of(text), MARKER, " ")
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), plain.alias("text"))
+    rows = common.small_batches(documents).select(F.col(key).cast("long").alias("doc_id"), plain.alias("text"))
     return rows.mapInArrow(_code(coder), "doc_id long, ids array<int>, n_ids long, score double, round_trip boolean")
 
 

@@ -84,7 +84,7 @@ def _fingerprints(words: int):
 
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """`doc_id` and `print`, the fingerprint as a signed long, of every row."""
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
+    rows = common.small_batches(documents).select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
     return rows.mapInArrow(_fingerprints(words), "doc_id long, print long")
 
 

@@ -196,7 +196,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     known = known.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most about `sample` pairs of two numbers: a side of known size.
     known = F.broadcast(fitting.sampled(known, "doc_id", sample))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(known, "doc_id")
+    texts = common.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(known, "doc_id")
     words = F.array_distinct(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\u0080-￿]+"))
     opening = F.xxhash64(F.array_join(F.slice(F.split("text", r"\s+", 6), 1, 5), " "))
     once = texts.select("toxic", words.alias("words"), opening.alias("opening")).dropDuplicates(["opening"])
@@ -249,7 +249,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     stay. `held_out` tells the fold by the id alone (a null id is held out).
     """
     lexicon = documents.sparkSession.sparkContext.broadcast(Lexicon(model.learned))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (fitting.bucket("doc_id", FOLDS) == 0).alias("held_out"), common.text_of().alias("text"))
+    rows = common.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), (fitting.bucket("doc_id", FOLDS) == 0).alias("held_out"), common.text_of().alias("text"))
     out = rows.mapInArrow(_scored(lexicon, model.weights), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -267,7 +267,7 @@ def _kept(lexicon, weights):
 def kept(documents: DataFrame, model: Model) -> DataFrame:
     """The rows, all columns, that score below one half. The text's column is `text`."""
     lexicon = documents.sparkSession.sparkContext.broadcast(Lexicon(model.learned))
-    return documents.mapInArrow(_kept(lexicon, model.weights), documents.schema)
+    return common.small_batches(documents).mapInArrow(_kept(lexicon, model.weights), documents.schema)
 
 
 def judged(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm import common
 
 # Payloads below so many bytes are always stored.
 LEAST = 100
@@ -157,7 +158,7 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", key:
     capture date of all records. Other columns are not read.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
+    rows = common.small_batches(pages).select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     firsts = rows.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n"))
     # A digest seen once needs no answer: only those that repeat are joined.
