@@ -7,7 +7,7 @@ per insult or threat: plain, at a target, negated, or reported. A document's sco
 rests on the weights of the patterns its clauses emit, not on the words by themselves.
 
 Words of insult are learned from labelled rows: words, and stems of words, that set
-toxic documents apart. Near copies of one text count once. A logistic regression, pulled
+toxic documents apart. Copies of one text count once. A logistic regression, pulled
 towards the grammar's own weights where labels say nothing, turns pattern sums to a score.
 """
 
@@ -189,7 +189,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """Words of insult and pattern weights from a bounded sample of labelled documents.
 
     `labels` has doc_id and toxic; rows without either teach nothing. Copies are told by
-    their first words: of documents that open alike, one counts.
+    their whole text: each counts once, and once per label where labels disagree.
     """
     spark = documents.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -198,8 +198,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     known = F.broadcast(fitting.sampled(known, "doc_id", sample))
     texts = common.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(known, "doc_id")
     words = F.array_distinct(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\u0080-￿]+"))
-    opening = F.xxhash64(F.array_join(F.slice(F.split("text", r"\s+", 6), 1, 5), " "))
-    once = texts.select("toxic", words.alias("words"), opening.alias("opening")).dropDuplicates(["opening"])
+    once = texts.select("toxic", words.alias("words"), F.xxhash64("text").alias("whole")).dropDuplicates(["whole", "toxic"])
     once = checkpointed(once)
     totals = once.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, clean = totals[0] or 0, (totals[1] or 0) - (totals[0] or 0)

@@ -61,6 +61,24 @@ def test_held_out_labels_teach_nothing(frame):
     assert got == {i: i % 2 for i, _ in rows}
 
 
+def test_texts_that_open_alike_all_teach(frame):
+    rows = [(i, f"home news sport weather contact word{i} thing " + ("grumpf" if i % 2 else "fine") + f" end{i}") for i in range(80)]
+    docs, labels = frame(rows, "doc_id long, text string"), frame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert {x["doc_id"]: x["predicted"] for x in toxicity.judged(docs, labels).collect()} == {i: i % 2 for i, _ in rows}
+
+
+def test_copies_count_once_per_label_in_any_order(frame):
+    rows = [(i, f"clean word{i}", 0) for i in range(40)] + [(100 + i, f"grumpf bad{i}", 1) for i in range(5)]
+    rows += [(200 + i, "one quorf text", 1) for i in range(20)] + [(300 + i, "grumpf bad0", 0) for i in range(20)]
+    models = []
+    for order, parts in ((rows, 1), (rows[::-1], 4)):
+        docs = frame([x[:2] for x in order], "doc_id long, text string", parts)
+        models.append(toxicity.learn(docs, frame([(x[0], x[2]) for x in order], "doc_id long, toxic int", parts)))
+    learned = [sorted(m.learned) for m in models]
+    # Five different toxic texts of one word and one clean one, however many copies; one text is no support.
+    assert learned[0] == learned[1] and [w for w, stem, _ in learned[0] if not stem] == ["grumpf"]
+
+
 def test_odd_rows(frame):
     docs = frame([(1, None, 1), (1, None, 1), (2, "", 1), (None, "scum", 1), (3, "w " * 100_000, 1)], "doc_id long, text string, toxic int")
     labels = frame([(1, None), (None, 1), (2, 0), (99, 1)], "doc_id long, toxic int")
