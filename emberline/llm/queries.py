@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import chat, common, decontaminate, language, pieces, repeats, simhash, toxicity, urls, vectors, warc
+from emberline.llm import chat, common, decontaminate, language, lines, pieces, repeats, simhash, toxicity, urls, vectors, warc
 from emberline.sources import folders
 
 
@@ -50,6 +50,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, archive)
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(common.table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_overlaps": op2_overlaps,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_vectors": op9_vectors,
     "op10_warc": op10_warc,
+    "op11_lines": op11_lines,
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +75,5 @@ ORACLES: dict[str, str] = {
     "op8_chat": chat.ORACLE,
     "op9_vectors": vectors.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_lines": lines.ORACLE,
 }
