@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import align, chat, common, decontaminate, language, lines, pieces, repeats, simhash, toxicity, urls, vectors, warc
+from emberline.llm import align, chat, common, decontaminate, language, lines, phrases, pieces, repeats, simhash, toxicity, urls, vectors, warc
 from emberline.sources import folders
 
 
@@ -54,6 +54,10 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(common.table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digests(common.table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_vectors": op9_vectors,
     "op10_warc": op10_warc,
     "op11_lines": op11_lines,
+    "op12_phrases": op12_phrases,
     "op13_alignment": op13_alignment,
 }
 
@@ -81,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op9_vectors": vectors.ORACLE,
     "op10_warc": warc.ORACLE,
     "op11_lines": lines.ORACLE,
+    "op12_phrases": phrases.ORACLE,
 }
