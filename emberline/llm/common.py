@@ -145,6 +145,39 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
+FILTER_BITS, FILTER_BLOCK = 25, 15
+
+
+def _packed_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for cells in batch.column("cells"):
+            bits = np.zeros(1 << FILTER_BLOCK, bool)
+            bits[cells.values.to_numpy(zero_copy_only=False)] = True
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], names=["block", "bits"])
+
+
+def bit_filter(df: DataFrame, column: str) -> np.ndarray:
+    """Packed bits, one set for each 64-bit name by its first bits: 4 MB whatever the table.
+
+    Tells which names the column may hold; false positives grow with the table.
+    """
+    cell = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+    cells = df.select(F.shiftright(cell, FILTER_BLOCK).cast("int").alias("block"), cell.bitwiseAND((1 << FILTER_BLOCK) - 1).cast("int").alias("cell"))
+    blocks = cells.groupBy("block").agg(F.collect_set("cell").alias("cells")).mapInArrow(_packed_bits, "block int, bits binary")
+    out = np.zeros((1 << (FILTER_BITS - FILTER_BLOCK), 1 << (FILTER_BLOCK - 3)), np.uint8)
+    for row in blocks.toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def may_hold(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of the names a `bit_filter` may hold."""
+    cell = names >> np.uint64(64 - FILTER_BITS)
+    return (bits[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
 class Names:
     """64-bit names of all substrings of a piece of up to `size` units.
 

@@ -42,8 +42,6 @@ TOP = 2000
 BUDGET = 1 << 19
 # Words that a task sorts at once on the way to the groups.
 CHUNK = 1 << 19
-# Bits of the filter of frequent words: 4 MB, whatever the corpus.
-FILTER_BITS, BLOCK_BITS = 25, 15
 SALTS = 64
 NONE = "und"
 
@@ -116,36 +114,10 @@ def known_words(rows: DataFrame, least: int = LEAST) -> DataFrame:
     return checkpointed(total.where((F.col("n") >= least) | F.col("word").isNull()))
 
 
-def _packed_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for cells in batch.column("cells"):
-            bits = np.zeros(1 << BLOCK_BITS, bool)
-            bits[cells.values.to_numpy(zero_copy_only=False)] = True
-            out.append(np.packbits(bits).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], names=["block", "bits"])
-
-
-def frequent_filter(known: DataFrame) -> np.ndarray:
-    """Packed bits, one set for each known word by the first bits of its name."""
-    cell = F.shiftrightunsigned("name", 64 - FILTER_BITS)
-    cells = known.where("word is not null").select(F.shiftright(cell, BLOCK_BITS).cast("int").alias("block"), cell.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("cell"))
-    blocks = cells.groupBy("block").agg(F.collect_set("cell").alias("cells")).mapInArrow(_packed_bits, "block int, bits binary")
-    out = np.zeros((1 << (FILTER_BITS - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
-    for row in blocks.toLocalIterator():
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.ravel()
-
-
-def _may_be(names: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    cell = names >> np.uint64(64 - FILTER_BITS)
-    return (bits[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 > 0
-
-
 def suffixes(named: np.ndarray, piece: np.ndarray, bits: np.ndarray, depth: int) -> np.ndarray:
     """The first words of every suffix as a row, zero after its piece's end or before a word that is not frequent."""
     out = np.zeros((len(named), depth), np.uint64)
-    going = _may_be(named, bits)
+    going = common.may_hold(bits, named)
     frequent = going.copy()
     out[going, 0] = named[going]
     for d in range(1, depth):
@@ -314,7 +286,7 @@ def _grown(shared, least: int):
 
 def phrase_counts(rows: DataFrame, known: DataFrame, least: int = LEAST, depth: int = DEPTH, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
     """`words` (names) and `n` of all phrases of 2 to `depth` words with the least count. `rows`: `lang` and `text`."""
-    bits = frequent_filter(known)
+    bits = common.bit_filter(known.where("word is not null"), "name")
     heavy = heavy_prefixes(rows, known, bits, budget, depth)
     shared = rows.sparkSession.sparkContext.broadcast((bits, heavy))
     total = known.where("word is not null").agg(F.sum("n")).first()[0] or 0

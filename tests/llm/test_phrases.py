@@ -72,7 +72,7 @@ def test_groups_hold_the_budget():
     """A word before every other one, and a pair before many: parts are extended until they fit."""
     r = random.Random(5)
     named = np.array([7 if i % 2 else (9 if r.random() < 0.5 else r.randrange(100, 400)) for i in range(20_000)], np.uint64) << np.uint64(40)
-    bits = np.full(1 << (phrases.FILTER_BITS - 3), 255, np.uint8)
+    bits = np.full(1 << (common.FILTER_BITS - 3), 255, np.uint8)
     rows = phrases.suffixes(named, np.zeros(len(named), np.int64), bits, 5)
     heavy, budget = np.zeros(0, np.uint64), 500
     for d in range(4):

@@ -5,8 +5,9 @@ import random
 import pytest
 
 import corpus_pipeline
-from emberline.llm import common, decontaminate, pieces, repeats, simhash, toxicity
+from emberline.llm import common, decontaminate, pieces, repeats, toxicity
 from tests.llm.test_registered import stored
+from tests.llm.test_shingles import groups
 
 
 @pytest.fixture(scope="module")
@@ -37,8 +38,19 @@ def test_toxic_documents_go(spark, left):
 
 
 def test_one_document_of_each_group_stays(left):
-    groups = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(left[1]).collect()}
-    assert texts(left[2]) == {k: v for k, v in texts(left[1]).items() if groups[k] == k}
+    before = texts(left[1])
+    ids = sorted(before)
+    found = groups([before[i] for i in ids])
+    assert texts(left[2]) == {i: before[i] for n, i in enumerate(ids) if found[n] == n}
+
+
+def test_rows_that_share_an_id(spark, frame):
+    long = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)]
+    rows = [(1, long[0], "en"), (1, long[1], "en"), (2, long[0] + " more", "en"), (None, long[2], "en"), (None, long[2], "en"), (None, long[3], "fr"), (None, long[1], "en")]
+    rows += [(3, long[4], "en"), (3, long[4], "en"), (3, long[4], "de"), (None, "", "en"), (4, " ", None)]
+    docs = frame([(d, t, g, "s", 1) for d, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in got) == sorted([(1, long[0]), (1, long[1]), (0, long[2]), (0, long[3]), (3, long[4]), (4, " ")])
 
 
 def test_repeats_are_cut(left):
