@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.calendar import day_calendar, days_between, event_date
-from emberline.functions.columns import partition_last
 from emberline.operators.filters import slice_
 from emberline.operators.lookups import small_side
 from emberline.operators.reconcile import CLASSES, gate, pct_diff, reconcile
-from emberline.schema import PARTS
 from emberline.settings import Settings
 from emberline.sources import folders
-from emberline.sources.cold import table_dir, write_partitions
+from emberline.sources.cold import replace_days, table_dir
 
 BOUNDS = ["lower_date", "lower_hour", "upper_date", "upper_hour"]
 
@@ -173,12 +171,11 @@ def discover(spark: SparkSession, table: str) -> DataFrame:
 def compact_clicks(cold: DataFrame, date: dt.date, fill_dir: str, fmt: str = "orc") -> None:
     """Rewrite one date of the fill table with its clicked rows only.
 
-    The replacement is written in full before the old date is moved away.
+    Hours without a click go. Spark stages the rows before it replaces those they are
+    read from.
     """
-    staged = folders.staging(fill_dir)
     rows = slice_(cold, date.year, date.month, date.day).where(F.col("has_click") == 1)
-    write_partitions(partition_last(rows), staged, PARTS, fmt, dynamic=False)
-    folders.swap_days(cold.sparkSession, staged, fill_dir, [date])
+    replace_days(rows, fill_dir, fmt, [date])
 
 
 def nofill_survivors(nofill: DataFrame, as_of: dt.date, days: int = 15) -> DataFrame:

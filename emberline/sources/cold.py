@@ -43,6 +43,27 @@ def write_partitions(
     )
 
 
+def replace_partitions(df: DataFrame, path: str, columns: list[str], fmt: str, scope: list[list[str]]) -> None:
+    """Overwrite the partitions a frame has rows for; of those in scope, delete the others.
+
+    `scope` lists levels, `column` or `column=value`, whose folders the frame stands for in
+    whole. Spark stages and commits the write; a folder that still has the files it had
+    before got no rows and goes. A run cut short in between leaves such folders, and the
+    next one deletes them.
+    """
+    spark = df.sparkSession
+    found = sorted({part for levels in scope for part in folders.partition_dirs(spark, path, levels)})
+    before = {part: folders.files(spark, f"{path}/{part}") for part in found}
+    write_partitions(df, path, columns, fmt)
+    folders.delete_partitions(spark, path, [p for p, names in before.items() if folders.files(spark, f"{path}/{p}") == names])
+
+
+def replace_days(df: DataFrame, path: str, fmt: str, dates: list[dt.date]) -> None:
+    """Put the rows of whole days in the place of those stored."""
+    days = [[*folders.day_dir(date).split("/"), "event_hour"] for date in dates]
+    replace_partitions(partition_last(df), path, PARTS, fmt, days)
+
+
 def sink_classes(hot: DataFrame, root: str) -> None:
     """Write the fill and nofill rows of a frame, each to its own cold table."""
     rows = classify(hot).where(F.col("event_class").isin(*CLASSES))
@@ -56,15 +77,13 @@ def sink_hour(hot: DataFrame, y: int, m: int, d: int, h: int, root: str) -> None
 def sink_day(hot: DataFrame, date: dt.date, root: str, h0: int = 0, h1: int = 23) -> None:
     """Replace the hours of a date in both cold tables.
 
-    They are staged in full and swapped in, so that an hour that has no rows of a class
-    any more, as after a late event, loses those it had.
+    An hour that has no rows of a class any more, as after a late event, loses those it had.
     """
     day = slice_(hot, date.year, date.month, date.day).where(F.col("event_hour").between(h0, h1))
-    staged = folders.staging(root)
     rows = classify(day).where(F.col("event_class").isin(*CLASSES))
-    write_partitions(partition_last(rows), staged, ["event_class", *PARTS], "orc", dynamic=False)
-    hours = [f"{folders.day_dir(date)}/event_hour={h}" for h in range(h0, h1 + 1)]
-    folders.swap_parts(hot.sparkSession, staged, root, [f"event_class={c}/{hour}" for c in CLASSES for hour in hours])
+    levels = folders.day_dir(date).split("/")
+    scope = [["event_class", *levels, f"event_hour={h}"] for h in range(h0, h1 + 1)]
+    replace_partitions(partition_last(rows), root, ["event_class", *PARTS], "orc", scope)
 
 
 def read_cold(spark: SparkSession, root: str, schema) -> DataFrame:
@@ -84,7 +103,4 @@ def migrate_hour(hot: DataFrame, y: int, m: int, d: int, h: int, dest: str) -> N
 def migrate_days(hot: DataFrame, as_of: dt.date, minus_days: int, dest: str) -> None:
     """Copy the day `minus_days` before `as_of`; running it again replaces the copy."""
     date = as_of - dt.timedelta(days=minus_days)
-    staged = folders.staging(dest)
-    rows = partition_last(slice_(hot, date.year, date.month, date.day))
-    write_partitions(rows, staged, PARTS, "parquet", dynamic=False)
-    folders.swap_days(hot.sparkSession, staged, dest, [date])
+    replace_days(slice_(hot, date.year, date.month, date.day), dest, "parquet", [date])

@@ -53,13 +53,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(name for name in names if not name.startswith(("_", ".")))
 
 
-def hidden(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """Paths of the folders under a path that readers pass over, by their names' beginning."""
+def files(spark: SparkSession, path: str) -> set[str]:
+    """Names of the visible files directly under a path."""
     fs, where = _open(spark, path)
-    if not fs.exists(where):
-        return []
-    names = [entry.getPath().getName() for entry in fs.listStatus(where) if entry.isDirectory()]
-    return sorted(f"{path}/{name}" for name in names if name.startswith(prefix))
+    names = [entry.getPath().getName() for entry in fs.listStatus(where) if entry.isFile()] if fs.exists(where) else []
+    return {name for name in names if not name.startswith(("_", "."))}
 
 
 def committed(spark: SparkSession, path: str) -> bool:
@@ -95,60 +93,21 @@ def day_dir(date) -> str:
     return f"event_year={date.year}/event_month={date.month}/event_day={date.day}"
 
 
-def staging(table_dir: str) -> str:
-    """A hidden folder inside a table, on the same file system, for rows to swap in."""
-    return f"{table_dir}/_staging-{uuid.uuid4().hex}"
-
-
-def swap_days(spark: SparkSession, staged: str, table_dir: str, dates: list) -> None:
-    """Put fully written staged days in the place of the table's days."""
-    swap_parts(spark, staged, table_dir, [day_dir(date) for date in dates])
-
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole, in the place of one that is there; no job runs."""
+    fs, where = _open(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
-def swap_parts(spark: SparkSession, staged: str, table_dir: str, parts: list[str]) -> None:
-    """Put fully written staged partitions in the place of the table's.
 
-    The old one is moved aside under a hidden name and deleted last, so a lost driver
-    leaves either the old or the new rows on disk; the next swap, or `recover`, puts
-    them in place. A partition with no staged rows is removed. Nothing happens unless
-    the staged write was committed. Run one swap at a time per table.
-    """
-    if not committed(spark, staged):
-        raise FileNotFoundError(f"no committed replacement in {staged}")
-    recover(spark, table_dir)
+def delete_partitions(spark: SparkSession, path: str, parts: list[str]) -> None:
+    """Delete partition folders, and the levels above that they leave empty."""
     for part in parts:
-        old, new = f"{table_dir}/{part}", f"{staged}/{part}"
-        if exists(spark, old):
-            move(spark, old, f"{staged}/_old/{part}")
-        if exists(spark, new):
-            move(spark, new, old)
-    delete(spark, staged)
-
-
-def recover(spark: SparkSession, table_dir: str) -> list[str]:
-    """Finish swaps that were cut short; return the partitions put back.
-
-    A partition that was moved aside and has no successor gets the staged one if there
-    is one, else itself.
-    """
-    done = []
-    for staged in hidden(spark, table_dir, "_staging-"):
-        aside = f"{staged}/_old"
-        if not exists(spark, aside):
-            continue
-        fs = _open(spark, aside)[0]
-        held = _open(spark, aside)[1].toUri().getPath()
-        files, parts = fs.listFiles(_open(spark, aside)[1], True), set()
-        while files.hasNext():
-            parts.add(files.next().getPath().getParent().toUri().getPath().removeprefix(held + "/"))
-        for part in sorted(parts):
-            # The topmost level that the table lacks, a month at most.
-            levels = part.split("/")
-            tops = ["/".join(levels[:depth]) for depth in range(3, len(levels) + 1)]
-            gone = [top for top in tops if not exists(spark, f"{table_dir}/{top}")]
-            if gone:
-                source = f"{staged}/{gone[0]}" if exists(spark, f"{staged}/{gone[0]}") else f"{aside}/{gone[0]}"
-                move(spark, source, f"{table_dir}/{gone[0]}")
-                done.append(gone[0])
-        delete(spark, staged)
-    return done
+        delete(spark, f"{path}/{part}")
+        above = part.rpartition("/")[0]
+        while above and not children(spark, f"{path}/{above}"):
+            delete(spark, f"{path}/{above}")
+            above = above.rpartition("/")[0]

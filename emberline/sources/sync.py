@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.calendar import event_date
-from emberline.functions.columns import partition_last
-from emberline.schema import PARTS
-from emberline.sources import folders
-from emberline.sources.cold import write_partitions
+from emberline.sources.cold import replace_days
 
 
 def row_text(df: DataFrame) -> Column:
@@ -75,9 +72,5 @@ def sync_apply(plan: DataFrame, src: DataFrame, dst_dir: str, fmt: str = "orc")
         for row in plan.where(F.col("action").isin("copy", "update")).select("event_date").collect()
     ]
     if due:
-        spark = src.sparkSession
-        staged = folders.staging(dst_dir)
-        picked = src.where(event_date().isin(*due))
-        write_partitions(partition_last(picked), staged, PARTS, fmt, dynamic=False)
-        folders.swap_days(spark, staged, dst_dir, due)
+        replace_days(src.where(event_date().isin(*due)), dst_dir, fmt, due)
     return due

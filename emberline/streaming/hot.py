@@ -49,11 +49,17 @@ def upsert(batch: DataFrame, batch_id: int, target: str, writer: str = "batch")
     write_part(states, f"{target}/part={writer}-{batch_id:010d}")
 
 
-def stored(spark: SparkSession, target: str) -> DataFrame:
-    """Rows of all parts as they were written."""
-    if not folders.children(spark, target):
+def listed(spark: SparkSession, target: str) -> list[str]:
+    """Range folders of all parts, as they are now."""
+    return folders.partition_dirs(spark, target, ["part", *RANGES])
+
+
+def stored(spark: SparkSession, target: str, paths: list[str] | None = None) -> DataFrame:
+    """Rows of the listed range folders as they were written; a part that lands later is not seen."""
+    paths = listed(spark, target) if paths is None else paths
+    if not paths:
         return spark.createDataFrame([], HOT)
-    return spark.read.schema(HOT).parquet(target)
+    return spark.read.schema(HOT).option("basePath", target).parquet(*[f"{target}/{path}" for path in paths])
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -71,10 +77,10 @@ def read_hot(spark: SparkSession, target: str) -> DataFrame:
     A range that one part alone holds, as after a fold, is merged already and is read as
     it is, without a shuffle.
     """
-    found = folders.partition_dirs(spark, target, ["part", *RANGES])
+    found = listed(spark, target)
     held = Counter(path.split("/", 1)[1] for path in found)
     many = [numbered(folder) for folder, parts in held.items() if parts > 1]
-    rows = stored(spark, target)
+    rows = stored(spark, target, found)
     plain = [name for name in HOT.fieldNames() if name != "lower_hour"]
     if len(many) == len(held):
         whole = merged(rows)
@@ -92,7 +98,7 @@ def crowded_ranges(spark: SparkSession, target: str, min_parts: int) -> dict[str
     A part still being written has no commit marker and is left alone. Two entries per
     date of the hot window; no file is opened.
     """
-    found = folders.partition_dirs(spark, target, ["part", *RANGES])
+    found = listed(spark, target)
     done = {part for part in folders.children(spark, target) if folders.committed(spark, f"{target}/{part}")}
     held = [path.split("/", 1) for path in found if path.split("/", 1)[0] in done]
     sizes = Counter(folder for _, folder in held)
@@ -121,9 +127,8 @@ def fold(spark: SparkSession, target: str, min_parts: int = Settings().fold_afte
     crowded = crowded_ranges(spark, target, min_parts)
     if not crowded:
         return []
-    due = [numbered(folder) for folder in crowded]
-    covered = stored(spark, target).where(range_number(*map(F.col, RANGES)).isin(due))
-    write_part(merged(covered), f"{target}/part=fold-{uuid.uuid4().hex}")
+    covered = [f"{part}/{folder}" for folder, parts in crowded.items() for part in parts]
+    write_part(merged(stored(spark, target, covered)), f"{target}/part=fold-{uuid.uuid4().hex}")
     for folder, parts in crowded.items():
         for part in parts:
             folders.delete(spark, f"{target}/{part}/{folder}")

@@ -1,16 +1,20 @@
-"""The interaction table: events as they come, in day folders."""
+"""The interaction table: events as they come, in day folders.
+
+Batches append parts; days that take no more events move to a table of closed days. An
+event is known by its id.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.functions.calendar import event_date
 from emberline.functions.columns import with_partitions
 from emberline.schema import DAY_PARTS, INTERACTION, PARTS
 from emberline.sources import folders
+from emberline.sources.cold import write_partitions
 
 
 def interaction_rows(events: DataFrame) -> DataFrame:
@@ -28,55 +32,66 @@ def append_part(batch: DataFrame, batch_id: int, target: str, writer: str) -> No
     )
 
 
-def read_interactions(spark: SparkSession, target: str) -> DataFrame:
-    return (
-        spark.read.schema(INTERACTION)
-        .parquet(target)
-        .select("event_id", "user_id", "event_type", *PARTS)
-    )
+def closed_dir(target: str) -> str:
+    """The table of closed days beside a table of parts."""
+    return f"{target.rstrip('/')}_closed"
 
 
 def _date(day: str) -> dt.date:
     return dt.date(*[int(level.split("=")[1]) for level in day.split("/")])
 
 
-def fold_days(spark: SparkSession, target: str, before: dt.date, min_parts: int = 2) -> list[str]:
-    """Join the parts of days before a date into one part; return those days.
+def _day_number():
+    return (F.col("event_year") * 100 + F.col("event_month")) * 100 + F.col("event_day")
+
+
+def _stored(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The rows under the listed folders of a table, and under no others."""
+    if not paths:
+        return spark.createDataFrame([], INTERACTION)
+    return spark.read.schema(INTERACTION).option("basePath", root).parquet(*[f"{root}/{p}" for p in paths])
+
+
+def _listed(spark: SparkSession, target: str) -> tuple[list[str], list[str]]:
+    """Folders of open parts, and of closed days. Parts are listed first: a day that closes meanwhile is then in both."""
+    parts = folders.partition_dirs(spark, target, ["part", *DAY_PARTS])
+    return parts, folders.partition_dirs(spark, closed_dir(target), DAY_PARTS)
+
 
-    Take a date that no stream accepts events of any more. Rows have no key to merge by,
-    so no row may ever be seen twice: the joined day is staged in full, the old parts are
-    moved aside, and then it takes their place. A fold that was cut short is undone by
-    the next one, day by day. Run one at a time per table.
+def _joined(spark: SparkSession, target: str, parts: list[str], closed: list[str]) -> DataFrame:
+    """Rows of parts and closed days. Of a day in both each event counts once."""
+    names = INTERACTION.fieldNames()
+    open_, done = _stored(spark, target, parts).select(*names), _stored(spark, closed_dir(target), closed).select(*names)
+    both = {path.split("/", 1)[1] for path in parts} & set(closed)
+    if not both:
+        return open_.unionByName(done)
+    twice = _day_number().isin([int(_date(day).strftime("%Y%m%d")) for day in both])
+    once = open_.where(twice).unionByName(done.where(twice)).dropDuplicates(["event_id"])
+    return open_.where(~twice).unionByName(done.where(~twice)).unionByName(once)
+
+
+def read_interactions(spark: SparkSession, target: str) -> DataFrame:
+    """All interactions, each listed folder read once."""
+    return _joined(spark, target, *_listed(spark, target)).select("event_id", "user_id", "event_type", *PARTS)
+
+
+def fold_days(spark: SparkSession, target: str, before: dt.date) -> list[str]:
+    """Move the days before a date from the parts into the table of closed days; return them.
+
+    Take a date that no stream accepts events of any more. A day is overwritten by one Spark
+    write with what it held and what the listed parts hold, each event once; then the
+    parts' folders go. Cut short in between, or when a batch that was folded runs again,
+    the day is in both tables, readers count its events once, and the next fold ends it.
     """
-    undo_folds(spark, target)
-    days: dict[str, list[str]] = {}
-    for path in folders.partition_dirs(spark, target, ["part", *DAY_PARTS]):
-        part, day = path.split("/", 1)
-        if _date(day) < before:
-            days.setdefault(day, []).append(part)
-    due = {day: parts for day, parts in days.items() if len(parts) >= min_parts}
+    parts, closed = _listed(spark, target)
+    due = [path for path in parts if _date(path.split("/", 1)[1]) < before]
     if not due:
         return []
-    name = f"part=fold-{uuid.uuid4().hex}"
-    staged = f"{target}/_staging-{name}"
-    rows = spark.read.schema(INTERACTION).parquet(target).select(*INTERACTION.fieldNames())
-    rows = rows.where(event_date().isin([_date(day) for day in due]))
-    rows.hint("rebalance", *DAY_PARTS).write.partitionBy(*DAY_PARTS).parquet(staged)
-    for day, parts in due.items():
-        for part in parts:
-            folders.move(spark, f"{target}/{part}/{day}", f"{staged}/_old/{part}/{day}")
-        folders.move(spark, f"{staged}/{day}", f"{target}/{name}/{day}")
-    folders.delete(spark, staged)
-    for part in {part for parts in due.values() for part in parts}:
+    days = {path.split("/", 1)[1] for path in due}
+    rows = _joined(spark, target, due, [day for day in closed if day in days]).dropDuplicates(["event_id"])
+    write_partitions(rows, closed_dir(target), DAY_PARTS, "parquet")
+    for path in due:
+        folders.delete(spark, f"{target}/{path}")
+    for part in {path.split("/", 1)[0] for path in due}:
         folders.delete_if_spent(spark, f"{target}/{part}")
-    return sorted(due)
-
-
-def undo_folds(spark: SparkSession, target: str) -> None:
-    """Put days back whose parts were moved aside but not yet replaced."""
-    for staged in folders.hidden(spark, target, "_staging-part=fold-"):
-        waiting = set(folders.partition_dirs(spark, staged, DAY_PARTS))
-        for path in folders.partition_dirs(spark, f"{staged}/_old", ["part", *DAY_PARTS]):
-            if path.split("/", 1)[1] in waiting:
-                folders.move(spark, f"{staged}/_old/{path}", f"{target}/{path}")
-        folders.delete(spark, staged)
+    return sorted(days)
