@@ -136,12 +136,16 @@ QUARANTINE = T.StructType(
     ]
 )
 
-REJECT_COUNTS = T.StructType(
+# Why a message is rejected.
+REASONS = ["unparseable", "bad_value", "missing_key", "too_late", "future"]
+
+# What a batch's write has counted.
+BATCH = T.StructType(
     [
-        T.StructField("reason", T.StringType()),
-        T.StructField("rows", T.LongType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("last_ts", T.StringType()),
+        *[T.StructField(name, T.LongType()) for name in ("input_rows", "kept_rows", "null_users", *REASONS)],
         T.StructField("app", T.StringType()),
         T.StructField("run", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
     ]
 )

@@ -1,24 +1,67 @@
-"""Per-batch metrics as a table."""
+"""Metrics of streams: what a batch's own write has seen, and what a query reports.
+
+A batch is counted by an observation inside the plan that writes it, so no job runs for
+its metrics. Each batch, or each report, is one small file of one JSON row; it is written
+through the file system, and a replay replaces it.
+"""
 
 from __future__ import annotations
 
+import json
 import threading
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from emberline.schema import BATCH, REASONS
+from emberline.sources import folders
+
 METRICS_SCHEMA = "query string, batch_id bigint, input_rows bigint"
 
 
-class MetricsListener(StreamingQueryListener):
-    """Collects the progress of named queries and appends it to a table.
+def observed(judged: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that counts them by reason as they are first used."""
+    seen = Observation()
+    reason = F.col("reason")
+    counts = [F.count_if(reason == name).alias(name) for name in REASONS]
+    return judged.observe(
+        seen,
+        F.count(F.lit(1)).alias("input_rows"),
+        F.count_if(reason.isNull()).alias("kept_rows"),
+        F.count_if(F.col("user_id").isNull()).alias("null_users"),
+        F.max(F.col("ts").cast("string")).alias("last_ts"),
+        *counts,
+    ), seen
+
+
+def counts_of(seen: Observation) -> dict:
+    """What was observed. A plan that turned out to have no rows may end before it counts."""
+    try:
+        found = seen.get
+    except Py4JJavaError:
+        found = {}
+    return {"last_ts": found.get("last_ts")} | {name: found.get(name, 0) for name in ("input_rows", "kept_rows", "null_users", *REASONS)}
+
+
+def save_batch(spark: SparkSession, target: str, app: str, run: str, batch_id: int, counts: dict) -> None:
+    """Store the counts of a batch as one row."""
+    folders.put_text(spark, f"{target}/app={app}/run={run}/batch-{batch_id:010d}.json", json.dumps({"batch_id": batch_id, **counts}) + "\n")
 
-    Rows are held until `flush_rows` have come or a query ends.
-    """
 
-    def __init__(self, spark: SparkSession, target: str, flush_rows: int = 100):
-        self._spark, self._target, self._flush_rows = spark, target, flush_rows
-        self._rows: list[tuple] = []
+def read_batches(spark: SparkSession, target: str) -> DataFrame:
+    """One row per batch of every stream and run."""
+    if not folders.children(spark, target):
+        return spark.createDataFrame([], BATCH)
+    return spark.read.schema(BATCH).json(target)
+
+
+class MetricsListener(StreamingQueryListener):
+    """Stores each progress report of named queries with input as a row of a table."""
+
+    def __init__(self, spark: SparkSession, target: str):
+        self._spark, self._target = spark, target
         self.ended = threading.Event()
 
     def onQueryStarted(self, event) -> None:
@@ -27,25 +70,21 @@ class MetricsListener(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         progress = event.progress
         if progress.name and progress.numInputRows:
-            self._rows.append((progress.name, progress.batchId, progress.numInputRows))
-        if len(self._rows) >= self._flush_rows:
-            self.flush()
+            row = {"query": progress.name, "batch_id": progress.batchId, "input_rows": progress.numInputRows}
+            folders.put_text(self._spark, f"{self._target}/{progress.runId}-{progress.batchId:010d}.json", json.dumps(row) + "\n")
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.flush()
         self.ended.set()
 
-    def flush(self) -> None:
-        rows, self._rows = self._rows, []
-        if rows:
-            frame = self._spark.createDataFrame(rows, METRICS_SCHEMA)
-            frame.repartition(1).write.mode("append").parquet(self._target)
-
 
 def metrics_listener(spark: SparkSession, target: str) -> MetricsListener:
     listener = MetricsListener(spark, target)
     spark.streams.addListener(listener)
     return listener
+
+
+def read_metrics(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema(METRICS_SCHEMA).json(target)

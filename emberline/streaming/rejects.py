@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from emberline.functions.columns import mapped_fields, parse, with_details
 from emberline.operators.filters import lateness
-from emberline.schema import INTERACTION_FIELDS, PAYLOAD_FIELDS, QUARANTINE, REJECT_COUNTS
+from emberline.schema import INTERACTION_FIELDS, PAYLOAD_FIELDS, QUARANTINE, REASONS
 from emberline.settings import Settings
 from emberline.sources import folders
 from emberline.sources.registry import max_age, spec
+from emberline.streaming.metrics import read_batches
 
 
 def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settings()) -> DataFrame:
@@ -42,36 +43,21 @@ def batch_dir(target: str, app: str, run: str, batch_id: int) -> str:
     return f"{target}/app={app}/run={run}/batch_id={batch_id}"
 
 
-def count_rejects(rejects: DataFrame, app: str, batch_id: int, target: str, run: str = "batch") -> None:
-    """Store how many messages of a batch were rejected, by reason; a replay replaces it.
-
-    This is kept for every stream, also for those whose payloads are not. One row per
-    reason reaches the driver; a batch without rejects leaves no folder.
-    """
-    folder = batch_dir(target, app, run, batch_id)
-    counts = rejects.groupBy("reason").agg(F.count("*").alias("rows")).collect()
-    if counts:
-        found = rejects.sparkSession.createDataFrame(counts, "reason string, rows bigint")
-        found.coalesce(1).write.mode("overwrite").parquet(folder)
-    else:
-        folders.delete(rejects.sparkSession, folder)
-
-
 def read_reject_counts(spark: SparkSession, target: str) -> DataFrame:
-    """Rejects by stream, run, batch and reason."""
-    columns = ["app", "run", "batch_id", "reason", "rows"]
-    if not folders.children(spark, target):
-        return spark.createDataFrame([], REJECT_COUNTS).select(*columns)
-    return spark.read.schema(REJECT_COUNTS).parquet(target).select(*columns)
+    """Rejects by stream, run, batch and reason, from the batches' metrics."""
+    counts = F.array(*[F.struct(F.lit(name).alias("reason"), F.col(name).alias("rows")) for name in REASONS])
+    found = read_batches(spark, target).select("app", "run", "batch_id", F.inline(counts))
+    return found.where("rows > 0")
 
 
-def quarantine(rejects: DataFrame, app: str, batch_id: int, target: str, run: str = "batch") -> None:
+def quarantine(rejects: DataFrame, app: str, batch_id: int, target: str, run: str = "batch", count: int | None = None) -> None:
     """Write the rejects of a batch to their own folder; a replay replaces it.
 
-    A batch without rejects, the usual case, leaves no folder.
+    A batch without rejects, the usual case, leaves no folder: `count` tells, where they
+    were counted before.
     """
     folder = batch_dir(target, app, run, batch_id)
-    if rejects.isEmpty():
+    if rejects.isEmpty() if count is None else not count:
         folders.delete(rejects.sparkSession, folder)
     else:
         rejects.select("reason", "payload").write.mode("overwrite").parquet(folder)

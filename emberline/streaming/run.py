@@ -13,10 +13,12 @@ from emberline.operators.lookups import Lookup
 from emberline.schema import DAY_PARTS
 from emberline.settings import Settings
 from emberline.sources.events import read_events
+from emberline.sources.log import Topic, read_log
 from emberline.sources.registry import spec
 from emberline.streaming.hot import upsert
 from emberline.streaming.interactions import append_part, interaction_rows
-from emberline.streaming.rejects import count_rejects, evaluate, evaluation_due, judge, quarantine
+from emberline.streaming.metrics import counts_of, observed, save_batch
+from emberline.streaming.rejects import evaluate, evaluation_due, judge, quarantine
 
 
 def paced(writer, cfg: Settings, once: bool):
@@ -36,7 +38,7 @@ def run_of(batch: DataFrame) -> str:
 def run_stream(
     spark: SparkSession,
     kind: str,
-    source: DataFrame | str,
+    source: DataFrame | Topic | str,
     root: str,
     as_of: Callable[[], dt.date],
     cfg: Settings = Settings(),
@@ -45,15 +47,17 @@ def run_stream(
     """Start the stream of one kind into the tables under `root`.
 
     Each batch is decoded and judged once; good rows are upserted into the hot table
-    or appended to the interactions. Rejects are counted for every stream; those of
-    enabled streams are quarantined too. All writes are keyed by stream, checkpoint and
-    batch number, so a batch that runs again after a failure leaves the same tables.
-    `as_of` is asked at every batch, because a stream outlives a date.
+    or appended to the interactions. The write itself counts the batch and its rejects;
+    those of enabled streams are quarantined too. All writes are keyed by stream, checkpoint
+    and batch number, so a batch that runs again after a failure leaves the same tables.
+    `as_of` is asked at every batch, because a stream outlives a date. Of a topic a batch
+    takes at most the records that the registry allows the stream; with `once` that is
+    one batch, and `drain` goes on until the topic is used up.
     """
     stream = spec(kind)
     save = append_part if stream.target == "interactions" else upsert
     target, bad, reports = f"{root}/{stream.target}", f"{root}/bad_records", f"{root}/bad_reports"
-    counted = f"{root}/bad_counts"
+    counted = f"{root}/batch_metrics"
     every = cfg.bad_record_every.get(kind, 0)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -61,14 +65,16 @@ def run_stream(
         routed = kind in cfg.bad_record_kinds
         cached = kind in cfg.cached_kinds
         run = run_of(batch)
+        judged, seen = observed(judged)
         if cached:
             judged = judged.persist()
         try:
             save(judged.where(F.col("reason").isNull()), batch_id, target, f"{kind}-{run}")
-            rejects = judged.where(F.col("reason").isNotNull())
-            count_rejects(rejects, kind, batch_id, counted, run)
+            counts = counts_of(seen)
+            save_batch(spark, counted, kind, run, batch_id, counts)
             if routed:
-                quarantine(rejects, kind, batch_id, bad, run)
+                rejects = judged.where(F.col("reason").isNotNull())
+                quarantine(rejects, kind, batch_id, bad, run, counts["input_rows"] - counts["kept_rows"])
                 if every and evaluation_due(batch_id, every):
                     report = evaluate(spark, bad, kind, batch_id, every, run)
                     report.write.mode("overwrite").parquet(f"{reports}/app={kind}/run={run}/at={batch_id}")
@@ -76,7 +82,10 @@ def run_stream(
             if cached:
                 judged.unpersist()
 
-    messages = read_events(spark, kind, source, cfg) if isinstance(source, str) else source
+    if isinstance(source, Topic):
+        messages = read_log(spark, source, stream.max_records).select("event_id", "payload")
+    else:
+        messages = read_events(spark, kind, source, cfg) if isinstance(source, str) else source
     writer = (
         messages.writeStream.queryName(f"{kind}-{root.rsplit('/', 1)[-1]}")
         .foreachBatch(on_batch)
@@ -85,12 +94,62 @@ def run_stream(
     return paced(writer, cfg, once).start()
 
 
+def drain(
+    spark: SparkSession,
+    kind: str,
+    topic: Topic,
+    root: str,
+    as_of: Callable[[], dt.date],
+    cfg: Settings = Settings(),
+) -> int:
+    """Take a topic to its end, a limited batch at a time; return the batches.
+
+    Each run starts from the checkpoint, as after a restart.
+    """
+    batches = 0
+    while True:
+        query = run_stream(spark, kind, topic, root, as_of, cfg, once=True)
+        query.awaitTermination()
+        if not sum(progress.numInputRows for progress in query.recentProgress):
+            return batches
+        batches += 1
+
+
+def state_in_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of streams started from here on in RocksDB, with changes as checkpoints.
+
+    State then lives on the executors' disks instead of their heaps, and a checkpoint is as
+    large as what a batch changed.
+    """
+    state = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{state}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{state}.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def deduplicated(stream: DataFrame, key: str = "event_id", ts: str = "ts", within: str = "2 days") -> DataFrame:
+    """The first event of each key; copies come within the given time of it.
+
+    State expires with the watermark. Needs a session in UTC, as watermarks need a zoned time.
+    """
+    zoned = stream.withColumn("_zoned", F.col(ts).cast("timestamp")).withWatermark("_zoned", within)
+    return zoned.dropDuplicatesWithinWatermark([key]).drop("_zoned")
+
+
 def append_interactions(
-    stream: DataFrame, target: str, checkpoint: str, cfg: Settings = Settings(), once: bool = False, name: str | None = None
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    cfg: Settings = Settings(),
+    once: bool = False,
+    name: str | None = None,
+    within: str | None = None,
 ) -> StreamingQuery:
-    """Append decoded interaction events to a table of their own, one folder per day."""
+    """Append decoded interaction events to a table of their own, one folder per day.
+
+    With `within` an event that comes again in that time, as from a replayed feed, is left out.
+    """
     writer = (
-        interaction_rows(stream)
+        interaction_rows(deduplicated(stream, within=within) if within else stream)
         .writeStream.format("parquet")
         .partitionBy(*DAY_PARTS)
         .option("path", target)
@@ -125,6 +184,34 @@ def stream_counts(stream: DataFrame, late: str = "6 days") -> DataFrame:
     )
 
 
+def rollup(stream: DataFrame, late: str = "6 days") -> tuple[DataFrame, DataFrame]:
+    """Events per hour and type, and per day and type with the busiest hour.
+
+    The daily counts are a second stateful step over the hourly windows of the same
+    stream. Both are final when they come out: append mode, once the watermark has passed.
+    """
+    hours = (
+        stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
+        .groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+        .agg(F.count("*").alias("rows"))
+    )
+    days = (
+        hours.groupBy(F.window(F.window_time("w"), "1 day").alias("d"), "event_type")
+        .agg(F.sum("rows").alias("rows"), F.max("rows").alias("busiest"))
+        .select(F.col("d.start").cast("date").alias("event_date"), "event_type", "rows", "busiest")
+    )
+    return hours.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "rows"), days
+
+
+def run_rollup(
+    counts: DataFrame, target: str, checkpoint: str, cfg: Settings = Settings(), once: bool = False
+) -> StreamingQuery:
+    """Append final windows to a table."""
+    writer = counts.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    return paced(writer, cfg, once).start()
+
+
 def run_counts(
     counts: DataFrame, target: str, checkpoint: str, cfg: Settings = Settings(), once: bool = False
 ) -> StreamingQuery:

@@ -19,6 +19,7 @@ from emberline.schema import PARTS
 from emberline.sources import cold as cold_store
 from emberline.sources import events as event_source
 from emberline.sources import folders, registry, sync, users
+from emberline.sources import log as message_log
 from emberline.streaming import hot as hot_store
 from emberline.streaming import interactions, metrics, rejects, run
 from fixtures import inputs as given
@@ -185,7 +186,26 @@ def stream_metrics(spark, sf):
         listener.ended.wait(60)
     finally:
         spark.streams.removeListener(listener)
-    return spark.read.schema(metrics.METRICS_SCHEMA).parquet(f"{ws}/metrics")
+    return metrics.read_metrics(spark, f"{ws}/metrics")
+
+
+@query
+def rate_limited_source(spark, sf):
+    ws = folders.workspace(spark, "rate_limited_source")
+    topic = message_log.Topic(f"{ws}/topic")
+    feed = given.messages(spark, sf, dirty=True).select("event_id", "payload")
+    message_log.append_log(feed, topic.path, 3, 1500)
+    run.drain(spark, "app_event", topic, f"{ws}/tables", lambda: AS_OF, OPEN)
+    found = metrics.read_batches(spark, f"{ws}/tables/batch_metrics")
+    whole = found.agg(F.sum("input_rows").alias("all_rows"), F.sum("kept_rows").alias("all_kept"))
+    return found.select("app", "batch_id", "input_rows").join(whole)
+
+
+@query
+def batch_metrics(spark, sf):
+    ws = folders.workspace(spark, "batch_metrics")
+    root = run_kinds(spark, sf, ws, True, AS_OF, OPEN)
+    return metrics.read_batches(spark, f"{root}/batch_metrics").drop("run")
 
 
 # --- projections ---------------------------------------------------------------
@@ -655,6 +675,36 @@ def stream_hourly_counts(spark, sf):
     return run.read_counts(spark, f"{ws}/rows")
 
 
+@query
+def stream_dedupe(spark, sf):
+    """The feed comes twice, in two arrivals."""
+    ws = folders.workspace(spark, "stream_dedupe")
+    rows = given.table(spark, sf, "events")
+    run.state_in_rocksdb(spark)
+    try:
+        for i in range(2):
+            rows.write.parquet(f"{ws}/feed/arrival={i}")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{ws}/feed")
+            run.append_interactions(stream, f"{ws}/rows", f"{ws}/checkpoint", CFG, once=True, within="40 days").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.parquet(f"{ws}/rows").select("event_id", "user_id", "event_type", *PARTS)
+
+
+@query
+def stream_daily_rollup(spark, sf):
+    """Two arrivals, the second with rows of days that the first had; a later row closes the windows."""
+    ws = folders.workspace(spark, "stream_daily_rollup")
+    rows = given.table(spark, sf, "events").select("ts", "event_type")
+    after = rows.agg((F.max("ts") + F.expr("INTERVAL 90 DAY")).alias("ts"), F.lit("after").alias("event_type"))
+    late = F.pmod(F.xxhash64("ts"), F.lit(4)) == 0
+    for i, part in enumerate((rows.where(~late), rows.where(late), after)):
+        part.write.parquet(f"{ws}/feed/arrival={i}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{ws}/feed")
+        run.run_rollup(run.rollup(stream, "60 days")[1], f"{ws}/days", f"{ws}/checkpoint", CFG, once=True).awaitTermination()
+    return spark.read.parquet(f"{ws}/days").where("event_type <> 'after'")
+
+
 @query
 def stream_freshness(spark, sf):
     rows = given.table(spark, sf, "events").select(given.stream_kind().alias("kind"), "ts")

@@ -229,6 +229,17 @@ FROM users LEFT JOIN (
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders
 ) o ON user_id = o_custkey AND rn = 1""",
     "stream_metrics": "SELECT 'generic_interaction' AS query, CAST(0 AS BIGINT) AS batch_id, count(*) AS input_rows FROM events",
+    "rate_limited_source": """
+SELECT 'app_event' AS app, i AS batch_id, least(5000, n - 5000 * i) AS input_rows, n AS all_rows, kept AS all_kept
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE fault IS NULL) AS kept FROM message) m, range(200) r(i) WHERE 5000 * i < n""",
+    "batch_metrics": """
+SELECT kind AS app, CAST(0 AS BIGINT) AS batch_id,
+  max(CASE WHEN fault IS NULL OR fault NOT IN ('unparseable') THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END) AS last_ts,
+  count(*) AS input_rows, count(*) FILTER (WHERE fault IS NULL) AS kept_rows,
+  count(*) FILTER (WHERE fault = 'unparseable') AS null_users,
+  count(*) FILTER (WHERE fault = 'unparseable') AS unparseable, count(*) FILTER (WHERE fault = 'bad_value') AS bad_value,
+  count(*) FILTER (WHERE fault = 'missing_key') AS missing_key, CAST(0 AS BIGINT) AS too_late, CAST(0 AS BIGINT) AS future
+FROM message GROUP BY kind""",
     # projections
     "rename_map": f"""
 SELECT unique_id, user_id AS client_id, nation AS country, k AS cell_id, event_type,
@@ -394,6 +405,10 @@ FROM (SELECT fault, CASE WHEN event_date <= DATE '2024-01-10' THEN 0 WHEN event_
         "event_date >= DATE '2024-01-24' OR (kind = 'app_event' AND event_date >= DATE '2024-01-10')",
     ),
     "stream_hourly_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
+    "stream_dedupe": f"SELECT event_id, user_id, event_type, {parts('ts')} FROM events",
+    "stream_daily_rollup": """
+SELECT CAST(h AS DATE) AS event_date, event_type, CAST(sum(n) AS BIGINT) AS rows, max(n) AS busiest
+FROM (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL) x GROUP BY ALL""",
     "stream_freshness": f"""
 SELECT r.kind, last_ts, CAST(date_sub('hour', last_ts, TIMESTAMP '2024-01-31 00:00:00') AS BIGINT) AS lag_hours,
   coalesce(date_sub('hour', last_ts, TIMESTAMP '2024-01-31 00:00:00') > 1, true) AS stale

@@ -209,7 +209,7 @@ def test_rejects_of_other_streams_are_counted_but_not_kept(spark, tmp_path):
     arrive(spark, src, "{bad", "{worse", text("a"))
     play(spark, src, root, "vast")
     assert not os.path.exists(f"{root}/bad_records")
-    counted = rejects.read_reject_counts(spark, f"{root}/bad_counts").collect()
+    counted = rejects.read_reject_counts(spark, f"{root}/batch_metrics").collect()
     assert [(r.app, r.batch_id, r.reason, r.rows) for r in counted] == [("vast", 0, "unparseable", 2)]
 
 
@@ -246,7 +246,7 @@ def test_an_interaction_needs_only_what_its_table_keeps(spark, tmp_path):
     arrive(spark, src, bare, bare.replace('"event_id":7,', ""))
     play(spark, src, root, "generic_interaction")
     assert [r.event_id for r in interactions.read_interactions(spark, f"{root}/interactions").collect()] == [7]
-    assert [r.reason for r in rejects.read_reject_counts(spark, f"{root}/bad_counts").collect()] == ["missing_key"]
+    assert [r.reason for r in rejects.read_reject_counts(spark, f"{root}/batch_metrics").collect()] == ["missing_key"]
 
 
 def test_a_lookup_outlives_its_files(spark, tmp_path):
