@@ -2,9 +2,9 @@
 
 Each text is encoded twice: a space and the text by a byte-level BPE (A), the text by a
 SentencePiece model that adds the space itself (B). Both token lists cover the same bytes,
-so the cumulative ends of each go into a dictionary from end to index; the keys that both
-hold, sorted, cut both id lists into groups, and each group links the tokens that end with
-it.
+so the cumulative ends of each go into a dictionary from end to index, a table addressed by
+the end itself; the keys that both hold, in order, cut both id lists into groups, and each
+group links the tokens that end with it.
 
 Of two tokens that end together the shorter one's bytes end the longer one's. So the
 vocabularies alone tell all pairs that can ever be linked (`Pairs.codes`, some 10^5): counts
@@ -76,12 +76,13 @@ class ByteTokens:
         if self.plain:
             special = {x["id"] for x in json.loads(self.file)["added_tokens"]}
             ranks = {token: i for i, token in enumerate(self.bytes) if i not in special}
-            return tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            known = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            return lambda text: known.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         found = tokenizers.Tokenizer.from_str(self.file.decode())
         found.encode_special_tokens = True
-        return lambda text: found.encode(text, add_special_tokens=False).ids
+        return lambda text: np.array(found.encode(text, add_special_tokens=False).ids, np.int64)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         return self._encode(" " + text)
 
 
@@ -95,8 +96,8 @@ class PieceTokens:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(MARKER, " ").encode())
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, num_threads=1), np.int64)
 
 
 class Pairs:
@@ -105,6 +106,7 @@ class Pairs:
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteTokens(a), PieceTokens(b)
         self.sizes = [np.array([len(x) for x in t.bytes]) for t in (self.a, self.b)]
+        self.solid = min(map(min, self.sizes)) > 0
 
     @cached_property
     def codes(self) -> np.ndarray:
@@ -121,48 +123,85 @@ class Pairs:
         return np.array(sorted(found), np.int64)
 
     @cached_property
-    def written(self) -> list[np.ndarray]:
-        """Decimal ids with what follows them: in A's list, at its end, in B's list, at its end."""
-        return [np.array([b"%d%c" % (i, sign) for i in range(len(tokens))], object) for tokens, sign in ((self.a.bytes, 44), (self.a.bytes, 124), (self.b.bytes, 44), (self.b.bytes, 59))]
+    def _slots(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers of the pairs in an open-addressed table, and how far a pair may lie from its slot."""
+        size = 1 << (8 * len(self.codes)).bit_length()
+        slots, left, step = np.full(size, -1, np.int32), np.arange(len(self.codes)), 0
+        while len(left):
+            at = (self._slot(self.codes[left], size) + step) % size
+            free = slots[at] < 0
+            slots[at[free]] = left[free]
+            left, step = left[slots[at] != left], step + 1
+        return slots, self.codes, step
+
+    @staticmethod
+    def _slot(codes: np.ndarray, size: int) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+    def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of pairs of tokens."""
+        slots, codes, steps = self._slots
+        want = a * len(self.b.bytes) + b
+        at = self._slot(want, len(slots))
+        out = slots[at]
+        for step in range(1, steps):
+            off = np.flatnonzero(codes[out] != want)
+            if not len(off):
+                break
+            out[off] = slots[(at[off] + step) % len(slots)]
+        return out
+
+    @cached_property
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """Decimal ids with what follows them, as rows of bytes, and which bytes are used: of A within a list and at its end, then of B."""
+        texts = [b"%d%c" % (i, sign) for tokens, signs in ((self.a.bytes, b",|"), (self.b.bytes, b",;")) for sign in signs for i in range(len(tokens))]
+        width = max(map(len, texts))
+        rows = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in texts), np.uint8).reshape(-1, width)
+        return rows, rows > 0
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids by A and by B, or None if one of them does not join to the text."""
+        if not text:
+            return None
         whole = b" " + text.encode()
         ids = []
         for tokens in (self.a, self.b):
             found = tokens.encode(text)
-            table = tokens.bytes
-            if not text or b"".join([table[i] for i in found]) != whole:
+            # Plain byte-level tokens always join to their text.
+            if not (tokens is self.a and tokens.plain) and b"".join(map(tokens.bytes.__getitem__, found.tolist())) != whole:
                 return None
-            ids.append(np.array(found, np.int64))
+            ids.append(found)
         return ids[0], ids[1]
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of A and of B up to the end of each group, and the numbers of the linked pairs."""
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        at_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))
-        at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
-        keys = sorted(at_a.keys() & at_b.keys())
-        to_a = np.fromiter(map(at_a.__getitem__, keys), np.int64, len(keys))
-        to_b = np.fromiter(map(at_b.__getitem__, keys), np.int64, len(keys))
+        at_a, at_b = np.zeros((2, int(ends_a[-1]) + 1), np.int32)
+        # Of tokens that end together the last one stands.
+        at_a[ends_a], at_b[ends_b] = np.arange(1, len(a) + 1), np.arange(1, len(b) + 1)
+        keys = np.flatnonzero((at_a > 0) & (at_b > 0))
+        to_a, to_b = at_a[keys].astype(np.int64), at_b[keys].astype(np.int64)
+        if self.solid:
+            return to_a, to_b, self.numbers(a[to_a - 1], b[to_b - 1])
         # Tokens without bytes end where the one before them does.
         many_a = to_a - np.searchsorted(ends_a, keys)
         many_b = to_b - np.searchsorted(ends_b, keys)
         each = many_a * many_b
         step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         wide = np.repeat(many_b, each)
-        left = a[np.repeat(to_a, each) - 1 - step // wide]
-        right = b[np.repeat(to_b, each) - 1 - step % wide]
-        return to_a, to_b, np.searchsorted(self.codes, left * len(self.b.bytes) + right)
+        return to_a, to_b, self.numbers(a[np.repeat(to_a, each) - 1 - step // wide], b[np.repeat(to_b, each) - 1 - step % wide])
 
     def groups_text(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> bytes:
         """All groups as `a1,a2|b1;a3|b2,b3`."""
-        out = np.empty(len(a) + len(b), object)
-        before_a = np.arange(len(a)) + np.repeat(np.append(0, to_b[:-1]), np.diff(to_a, prepend=0))
-        before_b = np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))
-        out[before_a], out[before_b] = self.written[0][a], self.written[2][b]
-        out[before_a[to_a - 1]], out[before_b[to_b - 1]] = self.written[1][a[to_a - 1]], self.written[3][b[to_b - 1]]
-        return b"".join(out.tolist())[:-1]
+        rows, used = self.written
+        size_a, size_b = len(self.a.bytes), len(self.b.bytes)
+        first, second = a.copy(), b + 2 * size_a
+        first[to_a - 1] += size_a
+        second[to_b - 1] += size_b
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.repeat(np.append(0, to_b[:-1]), np.diff(to_a, prepend=0))] = first
+        out[np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))] = second
+        return rows[out][used[out]].tobytes()[:-1]
 
 
 _PAIRS: dict[tuple[int, int], Pairs] = {}

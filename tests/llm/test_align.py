@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 import tokenizers
@@ -83,11 +84,28 @@ def test_pairs_are_bounded_by_the_vocabularies():
     assert len(pairs.codes) <= sum(map(len, pairs.a.bytes)) * 3 + sum(map(len, pairs.b.bytes)) * 3
 
 
+def test_numbers_and_tokens_without_bytes():
+    with open(align.BYTES, "rb") as a, open(align.PIECES, "rb") as b:
+        pairs = align.Pairs(a.read(), b.read())
+    width = len(pairs.b.bytes)
+    assert pairs.numbers(pairs.codes // width, pairs.codes % width).tolist() == list(range(len(pairs.codes)))
+    the, no = pairs.a.bytes.index(b" the"), pairs.b.bytes.index(b" the")
+    assert pairs.solid and [x.tolist() for x in pairs.align(np.array([the, the]), np.array([no, no]))[:2]] == [[1, 2], [1, 2]]
+    # As if an id of B had no bytes: both tokens that end there are linked.
+    pairs.b.bytes[5] = b""
+    pairs.sizes[1][5], pairs.solid = 0, False
+    for name in ("codes", "_slots"):
+        vars(pairs).pop(name)
+    to_a, to_b, numbers = pairs.align(np.array([the, the]), np.array([no, 5, no]))
+    assert to_a.tolist() == [1, 2] and to_b.tolist() == [2, 3]
+    assert sorted((pairs.codes[numbers] % width).tolist()) == sorted([no, 5, no])
+
+
 def test_both_encoders_agree(libraries):
     with open(align.BYTES, "rb") as a:
         mine = align.ByteTokens(a.read())
     for text in [t for t in some() if t] + ["x" * 5000, " ".join(chr(c) for c in range(32, 0xD800, 7))]:
-        assert mine.encode(text) == libraries[0].encode(" " + text, add_special_tokens=False).ids
+        assert mine.encode(text).tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids
 
 
 def test_repeated_ids_and_very_long_text(frame, libraries):
