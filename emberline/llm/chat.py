@@ -36,7 +36,7 @@ def unescape(text: Column) -> Column:
 
 
 def _role(role: Column) -> Column:
-    return F.when(role.rlike(r"^[A-Za-z0-9_-]*$"), role).otherwise(F.url_encode(role))
+    return F.when(role.rlike(r"\A[A-Za-z0-9_-]*\z"), role).otherwise(F.url_encode(role))
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -61,7 +61,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
     role and text, so that ties and repeated rows have one order. A null text or role is
     empty; rows without a conv_id are one conversation. `faithful` tells that the turns
     parsed from the output are the source's. A conversation is one string and so one
-    group; other columns are not read. An empty table gives an empty result.
+    group, of 2 GB at most, as any string of Spark; other columns are not read. An empty table gives an empty result.
     """
     plain = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     same = F.coalesce(parsed(rendered(F.col("role"), F.col("text"))) == F.array(F.struct("role", "text")), F.lit(False))

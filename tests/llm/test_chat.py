@@ -57,3 +57,12 @@ def test_escapes_reverse(spark, text):
 
     row = spark.range(1).select(chat.escape(F.lit(text)).alias("a"), chat.unescape(chat.escape(F.lit(text))).alias("b")).first()
     assert "<|" not in row["a"] and row["b"] == text
+
+
+@pytest.mark.parametrize("role", ["assistant\n", "\nassistant", "assistant\r", "assistant ", "a%20b", "<|im_start|>", "é\u2028"])
+def test_roles_that_end_in_white_space_read_back(frame, role):
+    rows = frame([(1, 0, role, "hi"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
+    out = chat.formatted(rows)
+    read = chat.masked(out).first()
+    assert read["faithful"] and [(t["role"], t["text"]) for t in read["turns"]] == [(role, "hi"), ("assistant", "yes")]
+    assert chat.digests(out).first()["loss_chars"] == 3
