@@ -293,7 +293,8 @@ def _code(coder):
             text = _texts(*common.flat(rows.column("text")))
             ids, starts, scores = coder.value.encode(*common.flat(text))
             back = _texts(*coder.value.decode(ids, starts))
-            same = pc.equal(back, text)
+            # A literal marker was read as a space and does not come back.
+            same = pc.and_(pc.equal(back, text), pc.invert(rows.column("marked").combine_chunks()))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), lists, pa.array(np.diff(starts)), pa.array(scores), same], names=["doc_id", "ids", "n_ids", "score", "round_trip"])
 
@@ -317,15 +318,15 @@ def _decode(coder):
 def encoded(documents: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id`, `ids`, `n_ids`, `score` and `round_trip` of every row.
 
-    `round_trip` tells that decoding the ids gives the text back, a literal whitespace
-    marker read as a space. A null or empty text has no pieces and score 0; a text of any
+    `round_trip` tells that decoding the ids gives the text back. A literal whitespace
+    marker is read as a space and so does not come back. A null or empty text has no pieces and score 0; a text of any
     length is encoded whole; of equally good chains the one with the longer piece first,
     seen from the end, stands. Repeated rows stay. Other columns are not read. The model
     is read by the driver and broadcast: as large as its vocabulary.
     """
     coder = documents.sparkSession.sparkContext.broadcast(Coder(Vocabulary.load(model)))
     plain = F.translate(common.text_of(text), MARKER, " ")
-    rows = common.small_batches(documents).select(F.col(key).cast("long").alias("doc_id"), plain.alias("text"))
+    rows = common.small_batches(documents).select(F.col(key).cast("long").alias("doc_id"), plain.alias("text"), F.contains(common.text_of(text), F.lit(MARKER)).alias("marked"))
     return rows.mapInArrow(_code(coder), "doc_id long, ids array<int>, n_ids long, score double, round_trip boolean")
 
 

@@ -92,3 +92,8 @@ def test_rows(frame):
     back = pieces.decoded(frame([(x["doc_id"], x["ids"]) for x in got] + [(9, None), (8, [1, 2])], "doc_id long, ids array<int>")).collect()
     assert sorted((x["doc_id"] or 0, x["text"][:11]) for x in back) == [(0, "a b"), (1, "Hello world"), (1, "Hello world"), (2, ""), (3, ""), (4, "w" * 11), (8, ""), (9, "")]
     assert pieces.encoded(frame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_literal_marker_does_not_come_back(frame):
+    got = pieces.encoded(frame([(1, "a\u2581b"), (2, "a b"), (3, "")], "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["round_trip"] for x in got} == {1: False, 2: True, 3: True}
