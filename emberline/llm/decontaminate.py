@@ -24,7 +24,7 @@ from emberline.llm import common
 
 WINDOW, NEED = 13, 11
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-# Fewer tokens are no evidence.
+# Items of fewer tokens are found word for word only.
 LEAST = 8
 # Bytes of test items in one broadcast index.
 SHARD_BYTES = 4 << 20
@@ -41,7 +41,9 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 def window_of(tokens: int) -> tuple[int, int]:
     """Window and agreeing tokens asked of an item with so many tokens."""
-    return (WINDOW, NEED) if tokens >= WINDOW else (tokens, tokens - tokens // 5)
+    if tokens >= WINDOW:
+        return WINDOW, NEED
+    return tokens, tokens - tokens // 5 if tokens >= LEAST else tokens
 
 
 def masks_for(tokens: int) -> tuple[tuple[int, ...], ...]:
@@ -90,7 +92,7 @@ class Index:
         self.masks: dict[tuple[int, ...], list] = {}
         for k in range(len(items)):
             own = self.names[self.starts[k] : self.starts[k + 1]]
-            for mask in masks_for(len(own)) if len(own) >= LEAST else ():
+            for mask in masks_for(len(own)) if len(own) else ():
                 found = seeds(own, mask)
                 self.masks.setdefault(mask, []).append((found, np.full(len(found), k), np.arange(len(found))))
         self.tables = {}
@@ -189,7 +191,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     window begins, `begin` and `end` its bytes in the document. Tokens are runs of
     letters, digits and non-ASCII characters, A-Z lower-cased. Items of `WINDOW` or more
     tokens need a window of them with `NEED` equal; shorter ones count as a whole with a
-    fifth of the tokens free to differ, and those below `LEAST` tokens never. Null texts
+    fifth of the tokens free to differ, and those below `LEAST` tokens with none. Null texts
     have no tokens, rows without an item id are not searched for; of ties the earliest
     window stands. Repeated documents give a row each. Other columns are not read.
     """
@@ -223,23 +225,25 @@ def _tokens_sql(name: str, table: str, key: str, where: str) -> str:
         {name}_rows AS (
             SELECT row, id, len(tokens) AS n, unnest(tokens) AS token, unnest(gaps[1:len(tokens)]) AS gap,
                    unnest(range(len(tokens))) AS place
-            FROM {name}_lists WHERE len(tokens) >= {LEAST}),
+            FROM {name}_lists),
         {name} AS (
             SELECT row, id, n, token, place, ends - strlen(token) AS begins, ends FROM (
                 SELECT *, sum(strlen(gap) + strlen(token)) OVER (PARTITION BY row ORDER BY place) AS ends FROM {name}_rows) x)"""
 
 
+_NEED = f"CASE WHEN n >= {WINDOW} THEN {NEED} WHEN n >= {LEAST} THEN n - n // 5 ELSE n END"
+
 # All diagonals of all documents and items by equal tokens, then all windows of those
 # that have enough.
 ORACLE = f"""
     WITH {_tokens_sql("doc", "documents", "doc_id", "true")},{_tokens_sql("item", "benchmark", "item_id", "item_id IS NOT NULL")},
         asked AS (
             SELECT DISTINCT row, id, n, least(n, {WINDOW}) AS width,
-                   CASE WHEN n >= {WINDOW} THEN {NEED} ELSE n - n // 5 END AS need FROM item),
+                   {_NEED} AS need FROM item),
         diagonals AS (
             SELECT d.row AS doc, i.row AS item, d.place - i.place AS diagonal, list(i.place) AS same
             FROM doc d JOIN item i ON d.token = i.token
-            GROUP BY ALL HAVING count(*) >= {LEAST - LEAST // 5}),
+            GROUP BY ALL HAVING count(*) >= any_value({_NEED.replace("n ", "i.n ")})),
         windows AS (
             SELECT doc, item, diagonal, width, need, a.id AS item_id, same, unnest(range(a.n - width + 1)) AS start
             FROM diagonals g JOIN asked a ON a.row = item WHERE len(same) >= need),

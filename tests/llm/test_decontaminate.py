@@ -11,7 +11,7 @@ from emberline.llm import decontaminate as d
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-@pytest.mark.parametrize("tokens", range(d.LEAST, d.WINDOW + 3))
+@pytest.mark.parametrize("tokens", range(1, d.WINDOW + 3))
 def test_masks_miss_no_window(tokens):
     window, need = d.window_of(tokens)
     for gone in combinations(range(window), window - need):
@@ -30,7 +30,7 @@ def brute(docs, items):
             want = words(asked)
             window, need = d.window_of(len(want))
             best = 0
-            for at in range(len(have) - window + 1) if len(want) >= d.LEAST else ():
+            for at in range(len(have) - window + 1) if want else ():
                 for own in range(len(want) - window + 1):
                     best = max(best, sum(a == b for a, b in zip(have[at : at + window], want[own : own + window])))
             if best >= need > 0:
@@ -44,7 +44,7 @@ def sentence(r, n):
 
 def test_equals_brute_force(frame):
     r = random.Random(4)
-    items = [(i, sentence(r, n)) for i, n in enumerate([8, 9, 10, 12, 13, 14, 30, 40, 5, 0])] + [(90, "a b " * 10), (91, None)]
+    items = [(i, sentence(r, n)) for i, n in enumerate([8, 9, 10, 12, 13, 14, 30, 40, 5, 0, 1, 3])] + [(90, "a b " * 10), (91, None)]
     docs = []
     for i in range(60):
         item = items[i % 8][1].split()
@@ -88,3 +88,10 @@ def test_empty_tables(frame):
     docs, items = "doc_id long, text string", "item_id long, text string"
     assert d.overlaps(frame([], docs), frame([(1, "a b c d e f g h i j")], items)).count() == 0
     assert d.overlaps(frame([(1, "a b c d e f g h i j")], docs), frame([], items)).count() == 0
+
+
+def test_short_items_are_found_word_for_word(frame):
+    items = frame([(1, "the quick brown fox jumps over"), (2, "Yes")], "item_id long, text string")
+    docs = frame([(1, "see THE quick brown fox jumps over it"), (2, "the quick brown fox leaps over it"), (3, "yes"), (4, "yesterday")], "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["agree"], x["window"]) for x in d.overlaps(docs, items).collect()}
+    assert got == {(1, 1, 6, 6), (3, 2, 1, 1)}
