@@ -1,10 +1,10 @@
 """URL rules through a cascade of Bloom filters: exact membership without joins.
 
-The key universe is every key of the corpus that a rule could be: each host with its
-parent domains, beside each prefix of the path that is as long as some rule's path. Level
-one encodes the listed keys; level two the other keys of the universe that pass level
-one; level three the listed keys that pass level two; and so on until a level has nothing
-to encode. A key of the universe then is listed if the first level it fails is an even one.
+The key universe is every key of the corpus that a rule could be: each end of a host that
+has as many labels as some rule, beside each prefix of the path that is as long as some
+rule's path. Level one encodes the listed keys as the rules give them; level two the other
+keys of the universe that pass level one; level three the listed keys that pass level two;
+and so on until a level has nothing to encode. A key of the universe then is listed if the first level it fails is an even one.
 One cascade lists keys to block, another those to allow.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from emberline.llm import common
 from emberline.llm.components import checkpointed
 
-# Bytes of a cascade up to which it is broadcast.
+# Bytes of a cascade's first level up to which it is one shard.
 LIMIT = 64 << 20
 LEVELS = 64
 
@@ -39,12 +39,17 @@ def path_of(url: str = "url") -> Column:
     return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(lengths: list[int]) -> Column:
-    """All keys of `host` and `path` that a rule with a path of these lengths could be."""
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.length("path") >= n)
-    return F.when(F.col("host") != "", F.flatten(F.transform(parents, lambda p: F.transform(fitting, lambda n: F.concat(p, F.substr(F.col("path"), F.lit(1), n)))))).otherwise(F.array().cast("array<string>"))
+def keys_of(lengths: list[int], depths: list[int]) -> Column:
+    """All keys of `host` and `path` that a rule of these path lengths and numbers of labels could be, the longest host first.
+
+    Only these ends of the host are built, so a host of many labels costs its length.
+    """
+    dots = F.length("host") - F.length(F.regexp_replace("host", r"\.", ""))
+    parents = [F.when(dots >= n - 1, F.substring_index("host", ".", -n)) for n in sorted(depths, reverse=True)]
+    starts = [F.when(F.length("path") >= n, F.substr(F.col("path"), F.lit(1), F.lit(n))) for n in lengths]
+    # A missing part makes the key null.
+    keys = F.array_compact(F.array(*[F.concat(p, start) for p in parents for start in starts]))
+    return F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass(frozen=True)
@@ -107,31 +112,37 @@ def _still(number: int, level):
     return run
 
 
-def cascade(listed: DataFrame, others: DataFrame, limit: int = LIMIT) -> Cascade | None:
-    """The cascade that tells `listed` from `others`, disjoint rows of two hashes.
+def _sized(wanted: int, rest: int, number: int) -> tuple[int, int]:
+    """Probes and bits of a level. Half of the other side may pass; at the first level as few as there are listed keys."""
+    probes = 1 if number else max(1, int(np.ceil(np.log2(max(1.0, 1.41 * rest / max(1, wanted))))))
+    return probes, max(64, int(np.ceil(wanted * probes / np.log(2))))
+
 
-    None if its first level would exceed `limit` bytes. Rows are encoded by Spark; only
-    the bits of a level, fewer than `limit` bytes, reach the driver.
+def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """The cascade that tells the `listed` rows of `first`, `second` (hashes) and `rule` from the others of the universe.
+
+    The first level encodes the list as it is given. Only what passes it, about as many
+    keys as are listed, is compared with the list; all further levels come of these. Rows
+    are encoded by Spark; only the bits of a level reach the driver.
     """
-    spark = listed.sparkSession
+    spark, columns = listed.sparkSession, ["first", "second", "rule"]
     levels: list[Level] = []
-    encode, against = checkpointed(listed), checkpointed(others)
+    encode, against = checkpointed(listed.select(*columns)), universe.select(*columns)
     wanted, rest = encode.count(), against.count()
     for number in range(LEVELS):
         if not wanted:
             return Cascade(levels)
-        # Half of the other side may pass; at the first level as few as there are listed keys.
-        probes = 1 if number else max(1, int(np.ceil(np.log2(max(1.0, 1.41 * rest / wanted)))))
-        bits = max(64, int(np.ceil(wanted * probes / np.log(2))))
-        if bits // 8 > limit:
-            return None
-        rows = encode.mapInArrow(_set_bits(number, bits, probes), "word long, mask long")
+        probes, bits = _sized(wanted, rest, number)
+        rows = encode.select("first", "second").mapInArrow(_set_bits(number, bits, probes), "word long, mask long")
         words = np.zeros(-(-bits // 64), np.uint64)
         for row in rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
             words[row["word"]] = row["mask"] & ((1 << 64) - 1)
         levels.append(Level(bits, probes, words))
         level = spark.sparkContext.broadcast(levels[-1])
-        still = checkpointed(against.mapInArrow(_still(number, level), "first long, second long"))
+        still = against.mapInArrow(_still(number, level), "first long, second long, rule string")
+        if not number:
+            still = still.join(encode.select("rule"), "rule", "left_anti").select(*columns)
+        still = checkpointed(still)
         encode, against = still, encode
         wanted, rest = encode.count(), wanted
     raise RuntimeError(f"two keys share both hashes: no filter tells them apart after {LEVELS} levels")
@@ -165,6 +176,19 @@ def _judge(block, allow):
     return run
 
 
+def _hits(block, allow):
+    """Of keys, those that a cascade lists, with their verdict."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("first", "second")]
+            blocked, allowed = block.value.listed(*hashes), allow.value.listed(*hashes)
+            code = pa.array(np.where(blocked, 0, 1).astype(np.int32))
+            yield batch.select(["keys", "at", "key", "size"]).append_column("code", code).filter(pa.array(blocked | allowed))
+
+    return run
+
+
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", limit: int = LIMIT) -> DataFrame:
     """`page_id`, `host`, `path`, `rule` and `verdict` of every row.
 
@@ -173,39 +197,47 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     rule's; the longest wins, of equally long ones that with the longer host, and a rule
     listed both ways blocks. Without a rule the cascades say that no key is listed, and
     the page is allowed. A null url or one without `://` has an empty host and path, and
-    no rule. Repeated rows stay; other columns are not read.
+    no rule. A long url costs its length once per rule shape (labels and path length).
+    Lists whose first level takes more than `limit` bytes are split by key into shards, each
+    a pair of cascades of its own. Repeated rows stay; other columns are not read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rules = rules.select("rule", "verdict").where("rule is not null").distinct()
-    lengths = sorted(r[0] for r in rules.select(F.length(F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1))).distinct().collect())
-    if not lengths:
+    own = F.regexp_extract("rule", r"(?s)^([^/]*)", 1)
+    # The shapes of rules, not the rules.
+    shapes = rules.select((F.length("rule") - F.length(own)).alias("path"), (F.length(own) - F.length(F.regexp_replace(own, r"\.", "")) + 1).alias("labels")).distinct().collect()
+    if not shapes:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(ALLOW).alias("verdict"))
-    keyed = rows.withColumn("keys", keys_of(lengths))
-    universe = keyed.select(F.explode("keys").alias("rule")).distinct()
-    verdicts = rules.groupBy("rule").agg(F.min(F.when(F.col("verdict") == BLOCK, 0).otherwise(1)).alias("code"))
+    keyed = rows.withColumn("keys", keys_of(sorted({x["path"] for x in shapes}), sorted({x["labels"] for x in shapes})))
     hashes = F.xxhash64("rule").alias("first"), F.xxhash64(F.lit("second"), F.col("rule")).alias("second")
-    known = checkpointed(universe.join(verdicts, "rule", "left").select("code", *hashes))
-    built = []
-    for code in (0, 1):
-        listed = known.where(F.col("code") == code).select("first", "second")
-        others = known.where(~F.col("code").eqNullSafe(F.lit(code))).select("first", "second")
-        built.append(cascade(listed, others, limit))
-    if None in built:
-        return _joined(keyed, verdicts)
-    block, allow = (spark.sparkContext.broadcast(c) for c in built)
-    hashed = F.transform("keys", lambda k: F.struct(k.alias("key"), F.xxhash64(k).alias("first"), F.xxhash64(F.lit("second"), k).alias("second"), F.length(k).alias("size")))
-    out = keyed.select("page_id", "host", "path", hashed.alias("keys"))
-    return out.mapInArrow(_judge(block, allow), "page_id long, host string, path string, rule string, verdict string")
+    universe = checkpointed(keyed.select(F.explode("keys").alias("rule")).distinct().select("rule", *hashes))
+    verdicts = rules.groupBy("rule").agg(F.min(F.when(F.col("verdict") == BLOCK, 0).otherwise(1)).alias("code"))
+    verdicts = checkpointed(verdicts.select("rule", "code", *hashes))
+    bits = _sized(verdicts.count(), universe.count(), 0)[1]
+    shards = max(1, -(-bits // (8 * limit)))
 
+    def of(df: DataFrame, shard: int) -> DataFrame:
+        return df.where(F.pmod("first", F.lit(shards)) == shard)
 
-def _joined(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The same by a join, for lists whose filters are too large to broadcast."""
-    # Keys decide, so each distinct list of keys is judged once.
-    lists = keyed.select("keys").distinct().select("keys", F.posexplode("keys").alias("at", "rule"))
-    fit = lists.join(verdicts, "rule").groupBy("keys").agg(F.max(F.struct(F.length("rule").alias("size"), (-F.col("at")).alias("at"), "rule", "code")).alias("best"))
+    built = []
+    for shard in range(shards):
+        there = of(universe, shard)
+        pair = [cascade(of(verdicts, shard).where(F.col("code") == code), there) for code in (0, 1)]
+        built.append([spark.sparkContext.broadcast(c) for c in pair])
+    hashed = F.transform("keys", lambda k: F.struct(k.alias("key"), F.xxhash64(k).alias("first"), F.xxhash64(F.lit("second"), k).alias("second"), F.length(k).alias("size")))
+    if shards == 1:
+        out = keyed.select("page_id", "host", "path", hashed.alias("keys"))
+        return out.mapInArrow(_judge(*built[0]), "page_id long, host string, path string, rule string, verdict string")
+    # Keys decide, so each distinct list of keys is judged once, one shard at a time.
+    lists = keyed.select("keys").distinct().select("keys", F.posexplode(hashed).alias("at", "_k")).select("keys", "at", "_k.*")
+    hits = None
+    for shard, pair in enumerate(built):
+        found = of(lists, shard).mapInArrow(_hits(*pair), "keys array<string>, at int, key string, size int, code int")
+        hits = found if hits is None else hits.union(found)
+    best = hits.groupBy("keys").agg(F.max(F.struct("size", (-F.col("at")).alias("at"), F.col("key").alias("rule"), "code")).alias("best"))
     verdict = F.when(F.col("best.code") == 0, BLOCK).otherwise(ALLOW)
-    return keyed.join(fit, "keys", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    return keyed.join(best, "keys", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 # The rules of the registered query.

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from emberline.llm import urls
@@ -38,7 +39,7 @@ def pages():
     return made + [None, "", "nothing", "://", "a://b://net/", "http://x.net/\nen/", "http://net/" + "y" * 5000]
 
 
-@pytest.mark.parametrize("limit", [urls.LIMIT, 0])
+@pytest.mark.parametrize("limit", [urls.LIMIT, 2])
 def test_equals_string_comparison(spark, frame, limit):
     rows = list(enumerate(pages()))
     got = urls.judge(frame([(i, u, "r", "k") for i, u in rows], SCHEMA), urls.rule_table(spark, RULES), limit=limit).collect()
@@ -47,11 +48,8 @@ def test_equals_string_comparison(spark, frame, limit):
 
 def test_many_keys_are_told_apart_exactly(spark):
     n = 3000
-    keys = spark.range(n).selectExpr("id", "xxhash64(id) AS first", "xxhash64('s', id) AS second")
-    listed, others = keys.where("id % 10 = 0"), keys.where("id % 10 <> 0")
-    made = urls.cascade(listed.select("first", "second"), others.select("first", "second"))
-    import numpy as np
-
+    keys = spark.range(n).selectExpr("id", "xxhash64(id) AS first", "xxhash64('s', id) AS second", "cast(id AS string) AS rule")
+    made = urls.cascade(keys.where("id % 10 = 0"), keys)
     rows = keys.collect()
     first, second = (np.array([x[c] for x in rows], np.int64).view(np.uint64) for c in ("first", "second"))
     assert made.listed(first, second).tolist() == [x["id"] % 10 == 0 for x in rows]
@@ -61,9 +59,22 @@ def test_many_keys_are_told_apart_exactly(spark):
 
 
 def test_keys_that_no_filter_can_tell_apart(spark):
-    same = spark.createDataFrame([(1, 2)], "first long, second long")
+    one, other = (spark.createDataFrame([(1, 2, name)], "first long, second long, rule string") for name in "ab")
     with pytest.raises(RuntimeError):
-        urls.cascade(same, same)
+        urls.cascade(one, other)
+
+
+def test_listed_keys_need_not_be_in_the_universe(spark):
+    one, other = (spark.createDataFrame([(n, n + 7, name)], "first long, second long, rule string") for n, name in ((1, "a"), (2, "b")))
+    made = urls.cascade(one, other)
+    assert made.listed(np.array([2], np.uint64), np.array([9], np.uint64)).tolist() == [False]
+
+
+def test_hosts_of_many_labels(spark, frame):
+    """Time follows the length of the url, not its square."""
+    urls_ = ["http://" + "a." * 50_000 + "example.net/en/x", "http://" + "." * 20_000 + "net/", "http://" + "x" * 100_000 + ".org/f" + "y" * 100_000]
+    got = urls.judge(frame([(i, u, "", "") for i, u in enumerate(urls_)], SCHEMA), urls.rule_table(spark, RULES)).collect()
+    assert {x["page_id"]: (x["rule"], x["verdict"]) for x in got} == {i: plain(u, RULES)[2:] for i, u in enumerate(urls_)}
 
 
 def test_without_rules_and_without_rows(spark, frame):
