@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of one Arrow batch: texts are long, so that a batch stays at a few MB.
@@ -35,18 +35,31 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def one_row_per(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key` and `text` alone, one row per key: the one with the smallest text.
+def identified(df: DataFrame, key: str, text: str, *others: str) -> DataFrame:
+    """`doc_id`, `no_id`, `id`, `text` and the columns `others` of every row; the first two name its document.
 
-    Dealt by key, so that plans that use it more than once share one exchange.
+    A document is an id, the row's own, and a text. Rows without an id, and those that
+    repeat an id with another text, are named by a hash of both (`no_id` is true); of the
+    texts of an id the one with the least hash keeps it.
     """
-    from pyspark.sql import Window
+    from emberline.llm.components import Stored
+
+    rows = small_batches(df).select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"), *others)
+    whole = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), F.col("text"))
+    mark = F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
+    marks = rows.where("id is not null").select("id", mark.alias("mark")).groupBy("id").agg(F.min("mark").alias("_least"), F.max("mark").alias("_most"))
+    # Few or none: read back, its size tells whether texts have to move to meet it.
+    several = Stored(marks.where("_least <> _most").select(F.col("id").alias("_id"), "_least")).rows
+    rows = rows.join(several, F.col("id") == F.col("_id"), "left")
+    own = F.col("id").isNull() | F.coalesce(F.col("_least") != mark, F.lit(False))
+    return rows.select(F.when(own, mark).otherwise(F.col("id")).alias("doc_id"), own.alias("no_id"), "id", "text", *others)
 
-    rows = small_batches(df).select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    # Null keys are one document, dealt and joined like any other.
-    rows = rows.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
-    first = Window.partitionBy("doc_id", "no_id").orderBy("text")
-    return rows.repartition("doc_id", "no_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+def one_row_per(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per document of `identified`, dealt by its name, so that plans that use it more than once share one exchange."""
+    first = Window.partitionBy("doc_id", "no_id").orderBy("id")
+    rows = identified(df, key, text).repartition("doc_id", "no_id")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -275,14 +275,13 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(hashlib.sha256(part[~cut[a:b]].tobytes() if lost[b] > lost[a] else part).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [
-                rows.column("doc_id").combine_chunks(),
-                rows.column("no_id").combine_chunks(),
+                rows.column("id").combine_chunks(),
                 pa.array(np.diff(starts)),
                 pa.array(np.diff(lost[starts])),
                 pa.array(np.diff(runs[starts])),
                 pa.array(kept, pa.string()),
             ],
-            names=["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
@@ -308,7 +307,7 @@ def _with_spans(docs: DataFrame, length: int, others: DataFrame | None = None) -
     if others is not None:
         spans = others.join(spans, keys, "left")
     joined = docs.join(spans, keys, "left").withColumn("spans", F.coalesce("spans", none))
-    return joined.select(*keys, "text", "spans", *([] if others is None else others.drop(*keys).columns))
+    return joined.select("id", "text", "spans", *([] if others is None else others.drop(*keys).columns))
 
 
 def repeated_bytes(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,53 +315,56 @@ def repeated_bytes(documents: DataFrame, length: int = 100, key: str = "doc_id",
 
     Removes each byte covered by a string of `length` bytes that also starts earlier: in
     a document with a smaller id, or earlier in the same one. Strings are judged on the
-    input, overlaps count, and none crosses documents. A null text is empty; rows with
-    a null id are one document before all others; of rows that repeat an id the one with
-    the smallest text stands for it. Other columns are not read. An empty table gives an
-    empty result.
+    input, overlaps count, and none crosses documents. A null text is empty. Rows equal in
+    id and text are one document. Rows without an id, and further texts of an id (all but
+    that with the least hash), are documents of their own, before all others and in the
+    order of their hashes. Other columns are not read. An empty table gives an empty result.
     """
     docs = common.one_row_per(documents, key, text)
-    out = _with_spans(docs, length).mapInArrow(_judged, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _with_spans(docs, length).mapInArrow(_judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
     """`doc_id`, the text that is left, `n_removed` bytes, and the columns `others`.
 
     Same rules as `repeated_bytes`; a character goes only if all its bytes are removed.
-    Of rows that repeat an id the smallest values of `others` stand.
+    Of rows of one document the smallest values of `others` stand.
     """
     docs = common.one_row_per(documents, key, text)
-    one = F.col(key).cast("long")
-    rest = documents.select(F.coalesce(one, F.lit(0)).alias("doc_id"), one.isNull().alias("no_id"), F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+    rest = common.identified(documents, key, text, *others).select("doc_id", "no_id", F.struct(F.lit(0).alias("_"), *others).alias("rest"))
     rest = rest.groupBy("doc_id", "no_id").agg(F.min("rest").alias("rest"))
     kind = rest.schema["rest"].dataType.simpleString()
-    out = _with_spans(docs, length, rest).mapInArrow(_rewritten, f"doc_id long, no_id boolean, rest {kind}, text string, n_removed long")
-    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "n_removed", *[F.col("rest")[c].alias(c) for c in others])
+    out = _with_spans(docs, length, rest).mapInArrow(_rewritten, f"id long, rest {kind}, text string, n_removed long")
+    return out.select(F.col("id").alias("doc_id"), "text", "n_removed", *[F.col("rest")[c].alias(c) for c in others])
 
 
 # Every byte and every window of 100 bytes as a row; windows are told apart by their MD5.
 ORACLE = """
-    WITH docs AS (
-        SELECT doc_id, hex(encode(min(coalesce(text, '')))) AS digits FROM documents GROUP BY doc_id),
+    WITH given AS (
+        SELECT DISTINCT doc_id AS id, coalesce(text, '') AS text FROM documents),
+    marks AS (
+        SELECT *, CAST('0x' || substr(md5(coalesce(CAST(id AS VARCHAR), '') || ' ' || text), 1, 15) AS BIGINT) AS mark FROM given),
+    named AS (
+        SELECT *, id IS NULL OR mark <> min(mark) OVER (PARTITION BY id) AS own FROM marks),
+    docs AS (
+        SELECT id, row_number() OVER (ORDER BY own DESC, CASE WHEN own THEN mark ELSE id END) AS d, hex(encode(text)) AS digits FROM named),
     sized AS (SELECT *, length(digits) // 2 AS n FROM docs),
     starts AS (
-        SELECT doc_id, p, md5(substr(digits, 2 * p + 1, 200)) AS content
+        SELECT d, p, md5(substr(digits, 2 * p + 1, 200)) AS content
         FROM (SELECT *, unnest(range(greatest(n - 99, 0))) AS p FROM sized) s),
     later AS (
-        SELECT doc_id, p FROM starts
-        QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id NULLS FIRST, p) > 1),
-    places AS (SELECT doc_id, unnest(range(n)) AS i FROM sized),
+        SELECT d, p FROM starts QUALIFY row_number() OVER (PARTITION BY content ORDER BY d, p) > 1),
+    places AS (SELECT d, unnest(range(n)) AS i FROM sized),
     seen AS (
-        SELECT b.doc_id, i, max(p) OVER (PARTITION BY b.doc_id ORDER BY i) AS last
-        FROM places b LEFT JOIN later l ON b.doc_id IS NOT DISTINCT FROM l.doc_id AND i = p),
-    marked AS (SELECT doc_id, i, coalesce(i - last < 100, false) AS cut FROM seen),
+        SELECT b.d, i, max(p) OVER (PARTITION BY b.d ORDER BY i) AS last
+        FROM places b LEFT JOIN later l ON b.d = l.d AND i = p),
+    marked AS (SELECT d, i, coalesce(i - last < 100, false) AS cut FROM seen),
     edges AS (
-        SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), false) AS enters FROM marked),
+        SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY d ORDER BY i), false) AS enters FROM marked),
     left_over AS (
-        SELECT e.doc_id, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE enters) AS n_spans,
+        SELECT e.d, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE enters) AS n_spans,
                string_agg(substr(digits, 2 * i + 1, 2), '' ORDER BY i) FILTER (WHERE NOT cut) AS kept
-        FROM edges e JOIN sized s ON e.doc_id IS NOT DISTINCT FROM s.doc_id GROUP BY e.doc_id)
-    SELECT s.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        FROM edges e JOIN sized s ON e.d = s.d GROUP BY e.d)
+    SELECT s.id AS doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
            sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-    FROM sized s LEFT JOIN left_over l ON s.doc_id IS NOT DISTINCT FROM l.doc_id"""
+    FROM sized s LEFT JOIN left_over l ON s.d = l.d"""

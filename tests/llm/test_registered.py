@@ -21,7 +21,7 @@ ODD = {
     "conversations": ([(1, 0, "user", "a", 1), (1, 0, "user", "a", 1), (None, None, None, None, 1), (2, None, "assistant", None, 1)], "conv_id long, turn long, role string, text string, turns int"),
     "embeddings": ([(1, [1.0, 2.0], 1, 1), (1, [1.0, 2.0], 1, 1), (2, None, 1, 1), (None, [1.0, 2.0], 1, 1), (3, [0.0, 0.0], 1, 1), (4, [], None, 1), (5, [float("nan"), 1.0], 1, 1)], "vec_id long, embedding array<float>, label int, node int"),
 }
-ROWS = {"op1_repeats": 36, "op2_overlaps": 1, "op3_language": 39, "op4_url_rules": 5, "op5_pieces": 39, "op6_near_copies": 39, "op7_toxicity": 39, "op8_chat": 4, "op9_vectors": 7, "op10_warc": 5, "op11_lines": 39, "op12_phrases": 4, "op13_alignment": 39}
+ROWS = {"op1_repeats": 38, "op2_overlaps": 1, "op3_language": 39, "op4_url_rules": 5, "op5_pieces": 39, "op6_near_copies": 39, "op7_toxicity": 39, "op8_chat": 4, "op9_vectors": 7, "op10_warc": 5, "op11_lines": 39, "op12_phrases": 4, "op13_alignment": 39}
 
 
 def stored(spark, folder, empty):
