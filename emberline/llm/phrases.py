@@ -6,18 +6,19 @@ Counts come from a suffix tree of the words, cut at a depth of five and built in
    before it. A filter of fixed size tells tasks which words may be frequent; a false
    positive costs room and changes no result.
 2. Prefixes are partitioned vertically. A prefix with more suffixes than the memory budget
-   is extended by its next word, counted again, and so on; the last extension of each
-   suffix, at most as frequent as the budget, is its part's prefix. Prefixes are dealt into
-   groups of about half a budget.
+   allows is extended by its next word, counted again, and so on; the last extension of
+   each suffix, at most as frequent as the budget, is its part's prefix. Prefixes are dealt
+   into groups of about half a budget.
 3. A task gets a group's suffixes, sorts them and has the group's subtree: a node is a run
    of equal beginnings, its count the total of its leaves. Nodes above a split prefix lie
    in several groups and are added up after.
 
 Suffixes cross the shuffle in blocks: all of a chunk's suffixes for one group, sorted,
-equal ones counted, as numbers into the block's own list of words. So a passage that all
+equal ones counted, as numbers into the block's own list of words, which are written as
+their ranks among the most frequent words, or else as names. So a passage that all
 documents share crosses once a chunk, and a word that a third of all suffixes begin with
 spreads over as many groups as it fills budgets. The driver gets only prefixes above the budget:
-their number is at most that of all words over the budget, times the depth.
+their number is at most that of all words over half the budget, times the depth.
 
 Words are named by 64-bit hashes of language and word.
 """
@@ -42,6 +43,8 @@ TOP = 2000
 BUDGET = 1 << 19
 # Words that a task sorts at once on the way to the groups.
 CHUNK = 1 << 19
+# Most frequent words that blocks write as their rank, others by name: 16 MB at most.
+RANKED = 1 << 20
 SALTS = 64
 NONE = "und"
 
@@ -108,9 +111,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def known_words(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """`name`, `lang`, `word`, `n` of the words with the least count; word null: all of the language."""
+    """`name`, `lang`, `word`, `n`, `chunks` of the words with the least count; word null: all of the language."""
     counted = rows.mapInArrow(_counted, "name long, lang string, word string, n long")
-    total = counted.groupBy("name", "lang", "word").agg(F.sum("n").alias("n"))
+    total = counted.groupBy("name", "lang", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"))
     return checkpointed(total.where((F.col("n") >= least) | F.col("word").isNull()))
 
 
@@ -142,11 +145,11 @@ def prefixes(rows: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return key
 
 
-def _longer(shared, depth: int):
-    """Counts of beginnings of `depth` words, of which all but the last are heavy."""
+def _longer(shared, depth: int, least: int):
+    """Counts of beginnings of `depth` words, of which all but the last are heavy, with the least count in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, (bits, heavy) = common.Names(1 << 21), shared.value
+        names, (bits, heavy, _) = common.Names(1 << 21), shared.value
         schema = pa.schema([("prefix", pa.int64()), ("n", pa.int64())])
         for _, _, _, (named, piece, *_) in _chunks(batches, names):
             rows = suffixes(named, piece, bits, depth)
@@ -155,44 +158,73 @@ def _longer(shared, depth: int):
                 on = np.isin(key, heavy) & (rows[:, d] > 0)
                 rows, key = rows[on], _extended(key[on], rows[on, d])
             found, times = np.unique(key, return_counts=True)
+            found, times = found[times >= least], times[times >= least]
             yield from common.frames({"prefix": found.view(np.int64), "n": times}, schema)
 
     return run
 
 
 def heavy_prefixes(rows: DataFrame, known: DataFrame, bits: np.ndarray, budget: int, depth: int) -> np.ndarray:
-    """Names of the prefixes, shorter than the depth, with more suffixes than the budget."""
-    level = known.where("word is not null").where(F.col("n") > budget).select(F.col("name").alias("prefix"))
+    """Names of the prefixes, shorter than the depth, that are extended: all with more suffixes than the budget.
+
+    A chunk leaves out what is rare in it, half a budget over all chunks at most. So a
+    prefix that counts half a budget is extended.
+    """
+    level = known.where("word is not null").where(F.col("n") > budget // 2).select(F.col("name").alias("prefix"))
+    chunks = known.where("word is null").agg(F.sum("chunks")).first()[0] or 1
     heavy = np.zeros(0, np.uint64)
     for d in range(2, depth + 1):
-        # At most all words of the corpus over the budget.
+        # At most all words of the corpus over half a budget.
         new = level.toArrow().column("prefix").to_numpy().astype(np.int64).view(np.uint64)
         if not len(new):
             break
         heavy = np.sort(np.append(heavy, new))
         if d < depth:
-            shared = rows.sparkSession.sparkContext.broadcast((bits, heavy))
-            counted = rows.mapInArrow(_longer(shared, d), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-            level = counted.where(F.col("n") > budget).select("prefix")
+            shared = rows.sparkSession.sparkContext.broadcast((bits, heavy, None))
+            counted = rows.mapInArrow(_longer(shared, d, max(1, budget // (2 * chunks))), "prefix long, n long")
+            level = counted.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > budget // 2).select("prefix")
     return heavy
 
 
-def packed(rows: np.ndarray, times: np.ndarray) -> tuple[int, bytes]:
-    """A block of suffixes: sizes, the words' names, then columns of their numbers, then counts."""
+def ranked_words(known: DataFrame, limit: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the most frequent words, sorted, and their ranks."""
+    found = known.where("word is not null").orderBy(F.desc("n"), "name").limit(limit).select("name").toArrow()
+    names = found.column("name").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], order.astype(np.uint32)
+
+
+def packed(rows: np.ndarray, times: np.ndarray, ranked: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes]:
+    """A block of suffixes: sizes, ranks of its words and names of those without, then columns of numbers into these, then counts."""
+    sorted_names, ranks = ranked
     found, codes = np.unique(rows.ravel(), return_inverse=True)
-    codes = codes.reshape(rows.shape).T
-    head = np.array([*rows.shape, len(found)], np.int32)
-    block = head.tobytes() + found.tobytes() + codes.astype(np.uint16 if len(found) <= 1 << 16 else np.uint32).tobytes() + times.astype(np.uint32).tobytes()
+    at = np.searchsorted(sorted_names, found)
+    at[at == len(sorted_names)] = 0
+    known = sorted_names[at] == found if len(sorted_names) else np.zeros(len(found), bool)
+    # Frequent words first, so that their numbers are small.
+    rank = np.where(known, ranks[at] if len(ranks) else 0, len(ranks) + np.arange(len(found)))
+    order = np.argsort(rank, kind="stable")
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    told, named = rank[order[: known.sum()]], found[order[known.sum() :]]
+    columns = place[codes.reshape(rows.shape).T.ravel()].astype(np.uint32)
+    wide = columns.view(np.uint8).reshape(-1, 4).T[: 2 if len(found) <= 1 << 16 else 4]
+    head = np.array([*rows.shape, len(told), len(named), len(wide)], np.int32)
+    block = b"".join([head.tobytes(), np.diff(told, prepend=0).astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes(), named.tobytes(), np.ascontiguousarray(wide).tobytes()])
     return len(block), pa.compress(block, "zstd", asbytes=True)
 
 
-def unpacked(size: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(size: int, block: bytes, ranked_names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and counts of a block. `ranked_names`: names in the order of their ranks."""
     block = pa.decompress(block, size, "zstd", asbytes=True)
-    n, depth, m = np.frombuffer(block, np.int32, 3).tolist()
-    kind = np.uint16 if m <= 1 << 16 else np.uint32
-    found = np.frombuffer(block, np.uint64, m, 12)
-    codes = np.frombuffer(block, kind, n * depth, 12 + 8 * m)
-    return found[codes.reshape(depth, n).T], np.frombuffer(block, np.uint32, n, len(block) - 4 * n)
+    n, depth, m, more, width = np.frombuffer(block, np.int32, 5).tolist()
+    told = np.cumsum(np.frombuffer(block, np.uint32, m, 20), dtype=np.int64)
+    times = np.frombuffer(block, np.uint32, n, 20 + 4 * m)
+    found = np.concatenate([ranked_names[told], np.frombuffer(block, np.uint64, more, 20 + 4 * (m + n))])
+    planes = np.frombuffer(block, np.uint8, width * n * depth, 20 + 4 * (m + n) + 8 * more).reshape(width, -1)
+    codes = np.zeros((n * depth, 4), np.uint8)
+    codes[:, :width] = planes.T
+    return found[codes.view(np.uint32).reshape(depth, n).T], times
 
 
 def _runs(rows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +245,7 @@ def _runs(rows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _dealt(shared, groups: int, depth: int, chunk: int):
     """Suffixes of at least two words, in blocks for their groups."""
 
-    def blocks(rows: np.ndarray, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def blocks(rows: np.ndarray, heavy: np.ndarray, ranked: tuple) -> Iterator[pa.RecordBatch]:
         rows = rows[rows[:, 1] > 0]
         if not len(rows):
             return
@@ -223,23 +255,23 @@ def _dealt(shared, groups: int, depth: int, chunk: int):
         times = np.diff(np.append(first, len(rows)))
         rows, group = rows[order[first]], group[order[first]]
         at = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
-        made = [packed(rows[a:b], times[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        made = [packed(rows[a:b], times[a:b], ranked) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         schema = pa.schema([("group", pa.int64()), ("size", pa.int32()), ("block", pa.binary())])
         columns = {"group": group[at[:-1]], "size": np.array([size for size, _ in made], np.int32), "block": pa.array([b for _, b in made], pa.binary())}
         yield from common.frames(columns, schema, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, (bits, heavy) = common.Names(1 << 21), shared.value
+        names, (bits, heavy, ranked) = common.Names(1 << 21), shared.value
         held, size = [], 0
         for _, _, _, (named, piece, *_) in _chunks(batches, names):
             rows = suffixes(named, piece, bits, depth)
             held.append(rows[rows[:, 1] > 0])
             size += len(held[-1])
             if size >= chunk:
-                yield from blocks(np.concatenate(held), heavy)
+                yield from blocks(np.concatenate(held), heavy, ranked)
                 held, size = [], 0
         if held:
-            yield from blocks(np.concatenate(held), heavy)
+            yield from blocks(np.concatenate(held), heavy, ranked)
 
     return run
 
@@ -269,8 +301,10 @@ NODES = "words array<long>, n long"
 
 def _grown(shared, least: int):
     def run(group: pa.Table) -> pa.Table:
-        heavy = shared.value[1]
-        parts = [unpacked(size, block) for size, block in zip(group.column("size").to_pylist(), group.column("block").to_pylist())]
+        _, heavy, (names, ranks) = shared.value
+        by_rank = np.zeros(len(ranks), np.uint64)
+        by_rank[ranks] = names
+        parts = [unpacked(size, block, by_rank) for size, block in zip(group.column("size").to_pylist(), group.column("block").to_pylist())]
         rows, times = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
         lists, totals = [], []
@@ -284,11 +318,11 @@ def _grown(shared, least: int):
     return run
 
 
-def phrase_counts(rows: DataFrame, known: DataFrame, least: int = LEAST, depth: int = DEPTH, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
+def phrase_counts(rows: DataFrame, known: DataFrame, least: int = LEAST, depth: int = DEPTH, budget: int = BUDGET, chunk: int = CHUNK, ranked: int = RANKED) -> DataFrame:
     """`words` (names) and `n` of all phrases of 2 to `depth` words with the least count. `rows`: `lang` and `text`."""
     bits = common.bit_filter(known.where("word is not null"), "name")
     heavy = heavy_prefixes(rows, known, bits, budget, depth)
-    shared = rows.sparkSession.sparkContext.broadcast((bits, heavy))
+    shared = rows.sparkSession.sparkContext.broadcast((bits, heavy, ranked_words(known, ranked)))
     total = known.where("word is not null").agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-2 * total // budget))
     dealt = rows.mapInArrow(_dealt(shared, groups, depth, chunk), "group long, size int, block binary")
@@ -320,7 +354,7 @@ def maximal(counts: DataFrame, phrases: DataFrame) -> DataFrame:
     return phrases.join(inner, ["words", "a"], "left_anti")
 
 
-def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, depth: int = DEPTH, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
+def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, depth: int = DEPTH, budget: int = BUDGET, chunk: int = CHUNK, ranked: int = RANKED) -> DataFrame:
     """`lang`, `rank`, `phrase`, `a`, `l`, `r`, `n`, `score`: each language's first phrases by score, then count, then bytes.
 
     A-Z count as lower case; pieces end at `.,;:!?` and line ends; words are what lies
@@ -333,7 +367,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", l
     lang_of = F.coalesce(F.col(lang).cast("string"), F.lit(NONE))
     rows = common.small_batches(documents).select(lang_of.alias("lang"), common.text_of(text).alias("text"))
     known = known_words(rows, least)
-    counts = checkpointed(phrase_counts(rows, known, least, depth, budget, chunk))
+    counts = checkpointed(phrase_counts(rows, known, least, depth, budget, chunk, ranked))
     found = maximal(counts, scored(counts, known))
     spelled = found.select("words", F.posexplode("words").alias("at", "name")).join(known.where("word is not null").select("name", "word"), "name")
     spelled = spelled.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("_w")).select("words", F.array_join(F.col("_w.word"), " ").alias("phrase"))

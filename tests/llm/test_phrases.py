@@ -52,11 +52,11 @@ def corpus():
     return texts + [(None, None), ("en", ""), ("de", "."), ("und", "the of the"), ("xx", "lonely")]
 
 
-@pytest.mark.parametrize("least, top, budget, chunk", [(6, 1000, 1 << 19, 1 << 19), (6, 7, 40, 64), (3, 2000, 12, 1), (20, 5, 200, 300)])
-def test_equals_brute_force(frame, least, top, budget, chunk):
+@pytest.mark.parametrize("least, top, budget, chunk, ranked", [(6, 1000, 1 << 19, 1 << 19, 1 << 20), (6, 7, 40, 64, 5), (3, 2000, 12, 1, 1)])
+def test_equals_brute_force(frame, least, top, budget, chunk, ranked):
     rows = corpus()
     docs = frame([(i, text, lang, "s") for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string, word string", 4)
-    got = phrases.collocations(docs, least=least, top=top, budget=budget, chunk=chunk).collect()
+    got = phrases.collocations(docs, least=least, top=top, budget=budget, chunk=chunk, ranked=ranked).collect()
     assert sorted(tuple(x) for x in got) == brute(rows, least, top)
 
 
@@ -84,9 +84,12 @@ def test_groups_hold_the_budget():
     assert len(heavy) > 3
 
 
-def test_blocks_come_back():
+@pytest.mark.parametrize("known", [[], [6, 7, 1 << 60], [9, 6, 5, 8, 7, 1 << 60, 0]])
+def test_blocks_come_back(known):
     rows = np.array([[5, 6, 7, 0, 0], [5, 6, 0, 0, 0], [1 << 60, 6, 7, 8, 9]], np.uint64)
-    back, times = phrases.unpacked(*phrases.packed(rows, np.array([1, 2, 3])))
+    by_rank = np.array(known, np.uint64)
+    order = np.argsort(by_rank)
+    back, times = phrases.unpacked(*phrases.packed(rows, np.array([1, 2, 3]), (by_rank[order], order.astype(np.uint32))), by_rank)
     assert back.tolist() == rows.tolist() and times.tolist() == [1, 2, 3]
 
 
