@@ -68,6 +68,35 @@ def assign_range(df: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+def assign_interval(df: DataFrame, intervals: DataFrame, ts: str = "request_ts", bin_minutes: int = 360) -> DataFrame:
+    """Each row with every interval `lo` <= time < `hi` that holds it; `covered` is false when none does.
+
+    Intervals have any bounds. Time is cut into bins; an interval is listed under each bin it
+    touches, a row looks up its own bin and is then compared with the bounds: an equality
+    join, of which only intervals of one bin meet, and no row is repeated but for intervals
+    that overlap. `overlaps` counts the intervals that hold the row. Choose bins about as
+    long as the usual interval. An interval that is empty or lacks a bound holds nothing.
+    """
+    width = bin_minutes * 60_000_000
+
+    def micros(name: str):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+
+    touched = F.sequence(F.floor(micros("lo") / width), F.floor((micros("hi") - 1) / width))
+    listed = intervals.where("lo < hi").withColumn("_bin", F.explode(touched))
+    rows = df.withColumn("_bin", F.floor(micros(ts) / width))
+    held = (F.col("lo") <= F.col(ts)) & (F.col(ts) < F.col("hi"))
+    others = [name for name in intervals.columns if name not in ("lo", "hi")]
+    each = rows.join(small_side(listed, Settings().broadcast_bytes), "_bin", "left")
+    found = F.filter(F.col("_found"), lambda x: x["lo"].isNotNull())
+    if not others and "lo" in df.columns:
+        raise ValueError("the rows have a column `lo` of their own")
+    met = each.select(*df.columns, F.when(held, F.struct("lo", "hi", *others)).alias("_one"))
+    grouped = met.groupBy(*df.columns).agg(F.collect_list("_one").alias("_found"), F.count("_one").alias("overlaps"))
+    spread = grouped.select(*df.columns, "overlaps", F.explode_outer(found).alias("_one"))
+    return spread.select(*df.columns, F.col("_one.lo").alias("lo"), F.col("_one.hi").alias("hi"), *[F.col(f"_one.{name}").alias(name) for name in others], "overlaps", (F.col("overlaps") > 0).alias("covered"))
+
+
 def drop_plan(
     hot: DataFrame,
     cold: DataFrame,
@@ -130,15 +159,29 @@ def range_text(lower_date, lower_hour, upper_date, upper_hour):
     return F.format_string("%s %02d:00 to %s %02d:00", *bound(lower_date, lower_hour), *bound(upper_date, upper_hour))
 
 
-def apply_drop(spark: SparkSession, plan: DataFrame, hot_dir: str) -> list[str]:
+def save_residue(rows: DataFrame, dates: list[dt.date], path: str) -> None:
+    """Copy the classified hot rows of no class on these dates, so that they outlive the hot tier."""
+    lost = rows.where(event_date().isin(*dates) & ~F.col("event_class").isin(*CLASSES)).drop("event_class")
+    replace_days(lost.drop("event_date"), path, "parquet", dates)
+
+
+def apply_drop(spark: SparkSession, plan: DataFrame, hot_dir: str, rows: DataFrame | None = None, residue_dir: str | None = None) -> list[str]:
     """Delete the folders of every range planned as `drop`; return them.
 
+    Rows of no class exist nowhere else: of `rows` (classified) those of the dates that have
+    some are copied to `residue_dir` first, and without a place for them such a range stays.
     The table is made of parts with half-day folders, or plain with hour folders. Two
     rows per date reach the driver.
     """
+    due = plan.where(F.col("action") == "drop").collect()
+    lost = sorted({row.lower_date for row in due if row.residue})
+    if lost and rows is not None and residue_dir is not None:
+        save_residue(rows, lost, residue_dir)
+    elif lost:
+        due = [row for row in due if not row.residue]
     parts = [name for name in folders.children(spark, hot_dir) if name.startswith("part=")]
     gone = []
-    for row in plan.where(F.col("action") == "drop").collect():
+    for row in due:
         day = folders.day_dir(row.lower_date).split("/")
         levels = ["part", *day, "lower_hour"] if parts else [*day, "event_hour"]
         for found in folders.partition_dirs(spark, hot_dir, levels):

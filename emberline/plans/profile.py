@@ -12,6 +12,7 @@ from emberline.operators.filters import in_zones, slice_
 from emberline.operators.reconcile import pct
 from emberline.schema import LEDGER, PARTS
 from emberline.settings import Settings
+from emberline.sources import folders
 from emberline.sources.cold import write_partitions
 
 
@@ -77,6 +78,93 @@ def save_increment(increment: DataFrame, path: str, y: int, m: int, d: int, h: i
     increment.write.mode("overwrite").parquet(f"{path}/{folder}")
 
 
+COUNTS = ["impressions", "clicks"]
+INCREMENT = "user_id bigint, zone string, impressions bigint, clicks bigint, version int, event_year int, event_month int, event_day int, event_hour int"
+WEEK = "user_id bigint, zone string, impressions bigint, clicks bigint, profile_year int, week_number int, version int"
+
+
+def hour_dir(at: dt.datetime) -> str:
+    return "/".join(f"{name}={value}" for name, value in zip(PARTS, (at.year, at.month, at.day, at.hour)))
+
+
+def _under(spark: SparkSession, root: str, paths: list[str], schema: str) -> DataFrame:
+    """The rows under the listed folders of a table."""
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{path}" for path in paths])
+
+
+def _latest(spark: SparkSession, root: str, hours: list[dt.datetime], before: int) -> list[str]:
+    """Folders of the last increments of some hours that are older than a version."""
+    wanted, found = set(map(hour_dir, hours)), {}
+    for day in {at.date() for at in hours}:
+        levels = f"event_year={day.year}", f"event_month={day.month}", f"event_day={day.day}"
+        for path in folders.partition_dirs(spark, root, ["version", *levels, "event_hour"]):
+            version, hour = path.split("/", 1)
+            number = int(version.split("=")[1])
+            if hour in wanted and number < before:
+                found[hour] = max(found.get(hour, 0), number)
+    return [f"version={number}/{hour}" for hour, number in found.items()]
+
+
+def apply_hours(increments: DataFrame, hours: list[dt.datetime], version: int, root: str) -> None:
+    """Bring the weekly profile up to date with new increments of some hours, as one version.
+
+    `increments` has the partition columns and stands for all of `hours`. What the profile
+    changes by is new counts minus those the hours had before, so a rerun corrects its hours
+    and reads no others. Versions grow by run; a run cut short is run again under its own
+    number, finds the same older increments, and writes the same changes.
+    """
+    spark, kept, changed = increments.sparkSession, f"{root}/increments", f"{root}/changes"
+    columns = [*PARTS, "user_id", "zone", *COUNTS]
+    old = _under(spark, kept, _latest(spark, kept, hours, version), INCREMENT)
+    taken = [F.expr(f"-{name} AS {name}") for name in COUNTS]
+    both = increments.select(*columns).unionByName(old.select(*[c for c in columns if c not in COUNTS], *taken))
+    change = profile_week(both).drop("ctr").where("impressions <> 0 OR clicks <> 0")
+    plain = change.withColumn("version", F.lit(version))
+    folders.delete(spark, f"{changed}/version={version}")
+    write_partitions(plain, changed, ["version", "profile_year", "week_number"], "parquet")
+    folders.delete(spark, f"{kept}/version={version}")
+    write_partitions(increments.select(*columns).withColumn("version", F.lit(version)), kept, ["version", *PARTS], "parquet")
+    for at in hours:  # also an hour without rows has this version
+        folders.put_text(spark, f"{kept}/version={version}/{hour_dir(at)}/_taken", "")
+
+
+def read_weeks(spark: SparkSession, root: str, weeks: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The profile of all weeks, or of some, from its last fold and the changes since."""
+    rows = _folded_and_changes(spark, root, weeks)
+    total = rows.groupBy("profile_year", "week_number", "user_id", "zone").agg(*[F.sum(name).alias(name) for name in COUNTS])
+    return total.where("impressions <> 0 OR clicks <> 0").withColumn("ctr", F.try_divide("clicks", "impressions"))
+
+
+def _folded_and_changes(spark: SparkSession, root: str, weeks: list[tuple[int, int]] | None) -> DataFrame:
+    levels = ["version", "profile_year", "week_number"]
+    found: dict[str, dict[str, list[int]]] = {"folds": {}, "changes": {}}
+    for table, held in found.items():
+        for path in folders.partition_dirs(spark, f"{root}/{table}", levels):
+            version, week = path.split("/", 1)
+            if weeks is None or tuple(int(x.split("=")[1]) for x in week.split("/")) in weeks:
+                held.setdefault(week, []).append(int(version.split("=")[1]))
+    last = {week: max(versions) for week, versions in found["folds"].items()}
+    since = [f"version={v}/{week}" for week, versions in found["changes"].items() for v in versions if v > last.get(week, -1)]
+    folds = _under(spark, f"{root}/folds", [f"version={v}/{week}" for week, v in last.items()], WEEK)
+    return folds.unionByName(_under(spark, f"{root}/changes", since, WEEK))
+
+
+def fold_weeks(spark: SparkSession, root: str, version: int) -> None:
+    """Add up all changes up to a version, the last applied one, and delete what that covers.
+
+    Readers take a week's last fold and later changes only, so a fold may be cut short
+    after its write.
+    """
+    weeks = read_weeks(spark, root).drop("ctr").withColumn("version", F.lit(version))
+    write_partitions(weeks, f"{root}/folds", ["version", "profile_year", "week_number"], "parquet")
+    for table, limit in (("changes", version), ("folds", version - 1)):
+        gone = [name for name in folders.children(spark, f"{root}/{table}") if int(name.split("=")[1]) <= limit]
+        for name in gone:
+            folders.delete(spark, f"{root}/{table}/{name}")
+
+
 def change_gate(expected: DataFrame, written: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """Expected and written row counts per hour; passed when within the tolerance."""
     keys = ["event_date", "event_hour"]

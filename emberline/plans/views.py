@@ -67,6 +67,51 @@ def define_view(spark: SparkSession, view: str, t1: str, t2: str, c1: str, c2: s
     return spark.table(view)
 
 
+def tier_sql(spark: SparkSession, view: str, hot: str, cold: str, as_of: dt.date, cfg: Settings = Settings(), verb: str = "ALTER") -> str:
+    """Text that gives a view the bounds of a date."""
+    hot_from, cold_from = cutoffs(as_of, cfg)
+    return view_sql(spark, view, hot, cold, window_sql(hot_from, as_of), window_sql(cold_from, hot_from), verb)
+
+
+def stored_text(spark: SparkSession, view: str) -> str | None:
+    """The query that the catalog keeps for a view; None without one."""
+    if not spark.catalog.tableExists(view):
+        return None
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {view}").where("col_name = 'View Text'").select("data_type").collect()
+    return rows[0][0] if rows else None
+
+
+def _specs(paths: list[str]) -> str:
+    """Partition folders `a=x/b=1` as SQL partition specs; values are quoted, Spark casts them."""
+    levels = [[level.split("=", 1) for level in path.split("/")] for path in paths]
+    return ", ".join("PARTITION (" + ", ".join(f"{name}='{value}'" for name, value in spec) + ")" for spec in levels)
+
+
+def add_partitions(spark: SparkSession, table: str, paths: list[str]) -> None:
+    """Tell the catalog of partition folders; other partitions are not looked at."""
+    if paths:
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {_specs(paths).replace('), PARTITION', ') PARTITION')}")
+        spark.sql(f"REFRESH TABLE {table}")
+
+
+def drop_partitions(spark: SparkSession, table: str, paths: list[str]) -> None:
+    """Make the catalog forget partitions whose folders are gone."""
+    if paths:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {_specs(paths)}")
+        spark.sql(f"REFRESH TABLE {table}")
+
+
+def switch_view(spark: SparkSession, view: str, hot: str, cold: str, as_of: dt.date, cfg: Settings = Settings()) -> str:
+    """Move the view's bounds to a date; return what the catalog then keeps, which must be what was asked for."""
+    verb = "ALTER" if spark.catalog.tableExists(view) else "CREATE"
+    text = tier_sql(spark, view, hot, cold, as_of, cfg, verb)
+    spark.sql(text)
+    kept = stored_text(spark, view)
+    if kept != text.split(" AS ", 1)[1]:
+        raise ValueError(f"the catalog keeps another definition of {view}: {kept}")
+    return kept
+
+
 def overlap_audit(
     hot: DataFrame, cold: DataFrame, lo: dt.date | None = None, hi: dt.date | None = None
 ) -> DataFrame:

@@ -48,11 +48,11 @@ def event_stream(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return event_source.read_events(spark, kind, sf, CFG, schema, "events.parquet")
 
 
-def register(spark: SparkSession, path: str, schema: str) -> str:
-    """An external ORC table over existing partition folders; its name."""
+def register(spark: SparkSession, path: str, schema: str, fmt: str = "orc", columns: list[str] = PARTS) -> str:
+    """An external table over partition folders; its name."""
     name = f"t_{uuid.uuid4().hex}"
     spark.sql(
-        f"CREATE TABLE {name} ({schema}) USING orc PARTITIONED BY ({', '.join(PARTS)}) LOCATION '{path}'"
+        f"CREATE TABLE {name} ({schema}) USING {fmt} PARTITIONED BY ({', '.join(columns)}) LOCATION '{path}'"
     )
     return name
 
@@ -168,6 +168,33 @@ def partition_sync(spark, sf):
     return sync.sync_plan(src, dst.withColumn("has_vast", flag))
 
 
+def copies(spark, sf):
+    """A source, and a copy that lacks a day, lost rows, and has a changed flag."""
+    kept = given.classified(spark, sf).where(F.col("event_class") != "unclassified").drop("event_date")
+    src = kept.where(cal.event_date() != F.lit(LAST))
+    dst = given.cold_defect(spark, sf).drop("event_date").where(cal.event_date() != F.lit(dt.date(2024, 1, 5)))
+    flag = F.when(cal.event_date() == F.lit(dt.date(2024, 1, 10)), F.lit(0)).otherwise(F.col("has_vast"))
+    return src, dst.withColumn("has_vast", flag)
+
+
+def stored_prints(spark, sf, ws):
+    days = [FIRST + dt.timedelta(days=i) for i in range((LAST - FIRST).days + 1)]
+    for name, rows in zip(("src", "dst"), copies(spark, sf)):
+        sync.save_prints(rows, days, f"{ws}/{name}")
+    return sync.prints_plan(sync.read_prints(spark, f"{ws}/src"), sync.read_prints(spark, f"{ws}/dst"))
+
+
+@query
+def partition_prints(spark, sf):
+    return stored_prints(spark, sf, folders.workspace(spark, "partition_prints"))
+
+
+@query
+def sync_differences(spark, sf):
+    plan = stored_prints(spark, sf, folders.workspace(spark, "sync_differences"))
+    return sync.differing_rows(plan, *copies(spark, sf))
+
+
 @query
 def users_dim_load(spark, sf):
     return users.load_users(given.user_documents(spark, sf), AS_OF)
@@ -541,6 +568,17 @@ def range_assign(spark, sf):
     )
 
 
+@query
+def interval_assign(spark, sf):
+    """Orders as intervals: from the order date on, for some hours and minutes; the days of one range overlap."""
+    number = F.col("n")
+    at = F.timestamp_add("MINUTE", number * 95, F.lit(dt.datetime(2024, 1, 3)).cast("timestamp_ntz"))
+    long = F.when(number % 40 == 0, 11 * 1440).when(number % 7 == 0, 20).otherwise(70)
+    keys = given.table(spark, sf, "orders").select((F.col("o_orderkey") % 300).cast("int").alias("n")).distinct()
+    intervals = keys.select(number.alias("interval_id"), at.alias("lo"), F.timestamp_add("MINUTE", long, at).alias("hi"))
+    return lifecycle.assign_interval(given.ad_events(spark, sf).select("unique_id", "request_ts"), intervals)
+
+
 @query
 def gated_drop_plan(spark, sf):
     return drops(spark, sf)
@@ -600,7 +638,19 @@ def daily_chain(spark, sf):
     rows = cols.partition_last(given.hot_events(spark, sf).select(*ROW))
     cold_store.write_partitions(rows, f"{ws}/hot", PARTS, "parquet")
     hot = spark.read.schema(rows.schema).parquet(f"{ws}/hot")
-    return chain.daily_chain(hot, f"{ws}/cold", AS_OF, CFG, hot_dir=f"{ws}/hot")
+    tables = register(spark, f"{ws}/hot", ddl(rows), "parquet"), register(spark, f"{ws}/cold", ddl(rows.withColumn("event_class", F.lit(""))), "orc", ["event_class", *PARTS])
+    view = chain.CatalogView(f"v_{tables[0]}", *tables)
+    spark.sql(f"MSCK REPAIR TABLE {tables[0]}")
+    # As the chain of the day before left it, before anything was sunk.
+    views.switch_view(spark, view.name, view.hot, view.cold, AS_OF - dt.timedelta(days=1), CFG)
+    try:
+        report = chain.daily_chain(hot, f"{ws}/cold", AS_OF, CFG, hot_dir=f"{ws}/hot", view=view)
+        report = spark.createDataFrame(report.collect(), report.schema)
+    finally:
+        spark.sql(f"DROP VIEW {view.name}")
+        for name in tables:
+            spark.sql(f"DROP TABLE {name}")
+    return report
 
 
 # --- streaming -----------------------------------------------------------------
@@ -724,6 +774,21 @@ def profile_week(spark, sf):
     return profile.profile_week(profile.profile_hours(given.ad_events(spark, sf), CFG.zones))
 
 
+@query
+def profile_corrected(spark, sf):
+    """Hours that were first taken from incomplete rows run again, some with nothing."""
+    ws = folders.workspace(spark, "profile_corrected")
+    full = given.classified(spark, sf).where(F.col("event_class") != "unclassified")
+    days = [FIRST + dt.timedelta(days=i) for i in range((LAST - FIRST).days + 1)]
+    hours = [dt.datetime.combine(day, dt.time(h)) for day in days for h in range(24)]
+    first = given.cold_defect(spark, sf).where((F.dayofmonth("event_date") != 7))
+    profile.apply_hours(profile.profile_hours(first, CFG.zones), hours, 1, ws)
+    profile.fold_weeks(spark, ws, 1)
+    odd = full.where(F.dayofmonth("event_date") % 2 == 1)
+    profile.apply_hours(profile.profile_hours(odd, CFG.zones), [at for at in hours if at.day % 2], 2, ws)
+    return profile.read_weeks(spark, ws)
+
+
 @query
 def profile_backfill(spark, sf):
     return profile.profile_backfill(

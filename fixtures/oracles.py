@@ -196,6 +196,22 @@ TEXT = ", ".join(
 )
 CONTENT = f"sum(CAST(concat('0x', substr(md5(concat_ws('|', {TEXT})), 1, 15)) AS BIGINT))"
 
+# The same without the date, per date and key bucket of two copies.
+PLAIN = ", ".join(
+    f"coalesce(CAST({'epoch_us(request_ts)' if name == 'request_ts' else name} AS STRING), '~')" for name in COLUMNS if name != "event_date"
+)
+PLAIN_ROW = f"CAST(concat('0x', substr(md5(concat_ws('|', {PLAIN})), 1, 15)) AS BIGINT)"
+BUCKET = "CAST(CAST(concat('0x', substr(md5(unique_id), 1, 7)) AS BIGINT) % 16 AS INT)"
+LEAF = f"event_date, {BUCKET} AS bucket, count(*) AS n, sum(user_id) AS ids, sum({PLAIN_ROW}) AS content"
+BOTH = f"""
+, leaves AS (
+  SELECT coalesce(x.event_date, y.event_date) AS event_date, coalesce(x.bucket, y.bucket) AS bucket, x.n AS sn, y.n AS dn,
+    concat_ws(' ', x.n, x.ids, x.content) AS s, concat_ws(' ', y.n, y.ids, y.content) AS d
+  FROM (SELECT {LEAF} FROM cls WHERE event_class <> 'unclassified' AND event_date <> DATE '2024-01-30' GROUP BY ALL) x
+  FULL JOIN (SELECT {LEAF} FROM (SELECT * REPLACE (CASE WHEN event_date = DATE '2024-01-10' THEN 0 ELSE has_vast END AS has_vast) FROM defect) z
+    WHERE event_date <> DATE '2024-01-05' GROUP BY ALL) y ON x.event_date = y.event_date AND x.bucket = y.bucket
+)"""
+
 QUERIES = {
     # sources and sinks
     "event_source": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
@@ -222,6 +238,22 @@ FROM (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS i
 FULL JOIN (SELECT event_date, count(*) AS n, CAST(sum(user_id) AS DECIMAL(30,0)) AS ids, {content} AS content
       FROM (SELECT * REPLACE (CASE WHEN event_date = DATE '2024-01-10' THEN 0 ELSE has_vast END AS has_vast) FROM defect) x
       WHERE event_date <> DATE '2024-01-05' GROUP BY event_date) d ON s.event_date = d.event_date""".format(content=CONTENT),
+    "partition_prints": """
+{both},
+dates AS (
+  SELECT event_date, CASE WHEN sum(sn) IS NULL THEN 'keep' WHEN sum(dn) IS NULL THEN 'copy'
+    WHEN bool_and(s IS NOT DISTINCT FROM d) THEN 'skip' ELSE 'update' END AS action FROM leaves GROUP BY event_date)
+SELECT event_date, bucket, 'update' AS action FROM leaves JOIN dates USING (event_date) WHERE action = 'update' AND s IS DISTINCT FROM d
+UNION ALL SELECT event_date, CAST(NULL AS INT), action FROM dates WHERE action <> 'update'""".replace("{both}", BOTH),
+    "sync_differences": """
+SELECT coalesce(s.event_date, d.event_date) AS event_date, unique_id,
+  CASE WHEN d.row IS NULL THEN 'new' WHEN s.row IS NULL THEN 'gone' ELSE 'changed' END AS status
+FROM (SELECT event_date, unique_id, {row} AS row FROM cls
+      WHERE event_class <> 'unclassified' AND event_date NOT IN (DATE '2024-01-30', DATE '2024-01-05')) s
+FULL JOIN (SELECT event_date, unique_id, {row} AS row
+      FROM (SELECT * REPLACE (CASE WHEN event_date = DATE '2024-01-10' THEN 0 ELSE has_vast END AS has_vast) FROM defect) x
+      WHERE event_date NOT IN (DATE '2024-01-30', DATE '2024-01-05')) d USING (unique_id)
+WHERE s.row IS DISTINCT FROM d.row""".replace("{row}", PLAIN_ROW),
     "users_dim_load": """
 SELECT user_id, name, nation, coalesce(o_orderpriority, segment) AS segment, DATE '2024-01-30' AS load_date
 FROM users LEFT JOIN (
@@ -355,6 +387,13 @@ FROM (SELECT DISTINCT o_orderdate AS d FROM orders) o""",
 SELECT unique_id, event_hour, CASE WHEN event_date <> DATE '2024-01-13' THEN event_date END AS lower_date,
   CASE WHEN event_date <> DATE '2024-01-13' THEN CASE WHEN event_hour < 12 THEN 0 ELSE 12 END END AS lower_hour,
   event_date <> DATE '2024-01-13' AS covered FROM cls""",
+    "interval_assign": """
+, spans AS (
+  SELECT n AS interval_id, lo, lo + to_minutes(CASE WHEN n % 40 = 0 THEN 11 * 1440 WHEN n % 7 = 0 THEN 20 ELSE 70 END) AS hi
+  FROM (SELECT DISTINCT CAST(o_orderkey % 300 AS INT) AS n FROM orders) k, LATERAL (SELECT TIMESTAMP '2024-01-03' + to_minutes(n * 95) AS lo) l
+)
+SELECT unique_id, request_ts, lo, hi, interval_id, count(interval_id) OVER (PARTITION BY unique_id) AS overlaps, interval_id IS NOT NULL AS covered
+FROM ad LEFT JOIN spans ON lo <= request_ts AND request_ts < hi""",
     "gated_drop_plan": "SELECT lower_date, lower_hour, upper_date, upper_hour, action, reason, residue FROM drops",
     "partition_discovery": """
 SELECT DISTINCT concat('event_year=', event_year, '/event_month=', event_month, '/event_day=', event_day,
@@ -419,6 +458,10 @@ LEFT JOIN (SELECT kind, max(ts) AS last_ts FROM raw GROUP BY kind) e ON r.kind =
 SELECT user_id, zone, {PROFILE} FROM cls WHERE event_date = DATE '2024-01-29' AND event_hour = 10
   AND zone IN {ZONES} AND (has_impression = 1 OR has_click = 1) GROUP BY ALL""",
     "profile_week": f"""
+SELECT *, CASE WHEN impressions <> 0 THEN clicks / impressions END AS ctr FROM (
+  SELECT event_year AS profile_year, {WEEK_U.format(d="event_date")} AS week_number, user_id, zone, {PROFILE}
+  FROM cls WHERE zone IN {ZONES} AND (has_impression = 1 OR has_click = 1) GROUP BY ALL) x""",
+    "profile_corrected": f"""
 SELECT *, CASE WHEN impressions <> 0 THEN clicks / impressions END AS ctr FROM (
   SELECT event_year AS profile_year, {WEEK_U.format(d="event_date")} AS week_number, user_id, zone, {PROFILE}
   FROM cls WHERE zone IN {ZONES} AND (has_impression = 1 OR has_click = 1) GROUP BY ALL) x""",

@@ -60,7 +60,7 @@ def test_drop_plan_holds_with_reason_and_drops(spark, sf, tmp_path):
     path = str(tmp_path / "hot")
     stored = store(partition_last(hot.select(*ROW)), path, "parquet")
     before, day = stored.count(), filters.slice_(stored, 2024, 1, 24).count()
-    gone = lifecycle.apply_drop(spark, plan, path)
+    gone = lifecycle.apply_drop(spark, plan, path, hot, str(tmp_path / "residue"))
     assert gone and not [g for g in gone if "event_day=24" not in g]
     assert day and spark.read.parquet(path).count() == before - day
 
@@ -68,7 +68,7 @@ def test_drop_plan_holds_with_reason_and_drops(spark, sf, tmp_path):
     events = given.ad_events_raw(spark, sf)
     hot_store.upsert(events.where("event_date between '2024-01-24' and '2024-01-25'"), 0, made)
     hot_store.upsert(events.where("event_date = '2024-01-24'"), 1, made)
-    lifecycle.apply_drop(spark, plan, made)
+    lifecycle.apply_drop(spark, plan, made, hot, str(tmp_path / "residue"))
     assert folders.children(spark, made) == ["part=batch-0000000000"]
     kept = hot_store.read_hot(spark, made).select("event_day").distinct().collect()
     assert [r.event_day for r in kept] == [25]
@@ -348,3 +348,146 @@ def test_only_partitions_in_scope_go(spark, sf, tmp_path):
     before = cold.read_cold(spark, root, rows.schema).where("event_day = 21 OR event_hour <> 7").count()
     cold.sink_hour(rows.where("false"), 2024, 1, 20, 7, root)
     assert cold.read_cold(spark, root, rows.schema).count() == before
+
+
+def register(spark, name, rows, path, fmt, columns):
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({cols}) USING {fmt} PARTITIONED BY ({', '.join(columns)}) LOCATION '{path}'")
+
+
+def test_the_chain_switches_the_view_after_the_sink_only(spark, merged, tmp_path):
+    hot_dir, cold_dir = str(tmp_path / "hot"), str(tmp_path / "cold")
+    hot = store(filters.window_(merged, dt.date(2024, 1, 22)), hot_dir, "parquet")
+    register(spark, "chain_hot", hot, hot_dir, "parquet", PARTS)
+    register(spark, "chain_cold", hot.withColumn("event_class", F.lit("")), cold_dir, "orc", ["event_class", *PARTS])
+    spark.sql("MSCK REPAIR TABLE chain_hot")
+    view = chain.CatalogView("chain_view", "chain_hot", "chain_cold")
+
+    def broken_sink(hot, date, root):
+        raise OSError("disk")
+
+    try:
+        before = views.switch_view(spark, view.name, view.hot, view.cold, AS_OF - dt.timedelta(days=1))
+        report = chain.daily_chain(hot, cold_dir, AS_OF, sink=broken_sink, hot_dir=hot_dir, view=view)
+        assert [r.status for r in report.collect()][1:] == ["skipped"] * 3
+        assert views.stored_text(spark, view.name) == before
+        whole = spark.table(view.name).count()
+        assert whole == filters.window_(merged, dt.date(2024, 1, 22), dt.date(2024, 1, 29)).count() and "2024-01-22" in before
+        report = chain.daily_chain(hot, cold_dir, AS_OF, hot_dir=hot_dir, view=view)
+        assert {r.status for r in report.collect()} == {"ok"}
+        after = views.stored_text(spark, view.name)
+        assert after != before and "2024-01-23" in after
+        # The day was sunk and dropped; readers of the view find it all the same, once.
+        day = filters.slice_(spark.table(view.name), D7.year, D7.month, D7.day)
+        held = filters.classify(filters.slice_(merged, D7.year, D7.month, D7.day)).where("event_class <> 'unclassified'")
+        assert day.count() == held.count() > 0
+        assert spark.read.schema(hot.schema).parquet(hot_dir).where("event_day = 23").count() == 0
+        residue = spark.read.schema(hot.schema).parquet(f"{cold_dir}_residue")
+        assert residue.count() == filters.slice_(merged, D7.year, D7.month, D7.day).count() - held.count()
+    finally:
+        spark.sql("DROP VIEW IF EXISTS chain_view")
+        for name in ("chain_hot", "chain_cold"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_residue_is_saved_or_holds_its_range(spark, sf, tmp_path):
+    rows = given.classified(spark, sf).where("event_date = '2024-01-20'")
+    some = rows.where("event_class <> 'unclassified'").limit(4)
+    rows = rows.where("event_class <> 'unclassified'").join(some.select("unique_id"), "unique_id", "left_anti").select(*rows.columns).union(some.withColumn("event_class", F.lit("unclassified")))
+    path = str(tmp_path / "hot")
+    store(partition_last(rows.select(*ROW)), path, "parquet")
+    plan = lifecycle.drop_plan(rows, rows.where("event_class <> 'unclassified'"), dt.date(2024, 1, 27))
+    assert {(r.action, r.residue) for r in plan.collect()} == {("drop", 4)}
+    assert lifecycle.apply_drop(spark, plan, path) == []
+    assert lifecycle.apply_drop(spark, plan, path, rows, str(tmp_path / "residue"))
+    assert spark.read.parquet(str(tmp_path / "residue")).count() == 4
+    assert folders.partition_dirs(spark, path, ["event_year", "event_month", "event_day", "event_hour"]) == []
+
+
+def scans(df):
+    """Paths that a plan's scans are rooted at, and how many there are."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profile_rerun_takes_back_what_the_hour_had(spark, sf, tmp_path, rows):
+    zones = [f"zone_{i}" for i in range(9)]
+    hot = given.ad_events(spark, sf).where("event_day between 3 and 12")
+    whole = profile.profile_hours(hot, zones).cache()
+    hours = [dt.datetime(2024, 1, d, h) for d in range(3, 13) for h in range(24)]
+    root = str(tmp_path / "p")
+
+    def expected(increments):
+        return rows(profile.profile_week(increments).select("profile_year", "week_number", "user_id", "zone", "impressions", "clicks"))
+
+    def held(weeks=None):
+        return rows(profile.read_weeks(spark, root, weeks).drop("ctr").select("profile_year", "week_number", "user_id", "zone", "impressions", "clicks"))
+
+    lossy = whole.where("user_id % 3 <> 0")
+    profile.apply_hours(lossy, hours, 1, root)
+    assert held() == expected(lossy)
+    some = [at for at in hours if at.day in (4, 11)]
+    picked = whole.where("event_day in (4, 11)")
+    for _ in range(2):  # the second run, as after a cut, changes nothing
+        profile.apply_hours(picked, some, 2, root)
+        mixed = lossy.where("event_day not in (4, 11)").unionByName(picked)
+        assert held() == expected(mixed)
+    profile.fold_weeks(spark, root, 2)
+    assert held() == expected(mixed) and folders.children(spark, f"{root}/changes") == []
+    # An hour that has nothing any more, then all again.
+    gone = [at for at in hours if at.day == 11]
+    profile.apply_hours(whole.where("false"), gone, 3, root)
+    assert held() == expected(mixed.where("event_day <> 11"))
+    assert held([(2024, 1)]) == expected(mixed.where("event_day between 7 and 12 and event_day <> 11"))
+    profile.apply_hours(whole, hours, 4, root)
+    assert held() == expected(whole)
+    assert profile._latest(spark, f"{root}/increments", gone, 4) and all(p.startswith("version=3/") for p in profile._latest(spark, f"{root}/increments", gone, 4))
+
+
+def test_prints_are_kept_and_only_differing_buckets_are_read(spark, merged, tmp_path):
+    src = filters.fill(merged)
+    stored = store(src, str(tmp_path / "src"))
+    copy = store(src.where("NOT (event_day = 7 AND user_id % 5 = 0)").withColumn("zone", F.when(F.col("event_day") == 9, "other").otherwise(F.col("zone"))), str(tmp_path / "dst"))
+    days = [dt.date(2024, 1, d) for d in range(1, 31)]
+    for rows_, name in ((stored, "a"), (copy, "b")):
+        sync.save_prints(rows_, days, str(tmp_path / name))
+    a, b = (sync.read_prints(spark, str(tmp_path / name)) for name in "ab")
+    plan = sync.prints_plan(a, b)
+    text_ = scans(plan)
+    assert str(tmp_path / "src") not in text_ and str(tmp_path / "dst") not in text_
+    got = plan.collect()
+    assert {r.event_date.day for r in got if r.action == "update"} == {7, 9} and {r.action for r in got} == {"update", "skip"}
+    full = sync.sync_plan(src, copy)
+    assert {(r.event_date, r.action) for r in full.collect()} == {(r.event_date, r.action) for r in got}
+    differ = sync.differing_rows(plan, stored, copy)
+    assert "event_day#" in scans(differ).split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    found = {(r.event_date.day, r.status) for r in differ.collect()}
+    assert found == {(7, "new"), (9, "changed")}
+    # One day is mended; its prints alone are made again.
+    sync.sync_apply(full.where("event_date = '2024-01-07'"), stored, str(tmp_path / "dst"))
+    before = folders.files(spark, str(tmp_path / "b" / "event_date=2024-01-09"))
+    mended = spark.read.schema(src.schema).orc(str(tmp_path / "dst"))
+    sync.save_prints(mended, [dt.date(2024, 1, 7)], str(tmp_path / "b"))
+    assert folders.files(spark, str(tmp_path / "b" / "event_date=2024-01-09")) == before
+    again = sync.prints_plan(a, sync.read_prints(spark, str(tmp_path / "b"))).collect()
+    assert {r.event_date.day for r in again if r.action == "update"} == {9}
+
+
+def test_intervals_of_any_bounds(spark, rows):
+    import random
+
+    r = random.Random(1)
+    base = dt.datetime(2024, 1, 1)
+    spans = [(i, base + dt.timedelta(minutes=r.randrange(40_000)), r.choice([0, 1, 30, 700, 15_000])) for i in range(60)]
+    made = [(i, lo, lo + dt.timedelta(minutes=n)) for i, lo, n in spans] + [(90, base, None), (91, None, base)]
+    intervals = spark.createDataFrame(made, "name int, lo timestamp, hi timestamp").selectExpr("name", "cast(lo as timestamp_ntz) lo", "cast(hi as timestamp_ntz) hi")
+    points = [(i, base + dt.timedelta(seconds=r.randrange(2_700_000))) for i in range(300)] + [(500, spans[1][1]), (501, None)]
+    df = spark.createDataFrame(points, "id int, ts timestamp").selectExpr("id", "cast(ts as timestamp_ntz) ts")
+    got = lifecycle.assign_interval(df, intervals, "ts", 60)
+    plan = scans(got)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = []
+    for i, ts in points:
+        held = [(i, ts, lo, hi, name) for name, lo, hi in made if ts and lo and hi and lo <= ts < hi]
+        want += [(*x[:4], x[4], len(held), True) for x in held] or [(i, ts, None, None, None, 0, False)]
+    assert rows(got) == sorted(want, key=repr)
