@@ -1,13 +1,15 @@
 """Embedding near-dedup by collision-counting projections.
 
-Vectors of length one are projected on many random lines and sorted along each. Two
-vectors collide on a line if one lies in a window of fixed width centred on the other;
-vectors as close as the threshold collide on a line with a known chance, so that the
-number of collisions over all lines has a known law. Pairs that reach the count which
-close pairs reach with the wanted recall are verified in double precision.
+Vectors of length one are projected on many random lines. Two vectors collide on a line if
+one lies in a window of fixed width centred on the other: within a cell (see below) the
+projections are compared line by line, which counts what sorting along each line and
+opening the windows would. Vectors as close as the threshold collide on a line with a
+known chance, so that the number of collisions over all lines has a known law. Pairs that
+reach the count which close pairs reach with the wanted recall are verified in double
+precision.
 
 Counting every pair would be quadratic, whatever the width: close vectors collide at most
-some three times as often as others. So lines are first sorted in groups: a table cuts
+some three times as often as others. So vectors are dealt into cells first: a table cuts
 each of its lines at zero, a cell is one side of every line, and only vectors that share
 a cell of some table are counted. Lines per table grow with the logarithm of the number
 of vectors, and the number of tables follows from the recall: two vectors at an angle lie
@@ -42,6 +44,8 @@ LINES = 64
 # Vectors a cell should hold, and vectors that a task compares with each other.
 CELL, BLOCK = 32, 1024
 SEED = 5
+# Lines of a table at most, as a cell's number has so many bits: enough for 5 * 10^11 vectors.
+MOST_LINES = 34
 
 
 @dataclass(frozen=True)
@@ -56,7 +60,7 @@ class Plan:
 
     @staticmethod
     def of(vectors: int, cosine: float, recall: float) -> Plan:
-        bits = min(max(int(log2(max(vectors, 1) / CELL + 1)), 1), 20)
+        bits = min(max(int(log2(max(vectors, 1) / CELL + 1)), 1), MOST_LINES)
         meet = (1 - acos(cosine) / pi) ** bits
         tables = max(1, ceil(log(1 - recall) / log(1 - meet))) if meet < 1 else 1
         # A window of one standard deviation of the difference at the threshold.
@@ -100,7 +104,7 @@ def _deal(plan: Plan):
                 rows = batch.filter(pa.array(sizes == size))
                 at = cells(units(matrix(rows.column(1), int(size))), plan)
                 for table in range(plan.tables):
-                    cell = (np.int64(size) * plan.tables + table << 20) | at[:, table]
+                    cell = (np.int64(size) * plan.tables + table << MOST_LINES) | at[:, table]
                     yield pa.RecordBatch.from_arrays([pa.array(cell), *rows.columns], names=["cell", *rows.schema.names])
 
     return run
@@ -114,7 +118,7 @@ def _count(plan: Plan):
         for rows, at in common.groups(batches, ["cell", "lo", "hi"], 8192):
             group = np.repeat(np.arange(len(at) - 1), np.diff(at))
             cell, node, copies, own, lo, hi = (rows.column(c).to_numpy() for c in ("cell", "node", "copies", "own", "lo", "hi"))
-            key = cell >> 20
+            key = cell >> MOST_LINES
             table, size = key % plan.tables, key // plan.tables
             vectors = rows.column("embedding").combine_chunks()
             n = len(group)

@@ -81,4 +81,12 @@ def test_empty_table(frame):
 
 def test_plan_grows_slowly():
     small, large = vectors.Plan.of(1000, 0.9, 0.995), vectors.Plan.of(10**9, 0.9, 0.995)
-    assert small.bits < large.bits <= 20 and small.count == large.count
+    assert small.bits < large.bits <= vectors.MOST_LINES and small.count == large.count
+
+
+def test_cells_keep_their_size_as_vectors_grow():
+    for count in (10**3, 10**6, 10**9, 10**11):
+        plan = vectors.Plan.of(count, vectors.COSINE, vectors.RECALL)
+        assert count / 2**plan.bits <= 4 * vectors.CELL
+        # The number of a cell fits beside its table and the size of its vectors.
+        assert (16_384 * plan.tables + plan.tables) << vectors.MOST_LINES < 2**63
