@@ -6,7 +6,7 @@ import datetime as dt
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.calendar import event_date, hour_calendar
@@ -46,6 +46,24 @@ def enrich(df: DataFrame, users: DataFrame, cfg: Settings = Settings()) -> DataF
     )
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+    """Store a table in the catalog, hashed into buckets by a key and sorted within them.
+
+    Rows are dealt by the key before, so that a bucket is one file.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def enrich_bucketed(spark: SparkSession, facts: str, users: str, key: str = "user_id") -> DataFrame:
+    """`enrich` for a dimension too large to broadcast: both tables lie in as many buckets of the key.
+
+    Buckets meet one to one, and neither table is shuffled, however large. The join is asked
+    to sort and merge, so that a bucket need not fit in memory.
+    """
+    left, dim = spark.table(facts), spark.table(users).select(key, "nation", "segment")
+    return left.join(dim.hint("merge"), key, "left").select(*left.columns, "nation", "segment")
+
+
 def missing_partitions(df: DataFrame, lo: dt.date, hi: dt.date) -> DataFrame:
     """Hours of a date range without any row."""
     seen = df.select(event_date().alias("event_date"), "event_hour").distinct()

@@ -126,8 +126,10 @@ def apply_hours(increments: DataFrame, hours: list[dt.datetime], version: int, r
     write_partitions(plain, changed, ["version", "profile_year", "week_number"], "parquet")
     folders.delete(spark, f"{kept}/version={version}")
     write_partitions(increments.select(*columns).withColumn("version", F.lit(version)), kept, ["version", *PARTS], "parquet")
-    for at in hours:  # also an hour without rows has this version
-        folders.put_text(spark, f"{kept}/version={version}/{hour_dir(at)}/_taken", "")
+    # Also an hour without rows has this version.
+    held = set(folders.partition_dirs(spark, f"{kept}/version={version}", PARTS))
+    for path in {hour_dir(at) for at in hours} - held:
+        folders.put_text(spark, f"{kept}/version={version}/{path}/_taken", "")
 
 
 def read_weeks(spark: SparkSession, root: str, weeks: list[tuple[int, int]] | None = None) -> DataFrame:

@@ -100,11 +100,31 @@ def hot_upsert_sink(spark, sf):
     return hot_store.read_hot(spark, f"{root}/hot_events").select(*ROW, "cell_id", "topic_name", "install_campaign_app_id")
 
 
+@query
+def hot_mapped_fields(spark, sf):
+    """Messages of one stream with every mapped field; the hot row has the latest message's."""
+    ws = folders.workspace(spark, "hot_mapped_fields")
+    rows = given.raw(spark, sf)
+    known = {"uniqueId": F.col("unique_id"), "event_id": F.col("event_id"), "user_id": F.col("user_id")}
+    times = {"topology_entry_time": F.col("ts").cast("string"), "request_timestamp": F.col("event_date").cast("timestamp").cast("string")}
+    sources = cols.mapped_fields()
+    mapped = {name: column for name, column in feed_fields(rows).items() if name in sources}
+    payload = F.to_json(F.struct(*[c.alias(n) for n, c in (known | times | mapped).items()]))
+    rows.select("event_id", payload.alias("payload")).repartition(3).write.parquet(f"{ws}/feed")
+    # One file a batch, so that the latest message may come in any of them.
+    run.run_stream(spark, "click", f"{ws}/feed", f"{ws}/tables", lambda: AS_OF, replace(OPEN, max_files_per_trigger=1), once=True).awaitTermination()
+    return hot_store.read_hot(spark, f"{ws}/tables/hot_events").select("unique_id", *cols.mapped_targets())
+
+
 @query
 def cold_orc_sink(spark, sf):
+    """Three hours one by one, as each is over, the others together."""
     ws = folders.workspace(spark, "cold_orc_sink")
     hot = given.ad_events(spark, sf)
-    cold_store.sink_classes(hot, ws)
+    first = (F.col("event_month") == D7.month) & (F.col("event_day") == D7.day) & (F.col("event_hour") < 3)
+    cold_store.sink_classes(hot.where(~first), ws)
+    for hour in range(3):
+        cold_store.sink_hour(hot, D7.year, D7.month, D7.day, hour, ws)
     return cold_store.read_cold(spark, ws, hot.schema)
 
 
@@ -248,24 +268,24 @@ def app_ids(df: DataFrame) -> DataFrame:
     )
 
 
+def feed_fields(df: DataFrame) -> dict:
+    """A value for every field that the feed maps, by its own name: text that tells which field it is, or nothing."""
+    def value(i: int):
+        text = F.concat(F.col("event_type"), F.lit("-"), ((F.col("k") + i) % 100).cast("string"))
+        return F.when(F.col("k") % 7 != i % 7, text)
+
+    fields = {pair.strip().split("-", 1)[0]: value(i) for i, pair in enumerate(cols.RENAMES.split(","))}
+    ts = F.col("ts")
+    whole = {"et_year": F.year(ts), "et_month": F.month(ts), "et_day": F.dayofmonth(ts), "et_hour": F.hour(ts), "uniqueid": F.col("unique_id")}
+    return fields | whole
+
+
 @query
 def rename_map(spark, sf):
-    people = lookups.enrich(given.raw(spark, sf), given.users(spark, sf))
-    ts = F.col("ts")
-    source = app_ids(people).select(
-        F.col("unique_id").alias("uniqueId"),
-        F.col("user_id").alias("clientid"),
-        F.col("nation").alias("gpscountry"),
-        F.col("k").alias("cellid"),
-        "event_type",
-        "AppId",
-        "app_id",
-        F.year(ts).alias("et_year"),
-        F.month(ts).alias("et_month"),
-        F.dayofmonth(ts).alias("et_day"),
-        F.hour(ts).alias("et_hour"),
-    )
-    return cols.rename(source)
+    """All pairs; source names come in any case."""
+    rows = given.raw(spark, sf)
+    fields = [column.alias(name.upper() if i % 3 else name) for i, (name, column) in enumerate(feed_fields(rows).items())]
+    return cols.rename(rows.select("event_id", *fields))
 
 
 @query
@@ -409,6 +429,17 @@ def user_enrich(spark, sf):
     return lookups.enrich(given.ad_events(spark, sf), given.users(spark, sf), CFG)
 
 
+@query
+def bucketed_enrich(spark, sf):
+    """Facts and users stored in buckets of the user, as for a dimension too large to send."""
+    ws = folders.workspace(spark, "bucketed_enrich")
+    names = [f"b_{uuid.uuid4().hex}" for _ in range(2)]
+    users = given.users(spark, sf).select("user_id", "nation", "segment")
+    for name, rows in zip(names, (given.ad_events(spark, sf), users)):
+        lookups.save_bucketed(rows, name, f"{ws}/{name}", "user_id", 8)
+    return lookups.enrich_bucketed(spark, *names)
+
+
 @query
 def reconcile_join(spark, sf):
     return reconcile.reconcile(given.classified(spark, sf), given.cold_defect(spark, sf), "hour")

@@ -212,6 +212,29 @@ BOTH = f"""
     WHERE event_date <> DATE '2024-01-05' GROUP BY ALL) y ON x.event_date = y.event_date AND x.bucket = y.bucket
 )"""
 
+# Where each field of the feed goes, in the feed's order. Written out here
+# too, so that the library's own list is compared with something else.
+TARGETS = """
+client_id country state city app_ver connection_type os_ver user_language unique_id cell_id ad_group_id
+audience_segments device_resolution hostname location_src partner_id delivery_slab user_delivery_slab
+nth_impression utm_source utm_medium utm_campaign install_delivery_slab install_cpi optimised_on
+top_campaign_ids top_campaign_ecpms predicted_install_probability campaign_predicted_ctr promovdo_id
+promo_topic topic_id topic_name dhtv_channel_id dhtv_type buzz_content_partner dhtv_source_key dhtv_relevance
+dhtv_urgency dhtv_party_leaning pubname vdogroupkey article_id autoplaypref second_bidder_campaign
+second_bidder_ecpm entity_id entity_type entity_subtype contentcontext parentcontentcontext product_ids
+recopolicy event_year event_month event_day event_hour install_campaign_app_id install_campaign_app_id
+""".split()
+
+
+def mapped(i: int) -> str:
+    """What the i-th field of the feed holds."""
+    return f"CASE WHEN k % 7 <> {i} % 7 THEN concat(event_type, '-', (k + {i}) % 100) END"
+
+
+KEYS = ("unique_id", "event_year", "event_month", "event_day", "event_hour")
+PLAIN_TARGETS = ", ".join(f"{mapped(i)} AS {name}" for i, name in enumerate(TARGETS) if name not in KEYS and TARGETS.count(name) == 1)
+MAPPED = f"{PLAIN_TARGETS}, coalesce({mapped(len(TARGETS) - 2)}, {mapped(len(TARGETS) - 1)}) AS install_campaign_app_id"
+
 QUERIES = {
     # sources and sinks
     "event_source": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
@@ -221,6 +244,9 @@ SELECT {ROW}, cell_id, topic_name, install_campaign_app_id FROM ad JOIN (
     arg_max(CASE WHEN k % 2 = 0 THEN concat('app', k) END, event_id) AS install_campaign_app_id
   FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, kind ORDER BY ts DESC, event_id DESC) AS n FROM raw) r
   WHERE n = 1 GROUP BY unique_id) m USING (unique_id)""",
+    "hot_mapped_fields": f"""
+SELECT unique_id, {MAPPED} FROM raw QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "bucketed_enrich": f"SELECT {ROW}, nation, segment FROM ad LEFT JOIN users USING (user_id)",
     "cold_orc_sink": f"SELECT {ROW}, event_class FROM cls WHERE event_class <> 'unclassified'",
     "cold_orc_sink_day": f"SELECT {ROW}, event_class FROM cls WHERE event_class <> 'unclassified' AND event_date = DATE '2024-01-23'",
     "interaction_append": f"SELECT event_id, user_id, event_type, {parts('ts')} FROM events",
@@ -273,10 +299,7 @@ SELECT kind AS app, CAST(0 AS BIGINT) AS batch_id,
   count(*) FILTER (WHERE fault = 'missing_key') AS missing_key, CAST(0 AS BIGINT) AS too_late, CAST(0 AS BIGINT) AS future
 FROM message GROUP BY kind""",
     # projections
-    "rename_map": f"""
-SELECT unique_id, user_id AS client_id, nation AS country, k AS cell_id, event_type,
-  CASE WHEN k % 3 = 0 THEN concat('app', k) WHEN k % 2 = 0 THEN concat('id', k) END AS install_campaign_app_id,
-  {parts('ts')} FROM raw JOIN users USING (user_id)""",
+    "rename_map": f"SELECT event_id, unique_id, {MAPPED}, {parts('ts')} FROM raw",
     "rename_coalesce": """
 SELECT event_id, CASE WHEN k % 3 = 0 THEN concat('app', k) WHEN k % 2 = 0 THEN concat('id', k) END
   AS install_campaign_app_id FROM raw""",

@@ -122,3 +122,17 @@ def test_flagging_takes_one_shuffle_and_equals_the_join(events, rows):
     assert rows(flagged.select(*ROW)) == rows(joined.select(*ROW))
     plain = merge.merge_flagged(bare, events.where("has_ad_interactions = 1"))
     assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, sf, tmp_path, rows):
+    facts, users = given.ad_events(spark, sf), given.users(spark, sf).select("user_id", "nation", "segment")
+    try:
+        for name, df in (("bucket_facts", facts), ("bucket_users", users)):
+            lookups.save_bucketed(df, name, str(tmp_path / name), "user_id", 4)
+        got = lookups.enrich_bucketed(spark, "bucket_facts", "bucket_users")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Broadcast" not in plan
+        assert rows(got) == rows(lookups.enrich(facts, users))
+    finally:
+        for name in ("bucket_facts", "bucket_users"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
