@@ -6,8 +6,10 @@ one mask finds all its tokens untouched somewhere in the window (a test tries th
 Hashes of test items and of documents are joined, and each hit is verified along its
 diagonal: a window of `WINDOW` aligned tokens must agree in `NEED` or more.
 
-The test set is the small side. Its items are dealt into shards of bounded size, one
-broadcast index each; a larger test set means more passes, never a larger broadcast.
+A test set up to `INDEX_BYTES` is one broadcast index of its hashes. A larger one is joined:
+seeds of both sides become rows, those of the documents only where a filter of fixed size
+lets them pass, and Spark joins them by hash; hits meet their documents and the tokens of
+their items, and are verified there. Documents are read as often whatever the test set.
 """
 
 from __future__ import annotations
@@ -21,18 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import common
+from emberline.llm.components import checkpointed
 
 WINDOW, NEED = 13, 11
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 # Items of fewer tokens are found word for word only.
 LEAST = 8
-# Bytes of test items in one broadcast index.
-SHARD_BYTES = 4 << 20
+# Bytes of test items up to which their hashes are one broadcast index.
+INDEX_BYTES = 4 << 20
 
 FOUND = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("agree", pa.int32()), ("window", pa.int32()), ("doc_token", pa.int64()), ("item_token", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())]
 )
 
+WRITTEN = "doc_id long, item_id long, agree int, window int, doc_token long, item_token int, begin long, end long"
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -80,48 +85,28 @@ def seeds(named: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return total
 
 
-class Index:
-    """Seeds of the items of one shard."""
+class Items:
+    """Test items by the names of their tokens, one after the other."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        data, starts = common.flat(pa.array([t for _, t in items], pa.string()))
-        names = common.Names(len(data))
-        self.names, item, _, _ = tokens(data, starts, names)
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.starts = np.searchsorted(item, np.arange(len(items) + 1))
-        self.masks: dict[tuple[int, ...], list] = {}
-        for k in range(len(items)):
+    def __init__(self, ids: np.ndarray, names: np.ndarray, starts: np.ndarray):
+        self.ids, self.names, self.starts = ids, names, starts
+
+    @staticmethod
+    def read(ids: list[int], texts: pa.Array) -> Items:
+        data, starts = common.flat(texts)
+        named, item, _, _ = tokens(data, starts, common.Names(len(data)))
+        return Items(np.array(ids, np.int64), named, np.searchsorted(item, np.arange(len(ids) + 1)))
+
+    def seeds(self) -> Iterator[tuple[tuple[int, ...], int, np.ndarray]]:
+        """Of every item and mask, the hashes from each of its tokens on."""
+        for k in range(len(self.ids)):
             own = self.names[self.starts[k] : self.starts[k + 1]]
             for mask in masks_for(len(own)) if len(own) else ():
-                found = seeds(own, mask)
-                self.masks.setdefault(mask, []).append((found, np.full(len(found), k), np.arange(len(found))))
-        self.tables = {}
-        for mask, parts in self.masks.items():
-            hashed, item, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(hashed, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[(hashed & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.tables[mask] = (hashed[order], item[order], at[order], seen)
-        del self.masks
+                yield mask, k, seeds(own, mask)
 
-    def hits(self, named: np.ndarray, doc: np.ndarray):
-        """Distinct diagonals: item, and the token on which it begins (may lie outside)."""
-        out = [np.zeros((0, 3), np.int64)]
-        for mask, (hashed, item, at, seen) in self.tables.items():
-            found = seeds(named, mask)
-            near = np.flatnonzero(seen[(found & np.uint64(0xFFFFF)).astype(np.int64)])
-            near = near[doc[near] == doc[near + mask[-1]]]
-            low = np.searchsorted(hashed, found[near], "left")
-            many = np.searchsorted(hashed, found[near], "right") - low
-            near, low, many = near[many > 0], low[many > 0], many[many > 0]
-            row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            where = np.repeat(near, many)
-            out.append(np.stack([doc[where], item[row], where - at[row]], axis=1))
-        return np.unique(np.concatenate(out), axis=0)
-
-    def verified(self, named: np.ndarray, doc: np.ndarray, spans: np.ndarray):
+    def best(self, hits: np.ndarray, named: np.ndarray, spans: np.ndarray) -> np.ndarray:
         """Of each document and item the best window: rows of document, item, agreeing, window, token, item's token."""
-        hits, out = self.hits(named, doc), []
+        out = []
         sizes = np.diff(self.starts)
         for at in range(0, len(hits), 4096):
             part = hits[at : at + 4096]
@@ -156,6 +141,39 @@ class Index:
         return found[new]
 
 
+class Index(Items):
+    """Items with their seeds sorted, to be looked up."""
+
+    def __init__(self, items: Items):
+        super().__init__(items.ids, items.names, items.starts)
+        self.masks: dict[tuple[int, ...], list] = {}
+        for mask, k, found in self.seeds():
+            self.masks.setdefault(mask, []).append((found, np.full(len(found), k), np.arange(len(found))))
+        self.tables = {}
+        for mask, parts in self.masks.items():
+            hashed, item, at = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashed, kind="stable")
+            seen = np.zeros(1 << 20, bool)
+            seen[(hashed & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            self.tables[mask] = (hashed[order], item[order], at[order], seen)
+        del self.masks
+
+    def hits(self, named: np.ndarray, doc: np.ndarray):
+        """Distinct diagonals: item, and the token on which it begins (may lie outside)."""
+        out = [np.zeros((0, 3), np.int64)]
+        for mask, (hashed, item, at, seen) in self.tables.items():
+            found = seeds(named, mask)
+            near = np.flatnonzero(seen[(found & np.uint64(0xFFFFF)).astype(np.int64)])
+            near = near[doc[near] == doc[near + mask[-1]]]
+            low = np.searchsorted(hashed, found[near], "left")
+            many = np.searchsorted(hashed, found[near], "right") - low
+            near, low, many = near[many > 0], low[many > 0], many[many > 0]
+            row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            where = np.repeat(near, many)
+            out.append(np.stack([doc[where], item[row], where - at[row]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = common.Names(1 << 16)
@@ -164,27 +182,98 @@ def _search(index):
             names.grow(len(data))
             named, doc, begin, end = tokens(data, starts, names)
             spans = np.searchsorted(doc, np.arange(rows.num_rows + 1))
-            found = index.value.verified(named, doc, spans)
-            d, item, agree, window, token, own = found.T
-            ids = rows.column("doc_id").combine_chunks().take(pa.array(d))
-            out = {
-                "doc_id": ids, "item_id": index.value.ids[item], "agree": agree.astype(np.int32), "window": window.astype(np.int32),
-                "doc_token": token - spans[d], "item_token": own.astype(np.int32), "begin": begin[token] - starts[d], "end": end[token + window - 1] - starts[d],
-            }
-            yield from common.frames(out, FOUND)
+            found = index.value.best(index.value.hits(named, doc), named, spans)
+            yield from _written(rows, found, index.value.ids, spans, begin, end, starts)
 
     return run
 
 
-def shards(items: DataFrame, limit: int = SHARD_BYTES) -> list[DataFrame]:
-    """The items in as many parts as keep each below `limit` bytes on average of twice over."""
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    count = max(1, -(-2 * size // limit)) if size > limit // 2 else 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [items.where(part == k) for k in range(count)]
+def _written(rows: pa.Table, found: np.ndarray, items: np.ndarray, spans: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    d, item, agree, window, token, own = found.T
+    out = {
+        "doc_id": rows.column("doc_id").combine_chunks().take(pa.array(d)), "item_id": items[item], "agree": agree.astype(np.int32), "window": window.astype(np.int32),
+        "doc_token": token - spans[d], "item_token": own.astype(np.int32), "begin": begin[token] - starts[d], "end": end[token + window - 1] - starts[d],
+    }
+    yield from common.frames(out, FOUND)
+
+
+SEEDS = pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("at", pa.int64())])
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        items = Items.read(batch.column("item").to_pylist(), batch.column("text"))
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        parts += [(found, np.full(len(found), items.ids[k]), np.arange(len(found))) for _, k, found in items.seeds()]
+        hashed, item, at = (np.concatenate(x) for x in zip(*parts))
+        yield from common.frames({"hash": hashed.view(np.int64), "item": item, "at": at}, SEEDS)
+
+
+def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        items = Items.read(batch.column("item").to_pylist(), batch.column("text"))
+        names = pa.ListArray.from_arrays(pa.array(items.starts.astype(np.int32)), pa.array(items.names.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), names, pa.array(np.minimum(np.diff(items.starts), WINDOW).astype(np.int32))], names=["item", "item_id", "names", "size"])
+
+
+def _doc_seeds(masks: list[tuple[int, ...]], bits):
+    """Seeds of documents that items may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.Names(1 << 16)
+        schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("token", pa.int64())])
+        for rows in common.gathered(batches, "text", 1 << 20):
+            data, starts = common.flat(rows.column("text"))
+            names.grow(len(data))
+            named, doc, _, _ = tokens(data, starts, names)
+            first = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+            ids, tags = (rows.column(c).combine_chunks() for c in ("doc_id", "tag"))
+            for mask in masks:
+                found = seeds(named, mask)
+                at = np.flatnonzero(common.may_hold(bits.value, found))
+                at = at[doc[at] == doc[at + mask[-1]]]
+                of = pa.array(doc[at])
+                yield from common.frames({"hash": found[at].view(np.int64), "doc_id": ids.take(of), "tag": tags.take(of), "token": at - first[doc[at]]}, schema)
+
+    return run
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents beside their hits and the tokens of the items hit."""
+    names = common.Names(1 << 16)
+    for rows in common.gathered(batches, "text", 1 << 20):
+        data, starts = common.flat(rows.column("text"))
+        names.grow(len(data))
+        named, doc, begin, end = tokens(data, starts, names)
+        spans = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+        listed = rows.column("hits").combine_chunks()
+        row = np.repeat(np.arange(rows.num_rows), np.diff(listed.offsets.to_numpy()))
+        flat = listed.flatten()
+        known, first, item = np.unique(flat.field("item").to_numpy(), return_index=True, return_inverse=True)
+        lists = flat.field("names").take(pa.array(first))
+        items = Items(flat.field("item_id").to_numpy()[first], lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy())))
+        hits = np.unique(np.stack([row, item, flat.field("diagonal").to_numpy() + spans[row]], axis=1), axis=0)
+        yield from _written(rows, items.best(hits, named, spans), items.ids, spans, begin, end, starts)
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Overlaps by a join of seeds. An item is known by a hash of its id and text, a document by id and hash."""
+    keyed = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+    own = checkpointed(keyed.mapInArrow(_item_tokens, "item long, item_id long, names array<long>, size int"))
+    asked = checkpointed(keyed.select("item", "text").mapInArrow(_item_seeds, "hash long, item long, at long"))
+    sizes = [x[0] for x in own.select("size").distinct().where("size > 0").collect()]  # at most WINDOW of them
+    masks = sorted({mask for size in sizes for mask in masks_for(size)})
+    bits = docs.sparkSession.sparkContext.broadcast(common.bit_filter(asked, "hash"))
+    tagged = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    seen = tagged.mapInArrow(_doc_seeds(masks, bits), "hash long, doc_id long, tag long, token long")
+    hits = seen.join(asked, "hash").select("doc_id", "tag", "item", (F.col("token") - F.col("at")).alias("diagonal")).distinct()
+    beside = hits.join(own, "item").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("item", "item_id", "diagonal", "names")).alias("hits"))
+    beside = beside.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "hits")
+    met = tagged.join(beside, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
+    return met.select("doc_id", "text", "hits").mapInArrow(_met, WRITTEN)
+
+
+def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limit: int = INDEX_BYTES) -> DataFrame:
     """One row per document and test item that overlap: the best window and where it lies.
 
     `agree` of `window` tokens are equal; `doc_token` and `item_token` are where the
@@ -192,17 +281,16 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     letters, digits and non-ASCII characters, A-Z lower-cased. Items of `WINDOW` or more
     tokens need a window of them with `NEED` equal; shorter ones count as a whole with a
     fifth of the tokens free to differ, and those below `LEAST` tokens with none. Null texts
-    have no tokens, rows without an item id are not searched for; of ties the earliest
+    have no tokens, rows without an item id are not searched for, repeated items count once; of ties the earliest
     window stands. Repeated documents give a row each. Other columns are not read.
     """
     docs = common.small_batches(documents).select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
-    items = benchmark.select(F.col(item).cast("long").alias("item_id"), common.text_of(item_text).alias("text")).where("item_id is not null")
-    out = None
-    for shard in shards(items, limit):
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in shard.collect()]))
-        part = docs.mapInArrow(_search(index), "doc_id long, item_id long, agree int, window int, doc_token long, item_token int, begin long, end long")
-        out = part if out is None else out.union(part)
-    return out
+    items = benchmark.select(F.col(item).cast("long").alias("item_id"), common.text_of(item_text).alias("text")).where("item_id is not null").distinct()
+    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > limit:
+        return _joined(docs, items)
+    held = items.toArrow()
+    index = docs.sparkSession.sparkContext.broadcast(Index(Items.read(held.column("item_id").to_pylist(), held.column("text"))))
+    return docs.mapInArrow(_search(index), WRITTEN)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -236,7 +324,7 @@ _NEED = f"CASE WHEN n >= {WINDOW} THEN {NEED} WHEN n >= {LEAST} THEN n - n // 5
 # All diagonals of all documents and items by equal tokens, then all windows of those
 # that have enough.
 ORACLE = f"""
-    WITH {_tokens_sql("doc", "documents", "doc_id", "true")},{_tokens_sql("item", "benchmark", "item_id", "item_id IS NOT NULL")},
+    WITH {_tokens_sql("doc", "documents", "doc_id", "true")},{_tokens_sql("item", "(SELECT DISTINCT item_id, text FROM benchmark)", "item_id", "item_id IS NOT NULL")},
         asked AS (
             SELECT DISTINCT row, id, n, least(n, {WINDOW}) AS width,
                    {_NEED} AS need FROM item),

@@ -66,14 +66,17 @@ def test_equals_brute_force(frame):
             assert len(words(span.decode())) == x["window"]
 
 
-def test_shards_cover_all_items_and_give_the_same(frame):
+def test_joined_seeds_give_the_same(frame):
+    """A test set above the limit of one index meets the documents by a join."""
     r = random.Random(5)
-    items = [(i, sentence(r, 20)) for i in range(40)]
-    docs = [(i, f"{sentence(r, 30)} {items[i][1]} {sentence(r, 5)}") for i in range(40)]
+    items = [(i, sentence(r, 3 + i)) for i in range(40)] + [(50, "Yes"), (51, None), (52, items_ := sentence(r, 15)), (53, items_), (7, sentence(r, 9)), (52, items_)]
+    docs = [(i, f"{sentence(r, 30)} {items[i][1]} {sentence(r, 5)} {items[(i * 7) % 40][1].replace('a', 'b', 1)}") for i in range(40)]
+    docs += [(None, items_ + " yes"), (None, items[30][1]), (3, "yes"), (3, "yes"), (60, None), (61, ""), (62, (items_ + " ") * 300)]
     given, asked = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
-    assert len(d.shards(asked, 2000)) > 2
-    whole, parts = d.overlaps(given, asked), d.overlaps(given, asked, limit=2000)
-    assert sorted(whole.collect()) == sorted(parts.collect()) and whole.count() == 40
+    whole, parts = d.overlaps(given, asked), d.overlaps(given, asked, limit=0)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, parts.collect())) and whole.count() > 70
+    assert d.overlaps(frame([], "doc_id long, text string"), asked, limit=0).count() == 0
+    assert d.overlaps(given, frame([], "item_id long, text string"), limit=-1).count() == 0
 
 
 def test_clean_keeps_the_rest(frame):

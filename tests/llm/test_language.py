@@ -1,5 +1,7 @@
 """Bit-sliced filters, and accuracy on documents that taught nothing."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
@@ -55,3 +57,43 @@ def test_texts_without_letters_and_without_a_model(frame):
     got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language.identified(frame(rows + taught, SCHEMA)).collect()}
     assert got[3] == ("und", 0.0) and got[5] == ("en", 0.0) and got[None][0] == "en"
     assert language.identified(frame([], SCHEMA)).count() == 0
+
+
+def test_counts_equal_plain_sets(spark):
+    """Hits per language against plain sets of n-grams: the filter adds false positives at its rate, and loses none."""
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    known = language.learn(docs)
+    rows = docs.collect()
+    text, starts = language.squeezed(pa.chunked_array([pa.array([r["text"] for r in rows], pa.string())]))
+    plain = [bytes(text[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+    def grams(own):
+        return [own[p : p + n] for n in language.SIZES for p in range(len(own) - n + 1)]
+
+    counts = {lang: Counter() for lang in known.langs}
+    for row, own in zip(rows, plain):
+        if row["lang"] is not None and row["text"] is not None:
+            counts[row["lang"]].update(grams(own))
+    every = Counter()
+    for c in counts.values():
+        every.update(c)
+    rate = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    most = {g: max(r.get(g, 0) for r in rate.values()) for g in every}
+    held = {lang: {g for g, x in r.items() if every[g] >= language.LEAST and x >= language.SHARE * most[g]} for lang, r in rate.items()}
+    assert known.langs == sorted(held) and all(held.values())
+    hits, total = language.popcounts(text, starts, known, common.Names(len(text)))
+    best, _ = language.decide(hits, total, known)
+    clear = right = 0
+    for i, own in enumerate(plain):
+        found = grams(own)
+        assert total[i] == len(found)
+        exact = np.array([sum(g in held[lang] for g in found) for lang in known.langs])
+        assert (hits[i] >= exact).all()
+        # False positives of n-grams that are not the language's own.
+        chance = (len(found) - exact) * known.rates
+        assert (hits[i] - exact <= chance + 8 * np.sqrt(chance + 1) + 0.05 * len(found)).all()
+        ranked = np.sort(exact)
+        if len(found) and ranked[-1] > 1.2 * ranked[-2]:
+            clear += 1
+            right += best[i] == exact.argmax()
+    assert clear > 100 and right == clear
