@@ -68,33 +68,45 @@ def assign_range(df: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+def _micros(name: str):
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def _binned(intervals: DataFrame, width: int) -> DataFrame:
+    """Intervals once under each bin they touch. One that is empty or lacks a bound has none."""
+    touched = F.sequence(F.floor(_micros("lo") / width), F.floor((_micros("hi") - 1) / width))
+    return intervals.where("lo < hi").withColumn("_bin", F.explode(touched))
+
+
 def assign_interval(df: DataFrame, intervals: DataFrame, ts: str = "request_ts", bin_minutes: int = 360) -> DataFrame:
-    """Each row with every interval `lo` <= time < `hi` that holds it; `covered` is false when none does.
+    """Each row once with every interval `lo` <= time < `hi` that holds it; `covered` is false when none does.
 
-    Intervals have any bounds. Time is cut into bins; an interval is listed under each bin it
-    touches, a row looks up its own bin and is then compared with the bounds: an equality
-    join, of which only intervals of one bin meet, and no row is repeated but for intervals
-    that overlap. `overlaps` counts the intervals that hold the row. Choose bins about as
-    long as the usual interval. An interval that is empty or lacks a bound holds nothing.
+    Intervals have any bounds, and may overlap. Time is cut into bins; an interval is listed
+    under each bin it touches, a row looks up its own bin, and the bounds are tested on what
+    meets there: a join by equality. Choose bins about as long as the usual interval.
     """
     width = bin_minutes * 60_000_000
+    clash = set(df.columns) & {*intervals.columns, "covered"}
+    if clash:
+        raise ValueError(f"rows and intervals share the columns {sorted(clash)}")
+    listed = small_side(_binned(intervals, width).withColumnRenamed("_bin", "_listed"), Settings().broadcast_bytes)
+    rows = df.withColumn("_bin", F.floor(_micros(ts) / width))
+    held = (F.col("_bin") == F.col("_listed")) & (F.col("lo") <= F.col(ts)) & (F.col(ts) < F.col("hi"))
+    return rows.join(listed, held, "left").select(*df.columns, *intervals.columns, F.col("lo").isNotNull().alias("covered"))
 
-    def micros(name: str):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-
-    touched = F.sequence(F.floor(micros("lo") / width), F.floor((micros("hi") - 1) / width))
-    listed = intervals.where("lo < hi").withColumn("_bin", F.explode(touched))
-    rows = df.withColumn("_bin", F.floor(micros(ts) / width))
-    held = (F.col("lo") <= F.col(ts)) & (F.col(ts) < F.col("hi"))
-    others = [name for name in intervals.columns if name not in ("lo", "hi")]
-    each = rows.join(small_side(listed, Settings().broadcast_bytes), "_bin", "left")
-    found = F.filter(F.col("_found"), lambda x: x["lo"].isNotNull())
-    if not others and "lo" in df.columns:
-        raise ValueError("the rows have a column `lo` of their own")
-    met = each.select(*df.columns, F.when(held, F.struct("lo", "hi", *others)).alias("_one"))
-    grouped = met.groupBy(*df.columns).agg(F.collect_list("_one").alias("_found"), F.count("_one").alias("overlaps"))
-    spread = grouped.select(*df.columns, "overlaps", F.explode_outer(found).alias("_one"))
-    return spread.select(*df.columns, F.col("_one.lo").alias("lo"), F.col("_one.hi").alias("hi"), *[F.col(f"_one.{name}").alias(name) for name in others], "overlaps", (F.col("overlaps") > 0).alias("covered"))
+
+def interval_overlaps(intervals: DataFrame, key: str, bin_minutes: int = 360) -> DataFrame:
+    """Pairs of intervals that share time, and the part they share: `first` and `second` key, `lo`, `hi`.
+
+    A pair is found in the bin in which its shared part begins, and so once.
+    """
+    width = bin_minutes * 60_000_000
+    names = [F.col(key), F.col("lo"), F.col("hi"), F.col("_bin")]
+    left, right = (_binned(intervals, width).select(*[c.alias(f"{mark}_{n}") for c, n in zip(names, ("key", "lo", "hi", "bin"))]) for mark in "ab")
+    lo, hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
+    begins = F.floor(F.unix_micros(lo.cast("timestamp")) / width)
+    met = left.join(right, (F.col("a_bin") == F.col("b_bin")) & (F.col("a_key") < F.col("b_key")) & (lo < hi) & (begins == F.col("a_bin")))
+    return met.select(F.col("a_key").alias("first"), F.col("b_key").alias("second"), lo.alias("lo"), hi.alias("hi"))
 
 
 def drop_plan(

@@ -599,15 +599,24 @@ def range_assign(spark, sf):
     )
 
 
-@query
-def interval_assign(spark, sf):
-    """Orders as intervals: from the order date on, for some hours and minutes; the days of one range overlap."""
+def intervals(spark, sf):
+    """Orders as intervals: from a time on, for some minutes, an hour, or days."""
     number = F.col("n")
     at = F.timestamp_add("MINUTE", number * 95, F.lit(dt.datetime(2024, 1, 3)).cast("timestamp_ntz"))
     long = F.when(number % 40 == 0, 11 * 1440).when(number % 7 == 0, 20).otherwise(70)
     keys = given.table(spark, sf, "orders").select((F.col("o_orderkey") % 300).cast("int").alias("n")).distinct()
-    intervals = keys.select(number.alias("interval_id"), at.alias("lo"), F.timestamp_add("MINUTE", long, at).alias("hi"))
-    return lifecycle.assign_interval(given.ad_events(spark, sf).select("unique_id", "request_ts"), intervals)
+    return keys.select(number.alias("interval_id"), at.alias("lo"), F.timestamp_add("MINUTE", long, at).alias("hi"))
+
+
+@query
+def interval_assign(spark, sf):
+    rows = given.ad_events(spark, sf).select("unique_id", "request_ts")
+    return lifecycle.assign_interval(rows, intervals(spark, sf))
+
+
+@query
+def interval_overlaps(spark, sf):
+    return lifecycle.interval_overlaps(intervals(spark, sf), "interval_id")
 
 
 @query

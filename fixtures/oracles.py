@@ -235,6 +235,12 @@ KEYS = ("unique_id", "event_year", "event_month", "event_day", "event_hour")
 PLAIN_TARGETS = ", ".join(f"{mapped(i)} AS {name}" for i, name in enumerate(TARGETS) if name not in KEYS and TARGETS.count(name) == 1)
 MAPPED = f"{PLAIN_TARGETS}, coalesce({mapped(len(TARGETS) - 2)}, {mapped(len(TARGETS) - 1)}) AS install_campaign_app_id"
 
+SPANS = """
+, spans AS (
+  SELECT n AS interval_id, lo, lo + to_minutes(CASE WHEN n % 40 = 0 THEN 11 * 1440 WHEN n % 7 = 0 THEN 20 ELSE 70 END) AS hi
+  FROM (SELECT DISTINCT CAST(o_orderkey % 300 AS INT) AS n FROM orders) k, LATERAL (SELECT TIMESTAMP '2024-01-03' + to_minutes(n * 95) AS lo) l
+)"""
+
 QUERIES = {
     # sources and sinks
     "event_source": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
@@ -410,13 +416,12 @@ FROM (SELECT DISTINCT o_orderdate AS d FROM orders) o""",
 SELECT unique_id, event_hour, CASE WHEN event_date <> DATE '2024-01-13' THEN event_date END AS lower_date,
   CASE WHEN event_date <> DATE '2024-01-13' THEN CASE WHEN event_hour < 12 THEN 0 ELSE 12 END END AS lower_hour,
   event_date <> DATE '2024-01-13' AS covered FROM cls""",
-    "interval_assign": """
-, spans AS (
-  SELECT n AS interval_id, lo, lo + to_minutes(CASE WHEN n % 40 = 0 THEN 11 * 1440 WHEN n % 7 = 0 THEN 20 ELSE 70 END) AS hi
-  FROM (SELECT DISTINCT CAST(o_orderkey % 300 AS INT) AS n FROM orders) k, LATERAL (SELECT TIMESTAMP '2024-01-03' + to_minutes(n * 95) AS lo) l
-)
-SELECT unique_id, request_ts, lo, hi, interval_id, count(interval_id) OVER (PARTITION BY unique_id) AS overlaps, interval_id IS NOT NULL AS covered
+    "interval_assign": f"""{SPANS}
+SELECT unique_id, request_ts, interval_id, lo, hi, interval_id IS NOT NULL AS covered
 FROM ad LEFT JOIN spans ON lo <= request_ts AND request_ts < hi""",
+    "interval_overlaps": f"""{SPANS}
+SELECT a.interval_id AS first, b.interval_id AS second, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi
+FROM spans a JOIN spans b ON a.interval_id < b.interval_id AND a.lo < b.hi AND b.lo < a.hi""",
     "gated_drop_plan": "SELECT lower_date, lower_hour, upper_date, upper_hour, action, reason, residue FROM drops",
     "partition_discovery": """
 SELECT DISTINCT concat('event_year=', event_year, '/event_month=', event_month, '/event_day=', event_day,
