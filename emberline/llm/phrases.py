@@ -187,9 +187,21 @@ def heavy_prefixes(rows: DataFrame, known: DataFrame, bits: np.ndarray, budget:
 
 
 def ranked_words(known: DataFrame, limit: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the most frequent words, sorted, and their ranks."""
-    found = known.where("word is not null").orderBy(F.desc("n"), "name").limit(limit).select("name").toArrow()
+    """Names of the most frequent words, at most `limit`, sorted, and their ranks.
+
+    Words are counted by the eighth of a power of two that their count lies in; all that
+    lie above a step that keeps the limit are taken.
+    """
+    words = known.where("word is not null").select("name", "n", F.floor(F.log2("n") * 8).cast("int").alias("step"))
+    room, cut = limit, None
+    for row in sorted(words.groupBy("step").count().collect(), key=lambda x: -x["step"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        cut = row["step"]
+    found = words.where(F.col("step") >= cut if cut is not None else F.lit(False)).select("name", "n").toArrow()
     names = found.column("name").to_numpy().astype(np.int64).view(np.uint64)
+    names = names[np.lexsort((names, -found.column("n").to_numpy().astype(np.int64)))]
     order = np.argsort(names)
     return names[order], order.astype(np.uint32)
 
