@@ -87,13 +87,6 @@ def hour_dir(at: dt.datetime) -> str:
     return "/".join(f"{name}={value}" for name, value in zip(PARTS, (at.year, at.month, at.day, at.hour)))
 
 
-def _under(spark: SparkSession, root: str, paths: list[str], schema: str) -> DataFrame:
-    """The rows under the listed folders of a table."""
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{path}" for path in paths])
-
-
 def _latest(spark: SparkSession, root: str, hours: list[dt.datetime], before: int) -> list[str]:
     """Folders of the last increments of some hours that are older than a version."""
     wanted, found = set(map(hour_dir, hours)), {}
@@ -117,7 +110,7 @@ def apply_hours(increments: DataFrame, hours: list[dt.datetime], version: int, r
     """
     spark, kept, changed = increments.sparkSession, f"{root}/increments", f"{root}/changes"
     columns = [*PARTS, "user_id", "zone", *COUNTS]
-    old = _under(spark, kept, _latest(spark, kept, hours, version), INCREMENT)
+    old = folders.read_listed(spark, kept, INCREMENT, _latest(spark, kept, hours, version))
     taken = [F.expr(f"-{name} AS {name}") for name in COUNTS]
     both = increments.select(*columns).unionByName(old.select(*[c for c in columns if c not in COUNTS], *taken))
     change = profile_week(both).drop("ctr").where("impressions <> 0 OR clicks <> 0")
@@ -149,8 +142,8 @@ def _folded_and_changes(spark: SparkSession, root: str, weeks: list[tuple[int, i
                 held.setdefault(week, []).append(int(version.split("=")[1]))
     last = {week: max(versions) for week, versions in found["folds"].items()}
     since = [f"version={v}/{week}" for week, versions in found["changes"].items() for v in versions if v > last.get(week, -1)]
-    folds = _under(spark, f"{root}/folds", [f"version={v}/{week}" for week, v in last.items()], WEEK)
-    return folds.unionByName(_under(spark, f"{root}/changes", since, WEEK))
+    folds = folders.read_listed(spark, f"{root}/folds", WEEK, [f"version={v}/{week}" for week, v in last.items()])
+    return folds.unionByName(folders.read_listed(spark, f"{root}/changes", WEEK, since))
 
 
 def fold_weeks(spark: SparkSession, root: str, version: int) -> None:

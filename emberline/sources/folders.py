@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -89,6 +90,19 @@ def partition_dirs(spark: SparkSession, path: str, levels: list[str]) -> list[st
     return sorted("/".join(entry.getPath().toString().split("/")[-depth:]) for entry in found)
 
 
+def read_listed(spark: SparkSession, root: str, schema, paths: list[str]) -> DataFrame:
+    """The rows under the listed partition folders of a table, and under no others.
+
+    Folders are named as `partition_dirs` does, all by the same columns. The list is a filter
+    on these, which prunes folders before any file is opened.
+    """
+    if not paths:
+        return spark.createDataFrame([], schema)
+    columns = [level.split("=", 1)[0] for level in paths[0].split("/")]
+    name = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns])
+    return spark.read.schema(schema).parquet(root).where(name.isin(paths))
+
+
 def day_dir(date) -> str:
     return f"event_year={date.year}/event_month={date.month}/event_day={date.day}"
 

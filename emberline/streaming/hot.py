@@ -56,10 +56,7 @@ def listed(spark: SparkSession, target: str) -> list[str]:
 
 def stored(spark: SparkSession, target: str, paths: list[str] | None = None) -> DataFrame:
     """Rows of the listed range folders as they were written; a part that lands later is not seen."""
-    paths = listed(spark, target) if paths is None else paths
-    if not paths:
-        return spark.createDataFrame([], HOT)
-    return spark.read.schema(HOT).option("basePath", target).parquet(*[f"{target}/{path}" for path in paths])
+    return folders.read_listed(spark, target, HOT, listed(spark, target) if paths is None else paths)
 
 
 def merged(rows: DataFrame) -> DataFrame:

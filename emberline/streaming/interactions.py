@@ -45,13 +45,6 @@ def _day_number():
     return (F.col("event_year") * 100 + F.col("event_month")) * 100 + F.col("event_day")
 
 
-def _stored(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """The rows under the listed folders of a table, and under no others."""
-    if not paths:
-        return spark.createDataFrame([], INTERACTION)
-    return spark.read.schema(INTERACTION).option("basePath", root).parquet(*[f"{root}/{p}" for p in paths])
-
-
 def _listed(spark: SparkSession, target: str) -> tuple[list[str], list[str]]:
     """Folders of open parts, and of closed days. Parts are listed first: a day that closes meanwhile is then in both."""
     parts = folders.partition_dirs(spark, target, ["part", *DAY_PARTS])
@@ -61,7 +54,7 @@ def _listed(spark: SparkSession, target: str) -> tuple[list[str], list[str]]:
 def _joined(spark: SparkSession, target: str, parts: list[str], closed: list[str]) -> DataFrame:
     """Rows of parts and closed days. Of a day in both each event counts once."""
     names = INTERACTION.fieldNames()
-    open_, done = _stored(spark, target, parts).select(*names), _stored(spark, closed_dir(target), closed).select(*names)
+    open_, done = (folders.read_listed(spark, root, INTERACTION, paths).select(*names) for root, paths in ((target, parts), (closed_dir(target), closed)))
     both = {path.split("/", 1)[1] for path in parts} & set(closed)
     if not both:
         return open_.unionByName(done)
