@@ -48,11 +48,17 @@ def identified(df: DataFrame, key: str, text: str, *others: str) -> DataFrame:
     whole = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), F.col("text"))
     mark = F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
     marks = rows.where("id is not null").select("id", mark.alias("mark")).groupBy("id").agg(F.min("mark").alias("_least"), F.max("mark").alias("_most"))
-    # Few or none: read back, its size tells whether texts have to move to meet it.
-    several = Stored(marks.where("_least <> _most").select(F.col("id").alias("_id"), "_least")).rows
-    rows = rows.join(several, F.col("id") == F.col("_id"), "left")
-    own = F.col("id").isNull() | F.coalesce(F.col("_least") != mark, F.lit(False))
-    return rows.select(F.when(own, mark).otherwise(F.col("id")).alias("doc_id"), own.alias("no_id"), "id", "text", *others)
+    several = Stored(marks.where("_least <> _most").select(F.col("id").alias("_id"), "_least"))
+    own = F.col("id").isNull()
+    if several.rows.isEmpty():
+        several.drop()
+    else:
+        # Few as a rule: the size of what was stored tells whether texts have to move to meet it.
+        rows = rows.join(several.rows, F.col("id") == F.col("_id"), "left")
+        own = own | F.coalesce(F.col("_least") != mark, F.lit(False))
+    # Never null, and known not to be: a join adds no filter for it, and plans share the exchange.
+    named = F.coalesce(F.when(own, mark).otherwise(F.col("id")), F.lit(0))
+    return rows.select(named.alias("doc_id"), own.alias("no_id"), "id", "text", *others)
 
 
 def one_row_per(df: DataFrame, key: str, text: str) -> DataFrame:
