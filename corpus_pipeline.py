@@ -6,8 +6,10 @@ another text, and rows without an id, are documents like the others. Empty table
 as empty tables; columns besides those of `documents` go at the first stage.
 
 1. toxicity: documents that the grammar rejects go.
-2. near copies: one row of each group stays, the one with the smallest id. Groups link
-   at a Jaccard similarity of 0.8 or more of shingles of five words.
+2. near copies: one row of each group stays, the one with the smallest id. Candidates come
+   from the SimHash index (fingerprints of shingles of five words, at most four bits apart)
+   and, as near copies differ in more bits, from minima of the shingles. Groups link at a
+   Jaccard similarity of 0.8 or more, checked on the whole sets of every candidate pair.
 3. repeats: bytes of long strings seen earlier are cut, characters stay whole.
 4. benchmark: documents that overlap a test item go.
 5. pieces: what is left, encoded, and decoded again to compare.
@@ -43,7 +45,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by id and content, so that ids may repeat or be missing."""
+    """SimHash and shingle minima name candidates, whole sets of shingles decide.
+
+    Rows are told apart by id and content, so that ids may repeat or be missing.
+    """
     docs = _plain(docs).withColumn("_row", F.xxhash64("text", "lang", "source", "n_chars"))
     groups = shingles.near_groups(docs, carry=("_row",))
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))

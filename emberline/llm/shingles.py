@@ -4,8 +4,12 @@ A text is the set of its shingles. Equal sets are one node. Every node has a sig
 minima of its set under random orders. The index posts it under a few minima at a time;
 a byte of each minimum is its sketch. Two sets of similarity 0.8 share a posting list
 with a chance of 0.9998, sets of 0.3 one time in fifty; what shares a list is a candidate
-and no more. Links are verified on whole sets before anything is closed over them:
+and no more. SimHash gives candidates too: texts whose fingerprints differ in four bits or
+fewer, by its index of byte positions (`simhash.py`). Links are verified on whole sets before
+anything is closed over them:
 
+0. Of each fingerprint every node meets the least node; the least nodes of fingerprints that
+   the SimHash index links meet.
 1. In each list of two nodes or more, every node meets the list's least node. Pairs whose
    sketches are far apart go, the others are compared.
 2. Where a list is not joined by that, its nodes meet in tasks, by blocks, with the
@@ -27,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm import common
+from emberline.llm import common, simhash
 from emberline.llm.components import Stored, components
 from emberline.llm.simhash import in_blocks
 
@@ -130,7 +134,8 @@ def _signed(words: int):
             lists = pa.ListArray.from_arrays(pa.array((there * BANDS).astype(np.int32)), pa.array(lists_of(least).view(np.int64).ravel()))
             columns = [c.combine_chunks() for c in rows.drop_columns(["text"]).columns]
             columns += [pa.array(digests(shingles, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32)), _bytes_of(sketches(least).ravel(), there * BANDS * ROWS), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rows.drop_columns(["text"]).column_names, "node", "size", "sketch", "lists"])
+            columns.append(pa.array(simhash.prints(rows.column("text"), words).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*rows.drop_columns(["text"]).column_names, "node", "size", "sketch", "lists", "print"])
 
     return run
 
@@ -256,10 +261,22 @@ def _beside(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
+def print_pairs(nodes: DataFrame) -> Stored:
+    """Candidates u, v by SimHash: nodes of one fingerprint, and of fingerprints that its index links."""
+    firsts = Stored(nodes.groupBy("print").agg(F.min("node").alias("least")))
+    same = nodes.join(firsts.rows, "print").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    links = simhash.near_links(firsts.rows.select("print"))
+    for end in ("v", "u"):
+        links = links.join(firsts.rows.select(F.col("print").alias(end), F.col("least").alias(f"{end}_least")), end)
+    pairs = Stored(same.union(links.select(F.col("u_least").alias("u"), F.col("v_least").alias("v"))))
+    firsts.drop()
+    return pairs
+
+
 def near_links(rows: DataFrame, nodes: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """Links u, v, each verified, that join all nodes that reach each other by near pairs of the index.
 
-    `nodes`: `node`, `size`, `sketch`, `lists`, one row each; `rows`: the texts.
+    `nodes`: `node`, `size`, `sketch`, `lists`, `print`, one row each; `rows`: the texts.
     """
     steps = []
 
@@ -271,7 +288,9 @@ def near_links(rows: DataFrame, nodes: DataFrame, words: int = WORDS, block: int
     shared = posted.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     members = kept(posted.join(shared.select("list", "least"), "list"))
     pairs = members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    likely = kept(_beside(pairs.distinct(), nodes, "size", "sketch").mapInArrow(_alike, "u long, v long"))
+    alike = print_pairs(nodes)
+    steps.append(alike)
+    likely = kept(_beside(pairs.union(alike.rows).distinct(), nodes, "size", "sketch").mapInArrow(_alike, "u long, v long"))
     # Lists in which some node is unlike the least one: who is like another there?
     unlike = members.where("node <> least").join(likely.select(F.col("u").alias("least"), F.col("v").alias("node")), ["least", "node"], "left_anti")
     open_ = members.select("list", "node").join(unlike.select("list").distinct(), "list", "left_semi")
@@ -296,8 +315,8 @@ def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", c
     """`doc_id`, the columns `carry`, and `group`, the same for all rows that near texts connect."""
     rows = common.small_batches(documents).select(F.col(key).cast("long").alias("doc_id"), *carry, common.text_of(text).alias("text"))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.drop("text").schema)
-    wide = Stored(rows.mapInArrow(_signed(words), f"{kinds}node long, size int, sketch binary, lists array<long>"))
-    first = [F.first(c).alias(c) for c in ("size", "sketch", "lists")]
+    wide = Stored(rows.mapInArrow(_signed(words), f"{kinds}node long, size int, sketch binary, lists array<long>, print long"))
+    first = [*[F.first(c).alias(c) for c in ("size", "sketch", "lists")], F.min("print").alias("print")]
     nodes = Stored(wide.rows.where("size > 0").groupBy("node").agg(*first))
     signed = Stored(wide.rows.select("doc_id", *carry, "node"))
     wide.drop()

@@ -71,13 +71,18 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def prints(texts: pa.Array, words: int = WORDS) -> np.ndarray:
+    """The fingerprint of every text."""
+    data, starts = common.flat(texts)
+    whole = data.tobytes()
+    return np.array([fingerprint(whole[a:b], words) for a, b in zip(starts[:-1], starts[1:])], np.uint64)
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = common.flat(batch.column("text"))
-            whole = data.tobytes()
-            prints = np.array([fingerprint(whole[a:b], words) for a, b in zip(starts[:-1], starts[1:])], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+            found = prints(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "print"])
 
     return run
 

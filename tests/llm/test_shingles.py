@@ -127,3 +127,14 @@ def test_a_chain_of_near_texts_is_one_group(frame):
     got = {x["doc_id"]: x["component_id"] for x in shingles.near_copies(frame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0}
     assert not near(plain(rows[0][1]), plain(rows[-1][1]))
+
+
+def test_simhash_names_candidates_without_posting_lists(spark, frame):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"v{i}" for i in range(400))]
+    rows = frame(list(enumerate(texts)), "doc_id long, text string")
+    made = rows.mapInArrow(shingles._signed(5), "doc_id long, node long, size int, sketch binary, lists array<long>, print long")
+    nodes = made.drop("doc_id").withColumn("lists", F.array().cast("array<long>")).cache()
+    ids = {x["doc_id"]: x["node"] for x in made.collect()}
+    got = shingles.near_links(rows, nodes).collect()
+    assert {frozenset((x["u"], x["v"])) for x in got} == {frozenset((ids[0], ids[1]))}
