@@ -9,6 +9,11 @@ from emberline.schema import MESSAGE
 from emberline.settings import Settings
 from emberline.sources.registry import spec
 
+# Bytes of a row group of a feed that is written here.
+ROW_GROUP = 16 << 20
+# Bytes of stored messages that a task of a stream takes: decoded and cached they are ten times as many or more.
+SPLIT = "8m"
+
 
 def read_events(
     spark: SparkSession,

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from emberline.operators.lookups import Lookup
 from emberline.schema import DAY_PARTS
 from emberline.settings import Settings
-from emberline.sources.events import read_events
+from emberline.sources.events import SPLIT, read_events
 from emberline.sources.log import Topic, read_log
 from emberline.sources.registry import spec
 from emberline.streaming.hot import upsert
@@ -20,6 +20,8 @@ from emberline.streaming.interactions import append_part, interaction_rows
 from emberline.streaming.metrics import counts_of, observed, save_batch
 from emberline.streaming.rejects import evaluate, evaluation_due, judge, quarantine
 
+FILE_SPLIT = "spark.sql.files.maxPartitionBytes"
+
 
 def paced(writer, cfg: Settings, once: bool):
     """The configured trigger, or a run that ends when the input is used up."""
@@ -91,7 +93,13 @@ def run_stream(
         .foreachBatch(on_batch)
         .option("checkpointLocation", f"{root}/checkpoints/{stream.checkpoint}")
     )
-    return paced(writer, cfg, once).start()
+    # A stream keeps the options its session has at the start.
+    before = spark.conf.get(FILE_SPLIT)
+    spark.conf.set(FILE_SPLIT, SPLIT)
+    try:
+        return paced(writer, cfg, once).start()
+    finally:
+        spark.conf.set(FILE_SPLIT, before)
 
 
 def drain(

@@ -29,6 +29,9 @@ CFG = Settings(zones=("zone_0", "zone_2", "zone_4", "zone_6", "zone_8"))
 # For runs that must accept the whole month.
 OPEN = replace(CFG, late_days=40, app_event_days=40, interaction_late_days=40)
 
+# Messages of a written file of a feed with every mapped field.
+FILE_ROWS = 100_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -110,9 +113,10 @@ def hot_mapped_fields(spark, sf):
     sources = cols.mapped_fields()
     mapped = {name: column for name, column in feed_fields(rows).items() if name in sources}
     payload = F.to_json(F.struct(*[c.alias(n) for n, c in (known | times | mapped).items()]))
-    rows.select("event_id", payload.alias("payload")).repartition(3).write.parquet(f"{ws}/feed")
-    # One file a batch, so that the latest message may come in any of them.
-    run.run_stream(spark, "click", f"{ws}/feed", f"{ws}/tables", lambda: AS_OF, replace(OPEN, max_files_per_trigger=1), once=True).awaitTermination()
+    # Three batches, so that the latest message may come in any of them, each of as many files as its rows need.
+    files = -(-given.table(spark, sf, "events").count() // (3 * FILE_ROWS)) or 1
+    rows.select("event_id", payload.alias("payload")).repartition(3 * files).write.option("parquet.block.size", event_source.ROW_GROUP).parquet(f"{ws}/feed")
+    run.run_stream(spark, "click", f"{ws}/feed", f"{ws}/tables", lambda: AS_OF, replace(OPEN, max_files_per_trigger=files), once=True).awaitTermination()
     return hot_store.read_hot(spark, f"{ws}/tables/hot_events").select("unique_id", *cols.mapped_targets())
 
 

@@ -13,7 +13,8 @@ from emberline.schema import RANGES
 from emberline.sources import folders, registry
 from emberline.sources.registry import STREAMS
 from emberline.streaming import hot as hot_store
-from emberline.streaming import interactions, rejects, run
+from emberline.streaming import interactions, metrics, rejects, run
+from fixtures import checks
 from fixtures import inputs as given
 from fixtures.checks import OPEN
 from fixtures.inputs import AS_OF, ROW
@@ -422,3 +423,24 @@ def test_a_part_that_lands_while_a_table_is_read_is_not_seen(spark, feed, whole,
     monkeypatch.undo()
     assert rows(read.select(*ROW)) == whole
     assert rows(hot_store.read_hot(spark, hot).select(*ROW)) == whole
+
+
+def test_tasks_of_a_stream_take_small_splits(spark, tmp_path, monkeypatch):
+    src, root, seen = str(tmp_path / "src"), str(tmp_path / "t"), []
+    arrive(spark, src, text("a"))
+    name, save = "spark.sql.files.maxPartitionBytes", run.upsert
+    before = spark.conf.get(name)
+    monkeypatch.setattr(run, "upsert", lambda batch, *rest: seen.append(batch.sparkSession.conf.get(name)) or save(batch, *rest))
+    run.run_stream(spark, "vast", src, root, lambda: AS_OF, OPEN, once=True).awaitTermination()
+    assert seen == ["8m"] and spark.conf.get(name) == before
+
+
+def test_a_feed_with_every_field_is_written_in_files_of_few_rows(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(checks, "FILE_ROWS", 100)
+    monkeypatch.setattr(checks.folders, "workspace", lambda spark, name: str(tmp_path / name))
+    n = checks.hot_mapped_fields(spark, sf).count()
+    ws = str(tmp_path / "hot_mapped_fields")
+    held = spark.read.parquet(f"{ws}/feed").groupBy(F.input_file_name()).count().collect()
+    runs = metrics.read_batches(spark, f"{ws}/tables/batch_metrics").collect()
+    assert n and max(x["count"] for x in held) <= 110 and len(held) > 3 and len(runs) == 3
+    assert sum(x.input_rows for x in runs) == spark.read.parquet(f"{sf}/events.parquet").count()
