@@ -23,24 +23,27 @@ def table_dir(root: str, event_class: str) -> str:
 
 
 def write_partitions(
-    df: DataFrame, path: str, columns: list[str], fmt: str, dynamic: bool = True
+    df: DataFrame, path: str, columns: list[str], fmt: str, dynamic: bool = True, row_group: int | None = None
 ) -> None:
     """Overwrite the partitions a frame has rows for, and no others.
 
     With `dynamic` off the whole path is replaced, and a commit marker is left in it.
+    `row_group` is the size in bytes of parquet row groups, the least a task can read.
 
     The rebalance step groups rows by target directory and lets adaptive execution
     split a large directory over several tasks and join small ones, so files stay
     near the advisory size even when one hour holds most rows.
     """
-    (
+    writer = (
         df.hint("rebalance", *columns)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .partitionBy(*columns)
         .format(fmt)
-        .save(path)
     )
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
+    writer.save(path)
 
 
 def replace_partitions(df: DataFrame, path: str, columns: list[str], fmt: str, scope: list[list[str]]) -> None:

@@ -85,7 +85,7 @@ def event_source_(spark, sf):
 def run_kinds(spark, sf, ws, dirty: bool, as_of: dt.date, cfg: Settings) -> str:
     """Feed every stream its own messages and run them side by side."""
     feed = given.messages(spark, sf, dirty).select("event_id", "payload", "kind")
-    cold_store.write_partitions(feed, f"{ws}/feed", ["kind"], "parquet")
+    cold_store.write_partitions(feed, f"{ws}/feed", ["kind"], "parquet", row_group=event_source.ROW_GROUP)
     started = [
         run.run_stream(spark, kind, f"{ws}/feed/kind={kind}", f"{ws}/tables", lambda: as_of, cfg, once=True)
         for kind in KINDS.values()
