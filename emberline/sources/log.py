@@ -11,6 +11,7 @@ Folders are opened by pyarrow, by a local path or a URI it knows.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,11 +39,16 @@ def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 
 class Segments:
-    """The segments of a log as they are stored; files never change, so each is opened once."""
+    """The segments of a log as they are stored; files never change, so each is opened once.
+
+    `known` is what the last listing found: of each partition the base offsets, in order,
+    and the end and path of the segment at each, up to one that is not there yet.
+    """
 
     def __init__(self, path: str):
         self.fs, self.root = _open(path)
         self._rows: dict[str, int] = {}
+        self.known: dict[str, tuple[list[int], list[tuple[int, str]]]] = {}
 
     def rows(self, path: str) -> int:
         if path not in self._rows:
@@ -60,17 +66,34 @@ class Segments:
                 out.setdefault(levels[-3].split("=")[1], []).append((int(levels[-2].split("=")[1]), info.path))
         return {name: sorted(found) for name, found in out.items()}
 
-    def ends(self) -> dict[str, int]:
-        """The offset after the last record of each partition, up to a segment that is not there yet."""
-        out = {}
+    def look(self) -> None:
+        """List the log again."""
+        self.known = {}
         for name, found in self.found().items():
-            end = 0
+            bases, held, end = [], [], 0
             for base, path in found:
                 if base > end:
                     break
                 end = base + self.rows(path)
-            out[name] = end
-        return out
+                bases.append(base)
+                held.append((end, path))
+            self.known[name] = bases, held
+
+    def known_ends(self) -> dict[str, int]:
+        return {name: held[-1][0] if held else 0 for name, (_, held) in self.known.items()}
+
+    def ends(self) -> dict[str, int]:
+        """The offset after the last record of each partition, up to a segment that is not there yet."""
+        self.look()
+        return self.known_ends()
+
+    def between(self, name: str, lo: int, hi: int) -> Iterator[tuple[int, int, str]]:
+        """Base, end and path of the known segments that hold the offsets `lo` to `hi`."""
+        bases, held = self.known.get(name, ([], []))
+        at = max(bisect_right(bases, lo) - 1, 0)
+        while at < len(bases) and bases[at] < hi:
+            yield bases[at], *held[at]
+            at += 1
 
 
 def allotted(waiting: dict[str, int], limit: int) -> dict[str, int]:
@@ -112,23 +135,33 @@ class LogReader(DataSourceStreamReader):
         return self.at
 
     def latestOffset(self) -> dict:
+        """The log is listed again once less than a batch is known to wait, so that a long log is not listed for every batch."""
         if self.at is None:
             self.initialOffset()
-        ends = self.segments.ends()
-        waiting = {name: max(0, end - self.at.get(name, 0)) for name, end in ends.items()}
+        waiting = self._waiting()
+        if sum(waiting.values()) < self.limit:
+            self.segments.look()
+            waiting = self._waiting()
         taken = allotted(waiting, self.limit)
-        return {name: self.at.get(name, 0) + taken.get(name, 0) for name in sorted({*ends, *self.at})}
+        return {name: self.at.get(name, 0) + taken.get(name, 0) for name in sorted({*waiting, *self.at})}
+
+    def _waiting(self) -> dict[str, int]:
+        return {name: max(0, end - self.at.get(name, 0)) for name, end in self.segments.known_ends().items()}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         """Slices between two offsets. A restarted query asks for none, from where it stands: the place to go on."""
         self.at = dict(end)
+        if start == end:
+            return []
+        known = self.segments.known_ends()
+        if any(hi > known.get(name, 0) for name, hi in end.items()):
+            self.segments.look()
         out = []
-        for name, found in self.segments.found().items() if start != end else ():
-            lo, hi = start.get(name, 0), end.get(name, 0)
-            for base, path in found:
-                a, b = max(lo, base), min(hi, base + self.segments.rows(path)) if base < hi else base
-                if a < b:
-                    out.append(Slice(path, name, base, a, b))
+        for name, hi in sorted(end.items()):
+            lo = start.get(name, 0)
+            for base, last, path in self.segments.between(name, lo, hi):
+                if max(lo, base) < min(hi, last):
+                    out.append(Slice(path, name, base, max(lo, base), min(hi, last)))
         return out
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:

@@ -23,9 +23,9 @@ from emberline.streaming.rejects import evaluate, evaluation_due, judge, quarant
 FILE_SPLIT = "spark.sql.files.maxPartitionBytes"
 
 
-def paced(writer, cfg: Settings, once: bool):
-    """The configured trigger, or a run that ends when the input is used up."""
-    return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=cfg.trigger_interval)
+def paced(writer, cfg: Settings, once: bool, interval: str | None = None):
+    """The configured trigger or the given one, or a run that ends when the input is used up."""
+    return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval or cfg.trigger_interval)
 
 
 def run_of(batch: DataFrame) -> str:
@@ -45,6 +45,8 @@ def run_stream(
     as_of: Callable[[], dt.date],
     cfg: Settings = Settings(),
     once: bool = False,
+    interval: str | None = None,
+    after: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
     """Start the stream of one kind into the tables under `root`.
 
@@ -54,7 +56,8 @@ def run_stream(
     and batch number, so a batch that runs again after a failure leaves the same tables.
     `as_of` is asked at every batch, because a stream outlives a date. Of a topic a batch
     takes at most the records that the registry allows the stream; with `once` that is
-    one batch, and `drain` goes on until the topic is used up.
+    one batch, and `drain` goes on until the topic is used up. `interval` is a trigger
+    pace in place of the configured one; `after` is told the number of each batch done.
     """
     stream = spec(kind)
     save = append_part if stream.target == "interactions" else upsert
@@ -83,6 +86,8 @@ def run_stream(
         finally:
             if cached:
                 judged.unpersist()
+        if after:
+            after(batch_id)
 
     if isinstance(source, Topic):
         messages = read_log(spark, source, stream.max_records).select("event_id", "payload")
@@ -97,7 +102,7 @@ def run_stream(
     before = spark.conf.get(FILE_SPLIT)
     spark.conf.set(FILE_SPLIT, SPLIT)
     try:
-        return paced(writer, cfg, once).start()
+        return paced(writer, cfg, once, interval).start()
     finally:
         spark.conf.set(FILE_SPLIT, before)
 
@@ -112,15 +117,15 @@ def drain(
 ) -> int:
     """Take a topic to its end, a limited batch at a time; return the batches.
 
-    Each run starts from the checkpoint, as after a restart.
+    One query goes on from the checkpoint, batch after batch, until the log has no more.
     """
-    batches = 0
-    while True:
-        query = run_stream(spark, kind, topic, root, as_of, cfg, once=True)
-        query.awaitTermination()
-        if not sum(progress.numInputRows for progress in query.recentProgress):
-            return batches
-        batches += 1
+    batches = []
+    query = run_stream(spark, kind, topic, root, as_of, cfg, interval="0 seconds", after=batches.append)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return len(batches)
 
 
 def state_in_rocksdb(spark: SparkSession) -> None:

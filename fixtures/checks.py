@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline import Settings
@@ -248,8 +248,9 @@ def rate_limited_source(spark, sf):
     message_log.append_log(feed, topic.path, 3, 1500)
     run.drain(spark, "app_event", topic, f"{ws}/tables", lambda: AS_OF, OPEN)
     found = metrics.read_batches(spark, f"{ws}/tables/batch_metrics")
-    whole = found.agg(F.sum("input_rows").alias("all_rows"), F.sum("kept_rows").alias("all_kept"))
-    return found.select("app", "batch_id", "input_rows").join(whole)
+    whole = Window.partitionBy("app")
+    sums = [F.sum(name).over(whole).alias(total) for name, total in (("input_rows", "all_rows"), ("kept_rows", "all_kept"))]
+    return found.select("app", "batch_id", "input_rows", *sums)
 
 
 @query

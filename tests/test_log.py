@@ -171,3 +171,25 @@ def test_the_log_feeds_the_hot_table(spark, sf, tmp_path, rows):
     log.append_log(given.messages(spark, sf), topic.path, 4, 300)
     run.drain(spark, "request", topic, root, lambda: AS_OF, OPEN)
     assert rows(hot_store.read_hot(spark, f"{root}/hot_events").select(*ROW)) == rows(given.ad_events(spark, sf).select(*ROW))
+
+
+def test_a_long_log_is_not_listed_for_every_batch(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "topic")
+    log.append_log(messages(spark, 0, 300), path, 3, 10)
+    listed, found = [], log.Segments.found
+    monkeypatch.setattr(log.Segments, "found", lambda self: listed.append(1) or found(self))
+    reader = log.LogReader({"path": path, "maxRecords": "20"})
+    start, taken = reader.initialOffset(), []
+    while (end := reader.latestOffset()) != start:
+        taken.append(sum(s.hi - s.lo for s in reader.partitions(start, end)))
+        start = end
+    assert taken == [20] * 15 and len(listed) <= 3
+
+
+def test_drain_is_one_query(spark, tmp_path, few, monkeypatch):
+    topic, root, started = Topic(str(tmp_path / "topic")), str(tmp_path / "t"), []
+    log.append_log(messages(spark, 0, 100), topic.path, 3, 8)
+    start = run.run_stream
+    monkeypatch.setattr(run, "run_stream", lambda *args, **more: started.append(1) or start(*args, **more))
+    assert run.drain(spark, "click", topic, root, lambda: AS_OF, OPEN) == 4 and started == [1]
+    assert batches(spark, root) == {0: 30, 1: 30, 2: 30, 3: 10}
