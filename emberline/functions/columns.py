@@ -70,40 +70,47 @@ def mapped_fields(spec: str = RENAMES) -> dict[str, tuple[str, str]]:
     return {source: (source, "string") for source, target in pairs if target in kept}
 
 
-def with_details(df: DataFrame, name: str, spec: str = RENAMES) -> DataFrame:
-    """Decoded mapped fields renamed and put into one JSON object; NULL when there are none."""
-    sources = list(mapped_fields(spec))
-    held = rename(df.select("*"), spec) if sources else df
-    fields = mapped_targets(spec)
-    some = F.coalesce(*[F.col(f) for f in fields]).isNotNull()
-    kept = [c for c in df.columns if c not in sources]
-    return held.select(*kept, F.when(some, F.to_json(F.struct(*fields))).alias(name))
+def details_of(held: str, spec: str = RENAMES) -> str:
+    """SQL for the mapped fields of a decoded struct, renamed, as one JSON object; NULL when there are none.
 
+    One expression, so that a plan carries one column and not one for every field.
+    """
+    fields = [f"'{target}', coalesce({', '.join(f'{held}.`{name}`' for name in names)})" for target, names in renamed(list(mapped_fields(spec)), spec)]
+    return f"nullif(to_json(named_struct({', '.join(fields)}), map('ignoreNullFields', 'true')), '{{}}')"
 
-def rename(df: DataFrame, spec: str = RENAMES) -> DataFrame:
-    """Apply `source-target` pairs in one projection.
 
-    Source names match without regard to case; unmapped columns keep their names
-    and places. When several sources of a target are present, the first non-null one
-    in spec order wins, and it stands where the first of them stood.
-    """
+def renamed(names: list[str], spec: str = RENAMES) -> list[tuple[str, list[str]]]:
+    """Names after `rename`, each with the columns it is taken from, of which the first non-null one counts."""
     sources: dict[str, list[str]] = {}
     for pair in spec.split(","):
         source, target = pair.strip().split("-", 1)
         sources.setdefault(target, []).append(source.lower())
-    present = {name.lower(): name for name in df.columns}
+    present = {name.lower(): name for name in names}
     target_of = {source: target for target, group in sources.items() for source in group}
 
-    out: list[Column] = []
+    out: list[tuple[str, list[str]]] = []
     done: set[str] = set()
-    for name in df.columns:
+    for name in names:
         target = target_of.get(name.lower())
         if target is None:
-            out.append(F.col(name))
+            out.append((name, [name]))
         elif target not in done:
             done.add(target)
-            held = [F.col(present[s]) for s in sources[target] if s in present]
-            out.append((F.coalesce(*held) if len(held) > 1 else held[0]).alias(target))
+            out.append((target, [present[s] for s in sources[target] if s in present]))
+    return out
+
+
+def rename(df: DataFrame, spec: str = RENAMES) -> DataFrame:
+    """Apply `source-target` pairs in one projection.
+
+    Source names match without regard to case; unmapped columns keep their names
+    and places. When several sources of a target are present, the first non-null one
+    in spec order wins, and it stands where the first of them stood.
+    """
+    out: list[Column] = []
+    for target, names in renamed(df.columns, spec):
+        held = [F.col(name) for name in names]
+        out.append((F.coalesce(*held) if len(held) > 1 else held[0]).alias(target))
     return df.select(*out)
 
 
@@ -131,14 +138,17 @@ def with_partitions(df: DataFrame, ts_col: str = "request_ts") -> DataFrame:
     return df.select(*kept, *parts_of(F.col(ts_col)))
 
 
-def parse(df: DataFrame, fields: dict[str, tuple[str, str]] = PAYLOAD_FIELDS) -> DataFrame:
+def parse(df: DataFrame, fields: dict[str, tuple[str, str]] = PAYLOAD_FIELDS, details: str | None = None) -> DataFrame:
     """Decode `payload` JSON. `fields` maps a JSON field to (column, type).
 
+    `details` names a column for the mapped fields, as one JSON object.
+
     Adds the typed columns, `corrupt` (the payload when it is not JSON) and
     `bad_value` (a field is there but not of its type). Other columns stay, except
     those a decoded column replaces.
     """
-    text = ", ".join(f"`{field}` STRING" for field in fields)
+    decoded_fields = fields | mapped_fields() if details else fields
+    text = ", ".join(f"`{field}` STRING" for field in decoded_fields)
     names = {column for column, _ in fields.values()}
     typed = {f: f"try_cast(_json.`{f}` AS {kind})" for f, (_, kind) in fields.items()}
     wrong = " OR ".join(
@@ -156,6 +166,7 @@ def parse(df: DataFrame, fields: dict[str, tuple[str, str]] = PAYLOAD_FIELDS) ->
     return df.select("*", F.explode(F.array(decoded)).alias("_json")).selectExpr(
         *[name for name in df.columns if name not in names],
         *[f"{typed[f]} AS {column}" for f, (column, _) in fields.items()],
+        *([f"{details_of('_json')} AS {details}"] if details else []),
         "_json._corrupt AS corrupt",
         f"({wrong or 'false'}) AS bad_value",
     )

@@ -120,9 +120,17 @@ class Slice(InputPartition):
     hi: int
 
 
+@dataclass
+class Slices(InputPartition):
+    """Slices that one task reads, one after the other."""
+
+    held: list[Slice]
+
+
 class LogReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.limit = options["path"], int(options.get("maxRecords", 1 << 62))
+        self.one_task = options.get("oneTask", "false") == "true"
         self.starting = json.loads(options.get("startingOffsets", '"earliest"'))
         self.segments = Segments(self.path)
         self.at: dict[str, int] | None = None
@@ -148,7 +156,7 @@ class LogReader(DataSourceStreamReader):
     def _waiting(self) -> dict[str, int]:
         return {name: max(0, end - self.at.get(name, 0)) for name, end in self.segments.known_ends().items()}
 
-    def partitions(self, start: dict, end: dict) -> list[Slice]:
+    def partitions(self, start: dict, end: dict) -> list[Slice] | list[Slices]:
         """Slices between two offsets. A restarted query asks for none, from where it stands: the place to go on."""
         self.at = dict(end)
         if start == end:
@@ -162,10 +170,14 @@ class LogReader(DataSourceStreamReader):
             for base, last, path in self.segments.between(name, lo, hi):
                 if max(lo, base) < min(hi, last):
                     out.append(Slice(path, name, base, max(lo, base), min(hi, last)))
-        return out
+        return [Slices(out)] if self.one_task and out else out
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Slice | Slices) -> Iterator[pa.RecordBatch]:
         source = _open(self.path)[0]
+        for piece in partition.held if isinstance(partition, Slices) else [partition]:
+            yield from self._slice(source, piece)
+
+    def _slice(self, source: arrow_fs.FileSystem, partition: Slice) -> Iterator[pa.RecordBatch]:
         with source.open_input_file(partition.path) as file:
             at = partition.base
             for batch in pq.ParquetFile(file).iter_batches(4096, columns=COLUMNS):
@@ -183,7 +195,7 @@ class LogReader(DataSourceStreamReader):
 
 
 class LogSource(DataSource):
-    """`spark.readStream.format("message_log")` with `path`, `maxRecords` and `startingOffsets` (JSON)."""
+    """`spark.readStream.format("message_log")` with `path`, `maxRecords`, `startingOffsets` (JSON) and `oneTask`."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,11 +208,15 @@ class LogSource(DataSource):
         return LogReader(self.options)
 
 
-def read_log(spark: SparkSession, topic: Topic, max_records: int) -> DataFrame:
-    """Stream of a log's records, at most `max_records` of them in a batch."""
+def read_log(spark: SparkSession, topic: Topic, max_records: int, one_task: bool = False) -> DataFrame:
+    """Stream of a log's records, at most `max_records` of them in a batch.
+
+    With `one_task` one task reads a batch, in a partition of its own: what follows needs no shuffle.
+    """
     spark.dataSource.register(LogSource)
     reader = spark.readStream.format("message_log").option("path", topic.path).option("maxRecords", str(max_records))
-    return reader.option("startingOffsets", json.dumps(topic.starting)).load()
+    rows = reader.option("startingOffsets", json.dumps(topic.starting)).option("oneTask", str(one_task).lower()).load()
+    return rows.coalesce(1) if one_task else rows
 
 
 def append_log(messages: DataFrame, path: str, partitions: int = 4, segment_records: int = 100_000) -> None:

@@ -25,13 +25,15 @@ from emberline.settings import Settings
 from emberline.sources import folders
 
 
-def write_part(states: DataFrame, path: str) -> None:
-    """Write merged rows as one part, replacing it when it is there already."""
-    half = F.expr("if(event_hour < 12, 0, 12)")
+def write_part(states: DataFrame, path: str, few: bool = False) -> None:
+    """Write merged rows as one part, replacing it when it is there already.
+
+    `few` says that one task has them all: they are not dealt out then.
+    """
+    half = F.expr("if(event_hour < 12, 0, 12)").alias("lower_hour")
+    rows = states.select(*[half if name == "lower_hour" else name for name in HOT.fieldNames()])
     (
-        states.withColumn("lower_hour", half)
-        .select(*HOT.fieldNames())
-        .hint("rebalance", *RANGES)
+        (rows if few else rows.hint("rebalance", *RANGES))
         .sortWithinPartitions(*RANGES, "event_hour")
         .write.mode("overwrite")
         .partitionBy(*RANGES)
@@ -39,14 +41,14 @@ def write_part(states: DataFrame, path: str) -> None:
     )
 
 
-def upsert(batch: DataFrame, batch_id: int, target: str, writer: str = "batch") -> None:
+def upsert(batch: DataFrame, batch_id: int, target: str, writer: str = "batch", few: bool = False) -> None:
     """Write a batch of events as part `<writer>-<batch_id>`; a replay replaces it.
 
     The partition is taken from each message before anything is merged, as readers
     group by it too: where batches begin and end changes nothing.
     """
     states = merge_states(with_partitions(to_states(batch, HOT_ATTRIBUTES)), HOT_ATTRIBUTES, stable=PARTS)
-    write_part(states, f"{target}/part={writer}-{batch_id:010d}")
+    write_part(states, f"{target}/part={writer}-{batch_id:010d}", few)
 
 
 def listed(spark: SparkSession, target: str) -> list[str]:

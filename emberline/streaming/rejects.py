@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.columns import mapped_fields, parse, with_details
+from emberline.functions.columns import parse
 from emberline.operators.filters import lateness
 from emberline.schema import INTERACTION_FIELDS, PAYLOAD_FIELDS, QUARANTINE, REASONS
 from emberline.settings import Settings
@@ -16,18 +16,20 @@ from emberline.sources.registry import max_age, spec
 from emberline.streaming.metrics import read_batches
 
 
-def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settings()) -> DataFrame:
-    """Decoded messages with `reason`, NULL for the good ones.
+def decoded(messages: DataFrame, kind: str) -> DataFrame:
+    """Messages of a kind with their fields as columns, and what is wrong with their text.
 
     An interaction is asked only for the fields its table keeps. Of other messages the
     mapped fields come along, as the details of their kind.
     """
-    interaction = spec(kind).target == "interactions"
-    if interaction:
-        decoded = parse(messages, INTERACTION_FIELDS)
-    else:
-        decoded = with_details(parse(messages, PAYLOAD_FIELDS | mapped_fields()), f"{kind}_details")
-    key, day = ("event_id", "ts") if interaction else ("unique_id", "request_ts")
+    if spec(kind).target == "interactions":
+        return parse(messages, INTERACTION_FIELDS)
+    return parse(messages, PAYLOAD_FIELDS, f"{kind}_details")
+
+
+def marked(events: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settings()) -> DataFrame:
+    """Decoded messages with `reason`, NULL for the good ones."""
+    key, day = ("event_id", "ts") if spec(kind).target == "interactions" else ("unique_id", "request_ts")
     reason = (
         F.when(F.col("corrupt").isNotNull(), "unparseable")
         .when(F.col("bad_value"), "bad_value")
@@ -35,7 +37,12 @@ def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settin
         .when(F.col("ts").isNull() | F.col(day).isNull(), "bad_value")
         .otherwise(lateness(F.col(day).cast("date"), as_of, max_age(kind, cfg), cfg.create_ahead))
     )
-    return decoded.withColumn("reason", reason).drop("corrupt", "bad_value")
+    return events.select(*[name for name in events.columns if name not in ("corrupt", "bad_value")], reason.alias("reason"))
+
+
+def judge(messages: DataFrame, kind: str, as_of: dt.date, cfg: Settings = Settings()) -> DataFrame:
+    """Decoded messages with `reason`, NULL for the good ones."""
+    return marked(decoded(messages, kind), kind, as_of, cfg)
 
 
 def batch_dir(target: str, app: str, run: str, batch_id: int) -> str:

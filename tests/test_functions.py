@@ -1,6 +1,7 @@
 """Hand-made edges of calendar and column functions."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -85,3 +86,13 @@ def test_parse_marks_faults(spark):
     assert got[2].bad_value and got[2].corrupt is None and got[2].has_click is None
     assert got[3].unique_id is None and not got[3].bad_value
     assert got[4].unique_id is None and got[4].corrupt is None
+
+
+def test_mapped_fields_are_one_column(spark):
+    """As renamed columns of one object; plans carry no column for each field."""
+    texts = ['{"uniqueId":"u","appid":null,"app_id":"b","cellid":7,"gpscity":""}', '{"uniqueId":"u","appid":"a","app_id":"b"}', '{"uniqueId":"u"}', "{bad", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, payload string")
+    out = cols.parse(df, details="held")
+    assert len(out.columns) < 25
+    got = {r.n: r.held and json.loads(r.held) for r in out.collect()}
+    assert got == {0: {"install_campaign_app_id": "b", "cell_id": "7", "city": ""}, 1: {"install_campaign_app_id": "a"}, 2: None, 3: None, 4: None}

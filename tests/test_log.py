@@ -193,3 +193,26 @@ def test_drain_is_one_query(spark, tmp_path, few, monkeypatch):
     monkeypatch.setattr(run, "run_stream", lambda *args, **more: started.append(1) or start(*args, **more))
     assert run.drain(spark, "click", topic, root, lambda: AS_OF, OPEN) == 4 and started == [1]
     assert batches(spark, root) == {0: 30, 1: 30, 2: 30, 3: 10}
+
+
+def test_a_small_batch_is_one_task_without_a_shuffle(spark, tmp_path, few, monkeypatch):
+    topic, root, plans = Topic(str(tmp_path / "topic")), str(tmp_path / "t"), []
+    log.append_log(messages(spark, 0, 70), topic.path, 3, 8)
+    write = hot_store.write_part
+    monkeypatch.setattr(hot_store, "write_part", lambda states, path, few: plans.append((few, states._jdf.queryExecution().executedPlan().toString())) or write(states, path, few))
+    assert run.drain(spark, "click", topic, root, lambda: AS_OF, OPEN) == 3
+    assert len(plans) == 3 and all(whole and "Exchange" not in plan for whole, plan in plans)
+    assert batches(spark, root) == {0: 30, 1: 30, 2: 10} and keys(spark, root) == list(range(70))
+
+
+def test_one_task_reads_the_slices_of_a_batch(spark, tmp_path):
+    path = str(tmp_path / "topic")
+    log.append_log(messages(spark, 0, 50), path, 3, 4)
+    reader = log.LogReader({"path": path, "maxRecords": "20", "oneTask": "true"})
+    start, got = reader.initialOffset(), []
+    while (end := reader.latestOffset()) != start:
+        (whole,) = reader.partitions(start, end)
+        got.append(sorted(x for b in reader.read(whole) for x in b.column("event_id").to_pylist()))
+        start = end
+    assert [len(x) for x in got] == [20, 20, 10] and sorted(sum(got, [])) == list(range(50))
+    assert reader.partitions(start, start) == []
