@@ -23,6 +23,7 @@ from emberline.operators.merge import merge_states, present, to_states, unfolded
 from emberline.schema import DETAILS, HOT, HOT_ATTRIBUTES, PARTS, RANGES
 from emberline.settings import Settings
 from emberline.sources import folders
+from emberline.sources.events import ROW_GROUP
 
 
 def write_part(states: DataFrame, path: str, few: bool = False) -> None:
@@ -36,6 +37,7 @@ def write_part(states: DataFrame, path: str, few: bool = False) -> None:
         (rows if few else rows.hint("rebalance", *RANGES))
         .sortWithinPartitions(*RANGES, "event_hour")
         .write.mode("overwrite")
+        .option("parquet.block.size", ROW_GROUP)
         .partitionBy(*RANGES)
         .parquet(path)
     )

@@ -22,7 +22,9 @@ from emberline.streaming.rejects import decoded, evaluate, evaluation_due, judge
 
 # Records of a limited batch up to which one task takes it whole: a shuffle costs more than it saves.
 ONE_TASK_RECORDS = 20_000
-FILE_SPLIT = "spark.sql.files.maxPartitionBytes"
+# Options that a stream takes from its session: bytes of files a task reads, and rows of a block of
+# a cached batch, which is built and read whole and holds messages with every mapped field.
+OPTIONS = {"spark.sql.files.maxPartitionBytes": SPLIT, "spark.sql.inMemoryColumnarStorage.batchSize": "1000"}
 
 
 def paced(writer, cfg: Settings, once: bool, interval: str | None = None):
@@ -104,12 +106,14 @@ def run_stream(
         .option("checkpointLocation", f"{root}/checkpoints/{stream.checkpoint}")
     )
     # A stream keeps the options its session has at the start.
-    before = spark.conf.get(FILE_SPLIT)
-    spark.conf.set(FILE_SPLIT, SPLIT)
+    before = {name: spark.conf.get(name) for name in OPTIONS}
     try:
+        for name, value in OPTIONS.items():
+            spark.conf.set(name, value)
         return paced(writer, cfg, once, interval).start()
     finally:
-        spark.conf.set(FILE_SPLIT, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def drain(

@@ -107,15 +107,16 @@ def hot_upsert_sink(spark, sf):
 def hot_mapped_fields(spark, sf):
     """Messages of one stream with every mapped field; the hot row has the latest message's."""
     ws = folders.workspace(spark, "hot_mapped_fields")
-    rows = given.raw(spark, sf)
     known = {"uniqueId": F.col("unique_id"), "event_id": F.col("event_id"), "user_id": F.col("user_id")}
     times = {"topology_entry_time": F.col("ts").cast("string"), "request_timestamp": F.col("event_date").cast("timestamp").cast("string")}
     sources = cols.mapped_fields()
-    mapped = {name: column for name, column in feed_fields(rows).items() if name in sources}
-    payload = F.to_json(F.struct(*[c.alias(n) for n, c in (known | times | mapped).items()]))
     # Three batches, so that the latest message may come in any of them, each of as many files as its rows need.
     files = -(-given.table(spark, sf, "events").count() // (3 * FILE_ROWS)) or 1
-    rows.select("event_id", payload.alias("payload")).repartition(3 * files).write.option("parquet.block.size", event_source.ROW_GROUP).parquet(f"{ws}/feed")
+    # Rows are dealt out as they are read: a message is more than ten times as large, and dealing sorts what a task has read.
+    rows = given.raw(spark, sf).select("event_id", "user_id", "unique_id", "ts", "event_date", "event_type", "k").repartition(3 * files)
+    mapped = {name: column for name, column in feed_fields(rows).items() if name in sources}
+    payload = F.to_json(F.struct(*[c.alias(n) for n, c in (known | times | mapped).items()]))
+    rows.select("event_id", payload.alias("payload")).write.option("parquet.block.size", event_source.ROW_GROUP).parquet(f"{ws}/feed")
     run.run_stream(spark, "click", f"{ws}/feed", f"{ws}/tables", lambda: AS_OF, replace(OPEN, max_files_per_trigger=files), once=True).awaitTermination()
     return hot_store.read_hot(spark, f"{ws}/tables/hot_events").select("unique_id", *cols.mapped_targets())
 

@@ -444,3 +444,24 @@ def test_a_feed_with_every_field_is_written_in_files_of_few_rows(spark, sf, tmp_
     runs = metrics.read_batches(spark, f"{ws}/tables/batch_metrics").collect()
     assert n and max(x["count"] for x in held) <= 110 and len(held) > 3 and len(runs) == 3
     assert sum(x.input_rows for x in runs) == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_messages_with_every_field_are_not_dealt_out(spark, sf, tmp_path, monkeypatch):
+    """Dealing rows sorts all that a task has read; messages are made after it."""
+    frame, dealt = type(spark.range(0)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *args: dealt.append(self.columns) or deal(self, *args))
+    monkeypatch.setattr(checks.folders, "workspace", lambda spark, name: str(tmp_path / name))
+    checks.hot_mapped_fields(spark, sf)
+    assert len(dealt) == 1 and "event_id" in dealt[0] and "payload" not in dealt[0] and len(dealt[0]) < 10
+    assert spark.read.parquet(f"{tmp_path}/hot_mapped_fields/feed").count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_cached_batches_of_a_stream_have_small_blocks(spark, tmp_path, monkeypatch):
+    src, root, seen = str(tmp_path / "src"), str(tmp_path / "t"), []
+    arrive(spark, src, text("a"))
+    name, save = "spark.sql.inMemoryColumnarStorage.batchSize", run.upsert
+    before = spark.conf.get(name)
+    monkeypatch.setattr(run, "upsert", lambda batch, *rest: seen.append(batch.sparkSession.conf.get(name)) or save(batch, *rest))
+    run.run_stream(spark, "click", src, root, lambda: AS_OF, OPEN, once=True).awaitTermination()
+    assert seen == ["1000"] and spark.conf.get(name) == before
