@@ -37,12 +37,16 @@ def observed(judged: DataFrame) -> tuple[DataFrame, Observation]:
 
 
 def counts_of(seen: Observation) -> dict:
-    """What was observed. A plan that turned out to have no rows may end before it counts."""
+    """What was observed. A plan that turned out to have no rows may end before it counts.
+
+    The fraction of the last time has six digits, if there is one.
+    """
     try:
         found = seen.get
     except Py4JJavaError:
         found = {}
-    return {"last_ts": found.get("last_ts")} | {name: found.get(name, 0) for name in ("input_rows", "kept_rows", "null_users", *REASONS)}
+    last = found.get("last_ts")
+    return {"last_ts": last.ljust(26, "0") if last and "." in last else last} | {name: found.get(name, 0) for name in ("input_rows", "kept_rows", "null_users", *REASONS)}
 
 
 def save_batch(spark: SparkSession, target: str, app: str, run: str, batch_id: int, counts: dict) -> None:

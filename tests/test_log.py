@@ -216,3 +216,14 @@ def test_one_task_reads_the_slices_of_a_batch(spark, tmp_path):
         start = end
     assert [len(x) for x in got] == [20, 20, 10] and sorted(sum(got, [])) == list(range(50))
     assert reader.partitions(start, start) == []
+
+
+def test_the_last_time_of_a_batch_has_six_digits(spark, tmp_path):
+    """As its SQL has it, also where the last digits are zeros."""
+    src, made = str(tmp_path / "src"), {}
+    for at in ("2024-01-30 11:00:00.393990", "2024-01-30 11:00:00"):
+        arrive(spark, f"{src}{len(made)}", text("a", at))
+        watched, seen = metrics.observed(run.judge(spark.read.parquet(f"{src}{len(made)}"), "vast", AS_OF, OPEN))
+        watched.write.parquet(f"{src}-{len(made)}")
+        made[at] = metrics.counts_of(seen)["last_ts"]
+    assert all(got == at for at, got in made.items())
